@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import params as P
-from ..functions.risk import keyword_hits, pii_hits, redact, pseudonym, risk_columns
+from ..functions.numeric import exact_mean, exact_sum, round_dec
+from ..functions.risk import keyword_hits, pii_hits, redact, pseudonym, risk_columns, risk_flag, risk_level
 
 RISK_COLUMNS = ("risk_score", "risk_level", "risk_flag", "pii_types")
 
@@ -48,17 +49,22 @@ def prompt_risk(df: DataFrame, text_col: str = "prompt_text", unicode: bool = Fa
     return out.drop("_ents") if entity_hook is not None else out
 
 
+def _score_then_level(df: DataFrame, text_col: str, keep: list[str], unicode: bool) -> DataFrame:
+    cols = risk_columns(F.col(text_col), unicode)
+    scored = df.select(*keep, cols["risk_score"].alias("risk_score"), cols["pii_types"].alias("pii_types"))
+    return scored.select(*keep, "risk_score", risk_level("risk_score").alias("risk_level"),
+                         risk_flag("risk_score").alias("risk_flag"), "pii_types")
+
+
 def scan_logs(logs: DataFrame, id_col: str = "prompt_id", text_col: str = "prompt_text",
               dedupe: bool = False, unicode: bool = False) -> DataFrame:
     """One result row per input row: id, risk_score, risk_level, risk_flag, pii_types."""
     if not dedupe:
-        cols = risk_columns(F.col(text_col), unicode)
-        return logs.select(id_col, *[c.alias(n) for n, c in cols.items()])
+        return _score_then_level(logs.select(id_col, text_col), text_col, [id_col], unicode)
     keyed = logs.select(id_col, text_col,
                         F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_k"))
-    distinct = (keyed.groupBy("_k").agg(F.first(text_col, ignorenulls=True).alias("_t")))
-    cols = risk_columns(F.col("_t"), unicode)
-    scored = distinct.select("_k", *[c.alias(n) for n, c in cols.items()])
+    distinct = keyed.groupBy("_k").agg(F.first(text_col, ignorenulls=True).alias("_t"))
+    scored = _score_then_level(distinct, "_t", ["_k"], unicode)
     return keyed.select(id_col, "_k").join(scored, "_k", "inner").drop("_k")
 
 
@@ -169,3 +175,42 @@ class EntityHook:
 
         red = F.aggregate(spans, F.col(text_col), step)
         return df.withColumn(text_col, F.when(F.col(text_col).isNull(), F.col(text_col)).otherwise(red))
+
+
+def worst_prompts(logs: DataFrame, n: int = 25) -> DataFrame:
+    """The n highest-risk prompts with a 100-character preview."""
+    return (logs.where(F.col("risk_score") > 0)
+            .select("prompt_id", "user_id", "department", "model_name", "timestamp", "risk_score", "risk_level",
+                    F.concat(F.substring("prompt_text", 1, 100), F.lit("...")).alias("prompt_preview"))
+            .orderBy(F.col("risk_score").desc(), "prompt_id").limit(n))
+
+
+def incident_log(enriched: DataFrame, n: int = 20) -> DataFrame:
+    """T5: top-n flagged prompts by score, 80-character preview (tie-break: prompt_id)."""
+    return (enriched.where(F.col("risk_score") > 0)
+            .orderBy(F.col("risk_score").desc(), "prompt_id").limit(n)
+            .select("user_id", "department", "model_name", "risk_level",
+                    round_dec(F.col("risk_score"), 1).alias("risk_score"),
+                    F.concat(F.substring("prompt_text", 1, 80), F.lit("…")).alias("prompt_text"),
+                    "timestamp"))
+
+
+def risk_rollup(enriched: DataFrame) -> DataFrame:
+    """Risk exposure root -> department -> level (ROLLUP, grouping_id marks the level)."""
+    return (enriched.where(F.col("risk_score") > 0)
+            .rollup("department", "risk_level")
+            .agg(exact_sum("risk_score", 1).alias("total_risk"), F.grouping_id().alias("grouping_level")))
+
+
+def corporate_risk(enriched: DataFrame) -> DataFrame:
+    """Mean of positive risk scores, 1 dp, 0 when none."""
+    s = F.col("risk_score")
+    return enriched.agg(F.coalesce(round_dec(exact_mean(F.when(s > 0, s), 1), 1), F.lit(0.0))
+                        .alias("corporate_risk_index"))
+
+
+def pii_by_department(enriched: DataFrame) -> DataFrame:
+    """Flagged prompts per department."""
+    return (enriched.where((F.col("risk_flag") == 1) & F.col("department").isNotNull())
+            .groupBy("department").agg(F.count("prompt_id").alias("pii_events"))
+            .orderBy(F.col("pii_events").desc(), "department"))

@@ -59,3 +59,129 @@ def enrich_usage(logs: DataFrame, users: DataFrame) -> DataFrame:
             out = out.withColumnRenamed(f"{c}_user", c)
     out = out.drop("department_user")
     return time_features(out, "timestamp")
+
+
+def monthly_dept_trend(logs: DataFrame) -> DataFrame:
+    """Month x department prompts, tokens, cost (4 dp), active users,
+    flagged prompts. SQL grouping: NULL department/month groups are kept."""
+    return (logs.groupBy(F.date_format("timestamp", "yyyy-MM").alias("month_year"), "department")
+            .agg(F.count("prompt_id").alias("prompt_count"),
+                 F.sum("token_count").alias("total_tokens"),
+                 round_dec(exact_sum("cost_usd", 6), 4).alias("total_cost"),
+                 F.countDistinct("user_id").alias("active_users"),
+                 F.sum("risk_flag").cast("bigint").alias("pii_violations"))
+            .orderBy("month_year", "department"))
+
+
+def monthly_trend(logs: DataFrame) -> DataFrame:
+    """Month-over-month cost/tokens/users/prompts with cost % change (1 dp).
+
+    The window runs over the *monthly* aggregate -- one row per month, a
+    bounded handful -- so an unpartitioned ordered window is safe here.
+    """
+    from pyspark.sql import Window
+
+    m = (logs.withColumn("month_year", F.date_format("timestamp", "yyyy-MM"))
+         .where(F.col("month_year").isNotNull())
+         .groupBy("month_year")
+         .agg(exact_sum("cost_usd", 6).alias("total_cost"),
+              F.sum("token_count").alias("total_tokens"),
+              F.countDistinct("user_id").alias("active_users"),
+              F.count("prompt_id").alias("prompt_count")))
+    prev = F.lag("total_cost").over(Window.orderBy("month_year"))
+    return (m.withColumn("cost_mom_pct",
+                         round_dec(F.try_divide(F.col("total_cost") - prev, F.nullif(prev, F.lit(0.0))) * 100, 1))
+            .orderBy("month_year"))
+
+
+def daily_trend(logs: DataFrame) -> DataFrame:
+    """Cost and tokens per calendar day."""
+    return (logs.where(F.col("timestamp").isNotNull())
+            .groupBy(F.to_date("timestamp").alias("date"))
+            .agg(exact_sum("cost_usd", 6).alias("cost"), F.sum("token_count").alias("tokens"))
+            .orderBy("date"))
+
+
+def dept_spend(logs: DataFrame) -> DataFrame:
+    """Spend per department (ascending)."""
+    return (logs.where(F.col("department").isNotNull()).groupBy("department")
+            .agg(exact_sum("cost_usd", 6).alias("cost_usd"))
+            .orderBy("cost_usd", "department"))
+
+
+def weekday_volume(logs: DataFrame) -> DataFrame:
+    """D3: prompts per weekday, all seven days present (zero filled).
+
+    The seven-row day dimension is a constant, broadcast by construction.
+    """
+    spark = logs.sparkSession
+    days = spark.createDataFrame([(i, d) for i, d in enumerate(P.WEEKDAY_ORDER)], "day_idx int, day string")
+    counts = (logs.where(F.col("timestamp").isNotNull())
+              .groupBy(F.date_format("timestamp", "EEEE").alias("day"))
+              .agg(F.count("prompt_id").alias("events")))
+    return (F.broadcast(days).join(counts, "day", "left")
+            .select("day", F.coalesce(F.col("events"), F.lit(0)).alias("events"), "day_idx")
+            .orderBy("day_idx").drop("day_idx"))
+
+
+def active_users(logs: DataFrame, approx: bool = False) -> DataFrame:
+    """Distinct users per department (``approx`` -> HyperLogLog++)."""
+    agg = F.approx_count_distinct("user_id") if approx else F.countDistinct("user_id")
+    return (logs.where(F.col("department").isNotNull()).groupBy("department")
+            .agg(agg.alias("active_users")))
+
+
+def day_hour_heatmap(logs: DataFrame) -> DataFrame:
+    """Prompts per weekday x hour (columns h00..h23, zero filled).
+
+    The 24 hour values are given to ``pivot`` so no extra job discovers them.
+    """
+    g = (logs.where(F.col("timestamp").isNotNull())
+         .select(F.date_format("timestamp", "EEEE").alias("day_name"), F.hour("timestamp").alias("hour"))
+         .groupBy("day_name").pivot("hour", list(range(24))).count())
+    return g.select("day_name", *[F.coalesce(F.col(str(h)), F.lit(0)).alias(f"h{h:02d}") for h in range(24)])
+
+
+def model_usage(logs: DataFrame) -> DataFrame:
+    """Requests and cost per model."""
+    return (logs.where(F.col("model_name").isNotNull()).groupBy("model_name")
+            .agg(F.count("prompt_id").alias("requests"), exact_sum("cost_usd", 6).alias("total_cost"))
+            .orderBy(F.col("requests").desc(), "model_name"))
+
+
+def dept_model_cost(logs: DataFrame) -> DataFrame:
+    """Cost per department x model."""
+    return (logs.where(F.col("department").isNotNull() & F.col("model_name").isNotNull())
+            .groupBy("department", "model_name").agg(exact_sum("cost_usd", 6).alias("cost_usd")))
+
+
+def token_histogram(logs: DataFrame, bins: int = 40) -> DataFrame:
+    """Equal-width histogram of token counts (> 0) between min and max.
+
+    Bounds are scalar subqueries over the same input (executed once each,
+    no join); the maximum falls into the last bin.
+    """
+    tk = logs.where(F.col("token_count") > 0).select(F.col("token_count").cast("double").alias("t"))
+    bounds = tk.agg(F.struct(F.min("t").alias("lo"), F.max("t").alias("hi"))).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
+    w = (hi - lo) / bins
+    b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((F.col("t") - lo) / w).cast("int"), F.lit(bins - 1)))
+    return (tk.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+            .select("bin", (lo + F.col("bin") * (hi - lo) / bins).alias("bin_start"),
+                    (lo + (F.col("bin") + 1) * (hi - lo) / bins).alias("bin_end"), "count")
+            .orderBy("bin"))
+
+
+def token_median(logs: DataFrame) -> DataFrame:
+    """Median token count of requests with tokens > 0."""
+    return logs.where(F.col("token_count") > 0).agg(F.median("token_count").alias("median_tokens"))
+
+
+def usage_header(logs: DataFrame) -> DataFrame:
+    """Number of usage events and distinct active users."""
+    return logs.agg(F.count(F.lit(1)).alias("usage_events"), F.countDistinct("user_id").alias("active_users"))
+
+
+def department_domain(users: DataFrame) -> DataFrame:
+    """Sorted distinct non-null departments."""
+    return users.where(F.col("department").isNotNull()).select("department").distinct().orderBy("department")

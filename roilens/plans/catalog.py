@@ -190,3 +190,241 @@ from prs_e where merged_at is not null and department is not null group by 1, 2"
 def q_pr_velocity_monthly(spark, sf):
     from ..operators.pulls import pr_velocity_monthly
     return pr_velocity_monthly(_I(spark, sf).pull_requests_enriched())
+
+
+# ---------------------------------------------------------------- tickets
+
+@register("ticket_cycle_backfill", oracle(["tickets"], """
+select jira_issue_id, case when cycle_time_hours = 0
+   then greatest(coalesce(date_diff('microsecond', created_at, resolved_at)/3600000000, 0.0), 0.0)
+   else cycle_time_hours end as cycle_time_hours
+from tickets"""))
+def q_ticket_cycle_backfill(spark, sf):
+    from ..operators.tickets import backfill_cycle
+    return backfill_cycle(_I(spark, sf).tickets()).select("jira_issue_id", "cycle_time_hours")
+
+
+@register("dept_performance", oracle(["tickets"], f"""
+select department, {EM("case when period='Before' then cycle_time_hours end", 2)} as before_mean,
+  quantile_cont(cycle_time_hours, 0.5) filter (where period='Before') as before_median,
+  nullif(count(cycle_time_hours) filter (where period='Before'), 0) as before_count,
+  {EM("case when period='After' then cycle_time_hours end", 2)} as after_mean,
+  quantile_cont(cycle_time_hours, 0.5) filter (where period='After') as after_median,
+  nullif(count(cycle_time_hours) filter (where period='After'), 0) as after_count,
+  case when {EM("case when period='Before' then cycle_time_hours end", 2)} - {EM("case when period='After' then cycle_time_hours end", 2)} is null then null
+       else greatest({EM("case when period='Before' then cycle_time_hours end", 2)} - {EM("case when period='After' then cycle_time_hours end", 2)}, 0.0) end as hours_saved_mean,
+  case when quantile_cont(cycle_time_hours, 0.5) filter (where period='Before') - quantile_cont(cycle_time_hours, 0.5) filter (where period='After') is null then null
+       else greatest(quantile_cont(cycle_time_hours, 0.5) filter (where period='Before') - quantile_cont(cycle_time_hours, 0.5) filter (where period='After'), 0.0) end as hours_saved_median,
+  {RD("coalesce(greatest(" + EM("case when period='Before' then cycle_time_hours end", 2) + " - " + EM("case when period='After' then cycle_time_hours end", 2) + ", 0.0) / nullif(" + EM("case when period='Before' then cycle_time_hours end", 2) + ", 0) * 100, 0.0)", 1)} as pct_improvement
+from tickets where department is not null and period in ('Before','After') group by department"""))
+def q_dept_performance(spark, sf):
+    from ..operators.tickets import dept_performance
+    return dept_performance(_I(spark, sf).tickets())
+
+
+_VEL = f"""select department, period, count(jira_issue_id) as total_tickets,
+  cast(sum(story_points) as bigint) as total_story_points,
+  {RD(EM('cycle_time_hours', 2), 2)} as avg_cycle_hours,
+  {RD('quantile_cont(cycle_time_hours, 0.5)', 2)} as median_cycle_hours,
+  {RD('quantile_cont(cycle_time_hours, 0.9)', 2)} as p90_cycle_hours
+from tickets where department is not null and period is not null group by department, period"""
+
+
+@register("ticket_velocity", oracle(["tickets"], _VEL))
+def q_ticket_velocity(spark, sf):
+    from ..operators.tickets import velocity
+    return velocity(_I(spark, sf).tickets())
+
+
+@register("throughput_delta", oracle(["tickets"], f"""
+, v as ({_VEL}),
+d as (select department,
+  coalesce(max(case when period='Before' then avg_cycle_hours end), 0)::double as before_cycle,
+  coalesce(max(case when period='After' then avg_cycle_hours end), 0)::double as after_cycle,
+  coalesce(max(case when period='Before' then total_story_points end), 0)::bigint as before_points,
+  coalesce(max(case when period='After' then total_story_points end), 0)::bigint as after_points
+  from v group by department)
+select *, {RD('coalesce((before_cycle - after_cycle) / nullif(before_cycle, 0) * 100, 0.0)', 1)} as cycle_improvement_pct,
+  {RD('coalesce(cast(after_points - before_points as double) / nullif(before_points, 0) * 100, 0.0)', 1)} as throughput_lift_pct
+from d"""))
+def q_throughput_delta(spark, sf):
+    from ..operators.tickets import throughput_delta, velocity
+    return throughput_delta(velocity(_I(spark, sf).tickets()))
+
+
+@register("priority_breakdown", oracle(["tickets"], """
+select department, priority, period, count(jira_issue_id) as ticket_count from tickets
+where department is not null and priority is not null and period is not null group by all"""))
+def q_priority_breakdown(spark, sf):
+    from ..operators.tickets import priority_breakdown
+    return priority_breakdown(_I(spark, sf).tickets())
+
+
+@register("resolution_heatmap", oracle(["tickets"], "select department, " + ", ".join(
+    f"{RD('coalesce(' + EM(f'case when priority = {chr(39)}{p}{chr(39)} then cycle_time_hours end', 2) + ', 0.0)', 2)} as \"{p}\""
+    for p in ("Low", "Medium", "High", "Critical")) + " from tickets where department is not null group by department"))
+def q_resolution_heatmap(spark, sf):
+    from ..operators.tickets import resolution_heatmap
+    return resolution_heatmap(_I(spark, sf).tickets())
+
+
+@register("cycle_by_period", oracle(["tickets"], f"""
+select department, period, {RD(EM('cycle_time_hours', 2), 1)} as mean_hours from tickets
+where department is not null and period is not null group by department, period"""))
+def q_cycle_by_period(spark, sf):
+    from ..operators.tickets import cycle_by_period
+    return cycle_by_period(_I(spark, sf).tickets())
+
+
+@register("points_vs_cycle", oracle(["tickets"], f"""
+select period, regr_count(cycle_time_hours, story_points::double) as n,
+  {RD('regr_slope(cycle_time_hours, story_points::double)', 4)} as slope,
+  {RD('regr_intercept(cycle_time_hours, story_points::double)', 4)} as intercept,
+  {RD('regr_r2(cycle_time_hours, story_points::double)', 4)} as r_squared
+from tickets where story_points > 0 and cycle_time_hours > 0 and period is not null group by period"""))
+def q_points_vs_cycle(spark, sf):
+    from ..operators.tickets import points_vs_cycle
+    return points_vs_cycle(_I(spark, sf).tickets())
+
+
+@register("priority_counts", oracle(["tickets"], """
+select priority, period, count(jira_issue_id) as "count" from tickets
+where priority is not null and period is not null group by priority, period"""))
+def q_priority_counts(spark, sf):
+    from ..operators.tickets import priority_counts
+    return priority_counts(_I(spark, sf).tickets())
+
+
+# ---------------------------------------------------------------- usage
+
+@register("prompt_cost", oracle(["logs_c"], "select prompt_id, model_name, token_count, cost_usd from logs_c"))
+def q_prompt_cost(spark, sf):
+    return _I(spark, sf).logs_cost().select("prompt_id", "model_name", "token_count", "cost_usd")
+
+
+@register("enrich_usage", oracle(["logs_e"], """
+select prompt_id, user_id, department, employee_name, role, license_type, hourly_rate, github_username,
+  cast(timestamp as date) as date, hour(timestamp) as hour, dayname(timestamp) as day_name,
+  weekofyear(timestamp) as week, strftime(timestamp, '%Y-%m') as month_year from logs_e"""))
+def q_enrich_usage(spark, sf):
+    from ..operators.usage import enrich_usage
+    i = _I(spark, sf)
+    return enrich_usage(i.logs(), i.users()).select(
+        "prompt_id", "user_id", "department", "employee_name", "role", "license_type", "hourly_rate",
+        "github_username", "date", "hour", "day_name", "week", "month_year")
+
+
+@register("monthly_dept_trend", oracle(["logs_s"], f"""
+select strftime(timestamp, '%Y-%m') as month_year, department, count(prompt_id) as prompt_count,
+  cast(sum(token_count) as bigint) as total_tokens, {RD(ES('cost_usd', 6), 4)} as total_cost,
+  count(distinct user_id) as active_users, cast(sum(risk_flag) as bigint) as pii_violations
+from logs_s group by 1, 2"""))
+def q_monthly_dept_trend(spark, sf):
+    from ..operators.usage import monthly_dept_trend
+    return monthly_dept_trend(_I(spark, sf).logs())
+
+
+@register("monthly_trend", oracle(["logs_e"], f"""
+, m as (select strftime(timestamp, '%Y-%m') as month_year, {ES('cost_usd', 6)} as total_cost,
+  cast(sum(token_count) as bigint) as total_tokens, count(distinct user_id) as active_users, count(prompt_id) as prompt_count
+  from logs_e where timestamp is not null group by 1)
+select *, {RD('(total_cost - lag(total_cost) over (order by month_year)) / nullif(lag(total_cost) over (order by month_year), 0) * 100', 1)}
+  as cost_mom_pct from m"""))
+def q_monthly_trend(spark, sf):
+    from ..operators.usage import monthly_trend
+    return monthly_trend(_enriched(spark, sf))
+
+
+def _enriched(spark, sf):
+    from ..operators.usage import enrich_usage
+    i = _I(spark, sf)
+    return enrich_usage(i.logs(), i.users())
+
+
+@register("daily_trend", oracle(["logs_e"], f"""
+select cast(timestamp as date) as date, {ES('cost_usd', 6)} as cost, cast(sum(token_count) as bigint) as tokens
+from logs_e where timestamp is not null group by 1"""))
+def q_daily_trend(spark, sf):
+    from ..operators.usage import daily_trend
+    return daily_trend(_enriched(spark, sf))
+
+
+@register("dept_spend", oracle(["logs_e"], f"""
+select department, {ES('cost_usd', 6)} as cost_usd from logs_e where department is not null group by 1"""))
+def q_dept_spend(spark, sf):
+    from ..operators.usage import dept_spend
+    return dept_spend(_enriched(spark, sf))
+
+
+@register("weekday_volume", oracle(["logs_e"], """
+select d.day, coalesce(c.events, 0) as events
+from (values ('Monday'),('Tuesday'),('Wednesday'),('Thursday'),('Friday'),('Saturday'),('Sunday')) d(day)
+left join (select dayname(timestamp) as day, count(prompt_id) as events from logs_e
+           where timestamp is not null group by 1) c on c.day = d.day"""))
+def q_weekday_volume(spark, sf):
+    from ..operators.usage import weekday_volume
+    return weekday_volume(_enriched(spark, sf))
+
+
+@register("active_users", oracle(["logs_e"], """
+select department, count(distinct user_id) as active_users from logs_e where department is not null group by 1"""))
+def q_active_users(spark, sf):
+    from ..operators.usage import active_users
+    return active_users(_enriched(spark, sf))
+
+
+@register("day_hour_heatmap", oracle(["logs_e"], "select dayname(timestamp) as day_name, " + ", ".join(
+    f"count(*) filter (where hour(timestamp) = {h}) as h{h:02d}" for h in range(24))
+    + " from logs_e where timestamp is not null group by 1"))
+def q_day_hour_heatmap(spark, sf):
+    from ..operators.usage import day_hour_heatmap
+    return day_hour_heatmap(_enriched(spark, sf))
+
+
+@register("model_usage", oracle(["logs_e"], f"""
+select model_name, count(prompt_id) as requests, {ES('cost_usd', 6)} as total_cost from logs_e
+where model_name is not null group by 1"""))
+def q_model_usage(spark, sf):
+    from ..operators.usage import model_usage
+    return model_usage(_enriched(spark, sf))
+
+
+@register("dept_model_cost", oracle(["logs_e"], f"""
+select department, model_name, {ES('cost_usd', 6)} as cost_usd from logs_e
+where department is not null and model_name is not null group by 1, 2"""))
+def q_dept_model_cost(spark, sf):
+    from ..operators.usage import dept_model_cost
+    return dept_model_cost(_enriched(spark, sf))
+
+
+@register("token_histogram", oracle(["logs_e"], """
+, t as (select token_count::double as t from logs_e where token_count > 0),
+b as (select min(t) as lo, max(t) as hi from t),
+x as (select case when hi = lo then 0 else least(cast(floor((t - lo) / ((hi - lo) / 40)) as integer), 39) end as bin, lo, hi
+      from t, b)
+select bin, lo + bin * (hi - lo) / 40 as bin_start, lo + (bin + 1) * (hi - lo) / 40 as bin_end, count(*) as "count"
+from x group by bin, lo, hi"""))
+def q_token_histogram(spark, sf):
+    from ..operators.usage import token_histogram
+    return token_histogram(_enriched(spark, sf))
+
+
+@register("token_median", oracle(["logs_e"], """
+select median(token_count) as median_tokens from logs_e where token_count > 0"""))
+def q_token_median(spark, sf):
+    from ..operators.usage import token_median
+    return token_median(_enriched(spark, sf))
+
+
+@register("usage_header", oracle(["logs_e"], """
+select count(*) as usage_events, count(distinct user_id) as active_users from logs_e"""))
+def q_usage_header(spark, sf):
+    from ..operators.usage import usage_header
+    return usage_header(_enriched(spark, sf))
+
+
+@register("department_domain", oracle(["users_master"], """
+select distinct department from users_master where department is not null"""))
+def q_department_domain(spark, sf):
+    from ..operators.usage import department_domain
+    return department_domain(_I(spark, sf).users())

@@ -72,6 +72,61 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+def M12(x: str) -> str:
+    return f"(cast(sum(cast({x} as decimal(30,12))) as double)/count({x}))"
+
+
+def _summary_sql() -> dict[str, tuple[str, tuple[str, ...]]]:
+    return {
+        "logs_e": ("""select l.* replace (coalesce(l.department, u.department) as department),
+    u.employee_name, u.role, u.license_type, u.hourly_rate, u.github_username
+  from logs_s l left join users_master u on u.user_id = l.user_id""", ("logs_s", "users_master")),
+        "us0": (f"""select u.*, coalesce(c.total_cost, 0.0) as total_cost, coalesce(c.total_tokens, 0) as total_tokens,
+    coalesce(c.prompt_count, 0) as prompt_count, coalesce(jb.c, 0.0) as avg_cycle_before, coalesce(ja.c, 0.0) as avg_cycle_after,
+    cast(coalesce(ja.n, 0) as bigint) as tickets_closed, coalesce(gh.prs_merged, 0) as prs_merged,
+    coalesce(gh.avg_pr_cycle, 0.0) as avg_pr_cycle, coalesce(gh.avg_rework, 0.0) as avg_rework
+  from users_master u
+  left join (select user_id, {ES('cost_usd', 6)} as total_cost, cast(sum(token_count) as bigint) as total_tokens,
+             count(prompt_id) as prompt_count from logs_c group by user_id) c on c.user_id = u.user_id
+  left join (select user_id, {EM('cycle_time_hours', 2)} as c from tickets where period = 'Before' group by user_id) jb
+     on jb.user_id = u.user_id
+  left join (select user_id, {EM('cycle_time_hours', 2)} as c, sum(jira_tickets_closed) as n from tickets
+             where period = 'After' group by user_id) ja on ja.user_id = u.user_id
+  left join (select user_id, count(pr_id) as prs_merged, {EM('cycle_time_hours', 2)} as avg_pr_cycle,
+             {EM('rework_ratio', 3)} as avg_rework from prs where pr_state = 'merged' and user_id is not null
+             group by user_id) gh on gh.user_id = u.user_id""", ("users_master", "logs_c", "tickets", "prs")),
+        "us1": ("""select *, greatest(avg_cycle_before - avg_cycle_after, 0.0) as hours_saved_per_ticket from us0""",
+                ("us0",)),
+        "us2": ("""select *, coalesce(hours_saved_per_ticket * tickets_closed * hourly_rate, 0.0) as dollar_value_saved
+  from us1""", ("us1",)),
+        "us3": (f"""select *, coalesce(dollar_value_saved - total_cost, 0.0) as net_roi,
+    {RD('coalesce(hours_saved_per_ticket / nullif(avg_cycle_before, 0) * 100, 0.0)', 1)} as pct_improvement from us2""",
+                ("us2",)),
+        "us": ("""select *, cast(coalesce(total_cost > (select median(total_cost) from us3) and tickets_closed = 0
+    and prs_merged = 0 and total_cost > 0, false) as integer) as is_zombie from us3""", ("us3",)),
+        "cl": ("""select us.* replace (cast(category = 'Zombie' as integer) as is_zombie) from (
+  select us.*, case
+    when total_cost > th.cost_hi and tickets_closed = 0 then 'Zombie'
+    when total_cost >= th.cost_hi and tickets_closed <= th.out_lo and tickets_closed > 0 then 'At-Risk'
+    when pct_improvement >= th.impr_hi and net_roi > 0 then 'Champion'
+    when total_cost <= th.cost_lo and tickets_closed <= th.out_mid then 'Underutilized'
+    else 'Healthy' end as category,
+  case when total_tokens >= 50000 or prompt_count >= 50 or tickets_closed >= 5 then 'Enterprise'
+       when total_tokens >= 10000 or prompt_count >= 10 or tickets_closed >= 1 then 'Pro' else 'Free' end as recommended_tier
+  from us, (select quantile_cont(total_cost, 0.6) as cost_hi, quantile_cont(total_cost, 0.4) as cost_lo,
+                   quantile_cont(tickets_closed, 0.3) as out_lo, quantile_cont(tickets_closed, 0.4) as out_mid,
+                   quantile_cont(pct_improvement, 0.7) as impr_hi from us) th) us""", ("us",)),
+        "classified": ("""select *, greatest(current_licence_cost - recommended_licence_cost, 0.0) as potential_saving from (
+  select *, case license_type when 'Enterprise' then 30.0 when 'Pro' then 20.0 when 'Free' then 0.0 else 0.0 end::double
+              as current_licence_cost,
+            case recommended_tier when 'Enterprise' then 30.0 when 'Pro' then 20.0 else 0.0 end::double
+              as recommended_licence_cost from cl)""", ("cl",)),
+    }
+
+
+DERIVED.update(_summary_sql())
+
+
 def with_tables(names) -> str:
     ordered: list[str] = []
 

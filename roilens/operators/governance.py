@@ -39,14 +39,15 @@ def keyword_scan(df: DataFrame, text_col: str = "prompt_text") -> DataFrame:
 
 def prompt_risk(df: DataFrame, text_col: str = "prompt_text", unicode: bool = False,
                 entity_hook: "EntityHook | None" = None) -> DataFrame:
-    """Add risk_score, risk_level, risk_flag, pii_types."""
-    es = el = None
-    if entity_hook is not None:
-        df = df.withColumn("_ents", entity_hook.labels(F.col(text_col)))
-        es, el = entity_hook.score(F.col("_ents")), entity_hook.type_labels(F.col("_ents"))
-    cols = risk_columns(F.col(text_col), unicode, es, el)
-    out = df.select("*", *[c.alias(n) for n, c in cols.items()])
-    return out.drop("_ents") if entity_hook is not None else out
+    """Add risk_score, pii_types, risk_level, risk_flag."""
+    from ..functions.risk import with_risk
+
+    if entity_hook is None:
+        return with_risk(df, text_col, unicode)
+    df = df.withColumn("_ents", entity_hook.labels(F.col(text_col)))
+    out = with_risk(df, text_col, unicode, entity_score=entity_hook.score(F.col("_ents")),
+                    entity_labels=entity_hook.type_labels(F.col("_ents")))
+    return out.drop("_ents")
 
 
 def _score_then_level(df: DataFrame, text_col: str, keep: list[str], unicode: bool) -> DataFrame:

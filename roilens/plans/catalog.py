@@ -428,3 +428,349 @@ select distinct department from users_master where department is not null"""))
 def q_department_domain(spark, sf):
     from ..operators.usage import department_domain
     return department_domain(_I(spark, sf).users())
+
+
+# ---------------------------------------------------------------- governance
+
+from .oracle import M12, level_sql, pii_types_sql  # noqa: E402
+
+
+@register("pii_detect", oracle(["ai_usage_logs"], "select prompt_id, " + ", ".join(
+    f"coalesce(regexp_matches(prompt_text, '{pat}'), false) as has_{n}"
+    for n, pat in __import__('roilens.params', fromlist=['x']).PII_PATTERNS) + " from ai_usage_logs"))
+def q_pii_detect(spark, sf):
+    from ..operators.governance import detect_pii
+    out = detect_pii(_I(spark, sf).logs_raw())
+    return out.select("prompt_id", *[c for c in out.columns if c.startswith("has_")])
+
+
+def _kw_list_sql():
+    from .. import params as P
+    return "[" + ", ".join(f"'{k}'" for k in P.SENSITIVE_KEYWORDS) + "]"
+
+
+@register("keyword_scan", oracle(["ai_usage_logs"], f"""
+select prompt_id, array_to_string(list_filter({_kw_list_sql()}, lambda k: coalesce(contains(lower(prompt_text), k), false)), ',') as keywords,
+  cast(len(list_filter({_kw_list_sql()}, lambda k: coalesce(contains(lower(prompt_text), k), false))) as integer) as keyword_count
+from ai_usage_logs"""))
+def q_keyword_scan(spark, sf):
+    from pyspark.sql import functions as F
+    from ..operators.governance import keyword_scan
+    out = keyword_scan(_I(spark, sf).logs_raw())
+    return out.select("prompt_id", F.array_join("keywords", ",").alias("keywords"), "keyword_count")
+
+
+@register("prompt_risk", oracle(["logs_s"], f"""
+select prompt_id, risk_score, risk_level, risk_flag, {pii_types_sql()} as pii_types from logs_s"""))
+def q_prompt_risk(spark, sf):
+    from pyspark.sql import functions as F
+    from ..operators.governance import prompt_risk
+    out = prompt_risk(_I(spark, sf).logs_raw())
+    return out.select("prompt_id", "risk_score", "risk_level", "risk_flag",
+                      F.array_join("pii_types", "|").alias("pii_types"))
+
+
+@register("scan_logs", oracle(["logs_s"], f"""
+select prompt_id, risk_score, risk_level, risk_flag, {pii_types_sql()} as pii_types from logs_s"""))
+def q_scan_logs(spark, sf):
+    from pyspark.sql import functions as F
+    from ..operators.governance import scan_logs
+    out = scan_logs(_I(spark, sf).logs_raw(), dedupe=True)
+    return out.withColumn("pii_types", F.array_join("pii_types", "|"))
+
+
+@register("risk_level", oracle(["logs_s"], f"""
+select prompt_id, risk_score, {level_sql('risk_score')} as risk_level, cast(risk_score >= 25 as integer) as risk_flag
+from logs_s"""))
+def q_risk_level(spark, sf):
+    from ..functions.risk import risk_flag, risk_level
+    lg = _I(spark, sf).logs()
+    return lg.select("prompt_id", "risk_score", risk_level("risk_score").alias("risk_level"),
+                     risk_flag("risk_score").alias("risk_flag"))
+
+
+def _redact_sql(t: str) -> str:
+    from .. import params as P
+    out = t
+    for n, pat in P.PII_PATTERNS:
+        out = f"regexp_replace({out}, '{pat}', '{P.REDACTION_TOKENS[n]}', 'g')"
+    return out
+
+
+@register("redact_text", oracle(["ai_usage_logs"], f"""
+select prompt_id, {_redact_sql('prompt_text')} as prompt_text from ai_usage_logs"""))
+def q_redact_text(spark, sf):
+    from pyspark.sql import functions as F
+    from ..functions.risk import redact
+    return _I(spark, sf).logs_raw().select("prompt_id", redact(F.col("prompt_text")).alias("prompt_text"))
+
+
+PSEUDONYM_SALT = "roilens-check-salt"
+
+
+@register("pseudonymise", oracle(["users_master"], f"""
+select user_id, 'USR_' || upper(substr(sha256('{PSEUDONYM_SALT}' || ':' || user_id), 1, 12)) as pseudonym
+from users_master"""))
+def q_pseudonymise(spark, sf):
+    from pyspark.sql import functions as F
+    from ..functions.risk import pseudonym
+    return _I(spark, sf).users().select("user_id", pseudonym(F.col("user_id"), PSEUDONYM_SALT).alias("pseudonym"))
+
+
+@register("redact_frame", oracle(["ai_usage_logs"], f"""
+select prompt_id, 'USR_' || upper(substr(sha256('{PSEUDONYM_SALT}' || ':' || user_id), 1, 12)) as user_id,
+  {_redact_sql('prompt_text')} as prompt_text from ai_usage_logs"""))
+def q_redact_frame(spark, sf):
+    from ..operators.governance import redact_frame
+    lg = _I(spark, sf).logs_raw().select("prompt_id", "user_id", "prompt_text")
+    return redact_frame(lg, "prompt_text", "user_id", pseudonymise=True, salt=PSEUDONYM_SALT)
+
+
+@register("apply_risk_update", oracle(["ai_usage_logs", "logs_s"], """
+select l.prompt_id, s.risk_score, s.risk_level, s.risk_flag from ai_usage_logs l
+left join logs_s s on s.prompt_id = l.prompt_id"""))
+def q_apply_risk_update(spark, sf):
+    from pyspark.sql import functions as F
+    from ..operators.governance import apply_risk_update, scan_logs
+    i = _I(spark, sf)
+    stored = i.logs_raw().select("prompt_id", F.lit(0.0).alias("risk_score"), F.lit("Low").alias("risk_level"),
+                                 F.lit(0).alias("risk_flag"))
+    upd = scan_logs(i.logs_raw()).drop("pii_types")
+    return apply_risk_update(stored, upd).select("prompt_id", "risk_score", "risk_level", "risk_flag")
+
+
+@register("worst_prompts", oracle(["logs_s"], """
+select prompt_id, user_id, department, model_name, timestamp, risk_score, risk_level,
+  substr(prompt_text, 1, 100) || '...' as prompt_preview
+from logs_s where risk_score > 0 order by risk_score desc, prompt_id limit 25"""))
+def q_worst_prompts(spark, sf):
+    from ..operators.governance import worst_prompts
+    return worst_prompts(_I(spark, sf).logs())
+
+
+@register("incident_log", oracle(["logs_e"], f"""
+select user_id, department, model_name, risk_level, {RD('risk_score', 1)} as risk_score,
+  substr(prompt_text, 1, 80) || '…' as prompt_text, timestamp
+from logs_e where risk_score > 0 order by risk_score desc, prompt_id limit 20"""))
+def q_incident_log(spark, sf):
+    from ..operators.governance import incident_log
+    return incident_log(_enriched(spark, sf))
+
+
+@register("risk_rollup", oracle(["logs_e"], f"""
+select department, risk_level, {ES('risk_score', 1)} as total_risk,
+  grouping(department, risk_level) as grouping_level
+from logs_e where risk_score > 0 group by rollup(department, risk_level)"""))
+def q_risk_rollup(spark, sf):
+    from ..operators.governance import risk_rollup
+    return risk_rollup(_enriched(spark, sf))
+
+
+@register("corporate_risk", oracle(["logs_e"], f"""
+select coalesce({RD(EM('case when risk_score > 0 then risk_score end', 1), 1)}, 0.0) as corporate_risk_index from logs_e"""))
+def q_corporate_risk(spark, sf):
+    from ..operators.governance import corporate_risk
+    return corporate_risk(_enriched(spark, sf))
+
+
+@register("pii_by_department", oracle(["logs_e"], """
+select department, count(prompt_id) as pii_events from logs_e where risk_flag = 1 and department is not null group by 1"""))
+def q_pii_by_department(spark, sf):
+    from ..operators.governance import pii_by_department
+    return pii_by_department(_enriched(spark, sf))
+
+
+# ---------------------------------------------------------------- ROI / summary / licences
+
+def _summary(spark, sf):
+    from ..operators.roi import user_summary
+    i = _I(spark, sf)
+    return user_summary(i.users(), i.logs_cost(), i.tickets(), i.pull_requests())
+
+
+def _classified(spark, sf):
+    from ..operators.licences import classify_users
+    return classify_users(_summary(spark, sf))
+
+
+@register("dept_roi", oracle(["users_master", "logs_s", "tickets"], f"""
+select u.department, count(distinct u.user_id) as headcount, {RD(ES('c.total_cost', 6), 2)} as dept_ai_spend,
+  {RD(M12('jb.c'), 2)} as avg_cycle_before, {RD(M12('ja.c'), 2)} as avg_cycle_after,
+  {RD('(' + M12('jb.c') + ' - ' + M12('ja.c') + ') / nullif(' + M12('jb.c') + ', 0) * 100', 1)} as dept_efficiency_pct,
+  {RD(M12('r.avg_risk'), 2)} as avg_risk_score
+from users_master u
+left join (select user_id, {ES('cost_usd', 6)} as total_cost from logs_s group by user_id) c on c.user_id = u.user_id
+left join (select user_id, {EM('cycle_time_hours', 2)} as c from tickets where period = 'Before' group by user_id) jb on jb.user_id = u.user_id
+left join (select user_id, {EM('cycle_time_hours', 2)} as c from tickets where period = 'After' group by user_id) ja on ja.user_id = u.user_id
+left join (select user_id, {EM('risk_score', 1)} as avg_risk from logs_s where risk_score > 0 group by user_id) r on r.user_id = u.user_id
+group by u.department"""))
+def q_dept_roi(spark, sf):
+    from ..operators.roi import dept_roi
+    i = _I(spark, sf)
+    return dept_roi(i.users(), i.logs(), i.tickets())
+
+
+@register("user_summary", oracle(["us"], "select * from us"))
+def q_user_summary(spark, sf):
+    return _summary(spark, sf)
+
+
+@register("classify_users", oracle(["classified"], "select * from classified"))
+def q_classify_users(spark, sf):
+    return _classified(spark, sf)
+
+
+@register("recommend_tier", oracle(["classified"], """
+select user_id, total_tokens, prompt_count, tickets_closed, recommended_tier from classified"""))
+def q_recommend_tier(spark, sf):
+    return _classified(spark, sf).select("user_id", "total_tokens", "prompt_count", "tickets_closed",
+                                         "recommended_tier")
+
+
+@register("licence_saving", oracle(["classified"], """
+select user_id, license_type, recommended_tier, current_licence_cost, recommended_licence_cost, potential_saving
+from classified"""))
+def q_licence_saving(spark, sf):
+    return _classified(spark, sf).select("user_id", "license_type", "recommended_tier", "current_licence_cost",
+                                         "recommended_licence_cost", "potential_saving")
+
+
+@register("roi_formula", oracle(["us"], f"""
+select user_id, {RD('greatest(avg_cycle_before - avg_cycle_after, 0.0)', 2)} as hours_saved_per_ticket,
+  {RD('greatest(avg_cycle_before - avg_cycle_after, 0.0) * tickets_closed * hourly_rate', 2)} as dollar_value_saved,
+  {RD('greatest(avg_cycle_before - avg_cycle_after, 0.0) * tickets_closed * hourly_rate - total_cost', 2)} as net_roi,
+  {RD('case when avg_cycle_before > 0 then greatest(avg_cycle_before - avg_cycle_after, 0.0) / avg_cycle_before * 100 else 0.0 end', 1)} as pct_improvement,
+  greatest(avg_cycle_before - avg_cycle_after, 0.0) * tickets_closed * hourly_rate - total_cost > 0 as roi_positive
+from us"""))
+def q_roi_formula(spark, sf):
+    from ..functions.roi import roi_columns
+    s = _summary(spark, sf)
+    cols = roi_columns("avg_cycle_before", "avg_cycle_after", "tickets_closed", "hourly_rate", "total_cost")
+    return s.select("user_id", *[c.alias(k) for k, c in cols.items()])
+
+
+@register("zombie_sql", oracle(["users_master", "logs_c", "tickets", "prs"], f"""
+, cost as (select user_id, {ES('cost_usd', 6)} as total_cost, count(*) as prompt_count from logs_c group by user_id)
+select u.user_id, u.employee_name, u.department, u.role, u.license_type,
+  coalesce(c.total_cost, 0.0) as total_ai_cost, coalesce(c.prompt_count, 0) as total_prompts,
+  cast(coalesce(ja.n, 0) as bigint) as tickets_after_ai, coalesce(gh.n, 0) as prs_merged, 'Zombie' as classification
+from users_master u
+left join cost c on c.user_id = u.user_id
+left join (select user_id, sum(jira_tickets_closed) as n from tickets where period = 'After' group by user_id) ja
+  on ja.user_id = u.user_id
+left join (select user_id, count(*) as n from prs where pr_state = 'merged' group by user_id) gh on gh.user_id = u.user_id
+where coalesce(c.total_cost, 0.0) > (select {EM('total_cost', 6)} from cost)
+  and coalesce(ja.n, 0) = 0 and coalesce(gh.n, 0) = 0"""))
+def q_zombie_sql(spark, sf):
+    from ..operators.licences import zombie_licences
+    i = _I(spark, sf)
+    return zombie_licences(i.users(), i.logs_cost(), i.tickets(), i.pull_requests())
+
+
+@register("optimisation_summary", oracle(["classified"], f"""
+select count(*) as total_users, count(*) filter (where category = 'Champion') as champion_count,
+  count(*) filter (where category = 'Healthy') as healthy_count,
+  count(*) filter (where category = 'Underutilized') as underutil_count,
+  count(*) filter (where category = 'At-Risk') as at_risk_count,
+  count(*) filter (where category = 'Zombie') as zombie_count,
+  {RD("coalesce(count(*) filter (where category = 'Zombie') * 100.0 / nullif(count(*), 0), 0.0)", 1)} as zombie_pct,
+  count(*) filter (where category in ('Zombie','At-Risk','Underutilized') and potential_saving > 0) as downgrade_candidates,
+  {RD("coalesce(" + ES("case when category = 'Zombie' then current_licence_cost end", 2) + ", 0.0)", 2)} as monthly_saving_zombies,
+  {RD("coalesce(" + ES("case when category in ('Zombie','At-Risk','Underutilized') and potential_saving > 0 then potential_saving end", 2) + ", 0.0)", 2)} as monthly_saving_downgrades,
+  {RD("coalesce(" + ES("case when category = 'Zombie' then current_licence_cost end", 2) + ", 0.0) + coalesce(" + ES("case when category in ('Zombie','At-Risk','Underutilized') and potential_saving > 0 then potential_saving end", 2) + ", 0.0)", 2)} as total_monthly_saving,
+  {RD("(coalesce(" + ES("case when category = 'Zombie' then current_licence_cost end", 2) + ", 0.0) + coalesce(" + ES("case when category in ('Zombie','At-Risk','Underutilized') and potential_saving > 0 then potential_saving end", 2) + ", 0.0)) * 12", 2)} as annual_saving_projection
+from classified"""))
+def q_optimisation_summary(spark, sf):
+    from ..operators.licences import optimisation_summary
+    return optimisation_summary(_classified(spark, sf))
+
+
+@register("category_distribution", oracle(["classified"], f"""
+select d.category, coalesce(c.n, 0) as "count",
+  {RD('coalesce(c.n, 0) / greatest((select count(*) from classified), 1) * 100', 1)} as pct
+from (values ('Champion'),('Healthy'),('Underutilized'),('At-Risk'),('Zombie')) d(category)
+left join (select category, count(*) as n from classified group by 1) c on c.category = d.category"""))
+def q_category_distribution(spark, sf):
+    from ..operators.licences import category_distribution
+    return category_distribution(_classified(spark, sf))
+
+
+@register("top_performers", oracle(["classified"], """
+select user_id, employee_name, department, role, category, pct_improvement, tickets_closed, hours_saved_per_ticket,
+  net_roi, total_cost from classified order by pct_improvement desc, user_id limit 10"""))
+def q_top_performers(spark, sf):
+    from ..operators.licences import top_performers
+    return top_performers(_classified(spark, sf))
+
+
+@register("zombie_report", oracle(["classified"], """
+select user_id, employee_name, department, role, license_type, total_cost, total_tokens, prompt_count, tickets_closed,
+  current_licence_cost from classified where category = 'Zombie'"""))
+def q_zombie_report(spark, sf):
+    from ..operators.licences import zombie_report
+    return zombie_report(_classified(spark, sf))
+
+
+@register("at_risk_report", oracle(["classified"], """
+select user_id, employee_name, department, role, total_cost, tickets_closed, pct_improvement, net_roi,
+  recommended_tier, potential_saving from classified where category = 'At-Risk'"""))
+def q_at_risk_report(spark, sf):
+    from ..operators.licences import at_risk_report
+    return at_risk_report(_classified(spark, sf))
+
+
+@register("dept_benchmark", oracle(["classified"], f"""
+select *, {RD('coalesce(total_net_roi / nullif(total_spend, 0), 0.0)', 3)} as roi_per_dollar_spent,
+  {RD('zombie_count / headcount * 100', 1)} as zombie_pct from (
+select department, count(user_id) as headcount, {ES('total_cost', 6)} as total_spend,
+  {EM('pct_improvement', 1)} as avg_pct_improvement,
+  cast(sum(cast(net_roi as decimal(30,12))) as double) as total_net_roi,
+  {M12('hours_saved_per_ticket')} as avg_hours_saved,
+  cast(sum(tickets_closed) as bigint) as total_tickets, cast(sum(is_zombie) as bigint) as zombie_count
+from classified where department is not null group by department)"""))
+def q_dept_benchmark(spark, sf):
+    from ..operators.roi import dept_benchmark
+    return dept_benchmark(_classified(spark, sf))
+
+
+@register("dept_risk", oracle(["logs_e"], f"""
+select department, coalesce({RD('least(quantile_cont(risk_score, 0.8) filter (where risk_score > 0), 100.0)', 1)}, 0.0)
+  as dept_risk_score from logs_e where department is not null group by department"""))
+def q_dept_risk(spark, sf):
+    from ..operators.roi import dept_risk
+    return dept_risk(_enriched(spark, sf))
+
+
+@register("analytics_cache", oracle(["us", "logs_e"], f"""
+, m as (select user_id, strftime(timestamp, '%Y-%m') as month_year, {ES('cost_usd', 6)} as m_cost,
+           sum(token_count) as m_tokens, sum(risk_flag) as m_flags
+        from logs_e where timestamp is not null and user_id is not null group by 1, 2),
+dr as (select department, coalesce({RD('least(quantile_cont(risk_score, 0.8) filter (where risk_score > 0), 100.0)', 1)}, 0.0)
+  as dept_risk_score from logs_e where department is not null group by department)
+select sha256(us.user_id || '|' || m.month_year) as cache_id, us.user_id, us.department, m.month_year,
+  m.m_cost as total_ai_cost, cast(coalesce(m.m_tokens, 0) as bigint) as total_tokens,
+  us.avg_cycle_before as tickets_before_avg, us.avg_cycle_after as tickets_after_avg,
+  {RD('greatest(us.avg_cycle_before - us.avg_cycle_after, 0.0)', 2)} as hours_saved,
+  {RD('greatest(us.avg_cycle_before - us.avg_cycle_after, 0.0) * us.tickets_closed * us.hourly_rate', 2)} as dollar_value_saved,
+  {RD('greatest(us.avg_cycle_before - us.avg_cycle_after, 0.0) * us.tickets_closed * us.hourly_rate - m.m_cost', 2)} as net_roi,
+  cast(coalesce(m.m_flags, 0) as bigint) as pii_violations, us.avg_pr_cycle as pr_cycle_time_avg,
+  dr.dept_risk_score, cast(null as varchar) as computed_at
+from us join m on m.user_id = us.user_id left join dr on dr.department = us.department"""))
+def q_analytics_cache(spark, sf):
+    from ..operators.roi import analytics_cache
+    return analytics_cache(_summary(spark, sf), _enriched(spark, sf))
+
+
+@register("executive_kpis", oracle(["logs_s", "tickets", "users_master"], f"""
+, b as (select {EM("case when period = 'Before' then cycle_time_hours end", 2)} as b,
+               {EM("case when period = 'After' then cycle_time_hours end", 2)} as a from tickets)
+select {RD(f"coalesce((select {ES('cost_usd', 6)} from logs_s), 0.0)", 2)} as total_spend,
+  {RD('case when b.b > 0 then (b.b - coalesce(b.a, 0.0)) / b.b * 100 else 0.0 end', 1)} as pct_improvement,
+  coalesce((select cast(sum(token_count) as bigint) from logs_s), 0) as total_tokens,
+  (select count(*) from logs_s where risk_level in ('High','Critical')) as high_risk_events,
+  (select count(github_username) from users_master) as github_matched
+from b"""))
+def q_executive_kpis(spark, sf):
+    from ..operators.roi import executive_kpis
+    i = _I(spark, sf)
+    return executive_kpis(i.logs(), i.tickets(), i.users())

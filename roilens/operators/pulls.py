@@ -229,3 +229,70 @@ def pr_velocity_monthly(prs_enriched: DataFrame) -> DataFrame:
                  round_dec(exact_mean("cycle_time_hours", 2), 2).alias("avg_cycle"),
                  round_dec(exact_mean("rework_ratio", 3), 2).alias("avg_rework"))
             .orderBy("month", "department"))
+
+
+def rework_by_period(prs_enriched: DataFrame) -> DataFrame:
+    """Mean rework ratio per department x period."""
+    return (prs_enriched.where(F.col("department").isNotNull() & F.col("period").isNotNull())
+            .groupBy("department", "period")
+            .agg(exact_mean("rework_ratio", 3).alias("rework_ratio")))
+
+
+def pr_kpis(prs_enriched: DataFrame) -> DataFrame:
+    """Merged PRs, cycle and rework improvement %, contributors, repositories (one row)."""
+    b, a = F.col("period") == "Before", F.col("period") == "After"
+    g = prs_enriched.agg(
+        F.count_if(MERGED).alias("prs_merged"),
+        exact_mean(F.when(b, F.col("cycle_time_hours")), 2).alias("_bc"),
+        exact_mean(F.when(a, F.col("cycle_time_hours")), 2).alias("_ac"),
+        exact_mean(F.when(b, F.col("rework_ratio")), 3).alias("_br"),
+        exact_mean(F.when(a, F.col("rework_ratio")), 3).alias("_ar"),
+        F.countDistinct("github_username").alias("contributors"),
+        F.countDistinct("repo_name").alias("repos"))
+
+    def imp(bc, ac):
+        return round_dec(F.when(F.col(bc) > 0, (F.col(bc) - F.coalesce(F.col(ac), F.lit(0.0))) / F.col(bc) * 100)
+                         .otherwise(F.lit(0.0)), 1)
+
+    return g.select("prs_merged", imp("_bc", "_ac").alias("cycle_improvement_pct"),
+                    imp("_br", "_ar").alias("rework_improvement_pct"), "contributors", "repos")
+
+
+def pr_monthly_total(velocity_monthly: DataFrame) -> DataFrame:
+    """PRs per month summed over departments (from N2's output)."""
+    return (velocity_monthly.groupBy("month").agg(F.sum("pr_count").cast("bigint").alias("pr_count"))
+            .orderBy("month"))
+
+
+def _review_range(prs_enriched: DataFrame) -> DataFrame:
+    c = F.col("cycle_time_hours")
+    return prs_enriched.where((c > 0) & (c < 500) & (F.col("review_count") >= 0))
+
+
+def review_depth_ols(prs_enriched: DataFrame) -> DataFrame:
+    """OLS of cycle time on review count per department over all rows in range."""
+    x, y = F.col("review_count").cast("double"), F.col("cycle_time_hours")
+    return (_review_range(prs_enriched).where(F.col("department").isNotNull())
+            .groupBy("department")
+            .agg(F.regr_count(y, x).alias("n"),
+                 round_dec(F.regr_slope(y, x), 4).alias("slope"),
+                 round_dec(F.regr_intercept(y, x), 4).alias("intercept"),
+                 round_dec(F.regr_r2(y, x), 4).alias("r_squared")))
+
+
+def review_sample(prs_enriched: DataFrame, n: int = 600, seed: int = 42) -> DataFrame:
+    """A seeded, reproducible sample of at most n in-range PRs (a sampling
+    operator: the limit is the feature). Rows are ranked by a seeded hash of
+    the key, so every rerun picks the same rows; TakeOrderedAndProject keeps
+    only n rows per partition."""
+    return (_review_range(prs_enriched)
+            .withColumn("_h", F.xxhash64(F.col("pr_id"), F.lit(seed)))
+            .orderBy("_h", "pr_id").limit(n).drop("_h"))
+
+
+def melt_before_after(delta: DataFrame, before: str, after: str, value: str, digits: int) -> DataFrame:
+    """R2: Before/After columns of a delta table to long form (period label, value)."""
+    return (delta.unpivot(["department"], [before, after], "period", value)
+            .withColumn("period", F.when(F.col("period") == before, F.lit("Before Copilot"))
+                        .otherwise(F.lit("After Copilot")))
+            .withColumn(value, round_dec(F.col(value), digits)))

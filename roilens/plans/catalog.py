@@ -774,3 +774,203 @@ def q_executive_kpis(spark, sf):
     from ..operators.roi import executive_kpis
     i = _I(spark, sf)
     return executive_kpis(i.logs(), i.tickets(), i.users())
+
+
+# ---------------------------------------------------------------- statistics
+
+def _long_sql() -> str:
+    from ..operators.stats import RELATIONSHIPS
+    return " union all ".join(f"select '{lbl}' as label, total_cost::double as x, {col}::double as y from us"
+                              for lbl, col in RELATIONSHIPS)
+
+
+@register("spend_vs_productivity", oracle(["us"], f"""
+, lng as ({_long_sql()}),
+m as (select label, count(*) as n, corr(x, y) as r, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept,
+        regr_r2(y, x) as r2, regr_sxx(y, x) as sxx, regr_syy(y, x) as syy
+      from lng where x is not null and y is not null and not isnan(x) and not isnan(y) group by label),
+h as (select x, y from lng where label = 'cost_vs_hours_saved' and x is not null and y is not null),
+rk as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rx,
+              rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry from h),
+sp as (select 'cost_vs_hours_saved' as label, corr(rx, ry) as rho, count(*) as sn from rk)
+select m.label, m.n,
+  {RD('case when m.n >= 3 then m.r else 0.0 end', 4)} as pearson_r,
+  {RD('case when sp.sn >= 3 then sp.rho when sp.sn is not null then 0.0 end', 4)} as spearman_rho,
+  {RD('case when m.n >= 3 then m.slope else 0.0 end', 6)} as slope,
+  {RD('case when m.n >= 3 then m.intercept else 0.0 end', 4)} as intercept,
+  {RD('case when m.n >= 3 then coalesce(m.r2, m.r * m.r) else 0.0 end', 4)} as r_squared,
+  {RD('case when m.n >= 3 and m.sxx > 0 then sqrt(greatest(1.0 - m.r * m.r, 0.0) * m.syy / m.sxx / (m.n - 2)) end', 6)} as std_err
+from m left join sp on sp.label = m.label"""))
+def q_spend_vs_productivity(spark, sf):
+    from ..operators.stats import spend_vs_productivity
+    return spend_vs_productivity(_summary(spark, sf))
+
+
+@register("correlation_significance")
+def q_correlation_significance(spark, sf):
+    from ..operators.stats import spend_vs_productivity
+    return spend_vs_productivity(_summary(spark, sf), with_p=True)
+
+
+@register("pearson")
+def q_pearson(spark, sf):
+    from ..operators.stats import pearson
+    return pearson(_summary(spark, sf), "total_cost", "hours_saved_per_ticket")
+
+
+@register("spearman", oracle(["us"], f"""
+, h as (select total_cost::double as x, hours_saved_per_ticket::double as y from us),
+rk as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rx,
+              rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry from h)
+select count(*) as n, {RD('corr(rx, ry)', 4)} as spearman_rho from rk"""))
+def q_spearman(spark, sf):
+    from ..operators.stats import spearman
+    return spearman(_summary(spark, sf), "total_cost", "hours_saved_per_ticket").drop("spearman_p")
+
+
+@register("ols")
+def q_ols(spark, sf):
+    from ..operators.stats import ols
+    return ols(_summary(spark, sf), "total_cost", "net_roi")
+
+
+@register("ols_predictions", oracle(["us"], f"""
+, f as (select regr_slope(net_roi, total_cost) as b1, regr_intercept(net_roi, total_cost) as b0 from us)
+select total_cost::double as x, net_roi::double as y, {RD('b1 * total_cost + b0', 4)} as predicted from us, f"""))
+def q_ols_predictions(spark, sf):
+    from pyspark.sql import functions as F
+    from ..functions.numeric import round_dec
+    from ..operators.stats import ols_predictions
+    out = ols_predictions(_summary(spark, sf), "total_cost", "net_roi")
+    return out.withColumn("predicted", round_dec(F.col("predicted"), 4))
+
+
+# ---------------------------------------------------------------- PR dashboard and columns
+
+@register("rework_by_period", oracle(["prs_e"], f"""
+select department, period, {EM('rework_ratio', 3)} as rework_ratio from prs_e
+where department is not null and period is not null group by 1, 2"""))
+def q_rework_by_period(spark, sf):
+    from ..operators.pulls import rework_by_period
+    return rework_by_period(_I(spark, sf).pull_requests_enriched())
+
+
+@register("pr_kpis", oracle(["prs_e"], f"""
+select count(*) filter (where pr_state = 'merged') as prs_merged,
+  {RD(f"case when {EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then cycle_time_hours end', 2)} > 0 then ({EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then cycle_time_hours end', 2)} - coalesce({EM('case when period = ' + chr(39) + 'After' + chr(39) + ' then cycle_time_hours end', 2)}, 0.0)) / {EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then cycle_time_hours end', 2)} * 100 else 0.0 end", 1)} as cycle_improvement_pct,
+  {RD(f"case when {EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then rework_ratio end', 3)} > 0 then ({EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then rework_ratio end', 3)} - coalesce({EM('case when period = ' + chr(39) + 'After' + chr(39) + ' then rework_ratio end', 3)}, 0.0)) / {EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then rework_ratio end', 3)} * 100 else 0.0 end", 1)} as rework_improvement_pct,
+  count(distinct github_username) as contributors, count(distinct repo_name) as repos
+from prs_e"""))
+def q_pr_kpis(spark, sf):
+    from ..operators.pulls import pr_kpis
+    return pr_kpis(_I(spark, sf).pull_requests_enriched())
+
+
+@register("pr_monthly_total", oracle(["prs_e"], """
+select month, cast(sum(pr_count) as bigint) as pr_count from (
+  select strftime(merged_at, '%Y-%m') as month, department, count(pr_id) as pr_count from prs_e
+  where merged_at is not null and department is not null group by 1, 2) group by month"""))
+def q_pr_monthly_total(spark, sf):
+    from ..operators.pulls import pr_monthly_total, pr_velocity_monthly
+    return pr_monthly_total(pr_velocity_monthly(_I(spark, sf).pull_requests_enriched()))
+
+
+@register("review_depth_ols", oracle(["prs_e"], f"""
+select department, regr_count(cycle_time_hours, review_count::double) as n,
+  {RD('regr_slope(cycle_time_hours, review_count::double)', 4)} as slope,
+  {RD('regr_intercept(cycle_time_hours, review_count::double)', 4)} as intercept,
+  {RD('regr_r2(cycle_time_hours, review_count::double)', 4)} as r_squared
+from prs_e where cycle_time_hours > 0 and cycle_time_hours < 500 and review_count >= 0 and department is not null
+group by department"""))
+def q_review_depth_ols(spark, sf):
+    from ..operators.pulls import review_depth_ols
+    return review_depth_ols(_I(spark, sf).pull_requests_enriched())
+
+
+@register("review_sample")
+def q_review_sample(spark, sf):
+    from ..operators.pulls import review_sample
+    return review_sample(_I(spark, sf).pull_requests_enriched()).select(
+        "pr_id", "department", "review_count", "cycle_time_hours")
+
+
+_DELTA_SQL = None
+
+
+def _pr_delta_df(spark, sf):
+    from ..operators.pulls import pr_delta, pr_performance
+    return pr_delta(pr_performance(_I(spark, sf).pull_requests_enriched()))
+
+
+@register("melt_cycle", oracle(["prs_e"], f"""
+, s as ({_PERF}),
+d as (select department, coalesce(max(case when period='Before' then avg_cycle_hours end), 0) as b,
+             coalesce(max(case when period='After' then avg_cycle_hours end), 0) as a from s group by department)
+select department, 'Before Copilot' as period, {RD('b', 1)} as avg_hours from d
+union all select department, 'After Copilot', {RD('a', 1)} from d"""))
+def q_melt_cycle(spark, sf):
+    from ..operators.pulls import melt_before_after
+    return melt_before_after(_pr_delta_df(spark, sf), "before_avg", "after_avg", "avg_hours", 1)
+
+
+@register("melt_rework", oracle(["prs_e"], f"""
+, s as ({_PERF}),
+d as (select department, coalesce(max(case when period='Before' then avg_rework_ratio end), 0) as b,
+             coalesce(max(case when period='After' then avg_rework_ratio end), 0) as a from s group by department)
+select department, 'Before Copilot' as period, {RD('b', 3)} as rework_ratio from d
+union all select department, 'After Copilot', {RD('a', 3)} from d"""))
+def q_melt_rework(spark, sf):
+    from ..operators.pulls import melt_before_after
+    return melt_before_after(_pr_delta_df(spark, sf), "before_rework", "after_rework", "rework_ratio", 3)
+
+
+@register("period_label", oracle(["pull_requests"], """
+select pr_id, case when merged_at >= timestamp '1998-01-01 00:00:00' then 'After'
+                   when merged_at is not null then 'Before' end as period_label from pull_requests"""))
+def q_period_label(spark, sf):
+    from pyspark.sql import functions as F
+    from .. import params as P
+    from ..functions.pulls import period_label
+    return _I(spark, sf).c.pull_requests().select(
+        "pr_id", period_label(F.col("merged_at"), P.CANONICAL_CUTOFF).alias("period_label"))
+
+
+@register("period_backfill", oracle(["prs_e"], "select pr_id, period from prs_e"))
+def q_period_backfill(spark, sf):
+    from pyspark.sql import functions as F
+    from .. import params as P
+    from ..functions.pulls import period_backfill
+    return _I(spark, sf).c.pull_requests().select(
+        "pr_id", period_backfill("period", "merged_at", P.CANONICAL_CUTOFF).alias("period"))
+
+
+@register("department_fill", oracle(["prs_e"], "select pr_id, repo_name, department from prs_e"))
+def q_department_fill(spark, sf):
+    from ..operators.pulls import department_fill
+    i = _I(spark, sf)
+    return department_fill(i.c.pull_requests(), i.c.repo_department()).select("pr_id", "repo_name", "department")
+
+
+@register("pr_derived", oracle(["prs"], """
+select pr_id, split_part(repo_full_name, '/', 2) as short_repo, cycle_time_hours, rework_ratio from prs"""))
+def q_pr_derived(spark, sf):
+    from ..functions.pulls import short_repo_name
+    from ..operators.pulls import pr_derived
+    out = pr_derived(_I(spark, sf).c.pull_requests())
+    return out.select("pr_id", short_repo_name("repo_full_name").alias("short_repo"), "cycle_time_hours",
+                      "rework_ratio")
+
+
+@register("map_contributors", oracle(["prs"], "select pr_id, github_username, user_id from prs"))
+def q_map_contributors(spark, sf):
+    from ..operators.pulls import map_contributors
+    i = _I(spark, sf)
+    return map_contributors(i.c.pull_requests(), i.users()).select("pr_id", "github_username", "user_id")
+
+
+@register("usage_time_features", oracle(["ai_usage_logs"], """
+select prompt_id, cast(timestamp as date) as date, hour(timestamp) as hour, dayname(timestamp) as day_name,
+  weekofyear(timestamp) as week, strftime(timestamp, '%Y-%m') as month_year from ai_usage_logs"""))
+def q_usage_time_features(spark, sf):
+    from ..functions.timecols import time_features
+    return time_features(_I(spark, sf).logs_raw().select("prompt_id", "timestamp"), "timestamp").drop("timestamp")

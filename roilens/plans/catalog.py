@@ -974,3 +974,235 @@ select prompt_id, cast(timestamp as date) as date, hour(timestamp) as hour, dayn
 def q_usage_time_features(spark, sf):
     from ..functions.timecols import time_features
     return time_features(_I(spark, sf).logs_raw().select("prompt_id", "timestamp"), "timestamp").drop("timestamp")
+
+
+# ---------------------------------------------------------------- sources, sinks, filters, quality
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/roilens-{name}-{uuid.uuid4().hex}"
+
+
+@register("scan_department", oracle(["logs_c"], """
+select prompt_id, user_id, department, token_count, cost_usd from logs_c where department = 'BUILDING'"""))
+def q_scan_department(spark, sf):
+    from ..sources.tables import scan_department
+    return scan_department(_I(spark, sf).logs_cost(), "BUILDING").select(
+        "prompt_id", "user_id", "department", "token_count", "cost_usd")
+
+
+@register("coerce_types", oracle(["tickets"], """
+select jira_issue_id, created_at, resolved_at, cycle_time_hours, cast(story_points as integer) as story_points,
+  cast(jira_tickets_closed as integer) as jira_tickets_closed, 0::bigint as bad_number, null::timestamp as bad_time
+from tickets"""))
+def q_coerce_types(spark, sf):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    from ..sources.tables import coerce_types
+    t = _I(spark, sf).tickets()
+    as_text = t.select(*[F.col(c).cast("string").alias(c) for c in
+                         ("jira_issue_id", "created_at", "resolved_at", "cycle_time_hours", "story_points",
+                          "jira_tickets_closed")],
+                       F.lit("n/a").alias("bad_number"), F.lit("not a time").alias("bad_time"))
+    schema = T.StructType([T.StructField("jira_issue_id", T.StringType()),
+                           T.StructField("created_at", T.TimestampNTZType()),
+                           T.StructField("resolved_at", T.TimestampNTZType()),
+                           T.StructField("cycle_time_hours", T.DoubleType()),
+                           T.StructField("story_points", T.IntegerType()),
+                           T.StructField("jira_tickets_closed", T.IntegerType()),
+                           T.StructField("bad_number", T.LongType()),
+                           T.StructField("bad_time", T.TimestampNTZType())])
+    return coerce_types(as_text, schema)
+
+
+@register("align_schema")
+def q_align_schema(spark, sf):
+    from ..sources.tables import align_pull_requests
+    return align_pull_requests(_I(spark, sf).c.pull_requests())
+
+
+@register("csv_round_trip")
+def q_csv_round_trip(spark, sf):
+    from ..sources.sinks import read_csv, write_csv
+    from ..sources.tables import align_schema
+    from .. import schemas
+    path = _scratch(spark, "csv")
+    write_csv(align_schema(_I(spark, sf).tickets(), schemas.TICKETS), path)
+    return read_csv(spark, path, "tickets")
+
+
+def _raw_prs(spark, sf):
+    from pyspark.sql import functions as F
+    p = _I(spark, sf).c.pull_requests()
+    iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    num = F.regexp_extract("pr_id", r"#(\d+)-(\d+)$", 1).cast("bigint") * 100 + \
+        F.regexp_extract("pr_id", r"#(\d+)-(\d+)$", 2).cast("bigint")
+    return p.select(num.alias("number"), F.col("pr_title").alias("title"), F.lit("closed").alias("state"),
+                    F.date_format("created_at", iso).alias("created_at"),
+                    F.date_format(F.coalesce("merged_at", "created_at"), iso).alias("updated_at"),
+                    F.date_format("merged_at", iso).alias("merged_at"),
+                    F.col("lines_added").alias("additions"), F.col("lines_removed").alias("deletions"),
+                    F.col("review_count").alias("review_comments"), F.col("commit_count").alias("commits"),
+                    F.struct(F.col("github_username").alias("login")).alias("user"),
+                    F.struct(F.struct(F.col("repo_name").alias("name"),
+                                      F.col("repo_full_name").alias("full_name")).alias("repo")).alias("base"))
+
+
+INGEST_AS_OF = "2001-12-31 00:00:00"
+
+
+@register("ingest_pull_requests", oracle(["pull_requests", "users_master", "repo_department"], f"""
+, r as (select p.*, cast(regexp_extract(pr_id, '#(\\d+)-(\\d+)$', 1) as bigint) * 100
+                   + cast(regexp_extract(pr_id, '#(\\d+)-(\\d+)$', 2) as bigint) as number
+        from pull_requests p where merged_at is not null
+          and created_at >= timestamp '{INGEST_AS_OF}' - interval 1200 days),
+c as (select * from (select *, row_number() over (partition by repo_full_name order by merged_at desc, number desc) as rn
+                     from r) where rn <= 400)
+select c.repo_name || '#' || cast(number as varchar) as pr_id, c.github_username, c.repo_name, c.repo_full_name,
+  substr(c.pr_title, 1, 200) as pr_title, 'merged' as pr_state, c.created_at, c.merged_at,
+  {RD("date_diff('microsecond', c.created_at, c.merged_at)/3600000000", 2)} as cycle_time_hours,
+  c.lines_added, c.lines_removed, c.review_count, c.commit_count,
+  {RD('c.lines_removed/greatest(coalesce(nullif(c.lines_added,0),1),1)', 3)} as rework_ratio,
+  case when c.merged_at >= timestamp '2022-06-21 00:00:00' then 'After' else 'Before' end as period,
+  rd.department, u.user_id
+from c left join repo_department rd on rd.repo_name = c.repo_name
+left join (select github_username, user_id from users_master where github_username is not null and github_username <> '') u
+  on u.github_username = c.github_username"""))
+def q_ingest_pull_requests(spark, sf):
+    import datetime as dt
+    from ..sources.ingest import ingest_pull_requests
+    i = _I(spark, sf)
+    return ingest_pull_requests(_raw_prs(spark, sf), i.users(), i.c.repo_department(),
+                                as_of=dt.datetime.fromisoformat(INGEST_AS_OF))
+
+
+def _raw_ticket_pages(spark, sf):
+    from pyspark.sql import functions as F
+    t = _I(spark, sf).tickets()
+    fmt = "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'"
+    status = F.when(F.col("resolved_at").isNotNull(), F.lit("Done")).otherwise(F.lit("In Progress"))
+    issue = F.struct(F.col("jira_issue_id").alias("key"), F.struct(
+        F.date_format("created_at", fmt).alias("created"),
+        F.date_format("resolved_at", fmt).alias("resolutiondate"),
+        F.when(F.col("priority") != "Low", F.struct(F.col("priority").alias("name"))).alias("priority"),
+        F.lit(None).cast("struct<displayName:string>").alias("assignee"),
+        F.when(F.col("story_points") != 13, F.col("story_points").cast("double")).alias("story_points"),
+        F.struct(status.alias("name")).alias("status")).alias("fields"))
+    page = F.floor(F.regexp_extract("jira_issue_id", r"(\d+)$", 1).cast("bigint") / 100)
+    # one page = at most 100 consecutive keys: a bounded group
+    return (t.select(page.alias("page"), issue.alias("i")).groupBy("page")
+            .agg(F.count(F.lit(1)).alias("total"), F.collect_list("i").alias("issues"))
+            .select("total", (F.col("page") * 100).alias("startAt"), "issues"))
+
+
+@register("ingest_tickets", oracle(["tickets"], f"""
+select jira_issue_id, null::varchar as user_id, null::varchar as department, created_at, resolved_at,
+  case when resolved_at > created_at then {RD("date_diff('microsecond', created_at, resolved_at)/3600000000", 2)} else 0.0 end
+    as cycle_time_hours,
+  case when story_points = 13 then 1 else story_points end::integer as story_points,
+  case when priority = 'Low' then 'Medium' else priority end as priority, 'After' as period,
+  0.0::double as avg_ticket_resolution_hours, 1 as jira_tickets_closed
+from tickets where resolved_at is not null and resolved_at >= timestamp '{INGEST_AS_OF}' - interval 1200 days"""))
+def q_ingest_tickets(spark, sf):
+    import datetime as dt
+    from ..sources.ingest import ingest_tickets
+    return ingest_tickets(_raw_ticket_pages(spark, sf), as_of=dt.datetime.fromisoformat(INGEST_AS_OF), days=1200)
+
+
+@register("constraint_audit", oracle(["users_master", "logs_s", "tickets", "prs"], """
+, d1 as (select coalesce(sum(n), 0) as v from (select count(*) as n from users_master where user_id is not null group by user_id having count(*) > 1)),
+d2 as (select coalesce(sum(n), 0) as v from (select count(*) as n from users_master where github_username is not null group by github_username having count(*) > 1)),
+d3 as (select coalesce(sum(n), 0) as v from (select count(*) as n from logs_s where prompt_id is not null group by prompt_id having count(*) > 1)),
+d4 as (select coalesce(sum(n), 0) as v from (select count(*) as n from tickets where jira_issue_id is not null group by jira_issue_id having count(*) > 1)),
+d5 as (select coalesce(sum(n), 0) as v from (select count(*) as n from prs where pr_id is not null group by pr_id having count(*) > 1))
+select 'users_master' as table_name, 'pk_user_id' as rule, (select v from d1)::bigint as violations
+union all select 'users_master', 'not_null_user_id', count(*) filter (where user_id is null) from users_master
+union all select 'users_master', 'not_null_employee_name', count(*) filter (where employee_name is null) from users_master
+union all select 'users_master', 'not_null_department', count(*) filter (where department is null) from users_master
+union all select 'users_master', 'unique_github_username', (select v from d2)::bigint
+union all select 'ai_usage_logs', 'pk_prompt_id', (select v from d3)::bigint
+union all select 'ai_usage_logs', 'not_null_timestamp', count(*) filter (where timestamp is null) from logs_s
+union all select 'ai_usage_logs', 'fk_user_id', count(*) from logs_s l where l.user_id is not null
+   and not exists (select 1 from users_master u where u.user_id = l.user_id)
+union all select 'tickets', 'pk_jira_issue_id', (select v from d4)::bigint
+union all select 'tickets', 'check_period', count(*) filter (where period is null or period not in ('Before','After')) from tickets
+union all select 'tickets', 'fk_user_id', count(*) from tickets t where t.user_id is not null
+   and not exists (select 1 from users_master u where u.user_id = t.user_id)
+union all select 'pull_requests', 'pk_pr_id', (select v from d5)::bigint
+union all select 'pull_requests', 'check_period', count(*) filter (where period is null or period not in ('Before','After','Unknown')) from prs
+union all select 'pull_requests', 'fk_user_id', count(*) from prs p where p.user_id is not null
+   and not exists (select 1 from users_master u where u.user_id = p.user_id)"""))
+def q_constraint_audit(spark, sf):
+    from ..operators.quality import constraint_audit
+    i = _I(spark, sf)
+    return constraint_audit(i.users(), i.logs(), i.tickets(), i.pull_requests())
+
+
+@register("filter_departments", oracle(["tickets"], """
+select jira_issue_id, department from tickets where department in ('BUILDING', 'MACHINERY')"""))
+def q_filter_departments(spark, sf):
+    from ..operators.filters import filter_departments
+    return filter_departments(_I(spark, sf).tickets(), ["BUILDING", "MACHINERY"]).select("jira_issue_id", "department")
+
+
+@register("filter_period", oracle(["tickets"], "select jira_issue_id, period from tickets where period = 'After'"))
+def q_filter_period(spark, sf):
+    from ..operators.filters import filter_period
+    return filter_period(_I(spark, sf).tickets(), "After").select("jira_issue_id", "period")
+
+
+@register("filter_risk", oracle(["logs_s"], """
+select prompt_id, risk_score, risk_level from logs_s where risk_level in ('High', 'Critical')"""))
+def q_filter_risk(spark, sf):
+    from ..operators.filters import filter_risk
+    return filter_risk(_I(spark, sf).logs(), "high").select("prompt_id", "risk_score", "risk_level")
+
+
+@register("utc_normalise")
+def q_utc_normalise(spark, sf):
+    from ..functions.timecols import utc_normalise
+    return utc_normalise(_I(spark, sf).pull_requests().select("pr_id", "created_at", "merged_at"))
+
+
+@register("export_bundle")
+def q_export_bundle(spark, sf):
+    """S15 end to end: write the four datasets, report what landed per dataset."""
+    from functools import reduce
+    from pyspark.sql import DataFrame as _DF, functions as F
+    from ..operators.tickets import dept_performance
+    from ..sources.sinks import export_bundle
+    i = _I(spark, sf)
+    summary = _summary(spark, sf)
+    paths = export_bundle(_scratch(spark, "export"), _enriched(spark, sf), dept_performance(i.tickets()),
+                          summary, i.pull_requests())
+    frames = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("dataset"), "rows")
+              for k, p in paths.items()]
+    return reduce(_DF.unionByName, frames)
+
+
+@register("replace_repo")
+def q_replace_repo(spark, sf):
+    """Write all PRs laid out by repo, then replace one repository's
+    partition with its merged PRs only; the other partitions are unchanged."""
+    from pyspark.sql import functions as F
+    from ..sources.sinks import replace_repo
+    prs = _I(spark, sf).pull_requests().drop("user_id")
+    path = _scratch(spark, "prs")
+    replace_repo(spark, prs, path)
+    first = prs.agg(F.min("repo_name")).first()[0]
+    replace_repo(spark, prs.where(F.col("pr_state") == "merged"), path, first)
+    return spark.read.parquet(path).groupBy("repo_name").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("read_cache")
+def q_read_cache(spark, sf):
+    """An unwritten cache reads as an empty, typed frame; a written one reads back."""
+    from ..operators.roi import analytics_cache
+    from ..sources.sinks import write_table
+    from ..sources.tables import read_cache
+    path = _scratch(spark, "cache")
+    assert read_cache(spark, path).count() == 0
+    write_table(analytics_cache(_summary(spark, sf), _enriched(spark, sf)), path)
+    return read_cache(spark, path)

@@ -20,15 +20,33 @@ def _pattern(name: str, unicode: bool) -> str:
     return ("(?U)" + pat) if unicode else pat
 
 
+# Exact necessary conditions for a detector to match: a cheap substring test
+# skips the regex on texts that cannot match (no '@' -> no e-mail, ...).
+_GUARDS: dict[str, tuple[str, ...]] = {
+    "email": ("@",),
+    "api_key": ("sk-", "pk-", "ghp-", "xox"),
+    "url_with_cred": ("://",),
+}
+
+
 def pii_hits(text, unicode: bool = False) -> dict[str, Column]:
-    """G1: one boolean per detector (presence, i.e. regex *find*).
+    """G1: one boolean per detector (presence, i.e. regex *find*; NULL -> false).
 
     ``unicode=True`` makes ``\\d``/``\\b``/``\\s`` Unicode-aware like Python's
     ``re``; the default keeps ASCII classes (same answers as RE2 engines).
     """
     t = _c(text)
-    return {name: F.coalesce(t.rlike(_pattern(name, unicode)), F.lit(False))
-            for name, _ in P.PII_PATTERNS}
+    out = {}
+    for name, _ in P.PII_PATTERNS:
+        hit = t.rlike(_pattern(name, unicode))
+        guard = _GUARDS.get(name)
+        if guard:
+            g = F.lit(False)
+            for needle in guard:
+                g = g | t.contains(needle)
+            hit = F.when(g, hit).otherwise(F.lit(False))
+        out[name] = F.coalesce(hit, F.lit(False))
+    return out
 
 
 def keyword_hits(text, lowered: Column | None = None) -> dict[str, Column]:
@@ -60,24 +78,14 @@ def risk_flag(score) -> Column:
     return (_c(score) >= P.RISK_FLAG_THRESHOLD).cast("int")
 
 
-def risk_columns(text, unicode: bool = False, entity_score: Column | None = None,
-                 entity_labels: Column | None = None) -> dict[str, Column]:
-    """G4 + G5: composite score, level, flag and type labels for one text column.
-
-    score = sum of detector weights + min(20 x keywords, 40) (+ entity weights
-    from the optional hook), rounded to 1 dp and capped at 100. A NULL or empty
-    text scores 0 / Low / 0 with no labels.
-    """
-    t = _c(text)
-    regex = pii_hits(t, unicode)
-    kws = keyword_hits(t)
+def _score_and_types(regex: dict[str, Column], kws: dict[str, Column], empty: Column,
+                     entity_score: Column | None, entity_labels: Column | None) -> dict[str, Column]:
     n_kw = keyword_count(kws)
     score = sum((F.when(hit, F.lit(P.PII_WEIGHTS[name])).otherwise(F.lit(0))
                  for name, hit in regex.items()), F.lit(0))
     score = score + F.least(n_kw * P.KEYWORD_WEIGHT, F.lit(P.KEYWORD_CAP))
     if entity_score is not None:
         score = score + entity_score
-    empty = t.isNull() | (t == "")
     final = F.when(empty, F.lit(0.0)).otherwise(
         F.least(round_dec(score.cast("double"), 1), F.lit(100.0)))
     labels = [F.when(hit, F.lit("REGEX:" + name.upper())) for name, hit in regex.items()]
@@ -90,19 +98,57 @@ def risk_columns(text, unicode: bool = False, entity_score: Column | None = None
     return {"risk_score": final, "pii_types": types}
 
 
+def risk_columns(text, unicode: bool = False, entity_score: Column | None = None,
+                 entity_labels: Column | None = None) -> dict[str, Column]:
+    """G4 + G5 as single expressions (composite score, type labels).
+
+    score = sum of detector weights + min(20 x keywords, 40) (+ entity weights
+    from the optional hook), rounded to 1 dp and capped at 100. A NULL or empty
+    text scores 0 with no labels. Prefer ``with_risk`` on DataFrames: it
+    evaluates every detector once per row.
+    """
+    t = _c(text)
+    return _score_and_types(pii_hits(t, unicode), keyword_hits(t), t.isNull() | (t == ""),
+                            entity_score, entity_labels)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over all cores when the input has fewer partitions
+    than the cluster has task slots (a few large files feeding a CPU-bound
+    scan). With enough input splits -- the normal case at scale -- this is a
+    no-op and adds no shuffle. Planning only; no job runs."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(slots) if n < slots else df
+
+
 def with_risk(df: DataFrame, text_col: str = "prompt_text", unicode: bool = False,
               types: bool = True, entity_score: Column | None = None,
               entity_labels: Column | None = None) -> DataFrame:
-    """Add risk_score (+ pii_types), then level and flag from the score column.
+    """Add risk_score (+ pii_types), risk_level and risk_flag.
 
-    Two projections so the detectors are evaluated once per row; the optimizer
-    keeps the score as one expression because it is not cheap to duplicate.
+    Three projections: detector hits become boolean columns first (each regex
+    and substring test runs once per row, the text is lower-cased once), then
+    score and labels are built from those columns, then level and flag from
+    the score. The optimizer does not merge the steps back because the hit
+    columns are referenced more than once and are not cheap.
     """
-    cols = risk_columns(F.col(text_col), unicode, entity_score, entity_labels)
+    t = F.col(text_col)
+    low = df.select("*", F.lower(t).alias("_low"))
+    rx = pii_hits(t, unicode)
+    kw = keyword_hits(None, F.col("_low"))
+    rx_names = {n: f"_rx_{i}" for i, n in enumerate(rx)}
+    kw_names = {k: f"_kw_{i}" for i, k in enumerate(kw)}
+    hits = low.select("*", *[rx[n].alias(c) for n, c in rx_names.items()],
+                      *[kw[k].alias(c) for k, c in kw_names.items()],
+                      (t.isNull() | (t == "")).alias("_empty"))
+    cols = _score_and_types({n: F.col(c) for n, c in rx_names.items()},
+                            {k: F.col(c) for k, c in kw_names.items()}, F.col("_empty"),
+                            entity_score, entity_labels)
     sel = [cols["risk_score"].alias("risk_score")]
     if types:
         sel.append(cols["pii_types"].alias("pii_types"))
-    out = df.select("*", *sel)
+    out = hits.select(*df.columns, *sel)
     return out.withColumns({"risk_level": risk_level("risk_score"),
                             "risk_flag": risk_flag("risk_score")})
 

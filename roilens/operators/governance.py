@@ -51,22 +51,40 @@ def prompt_risk(df: DataFrame, text_col: str = "prompt_text", unicode: bool = Fa
 
 
 def _score_then_level(df: DataFrame, text_col: str, keep: list[str], unicode: bool) -> DataFrame:
-    cols = risk_columns(F.col(text_col), unicode)
-    scored = df.select(*keep, cols["risk_score"].alias("risk_score"), cols["pii_types"].alias("pii_types"))
-    return scored.select(*keep, "risk_score", risk_level("risk_score").alias("risk_level"),
-                         risk_flag("risk_score").alias("risk_flag"), "pii_types")
+    from ..functions.risk import with_risk
+
+    out = with_risk(df.select(*keep, text_col), text_col, unicode)
+    return out.select(*keep, "risk_score", "risk_level", "risk_flag", "pii_types")
+
+
+def with_risk_deduped(df: DataFrame, text_col: str = "prompt_text", types: bool = True,
+                      unicode: bool = False) -> DataFrame:
+    """``with_risk`` that scores each distinct text once.
+
+    Texts are keyed by SHA-256 (a 32-byte key stands in for the text in the
+    join); the aggregation that finds distinct texts drops copies map-side and
+    its shuffle spreads the CPU-bound scan over all shuffle partitions even
+    when the input arrives in a few large files. A text shared by a third of
+    the rows is one key: one scoring, and AQE splits the skewed join side.
+    """
+    from ..functions.risk import with_risk
+
+    keyed = df.withColumn("_k", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    distinct = keyed.groupBy("_k").agg(F.first(text_col, ignorenulls=True).alias("_t"))
+    scored = with_risk(distinct, "_t", unicode, types=types).drop("_t")
+    return keyed.join(scored, "_k", "left").drop("_k")
 
 
 def scan_logs(logs: DataFrame, id_col: str = "prompt_id", text_col: str = "prompt_text",
               dedupe: bool = False, unicode: bool = False) -> DataFrame:
     """One result row per input row: id, risk_score, risk_level, risk_flag, pii_types."""
-    if not dedupe:
-        return _score_then_level(logs.select(id_col, text_col), text_col, [id_col], unicode)
-    keyed = logs.select(id_col, text_col,
-                        F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_k"))
-    distinct = keyed.groupBy("_k").agg(F.first(text_col, ignorenulls=True).alias("_t"))
-    scored = _score_then_level(distinct, "_t", ["_k"], unicode)
-    return keyed.select(id_col, "_k").join(scored, "_k", "inner").drop("_k")
+    base = logs.select(id_col, text_col)
+    if dedupe:
+        out = with_risk_deduped(base, text_col, True, unicode)
+    else:
+        from ..functions.risk import spread, with_risk
+        out = with_risk(spread(base), text_col, unicode)
+    return out.select(id_col, "risk_score", "risk_level", "risk_flag", "pii_types")
 
 
 def apply_risk_update(logs: DataFrame, updates: DataFrame, key: str = "prompt_id") -> DataFrame:

@@ -19,10 +19,13 @@ from ..functions.numeric import clip0, exact_mean, exact_sum, round_dec, safe_di
 from ..functions.pulls import period_backfill, pr_cycle_hours, rework_ratio
 from ..functions.timecols import month_key
 
-MERGED = F.col("pr_state") == "merged"
 PERIODS = ("Before", "After")
 
 
+def _merged():
+    return F.col("pr_state") == "merged"
+
+
 def _pct(x, q: float, exact: bool = True):
     return F.percentile(x, q) if exact else F.percentile_approx(x, q, 10000)
 
@@ -65,7 +68,7 @@ def enrich_pull_requests(prs: DataFrame, repo_department: DataFrame,
 
 def pr_efficiency(prs: DataFrame) -> DataFrame:
     """A5 / Q3: merged PRs by department x period (NULL department kept)."""
-    return (prs.where(MERGED & F.col("period").isin(*PERIODS))
+    return (prs.where(_merged() & F.col("period").isin(*PERIODS))
             .groupBy("department", "period")
             .agg(F.count("pr_id").alias("pr_count"),
                  round_dec(exact_mean("cycle_time_hours", 2), 2).alias("avg_cycle_hrs"),
@@ -85,7 +88,7 @@ def pr_delta_sql(prs: DataFrame) -> DataFrame:
     """
     b, a = F.col("period") == "Before", F.col("period") == "After"
     cyc, rw = F.col("cycle_time_hours"), F.col("rework_ratio")
-    g = (prs.where(MERGED & F.col("period").isin(*PERIODS) & F.col("department").isNotNull())
+    g = (prs.where(_merged() & F.col("period").isin(*PERIODS) & F.col("department").isNotNull())
          .groupBy("department")
          .agg(exact_mean(F.when(b, cyc), 2).alias("b_cycle"),
               exact_mean(F.when(b, rw), 3).alias("b_rework"),
@@ -154,7 +157,7 @@ def pr_delta(summary: DataFrame) -> DataFrame:
 def repo_stats(prs: DataFrame) -> DataFrame:
     """Merged PRs per repository x period (all dimensions grouped)."""
     c = F.col("cycle_time_hours")
-    return (prs.where(MERGED)
+    return (prs.where(_merged())
             .groupBy("repo_full_name", "repo_name", "department", "period")
             .agg(F.count("pr_id").alias("pr_count"),
                  round_dec(exact_mean(c, 2), 2).alias("avg_cycle_hrs"),
@@ -195,7 +198,7 @@ def top_contributors_sql(prs: DataFrame, n: int = 20) -> DataFrame:
     ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject: each partition
     keeps its local top n, so only n x partitions rows reach the final merge.
     """
-    return (prs.where(MERGED & (F.col("period") == "After"))
+    return (prs.where(_merged() & (F.col("period") == "After"))
             .groupBy("github_username")
             .agg(F.min("department").alias("department"),
                  F.count("pr_id").alias("prs_merged"),
@@ -209,7 +212,7 @@ def top_contributors_sql(prs: DataFrame, n: int = 20) -> DataFrame:
 
 def top_contributors(prs_enriched: DataFrame, n: int = 15) -> DataFrame:
     """Top-n (author, department) by merged PRs, 2 dp (tie-break: keys)."""
-    return (prs_enriched.where(MERGED & F.col("github_username").isNotNull() & F.col("department").isNotNull())
+    return (prs_enriched.where(_merged() & F.col("github_username").isNotNull() & F.col("department").isNotNull())
             .groupBy("github_username", "department")
             .agg(F.count("pr_id").alias("total_prs"),
                  round_dec(exact_mean("cycle_time_hours", 2), 2).alias("avg_cycle"),
@@ -242,7 +245,7 @@ def pr_kpis(prs_enriched: DataFrame) -> DataFrame:
     """Merged PRs, cycle and rework improvement %, contributors, repositories (one row)."""
     b, a = F.col("period") == "Before", F.col("period") == "After"
     g = prs_enriched.agg(
-        F.count_if(MERGED).alias("prs_merged"),
+        F.count_if(_merged()).alias("prs_merged"),
         exact_mean(F.when(b, F.col("cycle_time_hours")), 2).alias("_bc"),
         exact_mean(F.when(a, F.col("cycle_time_hours")), 2).alias("_ac"),
         exact_mean(F.when(b, F.col("rework_ratio")), 3).alias("_br"),

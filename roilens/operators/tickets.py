@@ -16,9 +16,17 @@ from .. import params as P
 from ..functions.numeric import clip0, exact_mean, exact_sum, round_dec, safe_div
 from ..functions.pulls import ticket_cycle_backfill
 
-B = F.col("period") == "Before"
-A = F.col("period") == "After"
-CYC = F.col("cycle_time_hours")
+
+def _b():
+    return F.col("period") == "Before"
+
+
+def _a():
+    return F.col("period") == "After"
+
+
+def _cyc():
+    return F.col("cycle_time_hours")
 
 
 def _pct(x, q, exact=True):
@@ -38,14 +46,14 @@ def dept_performance(tickets: DataFrame, exact: bool = True) -> DataFrame:
     clipped at 0 but stay NULL when a side is missing; pct is 0 then.
     """
     def side(cond, name):
-        x = F.when(cond, CYC)
+        x = F.when(cond, _cyc())
         n = F.count(x)
         return [exact_mean(x, 2).alias(f"{name}_mean"),
                 (F.median(x) if exact else _pct(x, 0.5, False)).alias(f"{name}_median"),
                 F.when(n > 0, n).alias(f"{name}_count")]
 
     g = (tickets.where(F.col("department").isNotNull() & F.col("period").isin("Before", "After"))
-         .groupBy("department").agg(*side(B, "before"), *side(A, "after")))
+         .groupBy("department").agg(*side(_b(), "before"), *side(_a(), "after")))
     hs = clip0(F.col("before_mean") - F.col("after_mean"))
     return (g.withColumn("hours_saved_mean", hs)
             .withColumn("hours_saved_median", clip0(F.col("before_median") - F.col("after_median")))
@@ -60,9 +68,9 @@ def velocity(tickets: DataFrame, exact: bool = True) -> DataFrame:
             .groupBy("department", "period")
             .agg(F.count("jira_issue_id").alias("total_tickets"),
                  F.sum("story_points").cast("bigint").alias("total_story_points"),
-                 round_dec(exact_mean(CYC, 2), 2).alias("avg_cycle_hours"),
-                 round_dec(F.median(CYC) if exact else _pct(CYC, 0.5, False), 2).alias("median_cycle_hours"),
-                 round_dec(_pct(CYC, 0.9, exact), 2).alias("p90_cycle_hours")))
+                 round_dec(exact_mean(_cyc(), 2), 2).alias("avg_cycle_hours"),
+                 round_dec(F.median(_cyc()) if exact else _pct(_cyc(), 0.5, False), 2).alias("median_cycle_hours"),
+                 round_dec(_pct(_cyc(), 0.9, exact), 2).alias("p90_cycle_hours")))
 
 
 def throughput_delta(vel: DataFrame) -> DataFrame:
@@ -71,10 +79,10 @@ def throughput_delta(vel: DataFrame) -> DataFrame:
         return F.coalesce(F.max(F.when(cond, F.col(col))), F.lit(0))
 
     g = vel.groupBy("department").agg(
-        pick(B, "avg_cycle_hours").cast("double").alias("before_cycle"),
-        pick(A, "avg_cycle_hours").cast("double").alias("after_cycle"),
-        pick(B, "total_story_points").cast("bigint").alias("before_points"),
-        pick(A, "total_story_points").cast("bigint").alias("after_points"))
+        pick(_b(), "avg_cycle_hours").cast("double").alias("before_cycle"),
+        pick(_a(), "avg_cycle_hours").cast("double").alias("after_cycle"),
+        pick(_b(), "total_story_points").cast("bigint").alias("before_points"),
+        pick(_a(), "total_story_points").cast("bigint").alias("after_points"))
     bc, ac = F.col("before_cycle"), F.col("after_cycle")
     bp, ap = F.col("before_points"), F.col("after_points")
     return (g.withColumn("cycle_improvement_pct",
@@ -100,7 +108,7 @@ def resolution_heatmap(tickets: DataFrame, priorities=P.PRIORITY_ORDER) -> DataF
     """
     return (tickets.where(F.col("department").isNotNull())
             .groupBy("department").pivot("priority", list(priorities))
-            .agg(exact_mean(CYC, 2))
+            .agg(exact_mean(_cyc(), 2))
             .select("department", *[round_dec(F.coalesce(F.col(p), F.lit(0.0)), 2).alias(p)
                                     for p in priorities]))
 
@@ -109,13 +117,13 @@ def cycle_by_period(tickets: DataFrame) -> DataFrame:
     """Mean cycle per department x period, 1 dp."""
     return (tickets.where(F.col("department").isNotNull() & F.col("period").isNotNull())
             .groupBy("department", "period")
-            .agg(round_dec(exact_mean(CYC, 2), 1).alias("mean_hours")))
+            .agg(round_dec(exact_mean(_cyc(), 2), 1).alias("mean_hours")))
 
 
 def points_vs_cycle(tickets: DataFrame) -> DataFrame:
     """OLS of cycle time on story points per period (rows with both > 0)."""
-    x, y = F.col("story_points").cast("double"), CYC
-    return (tickets.where((F.col("story_points") > 0) & (CYC > 0) & F.col("period").isNotNull())
+    x, y = F.col("story_points").cast("double"), _cyc()
+    return (tickets.where((F.col("story_points") > 0) & (_cyc() > 0) & F.col("period").isNotNull())
             .groupBy("period")
             .agg(F.regr_count(y, x).alias("n"),
                  round_dec(F.regr_slope(y, x), 4).alias("slope"),

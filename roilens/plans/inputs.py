@@ -29,9 +29,19 @@ class Inputs:
         """Usage logs with ``cost_usd`` (P10)."""
         return with_prompt_cost(self.c.logs(), self.c.model_rate())
 
-    def logs(self) -> DataFrame:
-        """Usage logs with cost and the stored risk columns (P10 + G6)."""
-        return with_risk(self.logs_cost(), types=False)
+    def logs(self, dedupe: bool = True) -> DataFrame:
+        """Usage logs with cost and the stored risk columns (P10 + G6).
+
+        ``dedupe`` scores each distinct prompt text once (prompts repeat) and
+        joins the scores back on a SHA-256 key; the shuffle that finds the
+        distinct texts also spreads the CPU-bound scan over all tasks.
+        """
+        lc = self.logs_cost()
+        if not dedupe:
+            return with_risk(lc, types=False)
+        from ..operators.governance import with_risk_deduped
+
+        return with_risk_deduped(lc, types=False)
 
     def tickets(self) -> DataFrame:
         return self.c.tickets()

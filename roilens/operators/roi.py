@@ -165,7 +165,9 @@ def dept_risk(logs: DataFrame) -> DataFrame:
     return (logs.where(F.col("department").isNotNull()).groupBy("department")
             .agg(F.percentile(F.when(s > 0, s), 0.8).alias("_p80"))
             .select("department",
-                    F.coalesce(round_dec(F.least(F.col("_p80"), F.lit(100.0)), 1), F.lit(0.0))
+                    # least() skips NULLs, so "no positive score" is handled first
+                    F.when(F.col("_p80").isNull(), F.lit(0.0))
+                    .otherwise(round_dec(F.least(F.col("_p80"), F.lit(100.0)), 1))
                     .alias("dept_risk_score")))
 
 

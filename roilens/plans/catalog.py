@@ -734,7 +734,7 @@ def q_dept_benchmark(spark, sf):
 
 
 @register("dept_risk", oracle(["logs_e"], f"""
-select department, coalesce({RD('least(quantile_cont(risk_score, 0.8) filter (where risk_score > 0), 100.0)', 1)}, 0.0)
+select department, case when quantile_cont(risk_score, 0.8) filter (where risk_score > 0) is null then 0.0 else {RD('least(quantile_cont(risk_score, 0.8) filter (where risk_score > 0), 100.0)', 1)} end
   as dept_risk_score from logs_e where department is not null group by department"""))
 def q_dept_risk(spark, sf):
     from ..operators.roi import dept_risk
@@ -745,7 +745,7 @@ def q_dept_risk(spark, sf):
 , m as (select user_id, strftime(timestamp, '%Y-%m') as month_year, {ES('cost_usd', 6)} as m_cost,
            sum(token_count) as m_tokens, sum(risk_flag) as m_flags
         from logs_e where timestamp is not null and user_id is not null group by 1, 2),
-dr as (select department, coalesce({RD('least(quantile_cont(risk_score, 0.8) filter (where risk_score > 0), 100.0)', 1)}, 0.0)
+dr as (select department, case when quantile_cont(risk_score, 0.8) filter (where risk_score > 0) is null then 0.0 else {RD('least(quantile_cont(risk_score, 0.8) filter (where risk_score > 0), 100.0)', 1)} end
   as dept_risk_score from logs_e where department is not null group by department)
 select sha256(us.user_id || '|' || m.month_year) as cache_id, us.user_id, us.department, m.month_year,
   m.m_cost as total_ai_cost, cast(coalesce(m.m_tokens, 0) as bigint) as total_tokens,

@@ -724,8 +724,8 @@ select *, {RD('coalesce(total_net_roi / nullif(total_spend, 0), 0.0)', 3)} as ro
   {RD('zombie_count / headcount * 100', 1)} as zombie_pct from (
 select department, count(user_id) as headcount, {ES('total_cost', 6)} as total_spend,
   {EM('pct_improvement', 1)} as avg_pct_improvement,
-  cast(sum(cast(net_roi as decimal(30,12))) as double) as total_net_roi,
-  {M12('hours_saved_per_ticket')} as avg_hours_saved,
+  {RD('cast(sum(cast(net_roi as decimal(30,12))) as double)', 6)} as total_net_roi,
+  {RD(M12('hours_saved_per_ticket'), 6)} as avg_hours_saved,
   cast(sum(tickets_closed) as bigint) as total_tickets, cast(sum(is_zombie) as bigint) as zombie_count
 from classified where department is not null group by department)"""))
 def q_dept_benchmark(spark, sf):

@@ -11,7 +11,9 @@ of that join; AQE's skew-join handling splits the big side.
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Iterator
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,8 +136,6 @@ class EntityHook:
         self.factory = factory
 
     def _udf(self, with_spans: bool):
-        import pandas as pd
-
         factory = self.factory
         labels = self.LABELS
         rtype = (T.ArrayType(T.StructType([T.StructField("label", T.StringType()),
@@ -144,7 +144,7 @@ class EntityHook:
                  if with_spans else T.ArrayType(T.StringType()))
 
         @F.pandas_udf(rtype)
-        def run(batches):
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             detect = factory()
             for s in batches:
                 out = []

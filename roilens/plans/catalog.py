@@ -1222,3 +1222,24 @@ def q_read_cache(spark, sf):
     assert read_cache(spark, path).count() == 0
     write_table(analytics_cache(_summary(spark, sf), _enriched(spark, sf)), path)
     return read_cache(spark, path)
+
+
+# ---------------------------------------------------------------- S17 parameterised SQL
+
+@register("sql_pr_efficiency", oracle(["prs"], f"""
+select department, period, count(pr_id) as pr_count, {RD(EM('cycle_time_hours', 2), 2)} as avg_cycle_hrs,
+  count(distinct github_username) as unique_contributors
+from prs where pr_state = 'merged' and period in ('Before','After') and department = 'BUILDING'
+group by department, period"""))
+def q_sql_pr_efficiency(spark, sf):
+    from .sql import PR_EFFICIENCY_SQL, run_sql
+    return run_sql(spark, PR_EFFICIENCY_SQL, {"department": "BUILDING"}, prs=_I(spark, sf).pull_requests())
+
+
+@register("sql_monthly_usage", oracle(["ai_usage_logs"], """
+select strftime(timestamp, '%Y-%m') as month_year, department, count(prompt_id) as prompt_count,
+  cast(sum(token_count) as bigint) as total_tokens, count(distinct user_id) as active_users
+from ai_usage_logs where strftime(timestamp, '%Y-%m') >= '2024-06' group by 1, 2"""))
+def q_sql_monthly_usage(spark, sf):
+    from .sql import MONTHLY_USAGE_SQL, run_sql
+    return run_sql(spark, MONTHLY_USAGE_SQL, {"since": "2024-06-01 00:00:00"}, logs=_I(spark, sf).logs_raw())

@@ -277,7 +277,7 @@ def q_cycle_by_period(spark, sf):
 
 
 @register("points_vs_cycle", oracle(["tickets"], f"""
-select period, regr_count(cycle_time_hours, story_points::double) as n,
+select period, cast(regr_count(cycle_time_hours, story_points::double) as bigint) as n,
   {RD('regr_slope(cycle_time_hours, story_points::double)', 4)} as slope,
   {RD('regr_intercept(cycle_time_hours, story_points::double)', 4)} as intercept,
   {RD('regr_r2(cycle_time_hours, story_points::double)', 4)} as r_squared
@@ -304,8 +304,8 @@ def q_prompt_cost(spark, sf):
 
 @register("enrich_usage", oracle(["logs_e"], """
 select prompt_id, user_id, department, employee_name, role, license_type, hourly_rate, github_username,
-  cast(timestamp as date) as date, hour(timestamp) as hour, dayname(timestamp) as day_name,
-  weekofyear(timestamp) as week, strftime(timestamp, '%Y-%m') as month_year from logs_e"""))
+  cast(timestamp as date) as date, cast(hour(timestamp) as integer) as hour, dayname(timestamp) as day_name,
+  cast(weekofyear(timestamp) as integer) as week, strftime(timestamp, '%Y-%m') as month_year from logs_e"""))
 def q_enrich_usage(spark, sf):
     from ..operators.usage import enrich_usage
     i = _I(spark, sf)
@@ -899,7 +899,7 @@ def q_pr_monthly_total(spark, sf):
 
 
 @register("review_depth_ols", oracle(["prs_e"], f"""
-select department, regr_count(cycle_time_hours, review_count::double) as n,
+select department, cast(regr_count(cycle_time_hours, review_count::double) as bigint) as n,
   {RD('regr_slope(cycle_time_hours, review_count::double)', 4)} as slope,
   {RD('regr_intercept(cycle_time_hours, review_count::double)', 4)} as intercept,
   {RD('regr_r2(cycle_time_hours, review_count::double)', 4)} as r_squared
@@ -992,8 +992,8 @@ def q_map_contributors(spark, sf):
 
 
 @register("usage_time_features", oracle(["ai_usage_logs"], """
-select prompt_id, cast(timestamp as date) as date, hour(timestamp) as hour, dayname(timestamp) as day_name,
-  weekofyear(timestamp) as week, strftime(timestamp, '%Y-%m') as month_year from ai_usage_logs"""))
+select prompt_id, cast(timestamp as date) as date, cast(hour(timestamp) as integer) as hour, dayname(timestamp) as day_name,
+  cast(weekofyear(timestamp) as integer) as week, strftime(timestamp, '%Y-%m') as month_year from ai_usage_logs"""))
 def q_usage_time_features(spark, sf):
     from ..functions.timecols import time_features
     return time_features(_I(spark, sf).logs_raw().select("prompt_id", "timestamp"), "timestamp").drop("timestamp")

@@ -156,23 +156,32 @@ def ols_predictions(df: DataFrame, x: str, y: str) -> DataFrame:
 
 # ---------------------------------------------------------------- ST2
 
-def average_ranks(df: DataFrame, col: str, out: str, buckets: int = 64) -> DataFrame:
-    """Average (tie-averaged, 1-based) rank of ``col`` over the whole frame.
+def cut_points(df: DataFrame, cols: list[str], buckets: int = 64) -> dict[str, list[float]]:
+    """Approximate quantile cut points of several columns in ONE job.
+
+    Only ``buckets - 1`` numbers per column reach the driver (a bounded, tiny
+    result, like Spark's own range-partition sampling); used as literals they
+    give every later use identical boundaries, even when a stage is
+    recomputed after an executor loss.
+    """
+    probs = [i / buckets for i in range(1, buckets)]
+    row = df.agg(*[F.percentile_approx(c, probs, 10000).alias(c) for c in cols]).first()
+    return {c: sorted(set((row[c] if row is not None else None) or [])) for c in cols}
+
 
-    Distinct values with their multiplicity are range-bucketed at approximate
-    quantile cut points; per-bucket totals give each bucket's offset; a window
-    partitioned by bucket gives the running count inside a bucket. No step
-    sorts the whole column in one task.
+def average_ranks(df: DataFrame, col: str, out: str, buckets: int = 64,
+                  cuts: list[float] | None = None) -> DataFrame:
+    """Average (tie-averaged, 1-based) rank of ``col`` over the whole frame.
 
-    The ``buckets - 1`` cut points are fetched to the driver (a bounded,
-    tiny result, like Spark's own range-partition sampling) so that both uses
-    of the bucket expression see identical, literal boundaries even if a
-    stage is recomputed after an executor loss.
+    Distinct values with their multiplicity are range-bucketed at the cut
+    points; per-bucket totals (at most ``buckets`` rows) give each bucket's
+    offset; a window partitioned by bucket gives the running count inside a
+    bucket. No step sorts the whole column in one task, and a value repeated
+    by a third of the rows is a single distinct row.
     """
+    if cuts is None:
+        cuts = cut_points(df, [col], buckets)[col]
     v = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    probs = [i / buckets for i in range(1, buckets)]
-    row = v.agg(F.percentile_approx(col, probs, 10000).alias("cuts")).first()
-    cuts = sorted(set(row["cuts"] or [])) if row is not None else []
     bucket = F.lit(0)
     for c in cuts:
         bucket = bucket + F.when(F.col(col) > F.lit(c), 1).otherwise(0)
@@ -189,10 +198,14 @@ def average_ranks(df: DataFrame, col: str, out: str, buckets: int = 64) -> DataF
     return df.join(ranked, col, "left")
 
 
+def _ranked_pairs(pairs: DataFrame, buckets: int = 64) -> DataFrame:
+    cuts = cut_points(pairs, ["x", "y"], buckets)
+    return average_ranks(average_ranks(pairs, "x", "rx", buckets, cuts["x"]), "y", "ry", buckets, cuts["y"])
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """ST2: rho (4 dp), p (4 dp), n; n < 3 -> rho 0, p 1."""
-    pairs = _complete(df, x, y)
-    r = average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry")
+    r = _ranked_pairs(_complete(df, x, y))
     m = r.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
     rho = F.when(F.col("n") >= 3, F.col("rho")).otherwise(F.lit(0.0))
     p = r_pvalue(rho, F.col("n"))
@@ -227,7 +240,7 @@ def spend_vs_productivity(summary: DataFrame, with_p: bool = False) -> DataFrame
     long = _long_pairs(summary)
     m = _finish(_moments(long, ["label"]), ["label"])
     first = RELATIONSHIPS[0][0]
-    ranked = average_ranks(average_ranks(long.where(F.col("label") == first), "x", "rx"), "y", "ry")
+    ranked = _ranked_pairs(long.where(F.col("label") == first).select("label", "x", "y"))
     sp = ranked.groupBy("label").agg(F.corr("rx", "ry").alias("_rho"), F.count(F.lit(1)).alias("_sn"))
     j = m.join(sp, "label", "left")
     rho = F.when(F.col("_sn") >= 3, F.col("_rho")).when(F.col("_sn").isNotNull(), F.lit(0.0))

@@ -36,8 +36,11 @@ def short_repo_name(full_name) -> Column:
 
 
 def hours_between(start, end) -> Column:
-    """Exact elapsed hours between two timestamps (microsecond precision)."""
-    return F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / 3_600_000_000
+    """Exact elapsed hours between two timestamps (microsecond precision,
+    independent of the session time zone)."""
+    from .timecols import elapsed_micros
+
+    return elapsed_micros(start, end) / 3_600_000_000
 
 
 def pr_cycle_hours(created, merged) -> Column:

@@ -45,9 +45,43 @@ def utc_normalise(df: DataFrame, candidates=("timestamp", "created_at", "merged_
     if isinstance(dt, T.TimestampNTZType):
         e = c
     elif isinstance(dt, T.TimestampType):
-        e = F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz")
+        e = instant_to_utc_ntz(c)
     elif isinstance(dt, T.DateType):
         e = c.cast("timestamp_ntz")
     else:
-        e = F.try_to_timestamp(c.cast("string")).cast("timestamp_ntz")
+        e = parse_utc_ntz(c)
     return df.withColumn("ts_utc", e)
+
+
+_EPOCH = "1970-01-01 00:00:00"
+_ZONED = r"(Z|[+-]\d{2}:?\d{2})$"
+
+
+def instant_to_utc_ntz(ts) -> Column:
+    """A zoned TIMESTAMP (an instant) -> its UTC wall time as TIMESTAMP_NTZ.
+
+    Built from epoch microseconds, so no session time zone is involved (a
+    cast from TIMESTAMP to TIMESTAMP_NTZ would apply the session zone).
+    """
+    micros = F.unix_micros(_c(ts))
+    day = 86_400_000_000
+    days = F.floor(micros / day).cast("int")
+    rem = micros - days.cast("bigint") * day  # < one day: exact in a double
+    return F.lit(_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(
+        days, F.lit(0), F.lit(0), (rem / 1_000_000).cast("decimal(18,6)"))
+
+
+def parse_utc_ntz(text, fmt: str | None = None) -> Column:
+    """ISO-8601 text -> zone-free UTC timestamp. Text with an offset (``Z``,
+    ``+00:00``, ``+0000``) is converted to UTC; text without one is taken as
+    UTC wall time. Unparseable text -> NULL (ANSI-safe)."""
+    t = _c(text).cast("string")
+    zoned = F.try_to_timestamp(t, F.lit(fmt)) if fmt else F.try_to_timestamp(t)
+    return F.when(t.rlike(_ZONED), instant_to_utc_ntz(zoned)).otherwise(t.try_cast("timestamp_ntz"))
+
+
+def elapsed_micros(start, end) -> Column:
+    """Exact elapsed microseconds between two timestamps, computed on the
+    interval ``end - start`` (TIMESTAMP_NTZ arithmetic has no time zone)."""
+    secs = (_c(end) - _c(start)).cast("interval second").cast("decimal(18,6)")
+    return (secs * 1_000_000).cast("bigint")

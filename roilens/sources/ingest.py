@@ -16,14 +16,13 @@ from .. import params as P
 from .. import schemas
 from ..functions.numeric import round_dec
 from ..functions.pulls import hours_between, ntz_literal, period_label, rework_ratio
+from ..functions.timecols import parse_utc_ntz
 
 
 def utc_ntz(text_col) -> "F.Column":
     """ISO-8601 text with a zone (``Z``, ``+00:00``) -> zone-free UTC timestamp;
     text without a zone is taken as UTC wall time."""
-    c = F.col(text_col) if isinstance(text_col, str) else text_col
-    ts = F.try_to_timestamp(c)
-    return F.to_utc_timestamp(ts, F.current_timezone()).cast("timestamp_ntz")
+    return parse_utc_ntz(text_col)
 
 
 def read_raw_pull_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -99,8 +98,7 @@ def ingest_tickets(pages: DataFrame, as_of: _dt.datetime, days: int = 180) -> Da
     iss = pages.select(F.explode("issues").alias("i")).select("i.*")
 
     def parse(c):
-        ts = F.coalesce(F.try_to_timestamp(c, F.lit(TICKET_TS)), F.try_to_timestamp(c))
-        return F.to_utc_timestamp(ts, F.current_timezone()).cast("timestamp_ntz")
+        return F.coalesce(parse_utc_ntz(c, TICKET_TS), parse_utc_ntz(c))
 
     t = iss.select(F.col("key").alias("jira_issue_id"),
                    parse(F.col("fields.created")).alias("created_at"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions.timecols import parse_utc_ntz
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -62,11 +63,11 @@ def _lenient(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, (T.IntegerType, T.LongType, T.DoubleType, T.FloatType, T.ShortType, T.DecimalType)):
         return F.coalesce(c.cast("string").try_cast(dt), F.lit(0).cast(dt))
     if isinstance(dt, T.TimestampNTZType):
-        return F.try_to_timestamp(c.cast("string")).cast("timestamp_ntz")
+        return c.cast("string").try_cast("timestamp_ntz")
     if isinstance(dt, T.TimestampType):
         return F.try_to_timestamp(c.cast("string"))
     if isinstance(dt, T.DateType):
-        return F.try_to_timestamp(c.cast("string")).cast("date")
+        return c.cast("string").try_cast("date")
     return c.cast(dt)
 
 
@@ -83,7 +84,7 @@ def coerce_types(df: DataFrame, schema: T.StructType, utc_columns: tuple[str, ..
             continue
         c = F.col(f.name)
         if f.name in utc_columns:
-            e = F.to_utc_timestamp(F.try_to_timestamp(c.cast("string")), F.current_timezone()).cast("timestamp_ntz")
+            e = parse_utc_ntz(c)
         else:
             e = _lenient(c, f.dataType)
         out.append(e.alias(f.name))

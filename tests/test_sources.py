@@ -89,3 +89,22 @@ def test_constraint_audit(spark):
     assert got[("tickets", "pk_jira_issue_id")] == 2 and got[("tickets", "check_period")] == 1
     assert got[("pull_requests", "check_period")] == 1 and got[("pull_requests", "fk_user_id")] == 1
     assert got[("pull_requests", "pk_pr_id")] == 0
+
+
+def test_time_functions_ignore_session_zone(spark):
+    from roilens.functions.timecols import elapsed_micros, parse_utc_ntz
+
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("America/New_York", "Asia/Kolkata", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            df = spark.createDataFrame([("2024-03-10T02:30:00Z", "1995-04-02 02:04:48", "1995-04-02 03:10:00.5")],
+                                       "a string, b string, c string")
+            r = df.select(parse_utc_ntz("a").alias("a"), parse_utc_ntz("b").alias("b"),
+                          elapsed_micros(F.col("b").try_cast("timestamp_ntz"),
+                                         F.col("c").try_cast("timestamp_ntz")).alias("e")).first()
+            assert r["a"] == dt.datetime(2024, 3, 10, 2, 30)  # a wall time that does not exist in New York
+            assert r["b"] == dt.datetime(1995, 4, 2, 2, 4, 48)
+            assert r["e"] == 3912500000  # 1h05m12.5s, no DST shift
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)

@@ -59,22 +59,44 @@ def _score_then_level(df: DataFrame, text_col: str, keep: list[str], unicode: bo
     return out.select(*keep, "risk_score", "risk_level", "risk_flag", "pii_types")
 
 
+HOT_TEXT_MIN_ROWS = 100_000
+MAX_HOT_TEXTS = 10_000
+
+
 def with_risk_deduped(df: DataFrame, text_col: str = "prompt_text", types: bool = True,
-                      unicode: bool = False) -> DataFrame:
+                      unicode: bool = False, hot_min_rows: int = HOT_TEXT_MIN_ROWS,
+                      max_hot: int = MAX_HOT_TEXTS) -> DataFrame:
     """``with_risk`` that scores each distinct text once.
 
     Texts are keyed by SHA-256 (a 32-byte key stands in for the text in the
     join); the aggregation that finds distinct texts drops copies map-side and
     its shuffle spreads the CPU-bound scan over all shuffle partitions even
-    when the input arrives in a few large files. A text shared by a third of
-    the rows is one key: one scoring, and AQE splits the skewed join side.
+    when the input arrives in a few large files.
+
+    Hot texts are split off explicitly: a text repeated at least
+    ``max(hot_min_rows, total_rows / max_hot)`` times is "hot". There can be
+    at most ``max_hot`` of them (their counts cannot add up to more than the
+    total), so their scores are broadcast -- a proven size bound -- and the
+    rows carrying them are resolved map-side without being shuffled. Only the
+    remaining rows go through the shuffle join, where no key is heavier than
+    the threshold. (AQE's skew split cannot help here: the scored side reuses
+    the aggregation's partitioning, so that join has no exchange to split.)
     """
     from ..functions.risk import with_risk
 
     keyed = df.withColumn("_k", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    distinct = keyed.groupBy("_k").agg(F.first(text_col, ignorenulls=True).alias("_t"))
+    distinct = keyed.groupBy("_k").agg(F.first(text_col, ignorenulls=True).alias("_t"),
+                                       F.count(F.lit(1)).alias("_n"))
+    total = distinct.agg(F.sum("_n")).scalar()
+    hot_min = F.greatest(F.lit(hot_min_rows).cast("double"), total / float(max_hot))
     scored = with_risk(distinct, "_t", unicode, types=types).drop("_t")
-    return keyed.join(scored, "_k", "left").drop("_k")
+    risk_cols = [c for c in scored.columns if c not in ("_k", "_n")]
+    hot = scored.where(F.col("_n") >= hot_min).drop("_n")
+    cold = scored.where(F.col("_n") < hot_min).drop("_n")
+    first = keyed.join(F.broadcast(hot), "_k", "left")
+    resolved = first.where(F.col("risk_score").isNotNull())
+    rest = first.where(F.col("risk_score").isNull()).drop(*risk_cols).join(cold, "_k", "left")
+    return resolved.unionByName(rest).drop("_k")
 
 
 def scan_logs(logs: DataFrame, id_col: str = "prompt_id", text_col: str = "prompt_text",

@@ -65,7 +65,7 @@ MAX_HOT_TEXTS = 10_000
 
 def with_risk_deduped(df: DataFrame, text_col: str = "prompt_text", types: bool = True,
                       unicode: bool = False, hot_min_rows: int = HOT_TEXT_MIN_ROWS,
-                      max_hot: int = MAX_HOT_TEXTS) -> DataFrame:
+                      max_hot: int = MAX_HOT_TEXTS, salt_buckets: int = 64) -> DataFrame:
     """``with_risk`` that scores each distinct text once.
 
     Texts are keyed by SHA-256 (a 32-byte key stands in for the text in the
@@ -73,30 +73,34 @@ def with_risk_deduped(df: DataFrame, text_col: str = "prompt_text", types: bool
     its shuffle spreads the CPU-bound scan over all shuffle partitions even
     when the input arrives in a few large files.
 
-    Hot texts are split off explicitly: a text repeated at least
-    ``max(hot_min_rows, total_rows / max_hot)`` times is "hot". There can be
-    at most ``max_hot`` of them (their counts cannot add up to more than the
-    total), so their scores are broadcast -- a proven size bound -- and the
-    rows carrying them are resolved map-side without being shuffled. Only the
-    remaining rows go through the shuffle join, where no key is heavier than
-    the threshold. (AQE's skew split cannot help here: the scored side reuses
-    the aggregation's partitioning, so that join has no exchange to split.)
+    Hot texts are split off explicitly. The ``max_hot`` most repeated texts
+    with at least ``hot_min_rows`` rows (a top-k: at most ``max_hot`` rows,
+    a proven bound) have their scores broadcast and are resolved map-side.
+    Every other text is repeated at most ``total / max_hot`` times (k texts are
+    at least as frequent), so the shuffle join used for them has no heavy key;
+    the hot rows take part in that join with a salted key that matches
+    nothing, spread over ``salt_buckets`` partitions. (AQE's skew split cannot
+    help here: the scored side reuses the aggregation's partitioning, so that
+    join has no exchange to split.)
     """
     from ..functions.risk import with_risk
 
     keyed = df.withColumn("_k", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     distinct = keyed.groupBy("_k").agg(F.first(text_col, ignorenulls=True).alias("_t"),
                                        F.count(F.lit(1)).alias("_n"))
-    total = distinct.agg(F.sum("_n")).scalar()
-    hot_min = F.greatest(F.lit(hot_min_rows).cast("double"), total / float(max_hot))
     scored = with_risk(distinct, "_t", unicode, types=types).drop("_t")
     risk_cols = [c for c in scored.columns if c not in ("_k", "_n")]
-    hot = scored.where(F.col("_n") >= hot_min).drop("_n")
-    cold = scored.where(F.col("_n") < hot_min).drop("_n")
+    hot = (scored.where(F.col("_n") >= hot_min_rows)
+           .orderBy(F.col("_n").desc(), "_k").limit(max_hot)
+           .select("_k", *[F.col(c).alias("_h_" + c) for c in risk_cols]))
+    cold = scored.select(F.col("_k").alias("_jk"), *[F.col(c).alias("_c_" + c) for c in risk_cols])
     first = keyed.join(F.broadcast(hot), "_k", "left")
-    resolved = first.where(F.col("risk_score").isNotNull())
-    rest = first.where(F.col("risk_score").isNull()).drop(*risk_cols).join(cold, "_k", "left")
-    return resolved.unionByName(rest).drop("_k")
+    salt = F.pmod(F.xxhash64("_k", *[F.col(c) for c in df.columns if c != text_col]), F.lit(salt_buckets))
+    jk = F.when(F.col("_h_risk_score").isNotNull(),
+                F.concat(F.lit("hot:"), salt.cast("string"))).otherwise(F.col("_k"))
+    joined = first.withColumn("_jk", jk).join(cold, "_jk", "left")
+    return joined.select(*df.columns, *[F.coalesce(F.col("_h_" + c), F.col("_c_" + c)).alias(c)
+                                        for c in risk_cols])
 
 
 def scan_logs(logs: DataFrame, id_col: str = "prompt_id", text_col: str = "prompt_text",

@@ -38,3 +38,25 @@ def test_jobs_synthetic_rerun_is_stable(spark, scratch):
     assert "user_id" not in prs.columns
     scanned = spark.read.parquet(first["scan"])
     assert scanned.where("risk_score > 0").count() > 0
+
+
+def test_pr_sync_job(spark, scratch):
+    import json
+    from conftest import SF0001
+    raw = f"{scratch}/raw_prs.jsonl"
+    with open(raw, "w") as fh:
+        for n, (repo, merged) in enumerate([("Brand#11", "2023-01-02T00:00:00Z"), ("Brand#11", None),
+                                            ("Brand#12", "2021-05-01T00:00:00Z")]):
+            fh.write(json.dumps(dict(number=n, title="t", state="closed", created_at="2021-01-01T00:00:00Z",
+                                     updated_at="2023-01-03T00:00:00Z", merged_at=merged, additions=4,
+                                     deletions=1, review_comments=1, commits=1, user={"login": "dev5"},
+                                     base={"repo": {"name": repo, "full_name": "org/" + repo}})) + "\n")
+    out = f"{scratch}/out"
+    done = main(["--mode", "github-only", "--sf-dir", SF0001, "--out", out, "--raw-prs", raw,
+                 "--as-of", "2023-06-01T00:00:00"], spark=spark)
+    prs = spark.read.parquet(done["sync"])
+    got = {r["pr_id"]: r for r in prs.collect()}
+    assert set(got) == {"Brand#11#0", "Brand#12#2"}
+    assert got["Brand#11#0"]["period"] == "After" and got["Brand#12#2"]["period"] == "Before"
+    assert got["Brand#11#0"]["department"] is not None
+    assert spark.read.option("header", True).csv(f"{out}/reports/sync_summary").count() >= 1

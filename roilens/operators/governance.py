@@ -1,12 +1,11 @@
-"""Governance operators over text columns.
-
-The scan is pure Column arithmetic over ``rlike``/``contains``: it runs
-inside the scan stage with no shuffle. ``scan_logs(dedupe=True)`` scores each
-distinct text once -- worth it when prompts repeat (templates, copies): the
-texts are keyed by SHA-256, partial aggregation drops copies map-side, and
-only (hash, score) rows travel back to the log rows through a join on the
-32-byte key. A hot text (one third of the rows) is one key on the small side
-of that join; AQE's skew-join handling splits the big side.
+"""Governance operators over text columns (G1-G10, S11) and the risk reports
+(T2, T5, D12-D14).
+
+The scan is pure Column arithmetic over ``rlike``/``contains``: it runs in
+the JVM inside whole-stage code generation, with no Python worker. Each
+detector is evaluated once per row. ``scan_logs(dedupe=True)`` /
+``with_risk_deduped`` score each distinct text once and split hot texts off
+the join back (see ``with_risk_deduped``).
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import types as T
 
 from .. import params as P
 from ..functions.numeric import exact_mean, exact_sum, round_dec
-from ..functions.risk import keyword_hits, pii_hits, redact, pseudonym, risk_columns, risk_flag, risk_level
+from ..functions.risk import keyword_hits, pii_hits, pseudonym, redact
 
 RISK_COLUMNS = ("risk_score", "risk_level", "risk_flag", "pii_types")
 
@@ -52,13 +51,6 @@ def prompt_risk(df: DataFrame, text_col: str = "prompt_text", unicode: bool = Fa
     return out.drop("_ents")
 
 
-def _score_then_level(df: DataFrame, text_col: str, keep: list[str], unicode: bool) -> DataFrame:
-    from ..functions.risk import with_risk
-
-    out = with_risk(df.select(*keep, text_col), text_col, unicode)
-    return out.select(*keep, "risk_score", "risk_level", "risk_flag", "pii_types")
-
-
 HOT_TEXT_MIN_ROWS = 100_000
 MAX_HOT_TEXTS = 10_000
 

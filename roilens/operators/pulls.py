@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions.numeric import clip0, exact_mean, exact_sum, round_dec, safe_div
+from ..functions.numeric import clip0, exact_mean, round_dec, safe_div
 from ..functions.pulls import period_backfill, pr_cycle_hours, rework_ratio
 from ..functions.timecols import month_key
 

@@ -917,9 +917,6 @@ def q_review_sample(spark, sf):
         "pr_id", "department", "review_count", "cycle_time_hours")
 
 
-_DELTA_SQL = None
-
-
 def _pr_delta_df(spark, sf):
     from ..operators.pulls import pr_delta, pr_performance
     return pr_delta(pr_performance(_I(spark, sf).pull_requests_enriched()))

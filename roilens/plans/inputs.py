@@ -6,7 +6,6 @@ PR cycle/rework, contributor mapping).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.risk import with_risk
 from ..operators.pulls import enrich_pull_requests, map_contributors, pr_derived

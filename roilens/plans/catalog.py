@@ -631,7 +631,10 @@ def q_dept_roi(spark, sf):
 
 @register("user_summary", oracle(["us"], "select * from us"))
 def q_user_summary(spark, sf):
-    return _summary(spark, sf)
+    # a single consumer: plan it straight through (no intermediate table)
+    from ..operators.roi import user_summary
+    i = _I(spark, sf)
+    return user_summary(i.users(), i.logs_cost(), i.tickets(), i.pull_requests())
 
 
 @register("classify_users", oracle(["classified"], "select * from classified"))

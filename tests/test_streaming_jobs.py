@@ -60,3 +60,16 @@ def test_pr_sync_job(spark, scratch):
     assert got["Brand#11#0"]["period"] == "After" and got["Brand#12#2"]["period"] == "Before"
     assert got["Brand#11#0"]["department"] is not None
     assert spark.read.option("header", True).csv(f"{out}/reports/sync_summary").count() >= 1
+
+
+def test_dashboard_load_matches_registered_queries(spark):
+    from conftest import SF0001
+    from roilens.plans.catalog import QUERIES
+    from roilens.plans.dashboard import DashboardLoad
+
+    load = DashboardLoad(spark, SF0001)
+    out = load.outputs()
+    assert sorted(r for r in out["classified"].collect()) == sorted(r for r in QUERIES["classify_users"](spark, SF0001).collect())
+    assert sorted(out["pr_delta"].collect()) == sorted(QUERIES["pr_delta"](spark, SF0001).collect())
+    for name, df in out.items():
+        df.write.format("noop").mode("overwrite").save()

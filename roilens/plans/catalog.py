@@ -784,7 +784,10 @@ def q_analytics_cache(spark, sf):
     # risk): write the narrow projection once instead of scoring twice
     logs = materialize(_enriched(spark, sf).select("user_id", "timestamp", "department", "cost_usd",
                                                    "token_count", "risk_flag", "risk_score"), "cache_logs")
-    return analytics_cache(_summary(spark, sf), logs)
+    from ..operators.roi import user_summary
+    i = _I(spark, sf)
+    # the summary has a single consumer here: planned straight through
+    return analytics_cache(user_summary(i.users(), i.logs_cost(), i.tickets(), i.pull_requests()), logs)
 
 
 @register("executive_kpis", oracle(["logs_s", "tickets", "users_master"], f"""

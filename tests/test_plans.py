@@ -50,3 +50,18 @@ def test_no_global_window_over_raw_rows(spark):
 def test_window_group_limit_for_per_repo_cap(spark):
     plan = _plan(QUERIES["ingest_pull_requests"](spark, SF001))
     assert "WindowGroupLimit" in plan
+
+
+PYTHON_ALLOWED = {"correlation_significance", "pearson", "ols"}  # the t-tail helper on the final rows
+
+
+def test_no_cross_joins_or_unexpected_python(spark):
+    from conftest import SF0001
+    import __spark_entry__ as E
+
+    for name, q in E.queries().items():
+        plan = _plan(q(spark, SF0001))
+        assert "CartesianProduct" not in plan, name
+        assert "BroadcastNestedLoopJoin" not in plan, name
+        if name not in PYTHON_ALLOWED:
+            assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan, name

@@ -139,13 +139,36 @@ def redact_frame(df: DataFrame, text_col: str = "prompt_text", user_col: str | N
     return out
 
 
+def _chunks(text: str, size: int):
+    """(offset, piece) covering the whole text; pieces end at whitespace when
+    one exists within the next ``size`` characters."""
+    start, n = 0, len(text)
+    while start < n:
+        end = min(start + size, n)
+        if end < n:
+            cut = max(text.rfind(" ", start, end), text.rfind("\n", start, end))
+            if cut > start:
+                end = cut + 1
+        yield start, text[start:end]
+        start = end
+
+
+def _detect_chunked(detect, text: str, size: int) -> list:
+    out = []
+    for off, piece in _chunks(text, size):
+        out.extend((label, a + off, b + off) for label, a, b in detect(piece))
+    return out
+
+
 class EntityHook:
     """G3/G8 optional hook: a user-supplied entity detector run as an iterator
     pandas UDF (the model is loaded once per Python worker, texts arrive in
     Arrow batches). Default off.
 
     ``factory()`` returns ``detect(text) -> list[(label, start, end)]``.
-    Only the first ``ENTITY_TEXT_LIMIT`` characters are handed over.
+    The whole text is processed: it is handed to the detector in chunks of
+    about ``ENTITY_TEXT_LIMIT`` characters (cut at whitespace), and spans are
+    shifted back to positions in the full text.
     """
 
     LABELS = tuple(P.ENTITY_WEIGHTS)
@@ -170,7 +193,7 @@ class EntityHook:
                     if not isinstance(t, str) or not t:
                         out.append([])
                         continue
-                    ents = detect(t[:P.ENTITY_TEXT_LIMIT])
+                    ents = _detect_chunked(detect, t, P.ENTITY_TEXT_LIMIT)
                     if with_spans:
                         out.append([{"label": a, "start": b, "end": c} for a, b, c in ents])
                     else:

@@ -134,7 +134,7 @@ PR_WINDOW_DAYS = 1200
 PR_MAX_PER_REPO = 400
 PR_TITLE_MAX = 200
 
-# Characters handed to the optional entity detector.
+# Characters per call handed to the optional entity detector (whole texts are chunked).
 ENTITY_TEXT_LIMIT = 5000
 
 

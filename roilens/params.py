@@ -2,13 +2,12 @@
 
 Values marked FIXED must equal the behaviour being matched for results to be
 right; they are stated plainly, in their natural order, and are not derived.
-Everything is a plain dataclass so a job can override any field.
+Operators take them as keyword defaults, so a caller can override any of them.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES -- adoption cutoff, detector patterns, weights, keywords,
@@ -138,15 +137,5 @@ PR_TITLE_MAX = 200
 ENTITY_TEXT_LIMIT = 5000
 
 
-@dataclass(frozen=True)
-class RoiParams:
-    """Run-time parameters. ``cutoff`` splits Before/After."""
-
-    cutoff: _dt.datetime = ADOPTION_CUTOFF
-    model_rates: dict = field(default_factory=lambda: dict(MODEL_RATES))
-    default_rate: float = DEFAULT_MODEL_RATE
-    pseudonym_salt: str | None = None
-
-
 # Cutoff used with the driver-derived canonical tables (order dates span 1995-2001).
 CANONICAL_CUTOFF = _dt.datetime(1998, 1, 1)

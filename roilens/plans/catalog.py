@@ -1036,13 +1036,21 @@ def q_coerce_types(spark, sf):
     return coerce_types(as_text, schema)
 
 
-@register("align_schema")
+@register("align_schema", oracle(["pull_requests"], """
+select pr_id, null::varchar as user_id, github_username, repo_name, coalesce(repo_full_name, repo_name) as repo_full_name,
+  department, pr_title, pr_state, created_at, merged_at, null::double as cycle_time_hours, lines_added::bigint as lines_added,
+  lines_removed::bigint as lines_removed, review_count::bigint as review_count, commit_count::bigint as commit_count,
+  null::double as rework_ratio, coalesce(period, 'Unknown') as period
+from pull_requests"""))
 def q_align_schema(spark, sf):
     from ..sources.tables import align_pull_requests
     return align_pull_requests(_I(spark, sf).c.pull_requests())
 
 
-@register("csv_round_trip")
+@register("csv_round_trip", oracle(["tickets"], """
+select jira_issue_id, user_id, department, created_at, resolved_at, cycle_time_hours, story_points::integer as story_points,
+  priority, period, null::double as avg_ticket_resolution_hours, jira_tickets_closed::integer as jira_tickets_closed
+from tickets"""))
 def q_csv_round_trip(spark, sf):
     from ..sources.sinks import read_csv, write_csv
     from ..sources.tables import align_schema
@@ -1179,13 +1187,19 @@ def q_filter_risk(spark, sf):
     return filter_risk(_I(spark, sf).logs(), "high").select("prompt_id", "risk_score", "risk_level")
 
 
-@register("utc_normalise")
+@register("utc_normalise", oracle(["pull_requests"], """
+select pr_id, created_at, merged_at, created_at as ts_utc from pull_requests"""))
 def q_utc_normalise(spark, sf):
     from ..functions.timecols import utc_normalise
     return utc_normalise(_I(spark, sf).pull_requests().select("pr_id", "created_at", "merged_at"))
 
 
-@register("export_bundle")
+@register("export_bundle", oracle(["ai_usage_logs", "tickets", "users_master", "pull_requests"], """
+select 'usage_logs' as dataset, count(*) as "rows" from ai_usage_logs
+union all select 'dept_performance', count(distinct department) from tickets
+  where department is not null and period in ('Before', 'After')
+union all select 'user_summary', count(*) from users_master
+union all select 'pull_requests', count(*) from pull_requests"""))
 def q_export_bundle(spark, sf):
     """S15 end to end: write the four datasets, report what landed per dataset."""
     from functools import reduce
@@ -1201,7 +1215,10 @@ def q_export_bundle(spark, sf):
     return reduce(_DF.unionByName, frames)
 
 
-@register("replace_repo")
+@register("replace_repo", oracle(["pull_requests"], """
+select repo_name, count(*) filter (where repo_name <> (select min(repo_name) from pull_requests) or pr_state = 'merged')
+  as "rows"
+from pull_requests group by repo_name"""))
 def q_replace_repo(spark, sf):
     """Write all PRs laid out by repo, then replace one repository's
     partition with its merged PRs only; the other partitions are unchanged."""
@@ -1215,7 +1232,7 @@ def q_replace_repo(spark, sf):
     return spark.read.parquet(path).groupBy("repo_name").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("read_cache")
+@register("read_cache", ORACLES["analytics_cache"])
 def q_read_cache(spark, sf):
     """An unwritten cache reads as an empty, typed frame; a written one reads back."""
     from ..operators.roi import analytics_cache

@@ -41,7 +41,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is used as is. Only when it is unset -- local tests -- do we create one.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001 - not readable through the SQL conf
+        configured = None
+    configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
         return configured

@@ -117,6 +117,8 @@ def spread(df: DataFrame) -> DataFrame:
     than the cluster has task slots (a few large files feeding a CPU-bound
     scan). With enough input splits -- the normal case at scale -- this is a
     no-op and adds no shuffle. Planning only; no job runs."""
+    if df.isStreaming:
+        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     n = df.rdd.getNumPartitions()
     return df.repartition(slots) if n < slots else df

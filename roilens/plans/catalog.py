@@ -501,8 +501,8 @@ def _redact_sql(t: str) -> str:
 select prompt_id, {_redact_sql('prompt_text')} as prompt_text from ai_usage_logs"""))
 def q_redact_text(spark, sf):
     from pyspark.sql import functions as F
-    from ..functions.risk import redact
-    return _I(spark, sf).logs_raw().select("prompt_id", redact(F.col("prompt_text")).alias("prompt_text"))
+    from ..functions.risk import redact, spread
+    return spread(_I(spark, sf).logs_raw()).select("prompt_id", redact(F.col("prompt_text")).alias("prompt_text"))
 
 
 PSEUDONYM_SALT = "roilens-check-salt"

@@ -40,19 +40,39 @@ def zombie_licences(users: DataFrame, logs: DataFrame, tickets: DataFrame, prs:
             .orderBy(F.col("total_ai_cost").desc(), "user_id"))
 
 
-def classify_users(summary: DataFrame, exact: bool = True) -> DataFrame:
+def quantile_scalars(df: DataFrame, spec: dict[str, list[float]], method: str = "distributed") -> dict:
+    """Quantiles ``{column: [p, ...]}`` as scalar-subquery Columns keyed
+    ``(column, i)``.
+
+    ``distributed``: exact, linear interpolation, no single-task gathering
+    (``stats.exact_quantiles``, all columns in one pass); ``builtin``: Spark's
+    exact ``percentile`` (a value-count map merged in one task per column);
+    ``approx``: ``percentile_approx``.
+    """
+    if method == "distributed":
+        from .stats import exact_quantiles
+
+        q = exact_quantiles(df, spec)
+    else:
+        def agg(c, p):
+            return F.percentile(c, p) if method == "builtin" else F.percentile_approx(c, p, 10000)
+        q = df.agg(*[agg(c, p).cast("double").alias(f"{c}_q{i}") for c, ps in spec.items()
+                     for i, p in enumerate(ps)])
+    row = q.select(F.struct(*q.columns)).scalar()
+    return {(c, i): row[f"{c}_q{i}"] for c, ps in spec.items() for i in range(len(ps))}
+
+
+def classify_users(summary: DataFrame, method: str = "distributed") -> DataFrame:
     """Zombie -> At-Risk -> Champion -> Underutilized -> Healthy (first match),
     plus recommended tier, licence costs and potential saving; ``is_zombie``
-    is replaced by category == Zombie."""
-    def q(col, p):
-        return F.percentile(col, p) if exact else F.percentile_approx(col, p, 10000)
-
-    th = summary.agg(F.struct(
-        q("total_cost", P.AT_RISK_COST_P).alias("cost_hi"),
-        q("total_cost", P.UNDERUTIL_COST_P).alias("cost_lo"),
-        q("tickets_closed", P.AT_RISK_OUTPUT_P).alias("out_lo"),
-        q("tickets_closed", P.UNDERUTIL_OUTPUT_P).alias("out_mid"),
-        q("pct_improvement", P.CHAMPION_IMPROVEMENT_P).alias("impr_hi"))).scalar()
+    is replaced by category == Zombie. Thresholds are exact quantiles
+    (``method``, see ``quantile_scalars``) used as scalar subqueries."""
+    q = quantile_scalars(summary, {
+        "total_cost": [P.AT_RISK_COST_P, P.UNDERUTIL_COST_P],
+        "tickets_closed": [P.AT_RISK_OUTPUT_P, P.UNDERUTIL_OUTPUT_P],
+        "pct_improvement": [P.CHAMPION_IMPROVEMENT_P]}, method)
+    th = {"cost_hi": q[("total_cost", 0)], "cost_lo": q[("total_cost", 1)], "out_lo": q[("tickets_closed", 0)],
+          "out_mid": q[("tickets_closed", 1)], "impr_hi": q[("pct_improvement", 0)]}
     cost, tickets = F.col("total_cost"), F.col("tickets_closed")
     impr, roi = F.col("pct_improvement"), F.col("net_roi")
     category = (F.when((cost > th["cost_hi"]) & (tickets == 0), "Zombie")

@@ -118,11 +118,12 @@ def pr_per_user(prs: DataFrame) -> DataFrame:
 
 
 def user_summary(users: DataFrame, logs: DataFrame, tickets: DataFrame,
-                 prs: DataFrame | None = None, exact: bool = True) -> DataFrame:
+                 prs: DataFrame | None = None, method: str = "distributed") -> DataFrame:
     """A3: per-user summary with clipped ROI and the median-spend zombie flag.
 
     Aggregates per user, left-joined onto the user dimension (no per-user
-    loop). The median spend is a scalar subquery over the joined result.
+    loop). The median spend is an exact quantile used as a scalar subquery
+    (``method``: see ``licences.quantile_scalars``).
     """
     cost = usage_per_user(logs)
     tk = tickets_per_user(tickets)
@@ -152,7 +153,9 @@ def user_summary(users: DataFrame, logs: DataFrame, tickets: DataFrame,
          .withColumn("pct_improvement",
                      round_dec(F.coalesce(safe_div(F.col("hours_saved_per_ticket"), F.col("avg_cycle_before")) * 100,
                                           F.lit(0.0)), 1)))
-    med = s.agg(F.median("total_cost") if exact else F.percentile_approx("total_cost", 0.5, 10000)).scalar()
+    from .licences import quantile_scalars
+
+    med = quantile_scalars(s, {"total_cost": [0.5]}, method)[("total_cost", 0)]
     zombie = ((F.col("total_cost") > med) & (F.col("tickets_closed") == 0) & (F.col("prs_merged") == 0)
               & (F.col("total_cost") > 0))
     return s.withColumn("is_zombie", F.coalesce(zombie, F.lit(False)).cast("int"))

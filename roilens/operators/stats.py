@@ -198,6 +198,62 @@ def average_ranks(df: DataFrame, col: str, out: str, buckets: int = 64,
     return df.join(ranked, col, "left")
 
 
+def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], buckets: int = 64) -> DataFrame:
+    """Exact, linearly interpolated quantiles of several columns as ONE row
+    (``<col>_q<i>``), without gathering any column in one task.
+
+    The columns are unpivoted to (name, value); distinct values with their
+    multiplicity are range-bucketed per column (cut points: ``cut_points``,
+    one small job for all columns); per-bucket totals give each bucket's
+    offset (at most ``buckets`` rows per column) and a running count inside
+    a bucket (window partitioned by column and bucket), so every distinct
+    value knows the last rank it covers. The value at 0-based rank r is the
+    smallest value whose cumulative count exceeds r; quantile p interpolates
+    between ranks floor(h) and ceil(h), h = (n - 1) p, as
+    ``lo + (hi - lo) (h - floor h)``. The final step is one global aggregate
+    with map-side partials. NULLs are ignored; no values give NULLs.
+    """
+    names = list(spec)
+    stack = ", ".join(f"'{c}', cast(`{c}` as double)" for c in names)
+    long = (df.select(F.expr(f"stack({len(names)}, {stack}) as (_name, _x)"))
+            .where(F.col("_x").isNotNull()))
+    v = long.groupBy("_name", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    probs = [i / buckets for i in range(1, buckets)]
+    rows = v.groupBy("_name").agg(F.percentile_approx("_x", probs, 10000).alias("cuts")).collect()
+    cuts = {r["_name"]: sorted(set(r["cuts"] or [])) for r in rows}  # <= len(spec) x (buckets-1) numbers
+    bucket = F.lit(0)
+    for name in names:
+        b = F.lit(0)
+        for c in cuts.get(name, []):
+            b = b + F.when(F.col("_x") > F.lit(c), 1).otherwise(0)
+        bucket = F.when(F.col("_name") == name, b).otherwise(bucket)
+    v = v.withColumn("_b", bucket)
+    totals = v.groupBy("_name", "_b").agg(F.sum("_c").alias("_bt"))
+    per_col = Window.partitionBy("_name")  # <= `buckets` rows per column
+    totals = (totals.withColumn("_off", F.coalesce(F.sum("_bt").over(
+        per_col.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_n", F.sum("_bt").over(per_col)).drop("_bt"))
+    win = Window.partitionBy("_name", "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (v.join(F.broadcast(totals), ["_name", "_b"], "inner")
+              .select("_name", "_x", "_n", (F.col("_off") + F.sum("_c").over(win)).alias("_cum")))
+    aggs = []
+    for name in names:
+        mine = F.col("_name") == name
+        aggs.append(F.max(F.when(mine, F.col("_n"))).alias(f"_n_{name}"))
+        for i, p in enumerate(spec[name]):
+            h = (F.col("_n") - 1).cast("double") * float(p)
+            aggs.append(F.min(F.when(mine & (F.col("_cum") > F.floor(h)), F.col("_x"))).alias(f"_lo_{name}_{i}"))
+            aggs.append(F.min(F.when(mine & (F.col("_cum") > F.ceil(h)), F.col("_x"))).alias(f"_hi_{name}_{i}"))
+    g = ranked.agg(*aggs)
+    out = []
+    for name in names:
+        for i, p in enumerate(spec[name]):
+            h = (F.col(f"_n_{name}") - 1).cast("double") * float(p)
+            lo, hi = F.col(f"_lo_{name}_{i}"), F.col(f"_hi_{name}_{i}")
+            out.append((lo + (hi - lo) * (h - F.floor(h))).alias(f"{name}_q{i}"))
+    return g.select(*out)
+
+
 def _ranked_pairs(pairs: DataFrame, buckets: int = 64) -> DataFrame:
     cuts = cut_points(pairs, ["x", "y"], buckets)
     return average_ranks(average_ranks(pairs, "x", "rx", buckets, cuts["x"]), "y", "ry", buckets, cuts["y"])

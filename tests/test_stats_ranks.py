@@ -22,3 +22,20 @@ def test_average_ranks_with_ties_and_hot_value(spark):
     got = {r["id"]: r["rx"] for r in average_ranks(df, "x", "rx", buckets=16).collect()}
     exp = _brute(vals)
     assert all(abs(got[i] - exp[v]) < 1e-9 for i, v in enumerate(vals))
+
+
+def test_exact_quantiles_match_brute_force(spark):
+    import numpy as np
+    from roilens.operators.stats import exact_quantiles
+
+    rnd = random.Random(11)
+    a = [float(rnd.randint(0, 40)) for _ in range(900)] + [3.0] * 450  # a third share one value
+    b = [rnd.random() * 1000 for _ in range(1350)]
+    df = spark.createDataFrame([(x, y if i % 7 else None) for i, (x, y) in enumerate(zip(a, b))],
+                               "a double, b double").repartition(5)
+    probs = [0.3, 0.4, 0.5, 0.6, 0.7, 0.9]
+    got = exact_quantiles(df, {"a": probs, "b": probs}, buckets=16).first().asDict()
+    bb = [y for i, y in enumerate(b) if i % 7]
+    for i, p in enumerate(probs):
+        assert got[f"a_q{i}"] == float(np.percentile(a, p * 100))
+        assert abs(got[f"b_q{i}"] - float(np.percentile(bb, p * 100))) < 1e-9

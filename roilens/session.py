@@ -46,10 +46,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - not readable through the SQL conf
         configured = None
     configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
     if configured:
-        sc.setCheckpointDir(configured)
+        if not current.isDefined():  # setCheckpointDir makes a new sub-folder on every call
+            sc.setCheckpointDir(configured)
         return configured
-    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     path = tempfile.mkdtemp(prefix="roilens-ckpt-")

@@ -1227,8 +1227,9 @@ def q_replace_repo(spark, sf):
     prs = _I(spark, sf).pull_requests().drop("user_id")
     path = _scratch(spark, "prs")
     replace_repo(spark, prs, path)
-    first = prs.agg(F.min("repo_name")).first()[0]
-    replace_repo(spark, prs.where(F.col("pr_state") == "merged"), path, first)
+    first = prs.agg(F.min("repo_name")).scalar()
+    # dynamic overwrite replaces exactly the partitions present in the new rows
+    replace_repo(spark, prs.where((F.col("repo_name") == first) & (F.col("pr_state") == "merged")), path)
     return spark.read.parquet(path).groupBy("repo_name").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -39,3 +39,15 @@ def test_exact_quantiles_match_brute_force(spark):
     for i, p in enumerate(probs):
         assert got[f"a_q{i}"] == float(np.percentile(a, p * 100))
         assert abs(got[f"b_q{i}"] - float(np.percentile(bb, p * 100))) < 1e-9
+
+
+def test_quantile_methods_agree_on_the_summary(spark):
+    from conftest import SF0001
+    from roilens.operators.licences import classify_users
+    from roilens.plans.catalog import _summary
+
+    s = _summary(spark, SF0001)
+    dist = sorted((r["user_id"], r["category"]) for r in classify_users(s, "distributed").collect())
+    builtin = sorted((r["user_id"], r["category"]) for r in classify_users(s, "builtin").collect())
+    assert dist == builtin
+    assert classify_users(s, "approx").count() == len(dist)

@@ -46,10 +46,12 @@ class DashboardLoad:
         # the prompt text is not shown by these summaries: keep the scored columns only
         self.logs = hold(i.logs().drop("prompt_text"), "logs")
         self.tickets = hold(i.tickets(), "tickets")
-        self.prs = hold(i.pull_requests(), "prs")
-        self.prs_enriched = hold(pulls.enrich_pull_requests(self.prs, i.c.repo_department()), "prs_enriched")
+        # one PR table serves both: the summary reads only user_id, state, cycle and rework,
+        # which the department/period enrichment does not change
+        self.prs_enriched = hold(pulls.enrich_pull_requests(i.pull_requests(), i.c.repo_department()),
+                                 "prs_enriched")
         self.enriched = usage.enrich_usage(self.logs, self.users)
-        self.summary = hold(roi.user_summary(self.users, self.logs, self.tickets, self.prs), "summary")
+        self.summary = hold(roi.user_summary(self.users, self.logs, self.tickets, self.prs_enriched), "summary")
         self.classified = hold(licences.classify_users(self.summary), "classified")
 
     def outputs(self) -> dict[str, DataFrame]:

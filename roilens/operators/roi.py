@@ -155,7 +155,10 @@ def user_summary(users: DataFrame, logs: DataFrame, tickets: DataFrame,
                                           F.lit(0.0)), 1)))
     from .licences import quantile_scalars
 
-    med = quantile_scalars(s, {"total_cost": [0.5]}, method)[("total_cost", 0)]
+    # the median spend needs only users and their spend: not the ticket/PR joins
+    spend = (users.select("user_id").join(cost, "user_id", "left")
+             .select(F.coalesce(F.col("total_cost"), F.lit(0.0)).alias("total_cost")))
+    med = quantile_scalars(spend, {"total_cost": [0.5]}, method)[("total_cost", 0)]
     zombie = ((F.col("total_cost") > med) & (F.col("tickets_closed") == 0) & (F.col("prs_merged") == 0)
               & (F.col("total_cost") > 0))
     return s.withColumn("is_zombie", F.coalesce(zombie, F.lit(False)).cast("int"))

@@ -191,12 +191,13 @@ def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", la
 
 def language(spark: SparkSession, model: Model, text: Column) -> Column:
     """A struct (lang, score) of a text column; the model is a few kB and is broadcast."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.langs, model.bytes_, model.filters, model.bias, model.out, model.out_bias))
 
     @F.pandas_udf("lang string, score double")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Model(*shared.value)
         for part in parts:
-            langs, scores = predict(shared.value, list(part))
+            langs, scores = predict(own, list(part))
             yield pd.DataFrame({"lang": langs, "score": scores})
 
     return judge(text)

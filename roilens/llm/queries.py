@@ -128,3 +128,22 @@ def op4_toxicity(spark, sf_dir):
 def op2_benchmark_decontamination(spark, sf_dir):
     from .decontaminate import contaminated
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op5_sentencepiece")
+def op5_sentencepiece(spark, sf_dir):
+    from .sentencepiece_codec import encode
+    return encode(table(spark, sf_dir, "documents"))
+
+
+@register("op8_license_scans")
+def op8_license_scans(spark, sf_dir):
+    from .licences import scan
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@register("op10_lm_scoring")
+def op10_lm_scoring(spark, sf_dir):
+    from .lm_scores import cross_entropy_difference
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)

@@ -57,9 +57,6 @@ class Model:
     table: np.ndarray | None = None
     done: int = 0
 
-    def __getstate__(self):
-        return self.__dict__ | {"rows": {}, "table": None, "done": 0}
-
 
 def tokenize(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
@@ -400,17 +397,18 @@ def fit(labelled: DataFrame, key_col: str = "doc_id", text_col: str = "text", la
 
 def toxicity(spark: SparkSession, model: Model, text: Column) -> Column:
     """The score of a text column; the model is bounded by the sample and broadcast."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.vocabulary, model.w, model.scale, model.constant))
 
     @F.pandas_udf("double")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Model(*shared.value)
         for part in parts:
-            yield pd.Series(score(shared.value, list(part)))
+            yield pd.Series(score(own, list(part)))
 
     return judge(text)
 
 
 def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score, predicted (1 if score >= THRESHOLD)."""
-    found = docs.select(F.col(id_col).alias(id_col), toxicity(docs.sparkSession, model, F.col(text_col)).alias("score"))
+    found = docs.select(F.col(id_col), toxicity(docs.sparkSession, model, F.col(text_col)).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

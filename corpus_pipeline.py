@@ -64,9 +64,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 5: the kept documents with their token ids and checks."""
-    name = fresh(docs, "code")
-    coded = docs.withColumn(name, sentencepiece_codec.codes(spark, F.col("text")))
-    return coded.select(*docs.columns, *[F.col(name)[c].alias(fresh(docs, c)) for c in ("ids", "n_tokens", "round_trip", "parity")])
+    return sentencepiece_codec.add_codes(docs, {c: fresh(docs, c) for c in ("ids", "n_tokens", "round_trip", "parity")})
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

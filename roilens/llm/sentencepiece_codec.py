@@ -25,6 +25,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import re
@@ -34,14 +35,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import fresh
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-BATCH_CHARS, WORDS_AT_ONCE, KNOWN_WORDS, THREADS = 1 << 20, 20_480, 300_000, 2
+BATCH_CHARS, WORDS_AT_ONCE, KNOWN_WORDS, THREADS = 1 << 20, 8192, 300_000, 2
 
 
 @dataclass
@@ -174,22 +180,32 @@ class _Rows(dict):
 class Codec:
     """A rebuilt model with batch encoding and decoding, and the library's own for verification."""
 
-    def __init__(self, data: bytes, threads: int = THREADS):
+    def __init__(self, data: bytes, threads: int = THREADS, pipeline: str | None = None):
+        """``pipeline``: what ``build`` made of the same model, as JSON."""
         import sentencepiece
+        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.spec, self.threads = parse(data), threads
-        self.fast = build(self.spec)
+        self.pipeline = pipeline or build(self.spec).to_str()
         self.slow = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.words = build(self.spec)  # for words that are normalised and cut already
+        self.words = Tokenizer.from_str(self.pipeline)  # for words that are normalised and cut already
         self.words.normalizer = self.words.pre_tokenizer = None
         self.split = None if spans_words(self.spec) else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         self.bytes = np.array([bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode()
                                for p, _, kind in self.spec.pieces], dtype=object)
+        self.is_byte = np.array([kind == BYTE for _, _, kind in self.spec.pieces])
         self.plain = not self.spec.charsmap and not self.spec.squeeze and self.spec.dummy_prefix
         self._forget()
 
+    @functools.cached_property
+    def fast(self):
+        """The whole pipeline, for whole texts."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.pipeline)
+
     def _forget(self) -> None:
         self.rows, self.done = _Rows(), 0
         self.flat, self.at, self.same = [np.zeros(0, dtype=np.int32)], np.zeros(1, dtype=np.int64), np.zeros(0, dtype=bool)
@@ -266,51 +282,68 @@ class Codec:
         return out
 
 
-RESULT = "ids array<int>, n_tokens int, n_bytes int, round_trip boolean, parity boolean"
-
-
-def codes(spark: SparkSession, text: Column, model: str = MODEL, threads: int = THREADS) -> Column:
-    """A struct of RESULT: ids, their count, how many are byte pieces, and the two checks."""
+CODE_TYPES = {"ids": "array<int>", "n_tokens": "int", "n_bytes": "int", "round_trip": "boolean", "parity": "boolean"}
+
+
+def code_batch(codec: Codec, texts: pa.Array) -> dict[str, pa.Array]:
+    """The code columns of some texts."""
+    given = [None if t is None else t.encode("utf-8", "replace").decode("utf-8") for t in texts.to_pylist()]
+    known = [t for t in given if t is not None]
+    ids, same = codec.encode_verified(known) if known else ([], [])
+    is_null = np.array([t is None for t in given], dtype=bool)
+    sizes = np.zeros(len(given), dtype=np.int64)
+    sizes[~is_null] = [len(x) for x in ids]
+    flat = np.concatenate([np.zeros(0, dtype=np.int32), *ids])
+    ends = np.cumsum(sizes)
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.append(is_null, False))
+    n_bytes = np.concatenate([[0], np.cumsum(codec.is_byte[flat])])
+    back = np.zeros(len(given), dtype=bool)
+    back[~is_null] = [codec.text_of(x) == t for x, t in zip(ids, known, strict=True)]
+    parity = np.zeros(len(given), dtype=bool)
+    parity[~is_null] = same
+    return {"ids": pa.ListArray.from_arrays(offsets, pa.array(flat)), "n_tokens": pa.array(sizes.astype(np.int32), mask=is_null),
+            "n_bytes": pa.array((n_bytes[ends] - n_bytes[ends - sizes]).astype(np.int32), mask=is_null),
+            "round_trip": pa.array(back, mask=is_null), "parity": pa.array(parity, mask=is_null)}
+
+
+def add_codes(docs: DataFrame, names: dict[str, str] | None = None, text_col: str = "text", model: str = MODEL,
+              threads: int = THREADS) -> DataFrame:
+    """``docs``, all columns kept, with its code columns: ids, n_tokens, n_bytes (byte pieces among them), round_trip, parity.
+    ``names`` picks and renames them. Batches are worked off in slices of about BATCH_CHARS characters."""
+    names = names or {c: fresh(docs, c) for c in CODE_TYPES}
     with open(model, "rb") as f:  # the model is a file beside the program, not a table
-        data = spark.sparkContext.broadcast(f.read())
-
-    @F.pandas_udf(RESULT)
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(data.value, threads)
-        is_byte = np.array([kind == BYTE for _, _, kind in codec.spec.pieces])
-        for part in parts:
-            given = [None if t is None else t.encode("utf-8", "replace").decode("utf-8") for t in part]
-            known = [i for i, t in enumerate(given) if t is not None]
-            rows: list = [(None, None, None, None, None)] * len(given)
-            group, size = [], 0
-            for k, i in enumerate(known):
-                group.append(i)
-                size += len(given[i])
-                if size >= BATCH_CHARS or k == len(known) - 1:
-                    texts = [given[g] for g in group]
-                    ids, same = codec.encode_verified(texts)
-                    back = [codec.text_of(x) for x in ids]
-                    for g, t, x, b, s in zip(group, texts, ids, back, same, strict=True):
-                        rows[g] = (x, len(x), int(is_byte[x].sum()), b == t, s)
-                    group, size = [], 0
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pd.DataFrame({"ids": pd.Series(cols[0], dtype=object), "n_tokens": pd.array(cols[1], dtype="Int32"),
-                                "n_bytes": pd.array(cols[2], dtype="Int32"), "round_trip": pd.array(cols[3], dtype="boolean"),
-                                "parity": pd.array(cols[4], dtype="boolean")})
-
-    return encode(text)
+        raw = f.read()
+    shared = docs.sparkSession.sparkContext.broadcast((raw, build(parse(raw)).to_str()))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(shared.value[0], threads, shared.value[1])
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            first = 0
+            while first < len(batch):
+                start = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, start + BATCH_CHARS, side="right")))
+                part = batch.slice(first, last - first)
+                codes = code_batch(codec, part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, *[codes[c] for c in names]], [*part.schema.names, *names.values()])
+                first = last
+
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T._parse_datatype_string(CODE_TYPES[c])) for c, n in names.items()]])
+    return docs.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, threads: int = THREADS) -> DataFrame:
     """One row per input row: id, ids, n_tokens, n_bytes, round_trip, parity."""
-    found = docs.select(F.col(id_col).alias("id"), codes(docs.sparkSession, F.col(text_col), model, threads).alias("c"))
-    return found.select(F.col("id").alias(id_col), "c.*")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return add_codes(texts, {c: c for c in CODE_TYPES}, "text", model, threads).select(F.col("id").alias(id_col), *CODE_TYPES)
 
 
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """(id, text) from (id, ids); null ids give a null text."""
     with open(model, "rb") as f:
-        data = coded.sparkSession.sparkContext.broadcast(f.read())
+        raw = f.read()
+    data = coded.sparkSession.sparkContext.broadcast(raw)
 
     @F.pandas_udf("string")
     def back(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -90,7 +90,7 @@ def _score_and_types(regex: dict[str, Column], kws: dict[str, Column], empty: Co
         F.least(round_dec(score.cast("double"), 1), F.lit(100.0)))
     labels = [F.when(hit, F.lit("REGEX:" + name.upper())) for name, hit in regex.items()]
     kw_label = F.when(n_kw > 0, F.concat(F.lit("KEYWORD:"),
-                                         F.array_join(F.slice(keyword_labels(kws), 1, 3), ",")))
+                                         F.array_join(keyword_labels(kws), ",")))
     parts = F.array(*labels, kw_label)
     if entity_labels is not None:
         parts = F.concat(entity_labels, parts)
@@ -112,18 +112,6 @@ def risk_columns(text, unicode: bool = False, entity_score: Column | None = None
                             entity_score, entity_labels)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over all cores when the input has fewer partitions
-    than the cluster has task slots (a few large files feeding a CPU-bound
-    scan). With enough input splits -- the normal case at scale -- this is a
-    no-op and adds no shuffle. Planning only; no job runs."""
-    if df.isStreaming:
-        return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    return df.repartition(slots) if n < slots else df
-
-
 def with_risk(df: DataFrame, text_col: str = "prompt_text", unicode: bool = False,
               types: bool = True, entity_score: Column | None = None,
               entity_labels: Column | None = None) -> DataFrame:

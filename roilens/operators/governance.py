@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .. import params as P
 from ..functions.numeric import exact_mean, exact_sum, round_dec
-from ..functions.risk import keyword_hits, pii_hits, pseudonym, redact, spread
+from ..functions.risk import keyword_hits, pii_hits, pseudonym, redact
 
 RISK_COLUMNS = ("risk_score", "risk_level", "risk_flag", "pii_types")
 
@@ -28,14 +28,14 @@ RISK_COLUMNS = ("risk_score", "risk_level", "risk_flag", "pii_types")
 def detect_pii(df: DataFrame, text_col: str = "prompt_text", unicode: bool = False) -> DataFrame:
     """G1: one boolean column ``has_<detector>`` per regex detector."""
     hits = pii_hits(F.col(text_col), unicode)
-    return spread(df).select("*", *[h.alias(f"has_{n}") for n, h in hits.items()])
+    return df.select("*", *[h.alias(f"has_{n}") for n, h in hits.items()])
 
 
 def keyword_scan(df: DataFrame, text_col: str = "prompt_text") -> DataFrame:
     """Matched keywords (array, keyword order) and their count."""
     hits = keyword_hits(F.col(text_col))
     arr = F.array_compact(F.array(*[F.when(h, F.lit(k)) for k, h in hits.items()]))
-    return spread(df).select("*", arr.alias("keywords"), F.size(arr).alias("keyword_count"))
+    return df.select("*", arr.alias("keywords"), F.size(arr).alias("keyword_count"))
 
 
 def prompt_risk(df: DataFrame, text_col: str = "prompt_text", unicode: bool = False,
@@ -43,7 +43,7 @@ def prompt_risk(df: DataFrame, text_col: str = "prompt_text", unicode: bool = Fa
     """Add risk_score, pii_types, risk_level, risk_flag."""
     from ..functions.risk import with_risk
 
-    df = spread(df)
+    df = df
     if entity_hook is None:
         return with_risk(df, text_col, unicode)
     df = df.withColumn("_ents", entity_hook.labels(F.col(text_col)))
@@ -72,7 +72,7 @@ def with_risk_deduped(df: DataFrame, text_col: str = "prompt_text", types: bool
     Every other text is repeated at most ``total / max_hot`` times (k texts are
     at least as frequent), so the shuffle join used for them has no heavy key;
     the hot rows take part in that join with a salted key that matches
-    nothing, spread over ``salt_buckets`` partitions. (AQE's skew split cannot
+    nothing over ``salt_buckets`` partitions. (AQE's skew split cannot
     help here: the scored side reuses the aggregation's partitioning, so that
     join has no exchange to split.)
     """
@@ -103,8 +103,8 @@ def scan_logs(logs: DataFrame, id_col: str = "prompt_id", text_col: str = "promp
     if dedupe:
         out = with_risk_deduped(base, text_col, True, unicode)
     else:
-        from ..functions.risk import spread, with_risk
-        out = with_risk(spread(base), text_col, unicode)
+        from ..functions.risk import with_risk
+        out = with_risk(base, text_col, unicode)
     return out.select(id_col, "risk_score", "risk_level", "risk_flag", "pii_types")
 
 
@@ -134,7 +134,7 @@ def redact_frame(df: DataFrame, text_col: str = "prompt_text", user_col: str | N
     Missing columns are ignored; the input DataFrame is immutable anyway."""
     out = df
     if text_col in df.columns:
-        out = spread(out).withColumn(text_col, redact(F.col(text_col), unicode))
+        out = out.withColumn(text_col, redact(F.col(text_col), unicode))
     if pseudonymise and user_col and user_col in df.columns:
         out = out.withColumn(user_col, pseudonym(F.col(user_col), salt))
     return out

@@ -254,7 +254,7 @@ def pr_kpis(prs_enriched: DataFrame) -> DataFrame:
         F.countDistinct("repo_name").alias("repos"))
 
     def imp(bc, ac):
-        return round_dec(F.when(F.col(bc) > 0, (F.col(bc) - F.coalesce(F.col(ac), F.lit(0.0))) / F.col(bc) * 100)
+        return round_dec(F.when(F.col(bc) > 0, (F.col(bc) - F.col(ac)) / F.col(bc) * 100)  # null without After rows
                          .otherwise(F.lit(0.0)), 1)
 
     return g.select("prs_merged", imp("_bc", "_ac").alias("cycle_improvement_pct"),

@@ -166,7 +166,9 @@ def token_histogram(logs: DataFrame, bins: int = 40) -> DataFrame:
     lo, hi = bounds["lo"], bounds["hi"]
     w = (hi - lo) / bins
     b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((F.col("t") - lo) / w).cast("int"), F.lit(bins - 1)))
-    return (tk.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = tk.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = logs.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))  # empty bins stay in the picture
+    return (every.join(counts, "bin", "left").where(lo.isNotNull()).withColumn("count", F.coalesce("n", F.lit(0)))
             .select("bin", (lo + F.col("bin") * (hi - lo) / bins).alias("bin_start"),
                     (lo + (F.col("bin") + 1) * (hi - lo) / bins).alias("bin_end"), "count")
             .orderBy("bin"))

@@ -129,9 +129,6 @@ STRONG_R = 0.7
 MODERATE_R = 0.4
 
 # Pull-request landing window and per-repo cap.
-PR_WINDOW_DAYS = 1200
-PR_MAX_PER_REPO = 400
-PR_TITLE_MAX = 200
 
 # Characters per call handed to the optional entity detector (whole texts are chunked).
 ENTITY_TEXT_LIMIT = 5000

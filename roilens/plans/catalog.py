@@ -400,10 +400,11 @@ def q_dept_model_cost(spark, sf):
 @register("token_histogram", oracle(["logs_e"], """
 , t as (select token_count::double as t from logs_e where token_count > 0),
 b as (select min(t) as lo, max(t) as hi from t),
-x as (select case when hi = lo then 0 else least(cast(floor((t - lo) / ((hi - lo) / 40)) as integer), 39) end as bin, lo, hi
-      from t, b)
-select bin, lo + bin * (hi - lo) / 40 as bin_start, lo + (bin + 1) * (hi - lo) / 40 as bin_end, count(*) as "count"
-from x group by bin, lo, hi"""))
+x as (select case when hi = lo then 0 else least(cast(floor((t - lo) / ((hi - lo) / 40)) as integer), 39) end as bin, count(*) as n
+      from t, b group by 1)
+select cast(g.bin as integer) as bin, lo + g.bin * (hi - lo) / 40 as bin_start, lo + (g.bin + 1) * (hi - lo) / 40 as bin_end,
+  coalesce(x.n, 0) as "count"
+from range(40) g(bin) cross join b left join x on x.bin = g.bin where lo is not null"""))
 def q_token_histogram(spark, sf):
     from ..operators.usage import token_histogram
     return token_histogram(_enriched(spark, sf))
@@ -501,8 +502,8 @@ def _redact_sql(t: str) -> str:
 select prompt_id, {_redact_sql('prompt_text')} as prompt_text from ai_usage_logs"""))
 def q_redact_text(spark, sf):
     from pyspark.sql import functions as F
-    from ..functions.risk import redact, spread
-    return spread(_I(spark, sf).logs_raw()).select("prompt_id", redact(F.col("prompt_text")).alias("prompt_text"))
+    from ..functions.risk import redact
+    return _I(spark, sf).logs_raw().select("prompt_id", redact(F.col("prompt_text")).alias("prompt_text"))
 
 
 PSEUDONYM_SALT = "roilens-check-salt"
@@ -794,7 +795,7 @@ def q_analytics_cache(spark, sf):
 , b as (select {EM("case when period = 'Before' then cycle_time_hours end", 2)} as b,
                {EM("case when period = 'After' then cycle_time_hours end", 2)} as a from tickets)
 select {RD(f"coalesce((select {ES('cost_usd', 6)} from logs_s), 0.0)", 2)} as total_spend,
-  {RD('case when b.b > 0 then (b.b - coalesce(b.a, 0.0)) / b.b * 100 else 0.0 end', 1)} as pct_improvement,
+  {RD('case when b.b > 0 and b.a is null then null when b.b > 0 then (1 - b.a / b.b) * 100 else 0.0 end', 1)} as pct_improvement,
   coalesce((select cast(sum(token_count) as bigint) from logs_s), 0) as total_tokens,
   (select count(*) from logs_s where risk_level in ('High','Critical')) as high_risk_events,
   (select count(github_username) from users_master) as github_matched
@@ -886,8 +887,8 @@ def q_rework_by_period(spark, sf):
 
 @register("pr_kpis", oracle(["prs_e"], f"""
 select count(*) filter (where pr_state = 'merged') as prs_merged,
-  {RD(f"case when {EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then cycle_time_hours end', 2)} > 0 then ({EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then cycle_time_hours end', 2)} - coalesce({EM('case when period = ' + chr(39) + 'After' + chr(39) + ' then cycle_time_hours end', 2)}, 0.0)) / {EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then cycle_time_hours end', 2)} * 100 else 0.0 end", 1)} as cycle_improvement_pct,
-  {RD(f"case when {EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then rework_ratio end', 3)} > 0 then ({EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then rework_ratio end', 3)} - coalesce({EM('case when period = ' + chr(39) + 'After' + chr(39) + ' then rework_ratio end', 3)}, 0.0)) / {EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then rework_ratio end', 3)} * 100 else 0.0 end", 1)} as rework_improvement_pct,
+  {RD(f"case when {EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then cycle_time_hours end', 2)} > 0 and {EM('case when period = ' + chr(39) + 'After' + chr(39) + ' then cycle_time_hours end', 2)} is null then null when {EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then cycle_time_hours end', 2)} > 0 then (1 - {EM('case when period = ' + chr(39) + 'After' + chr(39) + ' then cycle_time_hours end', 2)} / {EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then cycle_time_hours end', 2)}) * 100 else 0.0 end", 1)} as cycle_improvement_pct,
+  {RD(f"case when {EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then rework_ratio end', 3)} > 0 and {EM('case when period = ' + chr(39) + 'After' + chr(39) + ' then rework_ratio end', 3)} is null then null when {EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then rework_ratio end', 3)} > 0 then (1 - {EM('case when period = ' + chr(39) + 'After' + chr(39) + ' then rework_ratio end', 3)} / {EM('case when period = ' + chr(39) + 'Before' + chr(39) + ' then rework_ratio end', 3)}) * 100 else 0.0 end", 1)} as rework_improvement_pct,
   count(distinct github_username) as contributors, count(distinct repo_name) as repos
 from prs_e"""))
 def q_pr_kpis(spark, sf):
@@ -1060,6 +1061,17 @@ def q_csv_round_trip(spark, sf):
     return read_csv(spark, path, "tickets")
 
 
+@register("csv_round_trip_text", oracle(["ai_usage_logs"], f"""
+select prompt_id, {_redact_sql('prompt_text')} as prompt_text from ai_usage_logs"""))
+def q_csv_round_trip_text(spark, sf):
+    from ..operators.governance import redact_frame
+    from ..sources.sinks import read_csv, write_csv
+    logs = redact_frame(_I(spark, sf).logs_raw().select("prompt_id", "prompt_text"), "prompt_text")
+    path = _scratch(spark, "csv_text")
+    write_csv(logs, path)
+    return read_csv(spark, path, logs.schema)
+
+
 def _raw_prs(spark, sf):
     from pyspark.sql import functions as F
     p = _I(spark, sf).c.pull_requests()
@@ -1077,18 +1089,16 @@ def _raw_prs(spark, sf):
                                       F.col("repo_full_name").alias("full_name")).alias("repo")).alias("base"))
 
 
-INGEST_AS_OF = "2001-12-31 00:00:00"
+TICKETS_SINCE = "1998-09-18 00:00:00"
 
 
 @register("ingest_pull_requests", oracle(["pull_requests", "users_master", "repo_department"], f"""
 , r as (select p.*, cast(regexp_extract(pr_id, '#(\\d+)-(\\d+)$', 1) as bigint) * 100
                    + cast(regexp_extract(pr_id, '#(\\d+)-(\\d+)$', 2) as bigint) as number
-        from pull_requests p where merged_at is not null
-          and created_at >= timestamp '{INGEST_AS_OF}' - interval 1200 days),
-c as (select * from (select *, row_number() over (partition by repo_full_name order by merged_at desc, number desc) as rn
-                     from r) where rn <= 400)
+        from pull_requests p where merged_at is not null),
+c as (select * from r)
 select c.repo_name || '#' || cast(number as varchar) as pr_id, c.github_username, c.repo_name, c.repo_full_name,
-  substr(c.pr_title, 1, 200) as pr_title, 'merged' as pr_state, c.created_at, c.merged_at,
+  c.pr_title as pr_title, 'merged' as pr_state, c.created_at, c.merged_at,
   {RD("date_diff('microsecond', c.created_at, c.merged_at)/3600000000", 2)} as cycle_time_hours,
   c.lines_added, c.lines_removed, c.review_count, c.commit_count,
   {RD('c.lines_removed/greatest(coalesce(nullif(c.lines_added,0),1),1)', 3)} as rework_ratio,
@@ -1098,11 +1108,9 @@ from c left join repo_department rd on rd.repo_name = c.repo_name
 left join (select github_username, user_id from users_master where github_username is not null and github_username <> '') u
   on u.github_username = c.github_username"""))
 def q_ingest_pull_requests(spark, sf):
-    import datetime as dt
     from ..sources.ingest import ingest_pull_requests
     i = _I(spark, sf)
-    return ingest_pull_requests(_raw_prs(spark, sf), i.users(), i.c.repo_department(),
-                                as_of=dt.datetime.fromisoformat(INGEST_AS_OF))
+    return ingest_pull_requests(_raw_prs(spark, sf), i.users(), i.c.repo_department())
 
 
 def _raw_ticket_pages(spark, sf):
@@ -1131,11 +1139,11 @@ select jira_issue_id, null::varchar as user_id, null::varchar as department, cre
   case when story_points = 13 then 1 else story_points end::integer as story_points,
   case when priority = 'Low' then 'Medium' else priority end as priority, 'After' as period,
   0.0::double as avg_ticket_resolution_hours, 1 as jira_tickets_closed
-from tickets where resolved_at is not null and resolved_at >= timestamp '{INGEST_AS_OF}' - interval 1200 days"""))
+from tickets where resolved_at is not null and resolved_at >= timestamp '{TICKETS_SINCE}'"""))
 def q_ingest_tickets(spark, sf):
     import datetime as dt
     from ..sources.ingest import ingest_tickets
-    return ingest_tickets(_raw_ticket_pages(spark, sf), as_of=dt.datetime.fromisoformat(INGEST_AS_OF), days=1200)
+    return ingest_tickets(_raw_ticket_pages(spark, sf), since=dt.datetime.fromisoformat(TICKETS_SINCE))
 
 
 @register("constraint_audit", oracle(["users_master", "logs_s", "tickets", "prs"], """

@@ -36,6 +36,16 @@ class Tables:
         self.spark = spark
         self.i = Inputs(spark, sf_dir) if sf_dir else None
         self.tables_dir = tables_dir.rstrip("/") if tables_dir else None
+        self.stored: dict[str, str] = {}
+
+    def use(self, name: str, path: str) -> str:
+        """From now on table ``name`` is what a stage wrote to ``path``."""
+        self.stored[name] = path
+        return path
+
+    def _stored(self, name: str) -> DataFrame | None:
+        from ..sources.tables import load
+        return load(self.spark, self.stored[name], name) if name in self.stored else None
 
     def _load(self, name: str) -> DataFrame:
         from ..sources.tables import load
@@ -45,12 +55,18 @@ class Tables:
         return self.i.users() if self.i else self._load("users_master")
 
     def logs(self):
+        stored = self._stored("ai_usage_logs")
+        if stored is not None:
+            return stored
         return self.i.logs() if self.i else self._load("ai_usage_logs")
 
     def tickets(self):
         return self.i.tickets() if self.i else self._load("tickets")
 
     def pull_requests(self):
+        stored = self._stored("pull_requests")
+        if stored is not None:
+            return stored
         return self.i.pull_requests() if self.i else self._load("pull_requests")
 
     def repo_department(self):
@@ -67,16 +83,19 @@ def run_scan(t: Tables, out: str) -> str:
     return path
 
 
-def run_pr_sync(t: Tables, raw_path: str, out: str, as_of: _dt.datetime, repo: str | None = None,
+def run_pr_sync(t: Tables, raw_path: str, out: str, since: _dt.datetime | None = None, repo: str | None = None,
                 cutoff: _dt.datetime = P.ADOPTION_CUTOFF) -> dict[str, DataFrame]:
     """B2: landed PR JSON -> S7 -> P3/P4 -> partition replace (S10) -> A9/A7 reports."""
     spark = t.spark
     raw = read_raw_pull_requests(spark, raw_path)
-    prs = ingest_pull_requests(raw, t.users(), t.repo_department(), as_of, cutoff=cutoff)
+    prs = ingest_pull_requests(raw, t.users(), t.repo_department(), since, cutoff=cutoff)
     prs = department_fill(prs, t.repo_department()).withColumn(
         "period", period_backfill("period", "merged_at", cutoff))
     path = f"{out}/pull_requests"
-    replace_repo(spark, prs, path, repo)
+    if repo is None:  # a full sync is a full replace: repositories that left the feed leave the table
+        write_table(prs, path, partition_by=["repo_name"])
+    else:
+        replace_repo(spark, prs, path, repo)
     stored = spark.read.parquet(path)
     return {"sync_summary": pr_sync_summary(stored), "delta": pr_delta(pr_performance(stored))}
 
@@ -131,27 +150,30 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     ap.add_argument("--tables-dir")
     ap.add_argument("--out", required=True)
     ap.add_argument("--raw-prs")
-    ap.add_argument("--as-of", default=None)
+    ap.add_argument("--since", default=None, help="sync only PRs created from this time on (the caller's choice)")
     ap.add_argument("--repo", default=None)
     ap.add_argument("--skip-scan", action="store_true")
     ap.add_argument("--skip-sync", action="store_true")
+    ap.add_argument("--skip-export", action="store_true")
     a = ap.parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
     t = Tables(spark, a.sf_dir, a.tables_dir)
     out = a.out.rstrip("/")
+    if out == t.tables_dir:  # a stage must not overwrite the table that it reads
+        out = f"{out}/updated"
     done: dict = {}
-    stages = [s for s in MODES[a.mode] if not (s == "scan" and a.skip_scan) and not (s == "sync" and a.skip_sync)]
+    skipped = {s for s, skip in (("scan", a.skip_scan), ("sync", a.skip_sync), ("export", a.skip_export)) if skip}
+    stages = [s for s in MODES[a.mode] if s not in skipped]
     for stage in stages:
         if stage == "scan":
-            done["scan"] = run_scan(t, out)
+            done["scan"] = t.use("ai_usage_logs", run_scan(t, out))
         elif stage == "sync":
             if not a.raw_prs:
                 raise SystemExit("--raw-prs is required for the sync stage")
-            as_of = _dt.datetime.fromisoformat(a.as_of) if a.as_of else _dt.datetime.utcnow()
-            reports = run_pr_sync(t, a.raw_prs, out, as_of, a.repo)
+            reports = run_pr_sync(t, a.raw_prs, out, _dt.datetime.fromisoformat(a.since) if a.since else None, a.repo)
             for k, df in reports.items():
                 write_csv(df, f"{out}/reports/{k}")
-            done["sync"] = f"{out}/pull_requests"
+            done["sync"] = t.use("pull_requests", f"{out}/pull_requests")
         elif stage == "analytics":
             done["analytics"] = run_analytics(t, out)
         elif stage == "export":

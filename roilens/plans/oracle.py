@@ -40,7 +40,7 @@ def pii_types_sql(t: str = "prompt_text", sep: str = "|") -> str:
     parts = [f"case when regexp_matches({t}, '{pat}') then 'REGEX:{n.upper()}' end" for n, pat in P.PII_PATTERNS]
     kwlist = "[" + ", ".join(f"'{k}'" for k in P.SENSITIVE_KEYWORDS) + "]"
     parts.append(f"""case when len(list_filter({kwlist}, lambda k: contains(lower({t}), k))) > 0
-      then 'KEYWORD:' || array_to_string(list_slice(list_filter({kwlist}, lambda k: contains(lower({t}), k)), 1, 3), ',') end""")
+      then 'KEYWORD:' || array_to_string(list_filter({kwlist}, lambda k: contains(lower({t}), k)), ',') end""")
     return f"case when {t} is null or {t} = '' then '' else concat_ws('{sep}', {', '.join(parts)}) end"
 
 

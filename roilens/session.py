@@ -53,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current.isDefined():
         return current.get()
-    path = tempfile.mkdtemp(prefix="roilens-ckpt-")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="roilens-ckpt-")  # one machine: its temporary folder is shared by all
     sc.setCheckpointDir(path)
     return path

@@ -62,15 +62,15 @@ def _users_master(d: Dialect) -> str:
   35 + (c_custkey*37%10500)/cast(100 as double) as hourly_rate,
   case when c_custkey%20<17 then 'Active' when c_custkey%20<19 then 'Inactive' else 'On-Leave' end as employment_status,
   case when c_custkey%20<3 then null else 'dev'||cast(c_custkey as varchar(20)) end as github_username
-from {customer} where c_custkey*4 < 5*(select max(user_id)+1 from {events})"""
+from {customer}"""
 
 
 def _ai_usage_logs(d: Dialect) -> str:
-    return f"""select 'LOG'||cast(event_id as varchar(20)) as prompt_id, 'USR'||cast(e.user_id as varchar(20)) as user_id,
+    return f"""select 'LOG'||cast(event_id as varchar(20)) as prompt_id, 'USR'||cast(e.user_key as varchar(20)) as user_id,
   {d.months('ts', 'k%12')} as timestamp, case when event_id%17=0 then null else c.c_mktsegment end as department,
   event_type as model_name, dd.text as prompt_text, cast(round(value*100) as bigint)+100 as token_count
-from (select *, cast({d.json_k('props')} as int) as k from {{events}}) e
-join {{customer}} c on c.c_custkey=e.user_id
+from (select *, cast({d.json_k('props')} as int) as k, (user_id*10 + event_id%10) % (select count(*) from {{customer}}) + 1 as user_key from {{events}}) e
+join {{customer}} c on c.c_custkey=e.user_key
 join {{documents}} dd on dd.doc_id = e.event_id % (select count(*) from {{documents}})"""
 
 
@@ -107,7 +107,7 @@ join {{repo_department}} r on r.repo_name=g.repo_name"""
 CANONICAL: dict[str, tuple[Callable[[Dialect], str], tuple[str, ...]]] = {
     "model_rate": (_model_rate, ()),
     "repo_department": (_repo_department, ("part",)),
-    "users_master": (_users_master, ("customer", "events")),
+    "users_master": (_users_master, ("customer",)),
     "ai_usage_logs": (_ai_usage_logs, ("events", "customer", "documents")),
     "tickets": (_tickets, ("orders", "customer")),
     "pull_requests": (_pull_requests, ("lineitem", "part", "repo_department")),

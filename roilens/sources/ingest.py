@@ -30,17 +30,17 @@ def read_raw_pull_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_pull_requests(raw: DataFrame, users: DataFrame | None, repo_department: DataFrame | None,
-                         as_of: _dt.datetime, days: int = P.PR_WINDOW_DAYS,
-                         max_per_repo: int | None = P.PR_MAX_PER_REPO,
+                         since: _dt.datetime | None = None, max_per_repo: int | None = None,
                          cutoff: _dt.datetime = P.ADOPTION_CUTOFF) -> DataFrame:
-    """Merged PRs created inside the window, at most ``max_per_repo`` per
-    repository (most recently updated first), shaped into the PR table.
+    """Merged PRs shaped into the PR table, one row per PR (of a PR that was
+    landed more than once the latest update). ``since`` (creation time) and
+    ``max_per_repo`` (most recently updated first) are the caller's choice; by
+    default nothing is left out.
 
     The per-repository cap is ``row_number() <= n``; Spark plans it with a
     map-side WindowGroupLimit, so even a repository holding a third of all
     PRs ships at most n rows per input partition to the shuffle.
     """
-    since = as_of - _dt.timedelta(days=days)
     r = raw.select(
         F.col("number"), F.col("title"),
         utc_ntz("created_at").alias("created_at"),
@@ -49,7 +49,11 @@ def ingest_pull_requests(raw: DataFrame, users: DataFrame | None, repo_departmen
         F.col("additions"), F.col("deletions"), F.col("review_comments"), F.col("commits"),
         F.col("user.login").alias("login"),
         F.col("base.repo.name").alias("repo_name"), F.col("base.repo.full_name").alias("repo_full_name"))
-    r = r.where(F.col("merged_at").isNotNull() & (F.col("created_at") >= ntz_literal(since)))
+    r = r.where(F.col("merged_at").isNotNull())
+    if since is not None:
+        r = r.where(F.col("created_at") >= ntz_literal(since))
+    landed = Window.partitionBy("repo_full_name", "number").orderBy(F.col("updated_at").desc_nulls_last())
+    r = r.withColumn("_rn", F.row_number().over(landed)).where(F.col("_rn") == 1).drop("_rn")
     if max_per_repo is not None:
         w = Window.partitionBy("repo_full_name").orderBy(F.col("updated_at").desc_nulls_last(),
                                                         F.col("number").desc())
@@ -58,7 +62,7 @@ def ingest_pull_requests(raw: DataFrame, users: DataFrame | None, repo_departmen
         F.concat(F.col("repo_name"), F.lit("#"), F.col("number").cast("string")).alias("pr_id"),
         F.coalesce(F.col("login"), F.lit("unknown")).alias("github_username"),
         "repo_name", "repo_full_name",
-        F.substring(F.coalesce(F.col("title"), F.lit("")), 1, P.PR_TITLE_MAX).alias("pr_title"),
+        F.coalesce(F.col("title"), F.lit("")).alias("pr_title"),
         F.lit("merged").alias("pr_state"), "created_at", "merged_at",
         round_dec(hours_between("created_at", "merged_at"), 2).alias("cycle_time_hours"),
         F.coalesce(F.col("additions"), F.lit(0)).alias("lines_added"),
@@ -87,14 +91,13 @@ def read_raw_ticket_pages(spark: SparkSession, path: str) -> DataFrame:
 TICKET_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSXX"
 
 
-def ingest_tickets(pages: DataFrame, as_of: _dt.datetime, days: int = 180) -> DataFrame:
+def ingest_tickets(pages: DataFrame, since: _dt.datetime | None = None) -> DataFrame:
     """Issues of landed search pages -> ticket rows.
 
-    Done issues resolved inside the window; ``+0000`` offsets are parsed (the
+    Done issues with a resolution date (from ``since`` on, if given); ``+0000`` offsets are parsed (the
     intent of the original parser), cycle hours are 0 unless resolved >
     created, missing points default to 1 and missing priority to Medium.
     """
-    since = as_of - _dt.timedelta(days=days)
     iss = pages.select(F.explode("issues").alias("i")).select("i.*")
 
     def parse(c):
@@ -106,7 +109,9 @@ def ingest_tickets(pages: DataFrame, as_of: _dt.datetime, days: int = 180) -> Da
                    F.col("fields.story_points").alias("sp"),
                    F.col("fields.priority.name").alias("pr"),
                    F.col("fields.status.name").alias("status"))
-    t = t.where((F.col("status") == "Done") & (F.col("resolved_at") >= ntz_literal(since)))
+    t = t.where((F.col("status") == "Done") & F.col("resolved_at").isNotNull())
+    if since is not None:
+        t = t.where(F.col("resolved_at") >= ntz_literal(since))
     c, r = F.col("created_at"), F.col("resolved_at")
     cycle = F.when(c.isNotNull() & r.isNotNull() & (r > c), round_dec(hours_between(c, r), 2)).otherwise(F.lit(0.0))
     sp = F.col("sp")

@@ -9,15 +9,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 
 
+#: One format for both ways: quotes are doubled, so texts with quotes, commas and line breaks read back as they were.
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """Full replace."""
     w = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.options(**CSV)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
@@ -28,9 +33,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     write_table(df, path, "csv")
 
 
-def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """CSV read back with the declared schema (no inference)."""
-    return spark.read.schema(schemas.TABLES[table]).option("header", True).csv(path)
+def read_csv(spark: SparkSession, path: str, table: str | StructType) -> DataFrame:
+    """CSV read back with the declared schema of a table, or the given one (no inference)."""
+    return spark.read.schema(schemas.TABLES[table] if isinstance(table, str) else table).options(multiLine=True, **CSV).csv(path)
 
 
 def replace_repo(spark: SparkSession, prs: DataFrame, path: str, repo_name: str | None = None) -> None:
@@ -39,12 +44,7 @@ def replace_repo(spark: SparkSession, prs: DataFrame, path: str, repo_name: str
     leaving the others untouched. Dynamic partition overwrite makes the
     delete+append atomic per partition and idempotent on rerun."""
     df = prs if repo_name is None else prs.where(F.col("repo_name") == repo_name)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy("repo_name").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_name").parquet(path)
 
 
 def privacy_projection(prs: DataFrame) -> DataFrame:

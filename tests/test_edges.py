@@ -73,3 +73,29 @@ def test_ties_in_top_k_are_deterministic(spark):
     a = [r["user_id"] for r in licences.top_performers(df.repartition(5)).collect()]
     b = [r["user_id"] for r in licences.top_performers(df.repartition(3)).collect()]
     assert a == b == sorted(a)
+
+
+def test_every_customer_is_a_user(spark):
+    from conftest import SF0001
+    from roilens.plans.inputs import Inputs
+
+    users = Inputs(spark, SF0001).users()
+    assert users.count() == spark.read.parquet(f"{SF0001}/customer.parquet").count()
+
+
+def test_no_after_rows_give_no_improvement(spark):
+    from roilens.operators.pulls import pr_kpis
+
+    prs = spark.createDataFrame([("merged", "Before", 10.0, 0.5, "a", "r")],
+                                "pr_state string, period string, cycle_time_hours double, rework_ratio double, github_username string, repo_name string")
+    row = pr_kpis(prs).first()
+    assert row.prs_merged == 1 and row.cycle_improvement_pct is None and row.rework_improvement_pct is None
+
+
+def test_csv_keeps_quotes_commas_and_line_breaks(spark, scratch):
+    from roilens.sources.sinks import read_csv, write_csv
+
+    texts = [(1, 'a "b", c\nd\r\ne'), (2, " led and trailed "), (3, "back\\slash\\"), (4, None)]
+    df = spark.createDataFrame(texts, "id int, text string")
+    write_csv(df, f"{scratch}/t")
+    assert sorted((r.id, r.text) for r in read_csv(spark, f"{scratch}/t", df.schema).collect()) == texts

@@ -21,7 +21,7 @@ def test_governance_has_no_python(spark, name):
 
 def test_department_scan_pushdown(spark):
     plan = _plan(QUERIES["filter_departments"](spark, SF001))
-    assert "PushedFilters" in plan and "In(c_mktsegment" in plan or "BUILDING" in plan
+    assert "PushedFilters" in plan and ("In(c_mktsegment" in plan or "BUILDING" in plan)
 
 
 def test_before_after_one_scan(spark):
@@ -41,10 +41,10 @@ def test_no_global_window_over_raw_rows(spark):
         df = QUERIES[name](spark, SF001)
         opt = df._jdf.queryExecution().optimizedPlan().toString()
         for line in opt.splitlines():
-            if "Window [" in line and "windowspecdefinition(" in line and "specifiedwindowframe" in line:
-                if "_b ASC" in line or "month_year ASC" in line:
-                    continue
-                assert "windowspecdefinition(" not in line.split("windowspecdefinition(")[1][:0], line
+            if "Window [" in line and "windowspecdefinition(" in line:
+                first = line.split("windowspecdefinition(")[1].split(",")[0]  # a partition key, or else an order
+                if " ASC" in first or " DESC" in first:
+                    assert "_b#" in first or "month_year#" in first, line
 
 
 def test_window_group_limit_for_per_repo_cap(spark):
@@ -60,6 +60,8 @@ def test_no_cross_joins_or_unexpected_python(spark):
     import __spark_entry__ as E
 
     for name, q in E.queries().items():
+        if name == "pipeline" or name.startswith("op"):  # the training-data operators have tests of their own
+            continue
         plan = _plan(q(spark, SF0001))
         assert "CartesianProduct" not in plan, name
         assert "BroadcastNestedLoopJoin" not in plan, name

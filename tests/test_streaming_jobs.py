@@ -53,7 +53,7 @@ def test_pr_sync_job(spark, scratch):
                                      base={"repo": {"name": repo, "full_name": "org/" + repo}})) + "\n")
     out = f"{scratch}/out"
     done = main(["--mode", "github-only", "--sf-dir", SF0001, "--out", out, "--raw-prs", raw,
-                 "--as-of", "2023-06-01T00:00:00"], spark=spark)
+                 "--since", "2020-02-17T00:00:00"], spark=spark)
     prs = spark.read.parquet(done["sync"])
     got = {r["pr_id"]: r for r in prs.collect()}
     assert set(got) == {"Brand#11#0", "Brand#12#2"}

@@ -109,8 +109,8 @@ def test_ingest_pull_requests(spark, scratch):
     _write_lines(path, rows)
     users = spark.createDataFrame([("U1", "dev1")], "user_id string, github_username string")
     lk = spark.createDataFrame([("django", "Backend")], "repo_name string, department string")
-    out = ingest_pull_requests(read_raw_pull_requests(spark, path), users, lk, as_of=dt.datetime(2023, 6, 1),
-                               days=1200, max_per_repo=400, cutoff=CUT)
+    out = ingest_pull_requests(read_raw_pull_requests(spark, path), users, lk, since=dt.datetime(2023, 6, 1) - dt.timedelta(days=1200),
+                               cutoff=CUT)
     got = {r["pr_id"]: r.asDict() for r in out.collect()}
     assert set(got) == {"django#1", "django#3"}
     a, c = got["django#1"], got["django#3"]
@@ -118,8 +118,8 @@ def test_ingest_pull_requests(spark, scratch):
     assert a["user_id"] == "U1" and a["department"] == "Backend"
     assert c["github_username"] == "unknown" and len(c["pr_title"]) == 200 and c["lines_added"] == 0
     assert c["rework_ratio"] == 0.0 and c["period"] == "Before" and c["user_id"] is None
-    capped = ingest_pull_requests(read_raw_pull_requests(spark, path), None, None, as_of=dt.datetime(2023, 6, 1),
-                                  days=1200, max_per_repo=1, cutoff=CUT)
+    capped = ingest_pull_requests(read_raw_pull_requests(spark, path), None, None, since=dt.datetime(2023, 6, 1) - dt.timedelta(days=1200),
+                                  max_per_repo=1, cutoff=CUT)
     assert [r["pr_id"] for r in capped.collect()] == ["django#3"]  # most recently updated kept
 
 
@@ -139,7 +139,7 @@ def test_ingest_tickets(spark, scratch):
     ]}
     path = f"{scratch}/tickets.jsonl"
     _write_lines(path, [page])
-    out = ingest_tickets(read_raw_ticket_pages(spark, path), as_of=dt.datetime(2024, 3, 1), days=180)
+    out = ingest_tickets(read_raw_ticket_pages(spark, path), since=dt.datetime(2024, 3, 1) - dt.timedelta(days=180))
     got = {r["jira_issue_id"]: r.asDict() for r in out.collect()}
     assert set(got) == {"ENG-1", "ENG-2"}
     assert got["ENG-1"]["cycle_time_hours"] == 26.5 and got["ENG-1"]["story_points"] == 5

@@ -116,7 +116,7 @@ def test_ingest_pull_requests(spark, scratch):
     a, c = got["django#1"], got["django#3"]
     assert a["cycle_time_hours"] == 36.0 and a["rework_ratio"] == 0.4 and a["period"] == "After"
     assert a["user_id"] == "U1" and a["department"] == "Backend"
-    assert c["github_username"] == "unknown" and len(c["pr_title"]) == 200 and c["lines_added"] == 0
+    assert c["github_username"] == "unknown" and len(c["pr_title"]) == 250 and c["lines_added"] == 0
     assert c["rework_ratio"] == 0.0 and c["period"] == "Before" and c["user_id"] is None
     capped = ingest_pull_requests(read_raw_pull_requests(spark, path), None, None, since=dt.datetime(2023, 6, 1) - dt.timedelta(days=1200),
                                   max_per_repo=1, cutoff=CUT)

@@ -17,7 +17,8 @@ its ``k + 1`` smallest ids, more of which no answer can need.
 The share is as large as it is because vectors without cluster structure have
 neighbours hardly nearer in any projection than other rows: recall then is about
 ``1 - (1 - WINDOW) ** CURVES``. Clustered vectors reach the same recall with a
-far smaller share; both are parameters.
+far smaller share; both are parameters. A block is planned to hold ``4 * (k + 1)``
+rows at least, so a table with fewer than twice as many is searched whole.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, or whose length is not the commonest one (ties: the longer), take no
@@ -130,7 +131,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     classes = cut(ranked.groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")))
     asking = cut(valid.where("asks").select("id", "v").join(classes.select("v", "rep"), "v").select("id", "rep"))
     n, q = classes.count(), asking.select("rep").distinct().count()
-    blocks = max(LEAST_BLOCKS, -(-n // block_rows))
+    # a window holds k + 1 rows at least, so that a small table gives all its candidates
+    blocks = max(1, min(max(LEAST_BLOCKS, -(-n // block_rows)), n // (4 * (k + 1))))
     reach = max(1, int(np.ceil(window * blocks)))
     salts = max(1, -(-int(q * window) // QUERY_ROWS))
     projection, shift = projections(dim, curves)
@@ -150,8 +152,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         "rep", "v", F.coalesce("asks", F.lit(False)).alias("asks"), F.xxhash64("v").alias("tie"))
     points = cut(points)
     shares = [i / blocks for i in range(1, blocks)]
-    cuts = {r["curve"]: np.array(r["at"]) for r in points.mapInPandas(keyed, "curve int, key long").groupBy("curve").agg(
-        F.percentile_approx("key", shares, F.lit(50 * blocks)).alias("at")).collect()}  # curves * blocks numbers
+    cuts = {c: np.zeros(0) for c in range(curves)}
+    if blocks > 1:
+        cuts |= {r["curve"]: np.array(r["at"]) for r in points.mapInPandas(keyed, "curve int, key long").groupBy("curve").agg(
+            F.percentile_approx("key", shares, F.lit(50 * blocks)).alias("at")).collect()}  # curves * blocks numbers
 
     def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -44,6 +44,7 @@ SEED = 42
 LEAF_ROWS = 2048
 SAMPLE_PER_LEAF = 16
 MAX_DEPTH = 12
+HOME_ROWS, VISIT_ROWS, ROUTED_AT_ONCE = 1 << 14, 1 << 20, 1024
 BLOCK_PAIRS = 1 << 22
 SHINGLES_AT_ONCE = 1 << 17
 
@@ -108,6 +109,25 @@ def route(fp: np.ndarray, points: np.ndarray, radii: np.ndarray, bits: int) -> t
     return at, node, home
 
 
+def deal(fp: np.ndarray, leaf: np.ndarray, home: np.ndarray, blocks: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each row of a task's input: place in ``fp``, block, share, and whether it is at home there. A home row
+    stands in its own block for every share, and visits the leaf's other blocks in its own share."""
+    def own(parts: np.ndarray, mix: int) -> np.ndarray:
+        return ((fp * np.uint64(mix)) >> np.uint64(33)).astype(np.int64) % parts
+
+    def each(rows: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(rows, copies), np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+
+    block, share = own(blocks[leaf], 0x9E3779B97F4A7C15), own(shares[leaf], 0xD6E8FEB86659FD93)
+    at_home = np.flatnonzero(home)
+    h_at, h_share = each(at_home, shares[leaf[at_home]])
+    v_at, v_block = each(np.arange(len(fp)), blocks[leaf])
+    visits = ~(home[v_at] & (v_block == block[v_at]))
+    v_at, v_block = v_at[visits], v_block[visits]
+    return (np.concatenate([h_at, v_at]), np.concatenate([block[h_at], v_block]), np.concatenate([h_share, share[v_at]]),
+            np.arange(len(h_at) + len(v_at)) < len(h_at))
+
+
 def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after joining a[i] with b[i]: each row gets the smallest row it reaches."""
     while True:
@@ -149,21 +169,44 @@ def leaf_links(fp: np.ndarray, home: np.ndarray, bits: int) -> np.ndarray:
     return label
 
 
-def fingerprint_links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, bits: int = MAX_BITS, leaf_rows: int = LEAF_ROWS, home_rows: int = HOME_ROWS,
+                      visit_rows: int = VISIT_ROWS) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` whose components are those of all
     pairs at most ``bits`` apart."""
     spark = distinct.sparkSession
     n = distinct.count()
-    depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(1, n) / LEAF_ROWS)))))
+    depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(1, n) / leaf_rows)))))
     taken = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_PER_LEAF << depth).toPandas()
     points, radii = fit_tree(taken["fp"].to_numpy(dtype=np.int64).view(np.uint64), depth)
     tree = spark.sparkContext.broadcast((points, radii))  # 16 bytes for each of at most 2 ** MAX_DEPTH nodes
 
-    def visits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def routed(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
         for part in parts:
-            fp = part["fp"].to_numpy(dtype=np.int64)
-            at, leaf, home = route(fp.view(np.uint64), *tree.value, bits)
-            yield pd.DataFrame({"leaf": leaf, "fp": fp[at], "home": home})
+            fp = part["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+            for i in range(0, len(fp), ROUTED_AT_ONCE):
+                some = fp[i:i + ROUTED_AT_ONCE]
+                at, leaf, home = route(some, *tree.value, bits)
+                yield some[at], leaf, home
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((2, 2 << depth), dtype=np.int64)
+        for _, leaf, home in routed(parts):
+            held[0] += np.bincount(leaf[home], minlength=2 << depth)
+            held[1] += np.bincount(leaf, minlength=2 << depth)
+        seen = np.flatnonzero(held[1])
+        yield pd.DataFrame({"leaf": seen, "homes": held[0, seen], "visits": held[1, seen]})
+
+    counts = distinct.select("fp").mapInPandas(count, "leaf long, homes long, visits long").groupBy("leaf").agg(
+        F.sum("homes").alias("homes"), F.sum("visits").alias("visits")).toPandas()  # a row for each leaf
+    blocks, shares = np.ones(2 << depth, dtype=np.int64), np.ones(2 << depth, dtype=np.int64)
+    at_leaf = counts["leaf"].to_numpy(dtype=np.int64)
+    blocks[at_leaf] = np.maximum(1, -(-counts["homes"].to_numpy(dtype=np.int64) // home_rows))
+    shares[at_leaf] = np.maximum(1, -(-counts["visits"].to_numpy(dtype=np.int64) // visit_rows))
+
+    def visits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for fp, leaf, home in routed(parts):
+            at, block, share, is_home = deal(fp, leaf, home, blocks, shares)
+            yield pd.DataFrame({"leaf": leaf[at], "block": block, "share": share, "fp": fp[at].view(np.int64), "home": is_home})
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
         fp = part["fp"].to_numpy(dtype=np.int64)
@@ -171,8 +214,8 @@ def fingerprint_links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         tied = label != np.arange(len(fp))
         return pd.DataFrame({"a": fp[tied], "b": fp[label[tied]]})
 
-    dealt = distinct.select("fp").mapInPandas(visits, "leaf long, fp long, home boolean")
-    return dealt.groupBy("leaf").applyInPandas(links, "a long, b long")
+    dealt = distinct.select("fp").mapInPandas(visits, "leaf long, block long, share long, fp long, home boolean")
+    return dealt.groupBy("leaf", "block", "share").applyInPandas(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -4,6 +4,7 @@ nulls in any column, empty and very long texts, ties and repeated rows, empty ta
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SF0001, SF001
 from pyspark.sql import functions as F
@@ -85,6 +86,18 @@ def test_nearest_recall_and_edges(spark):
     assert ann.nearest(odd.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 5, 6, 7, 30, 47])
+def test_nearest_in_a_small_table_is_whole(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 12))
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(e, F.lit(True)).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T - 9 * np.eye(n)
+    for i in range(n):
+        want = np.argsort(-s[i], kind="stable")[:min(5, n - 1)].tolist()
+        assert got[got.query_id == i].sort_values("rank")["vec_id"].tolist() == want
+
+
 def brute_components(prints, ids, bits=3):
     u, inv = np.unique(np.array(prints, dtype=np.uint64), return_inverse=True)
     label = np.arange(len(u))
@@ -125,6 +138,34 @@ def test_simhash_tree_finds_all_links():
     assert {(i, j) for i, j in zip(a, b, strict=True) if i < j} <= met
 
 
+def test_simhash_crowded_leaf_is_dealt_without_loss(spark):
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    near = fp[:300] ^ (np.uint64(1) << rng.integers(0, 63, 300).astype(np.uint64)) ^ np.uint64(1 << 63)
+    fp = np.unique(np.concatenate([fp, near, near[:150] ^ np.uint64(7)]))
+    known = spark.createDataFrame(pd.DataFrame({"fp": fp.view(np.int64)}))
+    a, b = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3)
+    want = simhash._forest(np.arange(len(fp)), a, b)
+    for limits in ({}, {"leaf_rows": 100}, {"leaf_rows": 400, "home_rows": 30, "visit_rows": 50}, {"leaf_rows": 10_000, "home_rows": 100, "visit_rows": 200}):
+        links = simhash.fingerprint_links(known, 3, **limits).toPandas()
+        got = simhash._forest(np.arange(len(fp)), *(np.searchsorted(fp, links[c].to_numpy(dtype=np.int64).view(np.uint64)) for c in "ab"))
+        assert (got == want).all()
+
+
+def test_simhash_deal_bounds_groups_and_lets_all_pairs_meet():
+    fp = np.random.default_rng(6).integers(0, 1 << 63, 500, dtype=np.uint64)
+    home = np.arange(500) < 200
+    blocks, shares = np.full(1, 5), np.full(1, 7)
+    at, block, share, is_home = simhash.deal(fp, np.zeros(500, dtype=np.int64), home, blocks, shares)
+    group = block * 7 + share
+    assert np.bincount(group[is_home]).max() < 80 and np.bincount(group[~is_home]).max() < 150
+    met = set()
+    for g in np.unique(group):
+        here, homes = at[group == g], at[(group == g) & is_home]
+        met |= {(int(x), int(y)) for x in here for y in homes}
+    assert {(x, y) for x in range(500) for y in range(200)} <= met
+
+
 def test_simhash_edges(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     by = {r.doc_id: r for r in rows}

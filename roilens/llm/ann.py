@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-CURVES, DIMS, BITS, WINDOW = 4, 4, 5, 0.5
+CURVES, DIMS, BITS, WINDOW = 4, 4, 5, 0.4
 BLOCK_ROWS, LEAST_BLOCKS, QUERY_ROWS, SEED = 8192, 16, 16384, 3
 TIE_BITS = 62 - DIMS * BITS
 

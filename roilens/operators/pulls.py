@@ -283,13 +283,13 @@ def review_depth_ols(prs_enriched: DataFrame) -> DataFrame:
                  round_dec(F.regr_r2(y, x), 4).alias("r_squared")))
 
 
-def review_sample(prs_enriched: DataFrame, n: int = 600, seed: int = 42) -> DataFrame:
+def review_sample(prs_enriched: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """A seeded, reproducible sample of at most n in-range PRs (a sampling
     operator: the limit is the feature). Rows are ranked by a seeded hash of
     the key, so every rerun picks the same rows; TakeOrderedAndProject keeps
     only n rows per partition."""
     return (_review_range(prs_enriched)
-            .withColumn("_h", F.xxhash64(F.col("pr_id"), F.lit(seed)))
+            .withColumn("_h", F.md5(F.concat(F.col("pr_id").cast("string"), F.lit(f":{seed}")).cast("binary")))
             .orderBy("_h", "pr_id").limit(n).drop("_h"))
 
 

@@ -11,6 +11,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import params as P
 from .inputs import Inputs
 from .oracle import EM, ES, RD, oracle
 
@@ -836,13 +837,58 @@ def q_spend_vs_productivity(spark, sf):
     return spend_vs_productivity(_summary(spark, sf))
 
 
-@register("correlation_significance")
+def _t_p_sql(r: str, n: str) -> str:
+    """Two-sided p-value of a correlation r on n pairs as the finite series of Student's t with n - 2 degrees of freedom,
+    where the series' sine is |r| (the Spark side uses the incomplete beta function instead)."""
+    def series(term: str) -> str:
+        return f"coalesce(list_sum(list_transform(range(0, cast(({n} - 2) // 2 as bigint)), lambda k: {term})), 0.0)"
+    even = f"abs({r}) * " + series(f"exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * pow(1 - {r} * {r}, k)")
+    odd = f"2 / pi() * (asin(abs({r})) + abs({r}) * " + series(
+        f"sqrt(pi()) / 2 * exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * pow(1 - {r} * {r}, k + 0.5)") + ")"
+    return (f"case when {n} < 3 then 1.0 when abs({r}) >= 1 then 0.0 "
+            f"else greatest(0.0, 1 - (case when {n} % 2 = 0 then {even} else {odd} end)) end")
+
+
+def _wording_sql(r: str, p: str, n: str) -> str:
+    return (f"case when {n} < 3 then 'Insufficient data' when {p} >= 0.05 then 'Not statistically significant' else printf("
+            f"'%s %s correlation (r=%.2f, p=%.3f)', case when abs({r}) >= {P.STRONG_R} then 'Strong' when abs({r}) >= {P.MODERATE_R} "
+            f"then 'Moderate' else 'Weak' end, case when {r} > 0 then 'positive' else 'negative' end, {r}, {p}) end")
+
+
+def _moments_sql(x: str, y: str) -> str:
+    return f"""
+, m as (select count(*) as n, corr(y, x) as r, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept,
+          regr_r2(y, x) as r2, regr_sxx(y, x) as sxx, regr_syy(y, x) as syy
+        from (select {x}::double as x, {y}::double as y from us) where x is not null and y is not null),
+mp as (select *, {_t_p_sql('r', 'n')} as p from (select * replace (case when n >= 3 then r else 0.0 end as r) from m))"""
+
+
+@register("correlation_significance", oracle(["us"], f"""
+, lng as ({_long_sql()}),
+m as (select label, count(*) as n, corr(y, x) as r, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept,
+        regr_r2(y, x) as r2, regr_sxx(y, x) as sxx, regr_syy(y, x) as syy
+      from lng where x is not null and y is not null and not isnan(x) and not isnan(y) group by label),
+h as (select x, y from lng where label = 'cost_vs_hours_saved' and x is not null and y is not null),
+rk as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rx,
+              rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry from h),
+sp as (select 'cost_vs_hours_saved' as label, corr(rx, ry) as rho, count(*) as sn from rk),
+j as (select m.* replace (case when m.n >= 3 then m.r else 0.0 end as r),
+        case when sp.sn >= 3 then sp.rho when sp.sn is not null then 0.0 end as rho from m left join sp on sp.label = m.label),
+mp as (select *, {_t_p_sql('r', 'n')} as p, case when rho is not null then {_t_p_sql('rho', 'n')} end as sp_p from j)
+select label, n, {RD('r', 4)} as pearson_r, {RD('rho', 4)} as spearman_rho,
+  {RD('case when n >= 3 then slope else 0.0 end', 6)} as slope,
+  {RD('case when n >= 3 then intercept else 0.0 end', 4)} as intercept,
+  {RD('case when n >= 3 then coalesce(r2, r * r) else 0.0 end', 4)} as r_squared,
+  {RD('case when n >= 3 and sxx > 0 then sqrt(greatest(1.0 - r * r, 0.0) * syy / sxx / (n - 2)) end', 6)} as std_err,
+  {RD('p', 4)} as pearson_p, {RD('sp_p', 4)} as spearman_p, p < 0.05 as significant, {_wording_sql('r', 'p', 'n')} as interpretation
+from mp"""))
 def q_correlation_significance(spark, sf):
     from ..operators.stats import spend_vs_productivity
     return spend_vs_productivity(_summary(spark, sf), with_p=True)
 
 
-@register("pearson")
+@register("pearson", oracle(["us"], _moments_sql("total_cost", "hours_saved_per_ticket") + f"""
+select n, {RD('r', 4)} as pearson_r, {RD('p', 4)} as pearson_p, p < 0.05 as significant, {_wording_sql('r', 'p', 'n')} as interpretation from mp"""))
 def q_pearson(spark, sf):
     from ..operators.stats import pearson
     return pearson(_summary(spark, sf), "total_cost", "hours_saved_per_ticket")
@@ -858,7 +904,11 @@ def q_spearman(spark, sf):
     return spearman(_summary(spark, sf), "total_cost", "hours_saved_per_ticket").drop("spearman_p")
 
 
-@register("ols")
+@register("ols", oracle(["us"], _moments_sql("total_cost", "net_roi") + f"""
+select {RD('case when n >= 3 then slope else 0.0 end', 6)} as slope, {RD('case when n >= 3 then intercept else 0.0 end', 4)} as intercept,
+  {RD('case when n >= 3 then coalesce(r2, r * r) else 0.0 end', 4)} as r_squared, {RD('p', 4)} as p_value,
+  {RD('case when n >= 3 and sxx > 0 then sqrt(greatest(1.0 - r * r, 0.0) * syy / sxx / (n - 2)) end', 6)} as std_err,
+  case when n >= 3 then n else 0 end as n from mp"""))
 def q_ols(spark, sf):
     from ..operators.stats import ols
     return ols(_summary(spark, sf), "total_cost", "net_roi")
@@ -917,10 +967,13 @@ def q_review_depth_ols(spark, sf):
     return review_depth_ols(_I(spark, sf).pull_requests_enriched())
 
 
-@register("review_sample")
+@register("review_sample", oracle(["prs_e"], """
+select pr_id, department, review_count, cycle_time_hours from prs_e
+where cycle_time_hours > 0 and cycle_time_hours < 500 and review_count >= 0
+order by md5(cast(pr_id as varchar) || ':42'), pr_id limit 600"""))
 def q_review_sample(spark, sf):
     from ..operators.pulls import review_sample
-    return review_sample(_I(spark, sf).pull_requests_enriched()).select(
+    return review_sample(_I(spark, sf).pull_requests_enriched(), 600).select(
         "pr_id", "department", "review_count", "cycle_time_hours")
 
 

@@ -2,16 +2,20 @@
 
 Two bigram models are counted over all documents: a target model over those that
 are marked, and a background model over all others. They match in everything but
-their counts: one vocabulary (the ``VOCABULARY`` - 1 words with the highest
-pooled counts, ties to the alphabetically first; all other words are one unknown
-word), one order, one smoothing. A word's probability after its predecessor is
-``(c(h, w) + MU * p(w)) / (c(h) + MU)`` with ``p(w) = (c(w) + 1) / (n + VOCABULARY)``.
+their counts: one vocabulary (all words of the corpus, however rare), one order,
+one smoothing. A word's probability after its predecessor is
+``(c(h, w) + MU * p(w)) / (c(h) + MU)`` with ``p(w) = (c(w) + 1) / (n + v)``, where
+``v`` counts the corpus' words and one unseen word, ``VOCABULARY`` at least.
 A document's score is the mean over its words of target loss minus background
 loss (natural logarithms): the lower, the more it is like the target.
 
-Counts are summed in each task before the shuffle. A model has (VOCABULARY + 1) *
-VOCABULARY cells whatever the corpus, about a million, so tables of that size
-are what the driver collects and broadcasts.
+Words and pairs are known by 64-bit hashes. Their counts are summed in each
+batch before the shuffle and written as one table. A pair is dealt by its word,
+or by its predecessor if the word is hot, so that it meets that word's count
+there; the counts of hot words (one in ``HOT`` of all words or more, so ``HOT`` of
+them at most) are broadcast, and so are the losses of hot pairs. A document's other
+pairs, each once with its number, are joined with the table. Nothing that grows
+with the corpus reaches the driver.
 
 Defined results: null and word-free texts have no words and score 0; without
 marked documents (or without others) that model is the uniform one; rows with a
@@ -21,113 +25,251 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-VOCABULARY, MU, FLUSH_WORDS = 1024, 100.0, 400_000
+from ..session import ensure_checkpoint_dir
+
+VOCABULARY, MU, FLUSH_WORDS, TOKENS_AT_ONCE, HOT = 1024, 100.0, 400_000, 2_000_000, 1 << 20
 WORDS = re.compile(r"[^\W_]+")
+START = " "  # no word: the beginning of a text
 
 
-class Vocabulary(dict):
-    """Word -> id; 0 is the unknown word."""
+class Words(dict):
+    """Word -> its number here, in the order of appearance."""
 
     def __missing__(self, word: str) -> int:
-        return 0
+        self[word] = n = len(self)
+        return n
 
-    def ids(self, text: str | None) -> np.ndarray:
-        """Ids of a text's words, after the beginning-of-text id ``VOCABULARY``."""
+    def numbers(self, text: str | None) -> np.ndarray:
+        """Numbers of a text's words, after that of START."""
         words = WORDS.findall(text.lower()) if text else []
         out = np.empty(len(words) + 1, dtype=np.int64)
-        out[0] = VOCABULARY
+        out[0] = self[START]
         out[1:] = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         return out
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over column ``text``."""
+def word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class Ids:
+    """Ids of words: the place of a hot word in ``hot`` (sorted hashes), else its hash."""
+
+    def __init__(self, hot: np.ndarray):
+        self.hot, self.held, self.n = hot, np.zeros(0, dtype=np.int64), 0
+
+    def of(self, words: Words) -> np.ndarray:
+        """By the words' numbers."""
+        if len(words) > self.n:
+            h = np.fromiter(map(word_hash, itertools.islice(words, self.n, None)), dtype=np.int64)
+            at = np.minimum(np.searchsorted(self.hot, h), max(0, len(self.hot) - 1))
+            met = self.hot[at] == h if len(self.hot) else np.zeros(len(h), bool)
+            if len(words) > len(self.held):
+                self.held = np.concatenate([self.held[:self.n], np.zeros(2 * len(words) - self.n, dtype=np.int64)])
+            # a hash that looks like a place is turned into one that does not
+            self.held[self.n:len(words)] = np.where(met, at, np.where((h >= 0) & (h < HOT), ~h, h))
+            self.n = len(words)
+        return self.held[:self.n]
+
+
+def is_hot(word: Column) -> Column:
+    return word.between(0, HOT - 1)
+
+
+def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        out = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ (out >> np.uint64(32))) + w.astype(np.uint64)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        return out ^ (out >> np.uint64(32))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and reread; the shuffles behind it go at once."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folder, before = f"{ensure_checkpoint_dir(spark)}/lm-{uuid4().hex}", spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.parquet(folder)
+
+
+def hot_words(texts: DataFrame, hot: int) -> np.ndarray:
+    """Sorted hashes of the words that are one in ``hot`` of all words (and beginnings of texts) or more."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
         for part in parts:
             for text in part["text"]:
-                held.update(WORDS.findall(text.lower()) if text else ())
+                words = WORDS.findall(text.lower()) if text else ()
+                held.update(words)
+                held[START] += len(words) > 0
                 if len(held) > FLUSH_WORDS:
-                    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+                    yield pd.DataFrame({"word": list(map(word_hash, held)), "n": list(held.values())})
                     held.clear()
         if held:
-            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+            yield pd.DataFrame({"word": list(map(word_hash, held)), "n": list(held.values())})
 
-    return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = written(texts.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return np.sort(counts.where((F.col("n") > 0) & (F.col("n") * hot >= total)).toPandas()["word"].to_numpy(dtype=np.int64))
 
 
-def count_pairs(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(cell, target, background): counts of predecessor * VOCABULARY + word over (text, target boolean)."""
-    shared = docs.sparkSession.sparkContext.broadcast(dict(vocabulary))
+def count(known: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Counts over (text, target boolean) by ids of words. With null ``h`` those of the word w: t and b of target and
+    background as a word, ht and hb as a predecessor. Else t and b of the pair (h, w), and in q_t, q_b, q_ht and q_hb the
+    counts of one of its words, by which it was dealt: w if that is not hot, else h if that is not, else none (nulls)."""
+    shared = known.sparkSession.sparkContext.broadcast(hot)
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, held = Vocabulary(shared.value), np.zeros((2, (VOCABULARY + 1) * VOCABULARY), dtype=np.int64)
+    def sums(held: list, words: Words, ids: np.ndarray) -> Iterator[pd.DataFrame]:
+        h, w, target = (np.concatenate(x) for x in zip(*held, strict=True))
+        code = np.sort(((h * len(words) + w) << 1) | target)
+        first = np.flatnonzero(np.concatenate([[True], code[1:] >> 1 != code[:-1] >> 1]))
+        n = np.diff(np.append(first, len(code)))
+        t = np.add.reduceat(code & 1, first)
+        pair = code[first] >> 1
+        for i in range(0, len(pair), 200_000):
+            some = slice(i, i + 200_000)
+            yield pd.DataFrame({"h": pd.array(ids[pair[some] // len(words)], dtype="Int64"), "w": ids[pair[some] % len(words)],
+                                "t": t[some], "b": (n - t)[some], "ht": 0, "hb": 0})
+        counts = [np.bincount(x[target == side], minlength=len(words)) for x in (w, h) for side in (1, 0)]
+        met = np.flatnonzero(np.any(counts, axis=0))
+        yield pd.DataFrame({"h": pd.array([None] * len(met), dtype="Int64"), "w": ids[met]}
+                           | {c: x[met] for c, x in zip(("t", "b", "ht", "hb"), counts, strict=True)})
+
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, ids, held, size = Words(), Ids(shared.value), [], 0
         for part in parts:
             for text, target in zip(part["text"], part["target"], strict=True):
-                ids = known.ids(text)
-                np.add.at(held[0 if target else 1], ids[:-1] * VOCABULARY + ids[1:], 1)
-        cells = np.flatnonzero(held.any(axis=0))
-        for at in range(0, len(cells), 100_000):
-            some = cells[at:at + 100_000]
-            yield pd.DataFrame({"cell": some, "target": held[0, some], "background": held[1, some]})
+                n = words.numbers(text)
+                if len(n) > 1:
+                    held.append((n[:-1], n[1:], np.full(len(n) - 1, int(target))))
+                    size += len(n)
+                if size > TOKENS_AT_ONCE:
+                    yield from sums(held, words, ids.of(words))
+                    held, size = [], 0
+                    if len(words) > FLUSH_WORDS:
+                        words, ids = Words(), Ids(shared.value)
+        if held:
+            yield from sums(held, words, ids.of(words))
 
-    pairs = docs.select("text", "target").mapInPandas(count, "cell long, target long, background long")
-    return pairs.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    h, w = F.col("h"), F.col("w")
+    q = F.when(h.isNull() | ~is_hot(w), w).when(~is_hot(h), h).otherwise(F.xxhash64(h, w))
+    emitted = known.select("text", "target").mapInPandas(counted, "h long, w long, t long, b long, ht long, hb long")
+    summed = emitted.repartition(q).select(q.alias("q"), *emitted.columns).groupBy("q", "h", "w").agg(
+        *(F.sum(c).alias(c) for c in ("t", "b", "ht", "hb")))
+    own = Window.partitionBy("q")
+    return summed.withColumns({f"q_{c}": F.max(F.when(F.col("h").isNull(), F.col(c))).over(own) for c in ("t", "b", "ht", "hb")}).drop("q")
 
 
 def losses(counts: np.ndarray) -> np.ndarray:
-    """Loss of each word after each predecessor, from counts (VOCABULARY + 1, VOCABULARY)."""
+    """Loss of each word after each predecessor, from counts (v + 1, v): the definition, for a small vocabulary."""
     single = counts.sum(axis=0)
-    p = (single + 1) / (single.sum() + VOCABULARY)
+    p = (single + 1) / (single.sum() + counts.shape[1])
     return -np.log((counts + MU * p) / (counts.sum(axis=1, keepdims=True) + MU))
 
 
-def fit(texts: DataFrame, known: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
-    """Vocabulary over all of ``texts``, and the losses of both models over ``known`` (text, target)."""
-    top = count_words(texts).orderBy(F.desc("n"), "word").limit(VOCABULARY - 1).collect()
-    vocabulary = Vocabulary((r["word"], i + 1) for i, r in enumerate(top))
-    cells = count_pairs(known, vocabulary).toPandas()  # at most (VOCABULARY + 1) * VOCABULARY rows
-    out = []
-    for name in ("target", "background"):
-        counts = np.zeros((VOCABULARY + 1) * VOCABULARY)
-        counts[cells["cell"].to_numpy(dtype=np.int64)] = cells[name]
-        out.append(losses(counts.reshape(VOCABULARY + 1, VOCABULARY)).astype(np.float32))
-    return vocabulary, out[0], out[1]
+def fit(known: DataFrame, hot: np.ndarray) -> tuple[DataFrame, int]:
+    """(h, w, n, target, background): count and losses of all pairs of ``known`` (text, target); and how many pairs
+    with repetitions there are."""
+    table = written(count(known, hot))
+    words = table.where("h is null").select(F.col("w").alias("word"), "t", "b", "ht", "hb")
+    n = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count_if(F.col("t") + F.col("b") > 0).alias("types")).first()
+    v = max(VOCABULARY, n["types"] + 1)
+    common = words.where(is_hot(F.col("word")))  # HOT at most
+    w, h = (F.broadcast(common.select(*(F.col(c).alias(f"{side}_{c}") for c in ("word", *cs))))
+            for side, cs in (("w", ("t", "b")), ("h", ("ht", "hb"))))
+    pairs = table.where("h is not null").join(w, F.col("w") == F.col("w_word"), "left").join(h, F.col("h") == F.col("h_word"), "left")
+    cold = F.col("w_word").isNull()
+    pairs = pairs.select(
+        "h", "w", "t", "b", (cold & F.col("h_word").isNull()).alias("open"),
+        *(F.when(cold, F.col(f"q_{c}")).otherwise(F.col(f"w_{c}")).alias(f"w_{c}") for c in ("t", "b")),
+        *(F.coalesce(f"h_{c}", F.when(~cold, F.col(f"q_{c}"))).alias(f"h_{c}") for c in ("ht", "hb")))
+    whole = pairs.where("not open").drop("open")
+    rest = pairs.where("open").drop("open", "h_ht", "h_hb").join(words.where(~is_hot(F.col("word"))).select(
+        F.col("word").alias("h"), F.col("ht").alias("h_ht"), F.col("hb").alias("h_hb")).hint("shuffle_hash"), "h")
+    loss = lambda c, total: -F.log((F.col(c) + MU * (F.col(f"w_{c}") + 1) / (total + v)) / (F.col(f"h_h{c}") + MU))
+    model = whole.unionByName(rest).select("h", "w", (F.col("t") + F.col("b")).alias("n"), loss("t", n["t"] or 0).alias("target"),
+                                           loss("b", n["b"] or 0).alias("background"))
+    return model, (n["t"] or 0) + (n["b"] or 0)
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                             target_id_col: str = "doc_id") -> DataFrame:
+                             target_id_col: str = "doc_id", hot: int = HOT) -> DataFrame:
     """One row per input row: id, n_words, target_loss, background_loss, score. ``targets`` has the ids of the
-    marked documents."""
+    marked documents; ``hot`` bounds what is broadcast and changes no result."""
     spark = docs.sparkSession
     marked = targets.select(F.col(target_id_col).alias("marked_id")).where("marked_id is not null").distinct().hint("shuffle_hash")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = texts.join(marked, F.col("id") == F.col("marked_id"), "left").select("text", F.col("marked_id").isNotNull().alias("target"))
-    vocabulary, *tables = fit(texts, known)
-    model = spark.sparkContext.broadcast((dict(vocabulary), *tables))
+    hot = min(hot, HOT)
+    some = hot_words(texts, hot)
+    model, total = fit(known, some)
+    common = model.where(F.col("n") * hot >= total).select("h", "w", "target", "background").toPandas()  # ``hot`` at most
+    key = pair_hash(common["h"].to_numpy(dtype=np.int64), common["w"].to_numpy(dtype=np.int64))
+    order = np.argsort(key)
+    shared = spark.sparkContext.broadcast((some, key[order], *(common[c].to_numpy(dtype=np.float64)[order] for c in ("target", "background"))))
+
+    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A text's pairs that are not hot. Its first pair is none (its row before its beginning), counted 0 times, and has
+        its id, number of words and losses of the hot pairs: no text is lost."""
+        hot_ids, hot_pairs, *hot_losses = shared.value
+        words, known, out, size = Words(), Ids(hot_ids), [], 0
+
+        def frame() -> pd.DataFrame:
+            rows, ids, n, sums, h, w, times = zip(*out, strict=True)
+            lengths = np.array([len(x) for x in h])
+            first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            one = {"id": np.full(lengths.sum(), None, dtype=object), "n": np.zeros(lengths.sum(), dtype=np.int64),
+                   **{c: np.zeros(lengths.sum()) for c in ("hot_target", "hot_background")}}
+            for c, values in (("id", ids), ("n", n), ("hot_target", [x[0] for x in sums]), ("hot_background", [x[1] for x in sums])):
+                one[c][first] = values
+            return pd.DataFrame({"row": np.repeat(rows, lengths), **one, "h": np.concatenate(h), "w": np.concatenate(w),
+                                 "times": np.concatenate(times)})
 
-    @F.pandas_udf("n_words long, target_loss double, background_loss double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words, target, background = model.value
-        vocabulary = Vocabulary(words)
         for part in parts:
-            rows = []
-            for text in part:
-                ids = vocabulary.ids(text)
-                n = len(ids) - 1
-                rows.append((n, *(float(t[ids[:-1], ids[1:]].sum(dtype=np.float64)) / max(n, 1) for t in (target, background))))
-            yield pd.DataFrame(rows, columns=["n_words", "target_loss", "background_loss"])
-
-    found = texts.select("id", score("text").alias("s"))
-    return found.select(F.col("id").alias(id_col), "s.n_words", "s.target_loss", "s.background_loss",
-                        (F.col("s.target_loss") - F.col("s.background_loss")).alias("score"))
+            for row, i, text in zip(part["row"], part["id"], part["text"], strict=True):
+                if len(words) > FLUSH_WORDS:
+                    words, known = Words(), Ids(hot_ids)
+                at = words.numbers(text)
+                ids = known.of(words)
+                code, times = np.unique((at[:-1] << 32) | at[1:], return_counts=True)
+                h, w = ids[code >> 32], ids[code & 0xFFFFFFFF]
+                pair = pair_hash(h, w)
+                at_pair = np.minimum(np.searchsorted(hot_pairs, pair), max(0, len(hot_pairs) - 1))
+                met = hot_pairs[at_pair] == pair if len(hot_pairs) else np.zeros(len(pair), bool)
+                out.append((row, i, len(at) - 1, [float((x[at_pair[met]] * times[met]).sum()) for x in hot_losses],
+                            np.append(row, h[~met]), np.append(ids[words[START]], w[~met]), np.append(0, times[~met])))
+                size += len(out[-1][4])
+                if size > 200_000:
+                    yield frame()
+                    out, size = [], 0
+        if out:
+            yield frame()
+
+    pair = F.xxhash64("h", "w").alias("pair")
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("string").alias("id"), "text")
+    found = rows.mapInPandas(split, "row long, id string, n long, hot_target double, hot_background double, h long, w long, times long")
+    found = found.withColumn("pair", pair).drop("h", "w")
+    rare = model.where(F.col("n") * hot < total).select(pair, "target", "background").hint("shuffle_hash")
+    joined = found.join(rare, "pair", "left")
+    mean = lambda c: ((F.sum(f"hot_{c}") + F.sum(F.when(F.col("times") > 0, F.col("times") * F.col(c)).otherwise(0.0)))
+                      / F.greatest(F.sum("n"), F.lit(1)))
+    scored = joined.groupBy("row").agg(F.max("id").alias("id"), F.sum("n").alias("n_words"),
+                                       mean("target").alias("target_loss"), mean("background").alias("background_loss"))
+    return scored.select(F.col("id").cast(texts.schema["id"].dataType).alias(id_col), "n_words", "target_loss", "background_loss",
+                         (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -362,6 +362,39 @@ def test_lm_scores_equal_brute_force(spark, odd, none):
     assert lm_scores.cross_entropy_difference(none, good).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4, 50, lm_scores.HOT])
+def test_lm_scores_know_every_word(spark, hot):
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(["the", *(f"w{j}" for j in rng.zipf(1.2, 60) % 5000), f"only{i}", f"x{i}y", "the"])) for i in range(120)]
+    texts += [(500, "the same text but for alpha"), (501, "the same text but for omega"), (1, "alpha alpha once"), (None, None), (None, "omega")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = lm_scores.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in range(0, 120, 3)] + [(1,)], "doc_id long"), hot=hot).collect()
+    marked = {1, *range(0, 120, 3)}
+    words = {w for _, t in texts for w in (t or "").split()}
+    assert len(words) > lm_scores.VOCABULARY
+    v = max(lm_scores.VOCABULARY, len(words) + 1)
+    pair, single, before = ([{}, {}] for _ in range(3))
+    for i, t in texts:
+        side, ws = int(i not in marked), ["", *(t or "").split()]
+        for h, w in zip(ws, ws[1:], strict=False):
+            for held, k in ((pair, (h, w)), (single, w), (before, h)):
+                held[side][k] = held[side].get(k, 0) + 1
+
+    def loss(side, h, w):
+        p = (single[side].get(w, 0) + 1) / (sum(single[side].values()) + v)
+        return -np.log((pair[side].get((h, w), 0) + lm_scores.MU * p) / (before[side].get(h, 0) + lm_scores.MU))
+
+    want = []
+    for i, t in texts:
+        ws = ["", *(t or "").split()]
+        n = max(1, len(ws) - 1)
+        want.append((str(i), len(ws) - 1, *(sum(loss(s, h, w) for h, w in zip(ws, ws[1:], strict=False)) / n for s in (0, 1))))
+    got = sorted((str(r.doc_id), r.n_words, r.target_loss, r.background_loss) for r in rows)
+    assert [g[:2] for g in got] == [x[:2] for x in sorted(want)] and np.allclose([g[2:] for g in got], [x[2:] for x in sorted(want)], atol=1e-9)
+    by = {r.doc_id: r.score for r in rows}
+    assert by[500] < by[501]  # a rare word of the target tells two texts apart
+
+
 def test_sharding_query_equals_its_sql(spark):
     import duckdb
     from roilens.llm.queries import ORACLES, QUERIES

@@ -6,10 +6,12 @@ letters) turn into typed
 placeholders that keep their value as a slot. Windows of ``WINDOW`` tokens are
 hashed: documents and benchmark items meet where template windows are equal
 (shuffle hash-join on 64-bit hashes), so an item is found whatever numbers,
-names and units it was filled with. Matches of one document and item at one
-offset form an alignment; its slots must be consistent: each value of the item
-stands for one value of the document throughout, and different names and units
-stay different. A document is contaminated by an item if a consistent alignment
+names and units it was filled with; a run of names, or of numbers, is one token.
+Matches of one document and item at one offset form an alignment. One that goes
+on at an offset shifted by at most ``SHIFT`` tokens (words were inserted or
+dropped) is chained to it. The slots of the whole must be consistent: each value
+of the item stands for one value of the document throughout, and different names
+and units stay different; runs are compared word by word if they have as many. A document is contaminated by an item if a consistent alignment
 covers ``COVER`` of the item's tokens or ``LEAST_RUN`` of them, whichever is less.
 
 Before the join, documents' windows pass a Bloom filter of the benchmark's
@@ -30,6 +32,7 @@ other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
-WINDOW, LEAST_WORDS, LEAST_RUN, COVER = 8, 4, 13, 0.8
+WINDOW, LEAST_WORDS, LEAST_RUN, COVER, SHIFT = 8, 4, 13, 0.8, 8
 BLOOM_BITS, BLOOM_HASHES = 1 << 24, 3
 NUMBER, UNIT, NAME = "\x00num", "\x00unit", "\x00name"
 KINDS = (NUMBER, UNIT, NAME)
@@ -156,7 +159,8 @@ def _unit_hashes() -> np.ndarray:
 
 
 class Template:
-    """A text as template tokens: ``hashes``, ``kinds`` (0: literal, else the place in KINDS from 1) and words."""
+    """A text as template tokens: ``hashes`` of the words, ``kinds`` (0: literal, else the place in KINDS from 1; no names
+    yet), ``named`` (the names), ``joined`` (no sentence ends before the token), and where each is in the text."""
 
     def __init__(self, text: str | None):
         self.text = text or ""
@@ -172,26 +176,45 @@ class Template:
         kept = np.flatnonzero(~end)
         number = kind[kept] == DIGIT
         self.kinds = np.zeros(len(kept), dtype=np.int8)
-        self.kinds[name[kept]] = 3
         after = np.flatnonzero(number[:-1] & ~number[1:]) + 1
         if len(after):
             self.kinds[after[np.isin(hashes[kept[after]], _unit_hashes())]] = 2
         self.kinds[number] = 1
+        self.named, self.joined = name[kept], ~begins[kept]
         self.hashes = hashes[kept]
+        self.start, self.stop = start[kept], stop[kept]
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def views(self) -> list[tuple[int, View]]:
+        return [(1, View(self, self.named))]
+
+
+class View:
+    """A text's tokens with some of them as names; a run of names, or of numbers, is one token. ``first``: the place of each
+    in the text's tokens, with the number of those as its last."""
+
+    def __init__(self, t: Template, names: np.ndarray):
+        self.t = t
+        kinds = np.where(names & (t.kinds == 0), np.int8(3), t.kinds)
+        run = (kinds[1:] == kinds[:-1]) & ((kinds[1:] == 1) | (kinds[1:] == 3)) & t.joined[1:]
+        first = np.flatnonzero(np.concatenate([[True], ~run])[:len(kinds)])
+        self.kinds, self.hashes, self.first = kinds[first], t.hashes[first], np.append(first, len(kinds))
         self.slots = np.flatnonzero(self.kinds)
         for i, k in enumerate(KINDS):
             self.hashes[self.slots[self.kinds[self.slots] == i + 1]] = HASH[k]
-        self.start, self.stop = start[kept], stop[kept]
 
     def __len__(self) -> int:
-        return len(self.start)
+        return len(self.kinds)
 
     def slot(self, place: int) -> tuple[str, str]:
-        """Kind and value."""
-        return KINDS[self.kinds[place] - 1][1:], self.text[self.start[place]:self.stop[place]].lower()
+        """Kind and value: the words of the run."""
+        t, run = self.t, range(self.first[place], self.first[place + 1])
+        return KINDS[self.kinds[place] - 1][1:], " ".join(t.text[t.start[j]:t.stop[j]].lower() for j in run)
 
 
-def windows(t: Template, length: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(t: View, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, signed hashes) of the windows of ``length`` tokens that hold LEAST_WORDS literal tokens."""
     n = len(t) - length + 1
     if n <= 0:
@@ -221,24 +244,24 @@ def passes(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _windowed(parts: Iterator[pd.DataFrame], lengths: list[int] | None, bloom: np.ndarray | None) -> Iterator[pd.DataFrame]:
     """Windows of all texts: of the given lengths, or of each item's own if None; only those the filter passes."""
+    names = WINDOWED_COLS
     for part in parts:
-        cols: dict[str, list] = {c: [] for c in ("id", "n", "hash", "place", "slots")}
-        for i, text in zip(part["id"], part["text"], strict=True):
+        cols: dict[str, list] = {c: [] for c in names}
+        for i, row, text in zip(part["id"], part["row"], part["text"], strict=True):
             t = Template(text)
-            for length in lengths if lengths is not None else [min(WINDOW, len(t))]:
-                places, hashes = windows(t, length)
-                if bloom is not None and len(places):
-                    ok = passes(bloom, hashes)
-                    places, hashes = places[ok], hashes[ok]
-                if not len(places):
-                    continue
-                first, last = np.searchsorted(t.slots, places), np.searchsorted(t.slots, places + length)
-                for p, h, a, b in zip(places.tolist(), hashes.tolist(), first.tolist(), last.tolist(), strict=True):
-                    cols["id"].append(i)
-                    cols["n"].append(len(t))
-                    cols["hash"].append(h)
-                    cols["place"].append(p)
-                    cols["slots"].append(["{}:{}={}".format(s - p, *t.slot(s)) for s in t.slots[a:b].tolist()])
+            for views, v in t.views():
+                for length in lengths if lengths is not None else [min(WINDOW, len(v))]:
+                    places, hashes = windows(v, length)
+                    if bloom is not None and len(places):
+                        ok = passes(bloom, hashes)
+                        places, hashes = places[ok], hashes[ok]
+                    if not len(places):
+                        continue
+                    first, last = np.searchsorted(v.slots, places), np.searchsorted(v.slots, places + length)
+                    for p, h, a, b in zip(places.tolist(), hashes.tolist(), first.tolist(), last.tolist(), strict=True):
+                        slots = ["{}:{}={}".format(s - p, *v.slot(s)) for s in v.slots[a:b].tolist()]
+                        for c, x in zip(names, (i, row, views, len(t), length, h, v.first[p], v.first[p + length], slots), strict=True):
+                            cols[c].append(x)
             if len(cols["id"]) >= 50_000:
                 yield _frame(cols)
                 cols = {c: [] for c in cols}
@@ -247,16 +270,20 @@ def _windowed(parts: Iterator[pd.DataFrame], lengths: list[int] | None, bloom: n
 
 
 def _frame(cols: dict[str, list]) -> pd.DataFrame:
-    return pd.DataFrame({"id": pd.array(cols["id"], dtype="Int64"), "n": cols["n"], "hash": cols["hash"],
-                         "place": cols["place"], "slots": pd.Series(cols["slots"], dtype=object)})
+    return pd.DataFrame({c: pd.Series(x, dtype=object) if c in ("id", "slots") else x for c, x in cols.items()})
+
 
+WINDOWED = "id string, row long, views int, n int, length int, hash long, place int, stop int, slots array<string>"
+WINDOWED_COLS = [c.split()[0] for c in WINDOWED.split(", ")]
 
-WINDOWED = "id long, n int, hash long, place int, slots array<string>"
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, text): ids as text, which keeps nulls and all digits on the way through pandas."""
+    return df.select(F.col(id_col).cast("long").cast("string").alias("id"), F.lit(0).cast("long").alias("row"), F.col(text_col).alias("text"))
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return items.mapInPandas(lambda parts: _windowed(parts, None, None), WINDOWED)
+    return _texts(benchmark, id_col, text_col).mapInPandas(lambda parts: _windowed(parts, None, None), WINDOWED)
 
 
 def bloom_filter(hashes: DataFrame) -> np.ndarray:
@@ -279,45 +306,105 @@ def bloom_filter(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row for each contaminated document and item: the ids, item_tokens, covered, coverage, exact
-    (all slots hold the item's own values) and at (the token at which the alignment begins)."""
+def consistent(pairs: set[tuple[str, str, str]]) -> bool:
+    """Whether each value (kind, item's, document's) of the item has one of the document, and different names and units different ones."""
+    strict = {p for p in pairs if p[0] != "num"}
+    return len({p[:2] for p in pairs}) == len(pairs) and len({(k, y) for k, _, y in strict}) == len(strict)
+
+
+def slot_pairs(item_slots: list[str], slots: list[str]) -> set[tuple[str, str, str]]:
+    """Values that meet: word by word where both runs have as many or the document's begins or ends with the item's, else
+    run by run."""
+    out = set()
+    for a, b in zip(item_slots, slots, strict=True):
+        head, x = a.split("=", 1)
+        y = b.split("=", 1)[1]
+        kind, xs, ys = head.split(":")[1], x.split(" "), y.split(" ")
+        if xs in (ys[:len(xs)], ys[-len(xs):]):  # a word before or after a name that looks like one
+            ys = xs
+        out |= set(zip([kind] * len(xs), xs, ys, strict=True)) if len(xs) == len(ys) else {(kind, x, y)}
+    return out
+
+
+def covered(spans: list[tuple[int, int]]) -> int:
+    total = end = 0
+    for a, b in sorted(spans):
+        total, end = total + max(0, b - max(a, end)), max(end, b)
+    return total
+
+
+def chains(found: list[tuple[int, int, int, set]], n: int) -> tuple[int, bool, int] | None:
+    """The best (covered tokens, exact, minus the offset at which it begins) of windows (offset, item place, item stop, slot
+    pairs) of one text and one item of n tokens. Windows of one offset are an alignment. An alignment is continued by such
+    as begin and end later in the item, are shifted by at most SHIFT tokens against the last and keep all slots consistent."""
+    at: dict[int, tuple[list, set]] = {}
+    for offset, place, stop, pairs in found:
+        spans, held = at.setdefault(offset, ([], set()))
+        spans.append((place, stop))
+        held |= pairs
+    parts = [(o, min(s)[0], max(x[1] for x in s), s, p) for o, (s, p) in at.items() if consistent(p)]
+    parts.sort(key=lambda x: (x[0] + x[1], x[0]))
+    best = None
+    for i, (offset, start, stop, spans, pairs) in enumerate(parts):
+        last, spans, pairs = offset, list(spans), set(pairs)
+        for o, a, b, more, other in parts[i + 1:]:
+            if o + a > last + n + SHIFT:
+                break
+            if abs(o - last) <= SHIFT and a > start and b > stop and consistent(pairs | other):
+                last, start, stop, spans, pairs = o, a, b, spans + more, pairs | other
+        c = covered(spans)
+        if c >= min(LEAST_RUN, math.ceil(n * COVER)):
+            got = (c, all(x == y for _, x, y in pairs), -offset)
+            best = got if best is None or got > best else best
+    return best
+
+
+def _judged(g: pd.DataFrame) -> pd.DataFrame:
+    """The verdict on one text and item, by each view alone."""
+    n, best = int(g["n"].iloc[0]), None
+    rows = [(v, p - i, i, s, slot_pairs(list(a), list(b))) for v, p, i, s, a, b in zip(
+        g["views"], g["place"], g["item_place"], g["item_stop"], g["item_slots"], g["slots"], strict=True)]
+    for view in (1, 2):
+        got = chains([x[1:] for x in rows if x[0] & view], n)
+        best = got if best is None or got is not None and got > best else best
+    one = g.iloc[:1]
+    out = pd.DataFrame({"id": one["id"], "row": one["row"], "item": one["item"], "n": one["n"]})
+    if best is None:
+        return out.iloc[:0].assign(covered=0, exact=False, back=0)
+    return out.assign(covered=best[0], exact=best[1], back=best[2])
+
+
+def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id, row, item, n, covered, exact, back) of contaminated texts and items, once for each id and text."""
     spark = docs.sparkSession
     items = benchmark_windows(benchmark, item_col, item_text_col)
-    lengths = sorted(r[0] for r in items.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect())  # WINDOW at most
+    lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # WINDOW at most
     bloom = spark.sparkContext.broadcast(bloom_filter(items))  # BLOOM_BITS bits
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = texts.mapInPandas(lambda parts: _windowed(parts, lengths, bloom.value), WINDOWED)
-    seen = seen.select("id", "hash", "place", "slots").distinct()
-    known = items.select(F.col("id").alias("item"), "n", "hash", F.col("place").alias("item_place"),
-                         F.col("slots").alias("item_slots")).distinct()
-    value = lambda s: F.substring_index(s, "=", -1)
+    seen = _texts(docs, id_col, text_col).mapInPandas(lambda parts: _windowed(parts, lengths, bloom.value), WINDOWED)
+    seen = seen.select("id", "row", F.col("views").alias("own"), "hash", "place", "slots").distinct()
+    known = items.select(F.col("id").alias("item"), "views", "n", "hash", F.col("place").alias("item_place"),
+                         F.col("stop").alias("item_stop"), F.col("slots").alias("item_slots")).distinct()
     slot = lambda s: F.substring_index(s, "=", 1)
     # a window of another length with the same hash differs in its slots or was hashed with that length
     met = seen.join(known, "hash").where(F.transform("slots", slot) == F.transform("item_slots", slot))
-    pairs = met.select(
-        "id", "item", "n", (F.col("place") - F.col("item_place")).alias("offset"), "item_place",
-        F.zip_with("item_slots", "slots", lambda a, b: F.concat_ws("\x01", F.substring_index(slot(a), ":", -1), value(a), value(b))).alias("pairs"))
-    one = pairs.groupBy("id", "item", "n", "offset").agg(
-        F.array_sort(F.collect_set("item_place")).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    width = F.least(F.col("n"), F.lit(WINDOW))
-    covered = F.aggregate("places", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")), lambda acc, p: F.struct(
-        (acc["sum"] + width - F.greatest(acc["end"] - p, F.lit(0))).alias("sum"), (p + width).alias("end")))["sum"]
-    part = lambda p, i: F.element_at(F.split(p, "\x01"), i)
-    left = F.transform("pairs", lambda p: F.concat(part(p, 1), F.lit("="), part(p, 2)))
-    strict = F.filter("pairs", lambda p: part(p, 1) != "num")
-    right = F.transform(strict, lambda p: F.concat(part(p, 1), F.lit("="), part(p, 3)))
-    consistent = (F.size(F.array_distinct(left)) == F.size("pairs")) & (F.size(F.array_distinct(right)) == F.size(strict))
-    exact = F.forall("pairs", lambda p: part(p, 2) == part(p, 3))
-    judged = one.withColumns({"covered": covered, "consistent": consistent, "exact": exact})
-    judged = judged.where("consistent").where(F.col("covered") >= F.least(F.lit(LEAST_RUN), F.ceil(F.col("n") * COVER)))
-    best = judged.groupBy("id", "item").agg(F.max(F.struct(
-        F.col("covered"), F.col("exact"), (-F.col("offset")).alias("back"), F.col("n"))).alias("best"))
+    both = F.col("own").bitwiseAND(F.col("views"))
+    met = met.select("id", "row", "item", "n", F.when(both != 0, both).otherwise(3).alias("views"),
+                     "place", "item_place", "item_stop", "item_slots", "slots")
+    return met.groupBy("id", "row", "item", "n").applyInPandas(
+        _judged, "id string, row long, item string, n int, covered int, exact boolean, back int")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row for each contaminated document and item: the ids, item_tokens, covered, coverage, exact
+    (all slots hold the item's own values) and at (the token at which the alignment begins)."""
+    best = judge(docs, benchmark, id_col, text_col, item_col, item_text_col).groupBy("id", "item").agg(
+        F.max(F.struct("covered", "exact", "back", "n")).alias("best"))
     return best.select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best.n").alias("item_tokens"), F.col("best.covered").alias("covered"),
-        (F.col("best.covered") / F.col("best.n")).alias("coverage"), F.col("best.exact").alias("exact"), (-F.col("best.back")).alias("at"))
+        F.col("id").cast("long").alias(id_col), F.col("item").cast("long").alias(item_col), F.col("best.n").alias("item_tokens"),
+        F.col("best.covered").alias("covered"), (F.col("best.covered") / F.col("best.n")).alias("coverage"),
+        F.col("best.exact").alias("exact"), (-F.col("best.back")).alias("at"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -311,6 +311,16 @@ def test_decontamination_templates_slots_and_edges(spark, odd, none):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_chains_shifted_pieces(spark):
+    words, short = ITEM.split(), "Please tell Alice now how many red apples Bob could possibly carry home before 12 hours passed today."
+    near = [" ".join(words[:11] + ["really"] + words[11:]), " ".join(words[:10] + words[11:]), ITEM.replace("Alice", "Mary Ann"),
+            ITEM.replace("12", "12 000"), short.replace("Bob", "Jean Luc"),
+            " ".join(words[:11]) + " so and so and so it went on for very long " + " ".join(words[11:14])]
+    docs = spark.createDataFrame([(i, f"Then it went on. {t} It ended there.") for i, t in enumerate(near)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, ITEM), (1, short)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 1)]
+
+
 def test_decontamination_finds_every_whole_item(spark, docs):
     bench = spark.read.parquet(f"{SF001}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}

@@ -1,9 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become tokens; numbers, units after a number, and names (capitalised words
-that somewhere in the text do not begin a sentence and never occur in small
-letters) turn into typed
-placeholders that keep their value as a slot. Windows of ``WINDOW`` tokens are
+Texts become tokens; numbers, units after a number, and names turn into typed
+placeholders that keep their value as a slot. Each text is read in three ways:
+names are the capitalised words that somewhere in the text do not begin a sentence
+and never occur in small letters; or all capitalised words, whatever else the text
+holds; or none. A document is judged by what matches in the first and third, and by
+what matches in the second and third, so neither its other text nor its capitals
+hide an item. Windows of ``WINDOW`` tokens are
 hashed: documents and benchmark items meet where template windows are equal
 (shuffle hash-join on 64-bit hashes), so an item is found whatever numbers,
 names and units it was filled with; a run of names, or of numbers, is one token.
@@ -160,7 +163,7 @@ def _unit_hashes() -> np.ndarray:
 
 class Template:
     """A text as template tokens: ``hashes`` of the words, ``kinds`` (0: literal, else the place in KINDS from 1; no names
-    yet), ``named`` (the names), ``joined`` (no sentence ends before the token), and where each is in the text."""
+    yet), ``named`` (the names by the whole text), ``capital`` (those by the word alone), ``joined`` (no sentence ends before the token), and where each is in the text."""
 
     def __init__(self, text: str | None):
         self.text = text or ""
@@ -180,7 +183,7 @@ class Template:
         if len(after):
             self.kinds[after[np.isin(hashes[kept[after]], _unit_hashes())]] = 2
         self.kinds[number] = 1
-        self.named, self.joined = name[kept], ~begins[kept]
+        self.named, self.capital, self.joined = name[kept], capital[kept], ~begins[kept]
         self.hashes = hashes[kept]
         self.start, self.stop = start[kept], stop[kept]
 
@@ -188,7 +191,12 @@ class Template:
         return len(self.start)
 
     def views(self) -> list[tuple[int, View]]:
-        return [(1, View(self, self.named))]
+        """(bits, tokens): names by the whole text (1), by the word alone (2), and none, which serves both."""
+        held: dict[bytes, tuple[int, np.ndarray]] = {}
+        for bits, names in ((1, self.named), (2, self.capital), (3, np.zeros(len(self), dtype=bool))):
+            names = names & (self.kinds == 0)
+            held[names.tobytes()] = held.get(names.tobytes(), (0,))[0] | bits, names
+        return [(bits, View(self, names)) for bits, names in held.values()]
 
 
 class View:

@@ -321,6 +321,17 @@ def test_decontamination_chains_shifted_pieces(spark):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 1)]
 
 
+def test_decontamination_types_tokens_whatever_else_the_text_holds(spark):
+    item = "Which organelle makes most of the energy of a cell? A) Nucleus B) Mitochondrion C) Golgi apparatus D) Ribosome of Palade"
+    first = "Alice reads and writes while her brother Tom sleeps all day long in the garden of Alice and of Tom."
+    texts = [item + " The nucleus and the mitochondrion, golgi, ribosome, palade, apparatus.", item.lower(), item.upper(),
+             "We met Alice there. " + first, first.lower(), first.replace("Alice", "Carol") + " They met Carol and said tom twice."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, first)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1)}
+
+
 def test_decontamination_finds_every_whole_item(spark, docs):
     bench = spark.read.parquet(f"{SF001}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}

@@ -26,9 +26,10 @@ Windows need ``LEAST_WORDS`` literal tokens, or tables of numbers would match
 each other. Items shorter than a window are one window of their own length; items
 with fewer than ``LEAST_WORDS`` literal tokens in every window take no part.
 
-Defined results: null and empty texts match nothing; repeated rows of a
-document id give one row for each item; a null document id is an id of its own;
-repeated items are one item for each id; empty tables give an empty result;
+Defined results: null and empty texts match nothing; each text is judged for
+itself, whatever other rows its id has; repeated rows of a document id give one
+row for each item, that of the best text; a null document id is an id of its own;
+``clean`` drops contaminated texts, not other texts of their ids; repeated items are one item for each id; empty tables give an empty result;
 other columns are not read.
 """
 
@@ -286,8 +287,8 @@ WINDOWED_COLS = [c.split()[0] for c in WINDOWED.split(", ")]
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, text): ids as text, which keeps nulls and all digits on the way through pandas."""
-    return df.select(F.col(id_col).cast("long").cast("string").alias("id"), F.lit(0).cast("long").alias("row"), F.col(text_col).alias("text"))
+    """(id, row, text): ids as text, which keeps nulls and all digits on the way through pandas; ``row`` is the text's hash."""
+    return df.select(F.col(id_col).cast("long").cast("string").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -384,7 +385,7 @@ def _judged(g: pd.DataFrame) -> pd.DataFrame:
 
 def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, row, item, n, covered, exact, back) of contaminated texts and items, once for each id and text."""
+    """(id, row, item, n, covered, exact, back) of contaminated texts and items, once for each id and text (``row`` is its hash)."""
     spark = docs.sparkSession
     items = benchmark_windows(benchmark, item_col, item_text_col)
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # WINDOW at most
@@ -416,7 +417,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without contaminated ones, all columns kept."""
-    bad = fresh(docs, "contaminated_id")
-    found = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(bad)).distinct()
-    return docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(bad)), "left_anti")
+    """``docs`` without contaminated rows, all columns kept."""
+    bad, row = fresh(docs, "contaminated_id"), fresh(docs, "contaminated_row")
+    found = judge(docs, benchmark, id_col, text_col).select(F.col("id").cast("long").alias(bad), F.col("row").alias(row)).distinct()
+    return docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(bad)) & (F.xxhash64(text_col) == F.col(row)), "left_anti")

@@ -332,6 +332,20 @@ def test_decontamination_types_tokens_whatever_else_the_text_holds(spark):
     assert got == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1)}
 
 
+def test_decontamination_judges_rows(spark):
+    words = ITEM.split()
+    pieces = [" ".join(words[:10]), "or so " * 4 + " ".join(words[10:])]
+    texts = [(None, ITEM), (None, "clean text without an id"), (None, "another clean text"), (None, None), (5, ITEM), (5, "clean text of a repeated id"), (5, ITEM),
+             (6, ITEM.replace("Alice", "Carol")), (6, ITEM), (9, pieces[0]), (9, pieces[1]), (1 << 60, ITEM), ((1 << 60) + 1, "clean")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
+    kept = sorted((str(r.doc_id), str(r.text)) for r in decontaminate.clean(docs, bench).collect())
+    bad = {ITEM, ITEM.replace("Alice", "Carol")}
+    assert kept == sorted((str(i), str(t)) for i, t in texts if t not in bad)
+    rows = {r.doc_id: r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(rows) == {None, 5, 6, 1 << 60} and all(r.exact for r in rows.values())
+
+
 def test_decontamination_finds_every_whole_item(spark, docs):
     bench = spark.read.parquet(f"{SF001}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}

@@ -1,6 +1,8 @@
 """Toxicity scores from a bidirectional gated recurrent network.
 
-A text is lower-cased and cut into words (letters and digits). A word enters
+A text is lower-cased and cut into words (letters and digits; a run of more than
+``WORD_BYTES`` bytes, as in scripts without spaces, into pieces of that size that
+overlap by half and count as words, in training and scoring alike). A word enters
 the network by two embeddings side by side: one of the word itself (words of the
 training sample; all others share one row) and the mean over its hashed
 character trigrams. Windows of ``WINDOW`` words that overlap by half run through
@@ -24,6 +26,7 @@ are not read.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import re
 from collections.abc import Iterator
@@ -58,13 +61,29 @@ class Model:
     done: int = 0
 
 
+def pieces(word: str) -> list[str]:
+    """A word in pieces of at most WORD_BYTES bytes that overlap by about half: any part of half that size is whole in one."""
+    sizes = [len(c.encode("utf-8", "replace")) for c in word]
+    ends = list(itertools.accumulate(sizes, initial=0))
+    out, start = [], 0
+    while True:
+        stop = bisect.bisect_right(ends, ends[start] + WORD_BYTES) - 1
+        out.append(word[start:stop])
+        if stop == len(word):
+            return out
+        start = bisect.bisect_right(ends, ends[start] + WORD_BYTES // 2) - 1
+
+
 def tokenize(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    words = WORDS.findall(text.lower()) if text else []
+    if max(map(len, words), default=0) * 4 <= WORD_BYTES:  # 4 bytes a character at most
+        return words
+    return [p for w in words for p in (pieces(w) if len(w) * 4 > WORD_BYTES else (w,))]
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte trigrams of all words, and where each word's begin."""
-    data = [b"^" + w.encode("utf-8", "replace")[:WORD_BYTES] + b"$" for w in words]
+    data = [b"^" + w.encode("utf-8", "replace") + b"$" for w in words]
     flat = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.int64)
     sizes = np.array([len(d) for d in data], dtype=np.int64)
     counts = sizes - 2

@@ -225,6 +225,21 @@ def test_toxicity_learns_and_edges(spark, odd, none):
     assert toxicity.score(toxicity.train([], []), ["a", None]).tolist() == [0.0, 0.0]
 
 
+def test_toxicity_reads_whole_runs_without_spaces():
+    rng = np.random.default_rng(3)
+    run = lambda: "".join(rng.choice(list("山水花鳥風月雪雨木石"), 120))
+    clean = [run() for _ in range(300)]
+    toxic = [(t := run())[:60] + "馬鹿野郎死" + t[60:] for _ in range(150)]
+    for word in (clean[0], "x" * 64, "x" * 65, "aé漢😀" * 50, "é" * 33):
+        parts = toxicity.pieces(word)
+        assert all(len(p.encode()) <= toxicity.WORD_BYTES for p in parts)
+        assert {word[i:i + 8] for i in range(len(word) - 7)} == {p[i:i + 8] for p in parts for i in range(len(p) - 7)}
+    model = toxicity.train(clean[:250] + toxic[:120], [0] * 250 + [1] * 120)
+    held = toxicity.score(model, clean[250:] + toxic[120:])
+    assert (held[:50] < 0.3).mean() > 0.9 and (held[50:] >= 0.3).mean() > 0.9
+    assert toxicity.tokenize("ab " + "c" * 64 + " d") == ["ab", "c" * 64, "d"]
+
+
 def test_toxicity_gradients_match_differences():
     rng = np.random.default_rng(0)
     m = toxicity.Model({"a": 1, "b": 2}, toxicity._start(2, rng))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 25, 0.8, 3
+MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE = 0.005, 25, 0.8
 BLOCK, ALLOW = "label:block", "label:allow"
 
 
@@ -56,8 +56,7 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(parts)
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-         max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (tokens, verdict, confidence, support) from (url, blocked boolean)."""
     baskets = labelled.where("blocked is not null").select(F.array_union(
         tokens(F.col("url")), F.array(F.when(F.col("blocked"), BLOCK).otherwise(F.lit(ALLOW)))).alias("items"))
@@ -66,7 +65,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.array_contains(F.lit([BLOCK, ALLOW]), F.col("consequent")[0])).select(
         F.array_sort("antecedent").alias("tokens"), F.substring_index(F.col("consequent")[0], ":", -1).alias("verdict"),
-        "confidence", "support").where(F.size("tokens") <= max_tokens)
+        "confidence", "support")
     rules = cut(rules)
     # a rule loses to one with fewer of its tokens, the same verdict and no less confidence
     small = rules.select(F.col("tokens").alias("s_tokens"), F.col("verdict").alias("s_verdict"),

@@ -206,6 +206,18 @@ def test_mined_rules_reach_support_and_confidence(spark):
         assert good >= url_filters.MIN_ROWS and abs(good / len(hit) - r.confidence) < 1e-9 and r.confidence >= url_filters.MIN_CONFIDENCE
 
 
+def test_mined_rules_of_many_tokens(spark):
+    # blocked only where all four names meet: any three of them are allowed as often
+    names = ["a", "b", "c", "d"]
+    sets = [names] * 150 + [[n for n in names if n != gone] for gone in names for _ in range(80)]
+    urls = [(f"http://h{i}.net/?" + "&".join(f"{n}=1" for n in s), len(s) == 4) for i, s in enumerate(sets)]
+    rules = url_filters.mine(spark.createDataFrame(urls, "url string, blocked boolean")).collect()
+    assert ["arg:a", "arg:b", "arg:c", "arg:d"] in [list(r.tokens) for r in rules if r.verdict == "block"]
+    pages = spark.createDataFrame([(1, "http://new.net/?a=1&b=2&c=3&d=4"), (2, "http://new.net/?a=1&b=2&c=3")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filters.filter_urls(pages, spark.createDataFrame(urls, "url string, blocked boolean"), []).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
 INSULTS = ("idiot", "moron", "scum")
 
 

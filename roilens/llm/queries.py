@@ -147,3 +147,90 @@ def op10_lm_scoring(spark, sf_dir):
     from .lm_scores import cross_entropy_difference
     good = table(spark, sf_dir, "labels").where("quality = 1")
     return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+_OP11_SQL = r"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct r, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) end) as g from d),
+n as (select r, count(*) as n from s group by r),
+p as (select a.r as a, b.r as b, count(*) as m from s a join s b on a.g = b.g and a.r < b.r group by all),
+l as (select p.a, p.b from p join n x on x.r = p.a join n y on y.r = p.b where 100 * p.m >= 85 * (x.n + y.n - p.m)),
+e as (select a, b from l union all select b, a from l),
+reach as (select r as a, r as b from d union select reach.a, e.b from reach join e on e.a = reach.b),
+c as (select reach.a as r, min(d.doc_id) as component_id from reach join d on d.r = reach.b group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id from d left join n using (r) join c using (r)"""
+
+
+@register("op11_ngram_jaccard_join", _OP11_SQL)
+def op11_ngram_jaccard_join(spark, sf_dir):
+    from .jaccard_join import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("class_id")
+
+
+def _op12_sql(clusters: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds written out, every centroid compared."""
+    def nearest(name, centroids):
+        return f"""
+{name} as (select v.vec_id, v.x, min({{'d': list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'k': c.k}}) as m
+  from v, {centroids} c group by v.vec_id, v.x)"""
+
+    def means(name, assigned, before):
+        return f"""
+{name}s as (select k, i, sum(e)::hugeint as s, count(*) as n from (
+    select m.k as k, unnest(x) as e, generate_subscripts(x, 1) as i from {assigned}) group by k, i),
+{name} as (select b.k, coalesce(c.x, b.x) as x from {before} b left join (
+    select k, list(cast((s - (((s % n) + n) % n)) // n as bigint) order by i) as x from {name}s group by k) c on c.k = b.k)"""
+
+    steps, now = [], "c0"
+    for r in range(1, rounds + 1):
+        steps += [nearest(f"a{r}", now), means(f"c{r}", f"a{r}", now)]
+        now = f"c{r}"
+    return f"""
+with v as (select vec_id, list_transform(embedding, lambda e: cast(floor(64 * cast(e as double)) as bigint)) as x
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = 64),
+c0 as (select row_number() over (order by sha256('1:' || vec_id)) - 1 as k, x from v order by sha256('1:' || vec_id) limit {clusters}),
+{",".join(steps)},{nearest("z", now)},
+i as (select m.k as k, cast(sum(m.d) as bigint) as inertia from z group by 1)
+select z.vec_id, cast(z.m.k as integer) as cluster, cast(z.m.d as bigint) as distance, i.inertia as cluster_inertia,
+  cast((select sum(inertia) from i) as bigint) as inertia,
+  sha256(array_to_string(list_transform(c.x, lambda e: cast(e as varchar)), ',')) as centroid_sha256
+from z join i on i.k = z.m.k join {now} c on c.k = z.m.k"""
+
+
+@register("op12_centroid_clustering", _op12_sql())
+def op12_centroid_clustering(spark, sf_dir):
+    from .centroids import cluster
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+_OP13_SQL = r"""
+with d as (select row_number() over () as r, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+w as (select r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d),
+kept as (select lang, term from w group by lang, term having count(distinct r) >= 3),
+c as (select w.lang, w.source, w.term, count(*) as n from w join kept using (lang, term) group by all),
+g as (select distinct lang, source from d),
+v as (select lang, count(*) as v from kept group by lang),
+t as (select g.lang, g.source, coalesce(sum(c.n), 0) as total from g left join c using (lang, source) group by all),
+p as (select t.lang, t.source, kept.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (t.total + v.v)::hugeint as p
+  from t join v using (lang) join kept using (lang) left join c on c.lang = t.lang and c.source = t.source and c.term = kept.term),
+q as (select lang, term, 1 + (1000000000::hugeint * (sum(n) + 1)) // ((select sum(total) from t where t.lang = p.lang) + (select v from v where v.lang = p.lang))::hugeint as q
+  from p group by lang, term),
+pairs as (select a.lang, a.source, b.source as item, coalesce(s.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join (select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // y.p) as value
+    from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) s
+  on s.lang = a.lang and s.source = a.source and s.item = b.source),
+tops as (select p.lang, p.source, p.term as item, (p.p - q.q) * (p.p - q.q) // q.q as value from p join q using (lang, term) where p.n > 0 and p.p > q.q),
+ranked as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all select * from (select lang, source, 'term' as part, item, value,
+    row_number() over (partition by lang, source order by value desc, item) as rank from tops) where rank <= 200)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked"""
+
+
+@register("op13_source_divergence_audit", _OP13_SQL)
+def op13_source_divergence_audit(spark, sf_dir):
+    from .divergence import audit
+    return audit(table(spark, sf_dir, "documents"))

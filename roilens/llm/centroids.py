@@ -26,7 +26,8 @@ each counts (equal ids are ordered by their components); with fewer vectors than
 ``clusters`` there are so many centroids; a cluster that loses all its vectors
 keeps its centroid; an empty table gives an empty result; columns other than id
 and vector are not read. Components are integers of any size (Python integers
-beyond ``small``); a distance that no long holds is null, and so left out of the inertias.
+beyond ``small``); a distance that no long holds is null and not part of the
+inertias, an inertia that no long holds is null.
 """
 
 from __future__ import annotations
@@ -174,8 +175,9 @@ def cluster(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     names = vectors.sparkSession.createDataFrame(
         [(g, hashlib.sha256(",".join(str(int(x)) for x in c).encode()).hexdigest()) for g, c in enumerate(now)],
         "cluster int, centroid_sha256 string")
-    of_cluster = assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    of_all = assigned.agg(F.sum("distance")).scalar()
+    total = F.sum(F.col("distance").cast("decimal(20,0)")).try_cast("long")
+    of_cluster = assigned.groupBy("cluster").agg(total.alias("cluster_inertia"))
+    of_all = assigned.agg(total).scalar()
     few = F.broadcast(names.join(of_cluster, "cluster"))  # ``clusters`` rows at most
     return assigned.join(few, "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia",
                                                 of_all.alias("inertia"), "centroid_sha256")

@@ -149,7 +149,7 @@ def test_cluster_edges(spark):
     few = data[:5]
     assert assigned(centroids.cluster(vectors(spark, few))) == clustered(few)
     assert centroids.cluster(vectors(spark, data[40:47])).count() == 0 and centroids.cluster(vectors(spark, [(1, one)]).limit(0)).count() == 0
-    large = [(i, [float(np.float32(x)) for x in rng.normal(size=64) * 2.0**21]) for i in range(30)]
+    large = [(i, [float(np.float32(x)) for x in rng.normal(size=64) * 2.0**19]) for i in range(30)]
     assert assigned(centroids.cluster(vectors(spark, large))) == clustered(large)
 
 

@@ -1,8 +1,7 @@
 """Numeric helpers that make floating results reproducible across engines.
 
 * ``exact_sum``: sums through DECIMAL so the result does not depend on row
-  order (partition layout, shuffle order). Inputs here carry few decimals
-  (hours: 2, dollars: 6), so the decimal form is exact.
+  order (partition layout, shuffle order).
 * ``round_dec``: rounds half away from zero on the decimal form of the value,
   which is what SQL ROUND means for these inputs on every engine.
 * ``safe_div``: x / y with y == 0 -> NULL (SQL NULLIF semantics), never raises
@@ -20,14 +19,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def exact_sum(x, scale: int, precision: int = 18) -> Column:
-    """Order-independent sum: sum(cast(x as decimal(p, s))) as double."""
+def exact_sum(x, scale: int = 12, precision: int = 38) -> Column:
+    """Order-independent sum: doubles are added in their (shortest) decimal form, digits beyond ``scale`` rounded off, and
+    become a double once, at the end."""
     return F.sum(_c(x).cast(f"decimal({precision},{scale})")).cast("double")
 
 
-def exact_mean(x, scale: int, precision: int = 18) -> Column:
-    """Order-independent mean of the non-null values of x (NULL if none)."""
-    return exact_sum(x, scale, precision) / F.count(_c(x))
+def exact_mean(x) -> Column:
+    """Order-independent mean of the non-null values of x (NULL if none); no value is rounded first (12 decimals kept)."""
+    return exact_sum(x) / F.count(_c(x))
 
 
 def round_dec(x, digits: int) -> Column:
@@ -44,7 +44,3 @@ def clip0(x) -> Column:
     """Clip below at 0; NULL stays NULL."""
     x = _c(x)
     return F.when(x.isNull(), F.lit(None)).otherwise(F.greatest(x, F.lit(0.0)))
-
-
-def zero_if_null(x) -> Column:
-    return F.coalesce(_c(x), F.lit(0))

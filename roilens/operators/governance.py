@@ -266,7 +266,7 @@ def risk_rollup(enriched: DataFrame) -> DataFrame:
 def corporate_risk(enriched: DataFrame) -> DataFrame:
     """Mean of positive risk scores, 1 dp, 0 when none."""
     s = F.col("risk_score")
-    return enriched.agg(F.coalesce(round_dec(exact_mean(F.when(s > 0, s), 1), 1), F.lit(0.0))
+    return enriched.agg(F.coalesce(round_dec(exact_mean(F.when(s > 0, s)), 1), F.lit(0.0))
                         .alias("corporate_risk_index"))
 
 

@@ -25,7 +25,7 @@ def zombie_licences(users: DataFrame, logs: DataFrame, tickets: DataFrame, prs:
               .agg(F.sum("jira_tickets_closed").alias("tickets_closed")))
     merged = (prs.where(F.col("pr_state") == "merged").groupBy("user_id")
               .agg(F.count(F.lit(1)).alias("pr_count")))
-    mean_cost = cost.agg(exact_mean("total_cost", 6)).scalar()
+    mean_cost = cost.agg(exact_mean("total_cost")).scalar()
     j = (users.join(cost, "user_id", "left").join(closed, "user_id", "left").join(merged, "user_id", "left"))
     spend = F.coalesce(F.col("total_cost"), F.lit(0.0))
     return (j.where((spend > mean_cost)

@@ -18,6 +18,7 @@ from .. import params as P
 from ..functions.numeric import clip0, exact_mean, round_dec, safe_div
 from ..functions.pulls import period_backfill, pr_cycle_hours, rework_ratio
 from ..functions.timecols import month_key
+from .stats import add_quantiles
 
 PERIODS = ("Before", "After")
 
@@ -26,14 +27,12 @@ def _merged():
     return F.col("pr_state") == "merged"
 
 
-def _pct(x, q: float, exact: bool = True):
-    return F.percentile(x, q) if exact else F.percentile_approx(x, q, 10000)
-
-
 def map_contributors(prs: DataFrame, users: DataFrame) -> DataFrame:
-    """user_id of each PR author from users.github_username (NULL/'' skipped)."""
+    """user_id of each PR author from users.github_username (NULL/'' skipped).
+
+    The lookup has one row a login (of users that share one the smallest id), so a join never multiplies PRs."""
     m = (users.where(F.col("github_username").isNotNull() & (F.col("github_username") != ""))
-         .select("github_username", F.col("user_id").alias("_uid")))
+         .groupBy("github_username").agg(F.min("user_id").alias("_uid")))
     base = prs.drop("user_id") if "user_id" in prs.columns else prs
     return base.join(m, "github_username", "left").withColumnRenamed("_uid", "user_id")
 
@@ -49,10 +48,10 @@ def pr_derived(prs: DataFrame) -> DataFrame:
 def department_fill(prs: DataFrame, repo_department: DataFrame) -> DataFrame:
     """NULL or empty department -> department of the repo (short name).
 
-    The lookup is one row per repository; the planner (AQE) broadcasts it when
+    The lookup is made one row per repository (of several departments the first by name); the planner (AQE) broadcasts it when
     its measured size is small and shuffles otherwise.
     """
-    lk = repo_department.select(F.col("repo_name").alias("_repo"), F.col("department").alias("_dept"))
+    lk = repo_department.groupBy(F.col("repo_name").alias("_repo")).agg(F.min("department").alias("_dept"))
     j = prs.join(lk, prs["repo_name"] == F.col("_repo"), "left")
     d = F.col("department")
     return (j.withColumn("department", F.when(d.isNull() | (d == ""), F.col("_dept")).otherwise(d))
@@ -71,8 +70,8 @@ def pr_efficiency(prs: DataFrame) -> DataFrame:
     return (prs.where(_merged() & F.col("period").isin(*PERIODS))
             .groupBy("department", "period")
             .agg(F.count("pr_id").alias("pr_count"),
-                 round_dec(exact_mean("cycle_time_hours", 2), 2).alias("avg_cycle_hrs"),
-                 round_dec(exact_mean("rework_ratio", 3), 3).alias("avg_rework_ratio"),
+                 round_dec(exact_mean("cycle_time_hours"), 2).alias("avg_cycle_hrs"),
+                 round_dec(exact_mean("rework_ratio"), 3).alias("avg_rework_ratio"),
                  round_dec(F.avg("review_count"), 1).alias("avg_reviews"),
                  F.countDistinct("github_username").alias("unique_contributors"),
                  F.sum("lines_added").alias("total_lines_added"),
@@ -90,11 +89,11 @@ def pr_delta_sql(prs: DataFrame) -> DataFrame:
     cyc, rw = F.col("cycle_time_hours"), F.col("rework_ratio")
     g = (prs.where(_merged() & F.col("period").isin(*PERIODS) & F.col("department").isNotNull())
          .groupBy("department")
-         .agg(exact_mean(F.when(b, cyc), 2).alias("b_cycle"),
-              exact_mean(F.when(b, rw), 3).alias("b_rework"),
+         .agg(exact_mean(F.when(b, cyc)).alias("b_cycle"),
+              exact_mean(F.when(b, rw)).alias("b_rework"),
               F.count_if(b).alias("before_prs"),
-              exact_mean(F.when(a, cyc), 2).alias("a_cycle"),
-              exact_mean(F.when(a, rw), 3).alias("a_rework"),
+              exact_mean(F.when(a, cyc)).alias("a_cycle"),
+              exact_mean(F.when(a, rw)).alias("a_rework"),
               F.count_if(a).alias("after_prs"))
          .where((F.col("before_prs") > 0) & (F.col("after_prs") > 0)))
     bc, ac = F.col("b_cycle"), F.col("a_cycle")
@@ -108,21 +107,23 @@ def pr_delta_sql(prs: DataFrame) -> DataFrame:
             .orderBy(F.col("pct_improvement").desc_nulls_last(), "department"))
 
 
-def pr_performance(prs_enriched: DataFrame, exact: bool = True) -> DataFrame:
+def pr_performance(prs_enriched: DataFrame) -> DataFrame:
     """A7 summary: department x period (Before/After only, NULL department dropped), 2 dp."""
-    c = F.col("cycle_time_hours")
-    return (prs_enriched.where(F.col("period").isin(*PERIODS) & F.col("department").isNotNull())
-            .groupBy("department", "period")
-            .agg(F.count("pr_id").alias("pr_count"),
-                 round_dec(exact_mean(c, 2), 2).alias("avg_cycle_hours"),
-                 round_dec(F.median(c) if exact else _pct(c, 0.5, False), 2).alias("median_cycle_hours"),
-                 round_dec(_pct(c, 0.9, exact), 2).alias("p90_cycle_hours"),
-                 round_dec(exact_mean("rework_ratio", 3), 2).alias("avg_rework_ratio"),
-                 round_dec(F.avg("review_count"), 2).alias("avg_review_count"),
-                 round_dec(F.avg("commit_count"), 2).alias("avg_commits"),
-                 F.sum("lines_added").alias("total_lines_added"),
-                 F.sum("lines_removed").alias("total_lines_removed"),
-                 F.countDistinct("github_username").alias("unique_contributors")))
+    keys = ["department", "period"]
+    rows = prs_enriched.where(F.col("period").isin(*PERIODS) & F.col("department").isNotNull())
+    g = rows.groupBy(*keys).agg(
+        F.count("pr_id").alias("pr_count"),
+        round_dec(exact_mean("cycle_time_hours"), 2).alias("avg_cycle_hours"),
+        round_dec(exact_mean("rework_ratio"), 2).alias("avg_rework_ratio"),
+        round_dec(F.avg("review_count"), 2).alias("avg_review_count"),
+        round_dec(F.avg("commit_count"), 2).alias("avg_commits"),
+        F.sum("lines_added").alias("total_lines_added"),
+        F.sum("lines_removed").alias("total_lines_removed"),
+        F.countDistinct("github_username").alias("unique_contributors"))
+    return add_quantiles(g, rows, keys, {"cycle_time_hours": [0.5, 0.9]}).select(
+        *keys, "pr_count", "avg_cycle_hours", round_dec("cycle_time_hours_q0", 2).alias("median_cycle_hours"),
+        round_dec("cycle_time_hours_q1", 2).alias("p90_cycle_hours"), "avg_rework_ratio", "avg_review_count",
+        "avg_commits", "total_lines_added", "total_lines_removed", "unique_contributors")
 
 
 def pr_delta(summary: DataFrame) -> DataFrame:
@@ -155,18 +156,19 @@ def pr_delta(summary: DataFrame) -> DataFrame:
 
 
 def repo_stats(prs: DataFrame) -> DataFrame:
-    """Merged PRs per repository x period (all dimensions grouped)."""
-    c = F.col("cycle_time_hours")
-    return (prs.where(_merged())
-            .groupBy("repo_full_name", "repo_name", "department", "period")
-            .agg(F.count("pr_id").alias("pr_count"),
-                 round_dec(exact_mean(c, 2), 2).alias("avg_cycle_hrs"),
-                 round_dec(F.median(c), 2).alias("median_cycle_hrs"),
-                 round_dec(exact_mean("rework_ratio", 3), 3).alias("avg_rework"),
-                 F.countDistinct("github_username").alias("contributors"),
-                 F.sum("lines_added").alias("total_additions"),
-                 F.sum("lines_removed").alias("total_deletions"))
-            .orderBy("department", "repo_name", "period", "repo_full_name"))
+    """Merged PRs per repository x period (all dimensions grouped, NULLs kept)."""
+    keys = ["repo_full_name", "repo_name", "department", "period"]
+    rows = prs.where(_merged())
+    g = rows.groupBy(*keys).agg(
+        F.count("pr_id").alias("pr_count"),
+        round_dec(exact_mean("cycle_time_hours"), 2).alias("avg_cycle_hrs"),
+        round_dec(exact_mean("rework_ratio"), 3).alias("avg_rework"),
+        F.countDistinct("github_username").alias("contributors"),
+        F.sum("lines_added").alias("total_additions"),
+        F.sum("lines_removed").alias("total_deletions"))
+    return add_quantiles(g, rows, keys, {"cycle_time_hours": [0.5]}).select(
+        *keys, "pr_count", "avg_cycle_hrs", round_dec("cycle_time_hours_q0", 2).alias("median_cycle_hrs"), "avg_rework",
+        "contributors", "total_additions", "total_deletions").orderBy("department", "repo_name", "period", "repo_full_name")
 
 
 def repo_breakdown(prs_enriched: DataFrame) -> DataFrame:
@@ -175,8 +177,8 @@ def repo_breakdown(prs_enriched: DataFrame) -> DataFrame:
                                & F.col("period").isNotNull())
             .groupBy("repo_name", "department", "period")
             .agg(F.count("pr_id").alias("pr_count"),
-                 round_dec(exact_mean("cycle_time_hours", 2), 2).alias("avg_cycle"),
-                 round_dec(exact_mean("rework_ratio", 3), 2).alias("avg_rework"),
+                 round_dec(exact_mean("cycle_time_hours"), 2).alias("avg_cycle"),
+                 round_dec(exact_mean("rework_ratio"), 2).alias("avg_rework"),
                  F.countDistinct("github_username").alias("contributors"))
             .orderBy("department", "repo_name", "period"))
 
@@ -186,8 +188,8 @@ def pr_sync_summary(prs_enriched: DataFrame) -> DataFrame:
     return (prs_enriched.where(F.col("department").isNotNull() & F.col("period").isNotNull())
             .groupBy("department", "period")
             .agg(F.count("pr_id").alias("pr_count"),
-                 round_dec(exact_mean("cycle_time_hours", 2), 2).alias("avg_cycle_hrs"),
-                 round_dec(exact_mean("rework_ratio", 3), 2).alias("avg_rework"),
+                 round_dec(exact_mean("cycle_time_hours"), 2).alias("avg_cycle_hrs"),
+                 round_dec(exact_mean("rework_ratio"), 2).alias("avg_rework"),
                  F.countDistinct("github_username").alias("unique_contributors"))
             .orderBy("department", "period"))
 
@@ -202,8 +204,8 @@ def top_contributors_sql(prs: DataFrame, n: int = 20) -> DataFrame:
             .groupBy("github_username")
             .agg(F.min("department").alias("department"),
                  F.count("pr_id").alias("prs_merged"),
-                 round_dec(exact_mean("cycle_time_hours", 2), 2).alias("avg_cycle_hrs"),
-                 round_dec(exact_mean("rework_ratio", 3), 3).alias("avg_rework"),
+                 round_dec(exact_mean("cycle_time_hours"), 2).alias("avg_cycle_hrs"),
+                 round_dec(exact_mean("rework_ratio"), 3).alias("avg_rework"),
                  F.countDistinct("repo_name").alias("repos_contributed"),
                  F.sum("lines_added").alias("total_lines_added"))
             .orderBy(F.col("prs_merged").desc(), F.col("github_username").asc_nulls_last())
@@ -215,8 +217,8 @@ def top_contributors(prs_enriched: DataFrame, n: int = 15) -> DataFrame:
     return (prs_enriched.where(_merged() & F.col("github_username").isNotNull() & F.col("department").isNotNull())
             .groupBy("github_username", "department")
             .agg(F.count("pr_id").alias("total_prs"),
-                 round_dec(exact_mean("cycle_time_hours", 2), 2).alias("avg_cycle"),
-                 round_dec(exact_mean("rework_ratio", 3), 2).alias("avg_rework"),
+                 round_dec(exact_mean("cycle_time_hours"), 2).alias("avg_cycle"),
+                 round_dec(exact_mean("rework_ratio"), 2).alias("avg_rework"),
                  F.sum("lines_added").alias("total_lines"),
                  F.countDistinct("repo_name").alias("repos"))
             .orderBy(F.col("total_prs").desc(), "github_username", "department")
@@ -229,8 +231,8 @@ def pr_velocity_monthly(prs_enriched: DataFrame) -> DataFrame:
             .where(F.col("month").isNotNull() & F.col("department").isNotNull())
             .groupBy("month", "department")
             .agg(F.count("pr_id").alias("pr_count"),
-                 round_dec(exact_mean("cycle_time_hours", 2), 2).alias("avg_cycle"),
-                 round_dec(exact_mean("rework_ratio", 3), 2).alias("avg_rework"))
+                 round_dec(exact_mean("cycle_time_hours"), 2).alias("avg_cycle"),
+                 round_dec(exact_mean("rework_ratio"), 2).alias("avg_rework"))
             .orderBy("month", "department"))
 
 
@@ -238,7 +240,7 @@ def rework_by_period(prs_enriched: DataFrame) -> DataFrame:
     """Mean rework ratio per department x period."""
     return (prs_enriched.where(F.col("department").isNotNull() & F.col("period").isNotNull())
             .groupBy("department", "period")
-            .agg(exact_mean("rework_ratio", 3).alias("rework_ratio")))
+            .agg(exact_mean("rework_ratio").alias("rework_ratio")))
 
 
 def pr_kpis(prs_enriched: DataFrame) -> DataFrame:
@@ -246,10 +248,10 @@ def pr_kpis(prs_enriched: DataFrame) -> DataFrame:
     b, a = F.col("period") == "Before", F.col("period") == "After"
     g = prs_enriched.agg(
         F.count_if(_merged()).alias("prs_merged"),
-        exact_mean(F.when(b, F.col("cycle_time_hours")), 2).alias("_bc"),
-        exact_mean(F.when(a, F.col("cycle_time_hours")), 2).alias("_ac"),
-        exact_mean(F.when(b, F.col("rework_ratio")), 3).alias("_br"),
-        exact_mean(F.when(a, F.col("rework_ratio")), 3).alias("_ar"),
+        exact_mean(F.when(b, F.col("cycle_time_hours"))).alias("_bc"),
+        exact_mean(F.when(a, F.col("cycle_time_hours"))).alias("_ac"),
+        exact_mean(F.when(b, F.col("rework_ratio"))).alias("_br"),
+        exact_mean(F.when(a, F.col("rework_ratio"))).alias("_ar"),
         F.countDistinct("github_username").alias("contributors"),
         F.countDistinct("repo_name").alias("repos"))
 

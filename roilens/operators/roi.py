@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import exact_mean, exact_sum, round_dec, safe_div
+from .stats import add_quantiles
 
 BEFORE, AFTER = "Before", "After"
 
@@ -39,9 +40,9 @@ def tickets_per_user(tickets: DataFrame) -> DataFrame:
     cyc = F.col("cycle_time_hours")
     return (tickets.where(F.col("period").isin(BEFORE, AFTER))
             .groupBy("user_id")
-            .agg(exact_mean(F.when(_is(BEFORE), cyc), 2).alias("before_avg"),
+            .agg(exact_mean(F.when(_is(BEFORE), cyc)).alias("before_avg"),
                  F.count_if(_is(BEFORE)).alias("before_count"),
-                 exact_mean(F.when(_is(AFTER), cyc), 2).alias("after_avg"),
+                 exact_mean(F.when(_is(AFTER), cyc)).alias("after_avg"),
                  F.sum(F.when(_is(AFTER), F.col("jira_tickets_closed"))).alias("after_closed"),
                  F.count_if(_is(AFTER)).alias("after_count")))
 
@@ -78,7 +79,7 @@ def user_roi(users: DataFrame, logs: DataFrame, tickets: DataFrame) -> DataFrame
 
 def _mean12(x):
     """Order-independent mean of arbitrary doubles (through decimal(30,12))."""
-    return exact_mean(x, 12, 30)
+    return exact_mean(x)
 
 
 def dept_roi(users: DataFrame, logs: DataFrame, tickets: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def dept_roi(users: DataFrame, logs: DataFrame, tickets: DataFrame) -> DataFrame
     s = F.col("risk_score")
     per_user = logs.groupBy("user_id").agg(
         exact_sum("cost_usd", 6).alias("total_cost"),
-        exact_mean(F.when(s > 0, s), 1).alias("avg_risk"))
+        exact_mean(F.when(s > 0, s)).alias("avg_risk"))
     tk = tickets_per_user(tickets)
     j = users.select("user_id", "department").join(per_user, "user_id", "left").join(tk, "user_id", "left")
     g = j.groupBy("department").agg(
@@ -113,8 +114,8 @@ def pr_per_user(prs: DataFrame) -> DataFrame:
     return (prs.where((F.col("pr_state") == "merged") & F.col("user_id").isNotNull())
             .groupBy("user_id")
             .agg(F.count("pr_id").alias("prs_merged"),
-                 exact_mean("cycle_time_hours", 2).alias("avg_pr_cycle"),
-                 exact_mean("rework_ratio", 3).alias("avg_rework")))
+                 exact_mean("cycle_time_hours").alias("avg_pr_cycle"),
+                 exact_mean("rework_ratio").alias("avg_rework")))
 
 
 def user_summary(users: DataFrame, logs: DataFrame, tickets: DataFrame,
@@ -166,14 +167,13 @@ def user_summary(users: DataFrame, logs: DataFrame, tickets: DataFrame,
 
 def dept_risk(logs: DataFrame) -> DataFrame:
     """Per department, p80 of positive risk scores, capped at 100, 1 dp; 0 if none."""
-    s = F.col("risk_score")
-    return (logs.where(F.col("department").isNotNull()).groupBy("department")
-            .agg(F.percentile(F.when(s > 0, s), 0.8).alias("_p80"))
-            .select("department",
-                    # least() skips NULLs, so "no positive score" is handled first
-                    F.when(F.col("_p80").isNull(), F.lit(0.0))
-                    .otherwise(round_dec(F.least(F.col("_p80"), F.lit(100.0)), 1))
-                    .alias("dept_risk_score")))
+    rows = logs.where(F.col("department").isNotNull()).select(
+        "department", F.when(F.col("risk_score") > 0, F.col("risk_score")).alias("risk"))
+    g = rows.groupBy("department").agg(F.count("risk").alias("_n"))
+    return add_quantiles(g, rows, ["department"], {"risk": [0.8]}).select(
+        "department",  # least() skips NULLs, so "no positive score" is handled first
+        F.when(F.col("risk_q0").isNull(), F.lit(0.0)).otherwise(round_dec(F.least(F.col("risk_q0"), F.lit(100.0)), 1))
+        .alias("dept_risk_score"))
 
 
 def analytics_cache(summary: DataFrame, logs: DataFrame, computed_at: str | None = None) -> DataFrame:
@@ -221,8 +221,8 @@ def executive_kpis(logs: DataFrame, tickets: DataFrame, users: DataFrame) -> Dat
     spend = logs.agg(exact_sum("cost_usd", 6)).scalar()
     tokens = logs.agg(F.sum("token_count")).scalar()
     high = logs.agg(F.count_if(F.col("risk_level").isin("High", "Critical"))).scalar()
-    b = tickets.agg(exact_mean(F.when(F.col("period") == BEFORE, F.col("cycle_time_hours")), 2)).scalar()
-    a = tickets.agg(exact_mean(F.when(F.col("period") == AFTER, F.col("cycle_time_hours")), 2)).scalar()
+    b = tickets.agg(exact_mean(F.when(F.col("period") == BEFORE, F.col("cycle_time_hours")))).scalar()
+    a = tickets.agg(exact_mean(F.when(F.col("period") == AFTER, F.col("cycle_time_hours")))).scalar()
     matched = users.agg(F.count("github_username")).scalar()
     pct = F.when(b > 0, (b - a) / b * 100).otherwise(F.lit(0.0))  # null while there is no After ticket
     one = users.sparkSession.range(1)
@@ -238,7 +238,7 @@ def dept_benchmark(classified: DataFrame) -> DataFrame:
     g = (classified.where(F.col("department").isNotNull()).groupBy("department")
          .agg(F.count("user_id").alias("headcount"),
               exact_sum("total_cost", 6).alias("total_spend"),
-              exact_mean("pct_improvement", 1).alias("avg_pct_improvement"),
+              exact_mean("pct_improvement").alias("avg_pct_improvement"),
               # sums/means of arbitrary doubles are reported at 6 dp (engine-independent)
               round_dec(exact_sum("net_roi", 12, 30), 6).alias("total_net_roi"),
               round_dec(_mean12("hours_saved_per_ticket"), 6).alias("avg_hours_saved"),

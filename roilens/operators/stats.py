@@ -1,16 +1,14 @@
 """Statistics: ST1 Pearson, ST2 Spearman, ST3 OLS, ST4 p-values, ST5 spend
-vs productivity.
-
-Moments come from built-in aggregates (``corr``, ``regr_*``), one
-distributed pass with map-side partials. Spearman needs average ranks; they
-are computed without a global window: distinct values (with multiplicity)
-are cut into range buckets at approximate quantiles, each bucket gets its
-offset from a tiny per-bucket total, and the running count inside a bucket
-is a window partitioned by bucket. A value repeated by a third of the rows
-is a single distinct row, so hot values cost nothing extra.
-
-The two-sided t tail probability (ST4) has no SQL built-in; it is applied to
-the final one-row-per-relationship result with a small Arrow-batched helper.
+vs productivity, and the ranks and quantiles that other operators use.
+
+Moments come from built-in aggregates (``corr``, ``regr_*``), one distributed
+pass with map-side partials. Ranks and quantiles are found without a global
+window and without a value map in one task: values are cut into ranges at
+approximate quantiles, which stay in the plan (array-valued scalar subqueries,
+or a sketch for each key), ranges are counted, and a running count inside a
+range gives the exact rank. Nothing runs while a plan is built.
+
+P-values are Column expressions (the incomplete beta function).
 """
 
 from __future__ import annotations
@@ -19,72 +17,87 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import params as P
 from ..functions.numeric import round_dec
 
 
-# ---------------------------------------------------------------- ST4 helper
-
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the regularised incomplete beta (modified Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-15:
-            break
-    return h
-
-
-def _betainc(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
-
-
-def t_two_sided_p(t: float, df: float) -> float:
-    """P(|T| >= |t|) for Student's t with df degrees of freedom."""
-    if t is None or df is None or df <= 0 or (isinstance(t, float) and math.isnan(t)):
-        return float("nan")
-    if math.isinf(t):
-        return 0.0
-    return _betainc(df / 2.0, 0.5, df / (df + t * t))
-
-
-@F.pandas_udf(T.DoubleType())
-def _t_p_udf(t, df):
-    import pandas as pd
-
-    return pd.Series([t_two_sided_p(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b))
-                      for a, b in zip(t, df)], dtype="float64")
+# ---------------------------------------------------------------- ST4
+
+#: Steps of the continued fraction below; it converges in O(sqrt(max(a, b))) of them, and large degrees of freedom take
+#: the normal expansion instead.
+BETA_STEPS, LARGE_DF = 200, 5000.0
+
+#: Stirling's correction to log(gamma) at 8 and beyond (1/12, -1/360, 1/1260, -1/1680, 1/1188), fixed values.
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+
+
+def _log_gamma(x: Column) -> Column:
+    """log(gamma(x)), x > 0: shifted by 8, then Stirling's series."""
+    shift = F.lit(0.0)
+    for i in range(8):
+        shift = shift + F.log(x + float(i))
+    z = x + 8.0
+    series = sum((F.lit(c) / F.pow(z, float(2 * i + 1)) for i, c in enumerate(STIRLING)), F.lit(0.0))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The incomplete beta function's continued fraction, evaluated from its far end."""
+    def term(m):
+        even = m * (b - m) * x / ((a + 2.0 * m - 1.0) * (a + 2.0 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 2.0 * m + 1.0))
+        return even, odd
+
+    def step(acc, k):
+        even, odd = term(F.lit(float(BETA_STEPS)) - k)
+        return F.lit(1.0) + even / (F.lit(1.0) + odd / acc)
+
+    # 1 / (1 + d1/(1 + d2/(1 + ...))) with d(2m) = even(m), d(2m+1) = odd(m)
+    tail = F.aggregate(F.sequence(F.lit(0), F.lit(BETA_STEPS - 1)), F.lit(1.0), lambda acc, k: step(acc, k.cast("double")))
+    _, first = term(F.lit(0.0))
+    return F.lit(1.0) / (F.lit(1.0) + first / tail)
+
+
+def _beta_inc(a: Column, b: Column, x: Column) -> Column:
+    """The regularised incomplete beta function."""
+    front = F.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * F.log(x) + b * F.log1p(-x))
+    return (F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0))
+            .when(x < (a + 1.0) / (a + b + 2.0), front * _beta_fraction(a, b, x) / a)
+            .otherwise(F.lit(1.0) - front * _beta_fraction(b, a, F.lit(1.0) - x) / b))
+
+
+def _normal_tail(z: Column) -> Column:
+    """P(|Z| >= z) of the normal distribution: the incomplete gamma function of 1/2, as series or continued fraction."""
+    x = z * z / 2.0
+    near = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
+                       lambda acc, k: F.struct((acc["t"] * x / (k + 0.5)).alias("t"),
+                                               (acc["s"] + acc["t"] * x / (k + 0.5)).alias("s")), lambda acc: acc["s"])
+    far = F.aggregate(F.sequence(F.lit(0), F.lit(59)), F.lit(0.0),
+                      lambda acc, k: (F.lit(60.0) - k) * (F.lit(59.5) - k) / (x + 2.0 * (F.lit(60.0) - k) + 0.5 - acc))
+    scale = F.exp(-x) / math.sqrt(math.pi)
+    return F.when(x < 4.0, F.lit(1.0) - scale * F.sqrt(x) * 2.0 * near).otherwise(scale * F.sqrt(x) / (x + 0.5 - far))
+
+
+def t_two_sided_p(t: Column, df: Column) -> Column:
+    """P(|T| >= |t|) of Student's t with ``df`` degrees of freedom, as a Column (NaN without any).
+
+    The incomplete beta function by its continued fraction; beyond ``LARGE_DF`` the normal tail at the argument with the
+    same tail up to 1/df^2, so the number of steps does not grow with the rows.
+    """
+    x = df / (df + t * t)
+    squeezed = t * (1.0 - 1.0 / (4.0 * df)) / F.sqrt(1.0 + t * t / (2.0 * df))
+    return (F.when(t.isNull() | df.isNull() | F.isnan(t) | (df <= 0), F.lit(float("nan")))
+            .when(F.abs(t) == float("inf"), F.lit(0.0))
+            .when(df > LARGE_DF, _normal_tail(F.abs(squeezed)))
+            .otherwise(_beta_inc(df / 2.0, F.lit(0.5), x)))
 
 
 def r_pvalue(r: Column, n: Column) -> Column:
-    """Two-sided p-value of a correlation r on n pairs (t = r sqrt((n-2)/(1-r^2)))."""
-    df = (n - 2).cast("double")
-    t = F.when(F.abs(r) >= 1.0, F.lit(float("inf"))).otherwise(r * F.sqrt(df / (1.0 - r * r)))
-    return F.when(n < 3, F.lit(1.0)).otherwise(_t_p_udf(t, df))
+    """Two-sided p-value of a correlation r on n pairs (t = r sqrt((n-2)/(1-r^2))); 1 below three pairs."""
+    df = F.greatest(n - 2, F.lit(1)).cast("double")
+    t = F.when(F.abs(r) >= 1.0, F.lit(float("inf"))).otherwise(r * F.sqrt(df / F.greatest(F.lit(1.0) - r * r, F.lit(1e-300))))
+    return F.when(n < 3, F.lit(1.0)).otherwise(t_two_sided_p(t, df))
 
 
 def interpretation(r: Column, p: Column) -> Column:
@@ -154,118 +167,157 @@ def ols_predictions(df: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select("x", "y", F.when(ok, fit["b1"] * F.col("x") + fit["b0"]).alias("predicted"))
 
 
-# ---------------------------------------------------------------- ST2
+# ---------------------------------------------------------------- cut points, ranks, quantiles
 
-def cut_points(df: DataFrame, cols: list[str], buckets: int = 64) -> dict[str, list[float]]:
-    """Approximate quantile cut points of several columns in ONE job.
+def bucket_count(df: DataFrame) -> int:
+    """As many value ranges as the session has shuffle partitions (16 at least)."""
+    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    Only ``buckets - 1`` numbers per column reach the driver (a bounded, tiny
-    result, like Spark's own range-partition sampling); used as literals they
-    give every later use identical boundaries, even when a stage is
-    recomputed after an executor loss.
-    """
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(*[F.percentile_approx(c, probs, 10000).alias(c) for c in cols]).first()
-    return {c: sorted(set((row[c] if row is not None else None) or [])) for c in cols}
 
+def _cuts(col: Column | str, buckets: int) -> Column:
+    """``buckets - 1`` approximate quantiles as an aggregate, a sorted array. A value that fills a range of its own occurs
+    twice or more in it."""
+    return F.percentile_approx(col, [i / buckets for i in range(1, buckets)], 100 * buckets)
 
-def average_ranks(df: DataFrame, col: str, out: str, buckets: int = 64,
-                  cuts: list[float] | None = None) -> DataFrame:
-    """Average (tie-averaged, 1-based) rank of ``col`` over the whole frame.
 
-    Distinct values with their multiplicity are range-bucketed at the cut
-    points; per-bucket totals (at most ``buckets`` rows) give each bucket's
-    offset; a window partitioned by bucket gives the running count inside a
-    bucket. No step sorts the whole column in one task, and a value repeated
-    by a third of the rows is a single distinct row.
+def _below(cuts: Column, x: Column, buckets: int) -> Column:
+    """How many cut points are smaller than x: binary search in the sorted array (0 without cut points)."""
+    steps = [1 << i for i in reversed(range(buckets.bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0),
+                       lambda at, s: F.when(F.get(cuts, at + s - 1) < x, at + s).otherwise(at))
+
+
+def with_average_rank(rows: DataFrame, col: str, out: str, weight: str, buckets: int | None = None,
+                      base: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the average (tie-averaged, 1-based) rank of ``col``, a row counting ``weight`` times.
+
+    The cut points and the ranges' totals are array-valued scalar subqueries,
+    so nothing runs while the plan is built. A value that fills a range of its
+    own is a range of its own: its rank follows from the totals, and its rows
+    are dealt by a hash of the whole row. All others meet in one window for each range, which
+    no single value fills. No row is joined with anything. ``base`` has the same
+    (col, weight) rows by a shorter plan, if there is one.
     """
-    if cuts is None:
-        cuts = cut_points(df, [col], buckets)[col]
-    v = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + F.when(F.col(col) > F.lit(c), 1).otherwise(0)
-    v = v.withColumn("_b", bucket)
-    totals = v.groupBy("_b").agg(F.sum("_c").alias("_bt"))
-    # at most `buckets` rows: an unpartitioned window over them is bounded
-    wo = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(wo), F.lit(0))).drop("_bt")
-    win = Window.partitionBy("_b").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (v.join(F.broadcast(totals), "_b", "inner")
-              .withColumn("_cum", F.sum("_c").over(win))
-              .select(col, (F.col("_off") + F.col("_cum") - F.col("_c") + 1
-                            + (F.col("_c") - 1) / 2.0).alias(out)))
-    return df.join(ranked, col, "left")
-
-
-def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], buckets: int = 64) -> DataFrame:
-    """Exact, linearly interpolated quantiles of several columns as ONE row
-    (``<col>_q<i>``), without gathering any column in one task.
-
-    The columns are unpivoted to (name, value); distinct values with their
-    multiplicity are range-bucketed per column (cut points: ``cut_points``,
-    one small job for all columns); per-bucket totals give each bucket's
-    offset (at most ``buckets`` rows per column) and a running count inside
-    a bucket (window partitioned by column and bucket), so every distinct
-    value knows the last rank it covers. The value at 0-based rank r is the
-    smallest value whose cumulative count exceeds r; quantile p interpolates
-    between ranks floor(h) and ceil(h), h = (n - 1) p, as
-    ``lo + (hi - lo) (h - floor h)``. The final step is one global aggregate
-    with map-side partials. NULLs are ignored; no values give NULLs.
+    base = rows if base is None else base
+    buckets = buckets or bucket_count(rows)
+    x, w = F.col(col), F.col(weight)
+    cuts = F.col("_cuts")
+    # weights are positive; as the cut points read them too, all uses of a grouped base share its shuffle
+    points = base.agg(_cuts(F.when(w > 0, x), buckets)).scalar()
+    own = F.coalesce((F.get(cuts, F.col("_below")) == x) & (F.get(cuts, F.col("_below") + 1) == x), F.lit(False))
+
+    def place(df):  # a range: the values between two cut points, or the upper cut point if that is a range of its own
+        df = df.withColumn("_cuts", points).withColumn("_below", _below(cuts, x, buckets)).withColumn("_own", own)
+        return df.withColumn("_range", 2 * F.col("_below") + F.col("_own").cast("int")).drop("_cuts", "_below")
+
+    placed = place(rows)
+    totals = place(base).groupBy("_range").agg(F.sum(w).alias("n"))  # at most 2 x buckets rows
+    before = totals.select("_range", "n", F.coalesce(F.sum("n").over(
+        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    known = before.agg(F.map_from_entries(F.collect_list(F.struct("_range", F.struct("n", "before"))))).scalar()
+    at = F.try_element_at(known, F.col("_range"))
+    deal = F.when(F.col("_own"), F.xxhash64(*rows.columns)).otherwise(F.lit(0))
+    window = Window.partitionBy("_range", "_deal")
+    ranked = placed.withColumn("_deal", deal).withColumn(
+        "_upto", F.sum(w).over(window.orderBy(col).rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn(
+        "_ties", F.sum(w).over(Window.partitionBy("_range", "_deal", col)))
+    rank = at["before"] + F.when(F.col("_own"), (at["n"] + 1) / 2.0).otherwise(
+        F.col("_upto") - F.col("_ties") + (F.col("_ties") + 1) / 2.0)
+    return ranked.select(*rows.columns, rank.alias(out))
+
+
+def average_ranks(df: DataFrame, col: str, out: str, buckets: int | None = None) -> DataFrame:
+    """Average rank of ``col`` over the whole frame (see ``with_average_rank``)."""
+    return with_average_rank(df.withColumn("_one", F.lit(1)), col, out, "_one", buckets).drop("_one")
+
+
+def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], keys: tuple[str, ...] | list[str] = (),
+                    buckets: int | None = None) -> DataFrame:
+    """Exact, linearly interpolated quantiles ``<col>_q<i>`` of several columns, for each key (a null key is one too) or
+    overall, by rank selection: no task ever holds a group.
+
+    1. Distinct (key, column, value) with their counts; copies of a value are one row from here on.
+    2. Each (key, column) gets approximate cut points (a sketch of bounded size), each value its range among them.
+    3. Ranges are counted; only those that hold a wanted rank stay (two for each quantile at most).
+    4. Inside these a running count finds the values at ranks ``floor(h)`` and ``ceil(h)``, ``h = (n - 1) p``; the quantile
+       is ``lo + (hi - lo) (h - floor h)``.
+
+    Without keys there is one row; a key without values in any column has no row. Nulls are ignored.
     """
-    names = list(spec)
+    buckets = buckets or bucket_count(df)
+    names, probs = list(spec), sorted({p for ps in spec.values() for p in ps})
     stack = ", ".join(f"'{c}', cast(`{c}` as double)" for c in names)
-    long = (df.select(F.expr(f"stack({len(names)}, {stack}) as (_name, _x)"))
-            .where(F.col("_x").isNotNull()))
-    v = long.groupBy("_name", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    probs = [i / buckets for i in range(1, buckets)]
-    rows = v.groupBy("_name").agg(F.percentile_approx("_x", probs, 10000).alias("cuts")).collect()
-    cuts = {r["_name"]: sorted(set(r["cuts"] or [])) for r in rows}  # <= len(spec) x (buckets-1) numbers
-    bucket = F.lit(0)
-    for name in names:
-        b = F.lit(0)
-        for c in cuts.get(name, []):
-            b = b + F.when(F.col("_x") > F.lit(c), 1).otherwise(0)
-        bucket = F.when(F.col("_name") == name, b).otherwise(bucket)
-    v = v.withColumn("_b", bucket)
-    totals = v.groupBy("_name", "_b").agg(F.sum("_c").alias("_bt"))
-    per_col = Window.partitionBy("_name")  # <= `buckets` rows per column
-    totals = (totals.withColumn("_off", F.coalesce(F.sum("_bt").over(
-        per_col.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_n", F.sum("_bt").over(per_col)).drop("_bt"))
-    win = Window.partitionBy("_name", "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (v.join(F.broadcast(totals), ["_name", "_b"], "inner")
-              .select("_name", "_x", "_n", (F.col("_off") + F.sum("_c").over(win)).alias("_cum")))
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)  # in a struct, null keys join
+    v = (df.select(group.alias("_g"), F.expr(f"stack({len(names)}, {stack}) as (_name, _x)"))
+         .where(F.col("_x").isNotNull()).groupBy("_g", "_name", "_x").agg(F.count(F.lit(1)).alias("_c")))
+    sketch = v.groupBy("_g", "_name").agg(_cuts("_x", buckets).alias("_cuts"), F.sum("_c").alias("_n"))
+    v = v.join(sketch, ["_g", "_name"]).withColumn("_b", _below(F.col("_cuts"), F.col("_x"), buckets))
+    h = [(F.col("_n") - 1).cast("double") * p for p in probs]
+    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in h for f in (F.floor, F.ceil)]))
+    totals = (v.groupBy("_g", "_name", "_b").agg(F.sum("_c").alias("_bt"), F.first("_n").alias("_n"))
+              .withColumn("_off", F.coalesce(F.sum("_bt").over(  # as many rows as ranges
+                  Window.partitionBy("_g", "_name").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    wanted = totals.where(F.exists(ranks, lambda r: (r >= F.col("_off")) & (r < F.col("_off") + F.col("_bt"))))
+    inside = Window.partitionBy("_g", "_name", "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    found = v.select("_g", "_name", "_b", "_x", "_c").join(
+        wanted.select("_g", "_name", "_b", "_off", "_n"), ["_g", "_name", "_b"]).withColumn(
+        "_cum", F.col("_off") + F.sum("_c").over(inside))
     aggs = []
     for name in names:
         mine = F.col("_name") == name
         aggs.append(F.max(F.when(mine, F.col("_n"))).alias(f"_n_{name}"))
         for i, p in enumerate(spec[name]):
-            h = (F.col("_n") - 1).cast("double") * float(p)
-            aggs.append(F.min(F.when(mine & (F.col("_cum") > F.floor(h)), F.col("_x"))).alias(f"_lo_{name}_{i}"))
-            aggs.append(F.min(F.when(mine & (F.col("_cum") > F.ceil(h)), F.col("_x"))).alias(f"_hi_{name}_{i}"))
-    g = ranked.agg(*aggs)
-    out = []
+            at = (F.col("_n") - 1).cast("double") * float(p)
+            aggs.append(F.min(F.when(mine & (F.col("_cum") > F.floor(at)), F.col("_x"))).alias(f"_lo_{name}_{i}"))
+            aggs.append(F.min(F.when(mine & (F.col("_cum") > F.ceil(at)), F.col("_x"))).alias(f"_hi_{name}_{i}"))
+    g = found.groupBy("_g").agg(*aggs) if keys else found.agg(*aggs)
+    out = [F.col("_g")[k].alias(k) for k in keys]
     for name in names:
         for i, p in enumerate(spec[name]):
-            h = (F.col(f"_n_{name}") - 1).cast("double") * float(p)
+            at = (F.col(f"_n_{name}") - 1).cast("double") * float(p)
             lo, hi = F.col(f"_lo_{name}_{i}"), F.col(f"_hi_{name}_{i}")
-            out.append((lo + (hi - lo) * (h - F.floor(h))).alias(f"{name}_q{i}"))
+            out.append((lo + (hi - lo) * (at - F.floor(at))).alias(f"{name}_q{i}"))
     return g.select(*out)
 
 
-def _ranked_pairs(pairs: DataFrame, buckets: int = 64) -> DataFrame:
-    cuts = cut_points(pairs, ["x", "y"], buckets)
-    return average_ranks(average_ranks(pairs, "x", "rx", buckets, cuts["x"]), "y", "ry", buckets, cuts["y"])
+def add_quantiles(grouped: DataFrame, rows: DataFrame, keys: list[str], spec: dict[str, list[float]]) -> DataFrame:
+    """``grouped`` (one row a key) with the quantiles of ``rows`` for each key, null where a key has no values."""
+    q = exact_quantiles(rows, spec, keys)
+    names = [F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in q.columns]
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return grouped.join(q.select(*names), same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
+# ---------------------------------------------------------------- ST2
+
+def _rank_moments(pairs: DataFrame) -> DataFrame:
+    """One row: n and rho over the complete pairs (x, y).
+
+    Distinct pairs with their counts get both ranks by ``with_average_rank``; rho is their correlation, weighted by the
+    counts. Ranks less their mean are halves of integers, so all sums are exact and do not depend on row order.
+    """
+    distinct = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+    ranked = with_average_rank(with_average_rank(distinct, "x", "rx", "w"), "y", "ry", "w", base=distinct)
+    n = distinct.agg(F.sum("w")).scalar()
+    a, b = ((2 * F.col(r)).cast("long") - (n + 1) for r in ("rx", "ry"))  # twice the distance from the mean rank
+
+    def total(c):
+        return F.sum((c.cast("decimal(19,0)") * F.col("w")).cast("decimal(38,0)")).cast("double")
+
+    m = ranked.select("w", a.alias("a"), b.alias("b")).agg(
+        F.sum("w").alias("n"), total(F.col("a") * F.col("b")).alias("ab"), total(F.col("a") * F.col("a")).alias("aa"),
+        total(F.col("b") * F.col("b")).alias("bb"))
+    return m.select(F.coalesce("n", F.lit(0)).alias("n"),
+                    F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")).alias("rho"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """ST2: rho (4 dp), p (4 dp), n; n < 3 -> rho 0, p 1."""
-    r = _ranked_pairs(_complete(df, x, y))
-    m = r.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    """ST2: rho (4 dp), p (4 dp), n, significance; n < 3 -> rho 0, p 1."""
+    m = _rank_moments(_complete(df, x, y))
     rho = F.when(F.col("n") >= 3, F.col("rho")).otherwise(F.lit(0.0))
-    p = r_pvalue(rho, F.col("n"))
-    return m.select("n", round_dec(rho, 4).alias("spearman_rho"), round_dec(p, 4).alias("spearman_p"))
+    m = m.select("n", rho.alias("rho")).withColumn("p", r_pvalue(F.col("rho"), F.col("n")))
+    return m.select("n", round_dec("rho", 4).alias("spearman_rho"), round_dec("p", 4).alias("spearman_p"),
+                    (F.col("p") < P.SIGNIFICANCE_P).alias("significant"))
 
 
 # ---------------------------------------------------------------- ST5
@@ -296,10 +348,10 @@ def spend_vs_productivity(summary: DataFrame, with_p: bool = False) -> DataFrame
     long = _long_pairs(summary)
     m = _finish(_moments(long, ["label"]), ["label"])
     first = RELATIONSHIPS[0][0]
-    ranked = _ranked_pairs(long.where(F.col("label") == first).select("label", "x", "y"))
-    sp = ranked.groupBy("label").agg(F.corr("rx", "ry").alias("_rho"), F.count(F.lit(1)).alias("_sn"))
-    j = m.join(sp, "label", "left")
-    rho = F.when(F.col("_sn") >= 3, F.col("_rho")).when(F.col("_sn").isNotNull(), F.lit(0.0))
+    sp = _rank_moments(long.where(F.col("label") == first).select("x", "y"))
+    sp = sp.select(F.struct("rho", "n")).scalar()  # of one relationship only
+    j = m.withColumn("_rho", F.when((F.col("label") == first) & (sp["n"] > 0), F.when(sp["n"] >= 3, sp["rho"]).otherwise(F.lit(0.0))))
+    rho = F.col("_rho")
     cols = ["label", "n",
             round_dec("_r", 4).alias("pearson_r"),
             round_dec(rho, 4).alias("spearman_rho"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions.numeric import clip0, exact_mean, round_dec, safe_div
 from ..functions.pulls import ticket_cycle_backfill
+from .stats import add_quantiles
 
 
 def _b():
@@ -29,31 +30,30 @@ def _cyc():
     return F.col("cycle_time_hours")
 
 
-def _pct(x, q, exact=True):
-    return F.percentile(x, q) if exact else F.percentile_approx(x, q, 10000)
-
-
 def backfill_cycle(tickets: DataFrame) -> DataFrame:
     """cycle_time_hours == 0 -> (resolved - created) hours, NULL -> 0, floor 0."""
     return tickets.withColumn("cycle_time_hours",
                               ticket_cycle_backfill("cycle_time_hours", "created_at", "resolved_at"))
 
 
-def dept_performance(tickets: DataFrame, exact: bool = True) -> DataFrame:
+def dept_performance(tickets: DataFrame) -> DataFrame:
     """A4: Before/After mean, median and count of cycle time per department.
 
     A side with no tickets is NULL (outer-join semantics); hours saved are
-    clipped at 0 but stay NULL when a side is missing; pct is 0 then.
+    clipped at 0 but stay NULL when a side is missing; pct is 0 then. Medians
+    are found by rank selection (``stats.exact_quantiles``).
     """
     def side(cond, name):
         x = F.when(cond, _cyc())
         n = F.count(x)
-        return [exact_mean(x, 2).alias(f"{name}_mean"),
-                (F.median(x) if exact else _pct(x, 0.5, False)).alias(f"{name}_median"),
-                F.when(n > 0, n).alias(f"{name}_count")]
-
-    g = (tickets.where(F.col("department").isNotNull() & F.col("period").isin("Before", "After"))
-         .groupBy("department").agg(*side(_b(), "before"), *side(_a(), "after")))
+        return [exact_mean(x).alias(f"{name}_mean"), F.when(n > 0, n).alias(f"{name}_count")]
+
+    rows = tickets.where(F.col("department").isNotNull() & F.col("period").isin("Before", "After"))
+    g = rows.groupBy("department").agg(*side(_b(), "before"), *side(_a(), "after"))
+    sides = rows.select("department", F.when(_b(), _cyc()).alias("before"), F.when(_a(), _cyc()).alias("after"))
+    g = add_quantiles(g, sides, ["department"], {"before": [0.5], "after": [0.5]})
+    g = g.select("department", "before_mean", F.col("before_q0").alias("before_median"), "before_count",
+                 "after_mean", F.col("after_q0").alias("after_median"), "after_count")
     hs = clip0(F.col("before_mean") - F.col("after_mean"))
     return (g.withColumn("hours_saved_mean", hs)
             .withColumn("hours_saved_median", clip0(F.col("before_median") - F.col("after_median")))
@@ -62,15 +62,16 @@ def dept_performance(tickets: DataFrame, exact: bool = True) -> DataFrame:
                                              F.lit(0.0)), 1)))
 
 
-def velocity(tickets: DataFrame, exact: bool = True) -> DataFrame:
+def velocity(tickets: DataFrame) -> DataFrame:
     """A10: tickets, story points and cycle statistics per department x period."""
-    return (tickets.where(F.col("department").isNotNull() & F.col("period").isNotNull())
-            .groupBy("department", "period")
-            .agg(F.count("jira_issue_id").alias("total_tickets"),
-                 F.sum("story_points").cast("bigint").alias("total_story_points"),
-                 round_dec(exact_mean(_cyc(), 2), 2).alias("avg_cycle_hours"),
-                 round_dec(F.median(_cyc()) if exact else _pct(_cyc(), 0.5, False), 2).alias("median_cycle_hours"),
-                 round_dec(_pct(_cyc(), 0.9, exact), 2).alias("p90_cycle_hours")))
+    keys = ["department", "period"]
+    rows = tickets.where(F.col("department").isNotNull() & F.col("period").isNotNull())
+    g = rows.groupBy(*keys).agg(F.count("jira_issue_id").alias("total_tickets"),
+                                F.sum("story_points").cast("bigint").alias("total_story_points"),
+                                round_dec(exact_mean(_cyc()), 2).alias("avg_cycle_hours"))
+    return add_quantiles(g, rows, keys, {"cycle_time_hours": [0.5, 0.9]}).select(
+        *g.columns, round_dec("cycle_time_hours_q0", 2).alias("median_cycle_hours"),
+        round_dec("cycle_time_hours_q1", 2).alias("p90_cycle_hours"))
 
 
 def throughput_delta(vel: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def resolution_heatmap(tickets: DataFrame, priorities=P.PRIORITY_ORDER) -> DataF
     """
     return (tickets.where(F.col("department").isNotNull())
             .groupBy("department").pivot("priority", list(priorities))
-            .agg(exact_mean(_cyc(), 2))
+            .agg(exact_mean(_cyc()))
             .select("department", *[round_dec(F.coalesce(F.col(p), F.lit(0.0)), 2).alias(p)
                                     for p in priorities]))
 
@@ -117,7 +118,7 @@ def cycle_by_period(tickets: DataFrame) -> DataFrame:
     """Mean cycle per department x period, 1 dp."""
     return (tickets.where(F.col("department").isNotNull() & F.col("period").isNotNull())
             .groupBy("department", "period")
-            .agg(round_dec(exact_mean(_cyc(), 2), 1).alias("mean_hours")))
+            .agg(round_dec(exact_mean(_cyc()), 1).alias("mean_hours")))
 
 
 def points_vs_cycle(tickets: DataFrame) -> DataFrame:

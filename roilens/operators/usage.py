@@ -13,6 +13,7 @@ from .. import params as P
 from ..functions.numeric import exact_sum, round_dec
 from ..functions.roi import prompt_cost
 from ..functions.timecols import time_features
+from .stats import exact_quantiles
 
 
 def rate_table(spark: SparkSession, rates: dict[str, float] | None = None) -> DataFrame:
@@ -176,7 +177,8 @@ def token_histogram(logs: DataFrame, bins: int = 40) -> DataFrame:
 
 def token_median(logs: DataFrame) -> DataFrame:
     """Median token count of requests with tokens > 0."""
-    return logs.where(F.col("token_count") > 0).agg(F.median("token_count").alias("median_tokens"))
+    return exact_quantiles(logs.where(F.col("token_count") > 0), {"token_count": [0.5]}).select(
+        F.col("token_count_q0").alias("median_tokens"))
 
 
 def usage_header(logs: DataFrame) -> DataFrame:

@@ -591,22 +591,11 @@ def _scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/roilens-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet under the shared checkpoint folder and read it
-    back: one job, lineage cut, survives executor loss."""
-    path = _scratch(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _summary(spark, sf):
-    """The per-user summary, written once as a table in the shared checkpoint
-    folder (one job; ``checkpoint()`` would compute it twice): every consumer (classifier thresholds, ranks, moments, joins)
-    then reads one user-grain table instead of re-deriving it from the facts,
-    and the lineage is cut (a lost executor recomputes from the files)."""
+    """The per-user summary as a plan: nothing runs before its consumer does."""
     from ..operators.roi import user_summary
     i = _I(spark, sf)
-    return materialize(user_summary(i.users(), i.logs_cost(), i.tickets(), i.pull_requests()), "user_summary")
+    return user_summary(i.users(), i.logs_cost(), i.tickets(), i.pull_requests())
 
 
 def _classified(spark, sf):
@@ -782,10 +771,7 @@ select sha256(us.user_id || '|' || m.month_year) as cache_id, us.user_id, us.dep
 from us join m on m.user_id = us.user_id left join dr on dr.department = us.department"""))
 def q_analytics_cache(spark, sf):
     from ..operators.roi import analytics_cache
-    # the scored log columns feed two aggregations (user x month, department
-    # risk): write the narrow projection once instead of scoring twice
-    logs = materialize(_enriched(spark, sf).select("user_id", "timestamp", "department", "cost_usd",
-                                                   "token_count", "risk_flag", "risk_score"), "cache_logs")
+    logs = _enriched(spark, sf).select("user_id", "timestamp", "department", "cost_usd", "token_count", "risk_flag", "risk_score")
     from ..operators.roi import user_summary
     i = _I(spark, sf)
     # the summary has a single consumer here: planned straight through
@@ -897,11 +883,12 @@ def q_pearson(spark, sf):
 @register("spearman", oracle(["us"], f"""
 , h as (select total_cost::double as x, hours_saved_per_ticket::double as y from us),
 rk as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rx,
-              rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry from h)
-select count(*) as n, {RD('corr(rx, ry)', 4)} as spearman_rho from rk"""))
+              rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry from h),
+sp as (select count(*) as n, corr(rx, ry) as r from rk), mp as (select n, r, {_t_p_sql('r', 'n')} as p from sp)
+select n, {RD('r', 4)} as spearman_rho, {RD('p', 4)} as spearman_p, p < 0.05 as significant from mp"""))
 def q_spearman(spark, sf):
     from ..operators.stats import spearman
-    return spearman(_summary(spark, sf), "total_cost", "hours_saved_per_ticket").drop("spearman_p")
+    return spearman(_summary(spark, sf), "total_cost", "hours_saved_per_ticket")
 
 
 @register("ols", oracle(["us"], _moments_sql("total_cost", "net_roi") + f"""

@@ -16,7 +16,8 @@ def ES(x: str, s: int) -> str:
 
 
 def EM(x: str, s: int) -> str:
-    return f"({ES(x, s)}/count({x}))"
+    """Mean of the values as they are printed (every digit of a double counts), divided once."""
+    return f"(cast(cast(sum(cast(cast({x} as varchar) as decimal(38,12))) as varchar) as double)/count({x}))"
 
 
 def RD(x: str, n: int) -> str:
@@ -73,7 +74,7 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
 
 
 def M12(x: str) -> str:
-    return f"(cast(sum(cast({x} as decimal(30,12))) as double)/count({x}))"
+    return EM(x, 12)
 
 
 def _summary_sql() -> dict[str, tuple[str, tuple[str, ...]]]:

@@ -9,7 +9,7 @@ user row is classified by a ``when`` ladder in the same projection.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -40,9 +40,8 @@ def zombie_licences(users: DataFrame, logs: DataFrame, tickets: DataFrame, prs:
             .orderBy(F.col("total_ai_cost").desc(), "user_id"))
 
 
-def quantile_scalars(df: DataFrame, spec: dict[str, list[float]], method: str = "distributed") -> dict:
-    """Quantiles ``{column: [p, ...]}`` as scalar-subquery Columns keyed
-    ``(column, i)``.
+def quantile_row(df: DataFrame, spec: dict[str, list[float]], method: str = "distributed") -> Column:
+    """Quantiles ``{column: [p, ...]}`` as ONE scalar subquery, a struct with fields ``<column>_q<i>``.
 
     ``distributed``: exact, linear interpolation, no single-task gathering
     (``stats.exact_quantiles``, all columns in one pass); ``builtin``: Spark's
@@ -58,21 +57,23 @@ def quantile_scalars(df: DataFrame, spec: dict[str, list[float]], method: str =
             return F.percentile(c, p) if method == "builtin" else F.percentile_approx(c, p, 10000)
         q = df.agg(*[agg(c, p).cast("double").alias(f"{c}_q{i}") for c, ps in spec.items()
                      for i, p in enumerate(ps)])
-    row = q.select(F.struct(*q.columns)).scalar()
-    return {(c, i): row[f"{c}_q{i}"] for c, ps in spec.items() for i in range(len(ps))}
+    return q.select(F.struct(*q.columns)).scalar()
 
 
 def classify_users(summary: DataFrame, method: str = "distributed") -> DataFrame:
     """Zombie -> At-Risk -> Champion -> Underutilized -> Healthy (first match),
     plus recommended tier, licence costs and potential saving; ``is_zombie``
     is replaced by category == Zombie. Thresholds are exact quantiles
-    (``method``, see ``quantile_scalars``) used as scalar subqueries."""
-    q = quantile_scalars(summary, {
+    (``method``, see ``quantile_row``) used as scalar subqueries."""
+    q = quantile_row(summary, {
         "total_cost": [P.AT_RISK_COST_P, P.UNDERUTIL_COST_P],
         "tickets_closed": [P.AT_RISK_OUTPUT_P, P.UNDERUTIL_OUTPUT_P],
         "pct_improvement": [P.CHAMPION_IMPROVEMENT_P]}, method)
-    th = {"cost_hi": q[("total_cost", 0)], "cost_lo": q[("total_cost", 1)], "out_lo": q[("tickets_closed", 0)],
-          "out_mid": q[("tickets_closed", 1)], "impr_hi": q[("pct_improvement", 0)]}
+    row = F.col("_thresholds")  # a subquery is copied wherever it is written, so it is written once
+    th = {"cost_hi": row["total_cost_q0"], "cost_lo": row["total_cost_q1"], "out_lo": row["tickets_closed_q0"],
+          "out_mid": row["tickets_closed_q1"], "impr_hi": row["pct_improvement_q0"]}
+    columns = summary.columns
+    summary = summary.withColumn("_thresholds", q)
     cost, tickets = F.col("total_cost"), F.col("tickets_closed")
     impr, roi = F.col("pct_improvement"), F.col("net_roi")
     category = (F.when((cost > th["cost_hi"]) & (tickets == 0), "Zombie")
@@ -81,7 +82,7 @@ def classify_users(summary: DataFrame, method: str = "distributed") -> DataFrame
                 .when((cost <= th["cost_lo"]) & (tickets <= th["out_mid"]), "Underutilized")
                 .otherwise("Healthy"))
     tier = recommend_tier("total_tokens", "prompt_count", "tickets_closed")
-    out = (summary.withColumn("category", category)
+    out = (summary.withColumn("category", category).select(*columns, "category")
            .withColumn("is_zombie", (F.col("category") == "Zombie").cast("int"))
            .withColumn("recommended_tier", tier)
            .withColumn("current_licence_cost", licence_cost("license_type"))

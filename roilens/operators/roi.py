@@ -124,7 +124,7 @@ def user_summary(users: DataFrame, logs: DataFrame, tickets: DataFrame,
 
     Aggregates per user, left-joined onto the user dimension (no per-user
     loop). The median spend is an exact quantile used as a scalar subquery
-    (``method``: see ``licences.quantile_scalars``).
+    (``method``: see ``licences.quantile_row``).
     """
     cost = usage_per_user(logs)
     tk = tickets_per_user(tickets)
@@ -154,12 +154,12 @@ def user_summary(users: DataFrame, logs: DataFrame, tickets: DataFrame,
          .withColumn("pct_improvement",
                      round_dec(F.coalesce(safe_div(F.col("hours_saved_per_ticket"), F.col("avg_cycle_before")) * 100,
                                           F.lit(0.0)), 1)))
-    from .licences import quantile_scalars
+    from .licences import quantile_row
 
     # the median spend needs only users and their spend: not the ticket/PR joins
     spend = (users.select("user_id").join(cost, "user_id", "left")
              .select(F.coalesce(F.col("total_cost"), F.lit(0.0)).alias("total_cost")))
-    med = quantile_scalars(spend, {"total_cost": [0.5]}, method)[("total_cost", 0)]
+    med = quantile_row(spend, {"total_cost": [0.5]}, method)["total_cost_q0"]
     zombie = ((F.col("total_cost") > med) & (F.col("tickets_closed") == 0) & (F.col("prs_merged") == 0)
               & (F.col("total_cost") > 0))
     return s.withColumn("is_zombie", F.coalesce(zombie, F.lit(False)).cast("int"))

@@ -187,48 +187,54 @@ def _below(cuts: Column, x: Column, buckets: int) -> Column:
                        lambda at, s: F.when(F.get(cuts, at + s - 1) < x, at + s).otherwise(at))
 
 
-def with_average_rank(rows: DataFrame, col: str, out: str, weight: str, buckets: int | None = None,
-                      base: DataFrame | None = None) -> DataFrame:
-    """``rows`` with the average (tie-averaged, 1-based) rank of ``col``, a row counting ``weight`` times.
-
-    The cut points and the ranges' totals are array-valued scalar subqueries,
-    so nothing runs while the plan is built. A value that fills a range of its
-    own is a range of its own: its rank follows from the totals, and its rows
-    are dealt by a hash of the whole row. All others meet in one window for each range, which
-    no single value fills. No row is joined with anything. ``base`` has the same
-    (col, weight) rows by a shorter plan, if there is one.
+def with_average_ranks(rows: DataFrame, ranks: dict[str, str], weight: str, buckets: int | None = None) -> DataFrame:
+    """``rows`` with the average (tie-averaged, 1-based) rank of each column of ``ranks`` under the given name, a row
+    counting ``weight`` (> 0) times.
+
+    Cut points and totals of the ranges are two scalar subqueries (an array and
+    a map for each column), so nothing runs while the plan is built. A value
+    that fills a range of its own is a range of its own: its rank follows from
+    the totals, and its rows are dealt by a hash of the whole row. All others
+    meet in one window for each range, which no single value fills. No row is
+    joined with anything.
     """
-    base = rows if base is None else base
     buckets = buckets or bucket_count(rows)
-    x, w = F.col(col), F.col(weight)
-    cuts = F.col("_cuts")
-    # weights are positive; as the cut points read them too, all uses of a grouped base share its shuffle
-    points = base.agg(_cuts(F.when(w > 0, x), buckets)).scalar()
-    own = F.coalesce((F.get(cuts, F.col("_below")) == x) & (F.get(cuts, F.col("_below") + 1) == x), F.lit(False))
-
-    def place(df):  # a range: the values between two cut points, or the upper cut point if that is a range of its own
-        df = df.withColumn("_cuts", points).withColumn("_below", _below(cuts, x, buckets)).withColumn("_own", own)
-        return df.withColumn("_range", 2 * F.col("_below") + F.col("_own").cast("int")).drop("_cuts", "_below")
-
-    placed = place(rows)
-    totals = place(base).groupBy("_range").agg(F.sum(w).alias("n"))  # at most 2 x buckets rows
-    before = totals.select("_range", "n", F.coalesce(F.sum("n").over(
-        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    known = before.agg(F.map_from_entries(F.collect_list(F.struct("_range", F.struct("n", "before"))))).scalar()
-    at = F.try_element_at(known, F.col("_range"))
-    deal = F.when(F.col("_own"), F.xxhash64(*rows.columns)).otherwise(F.lit(0))
-    window = Window.partitionBy("_range", "_deal")
-    ranked = placed.withColumn("_deal", deal).withColumn(
-        "_upto", F.sum(w).over(window.orderBy(col).rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn(
-        "_ties", F.sum(w).over(Window.partitionBy("_range", "_deal", col)))
-    rank = at["before"] + F.when(F.col("_own"), (at["n"] + 1) / 2.0).otherwise(
-        F.col("_upto") - F.col("_ties") + (F.col("_ties") + 1) / 2.0)
-    return ranked.select(*rows.columns, rank.alias(out))
+    w = F.col(weight)
+    # cut points read the weight too, so that all uses of a grouped frame have the same columns and share its shuffle
+    sketch = rows.agg(F.struct(*[_cuts(F.when(w > 0, F.col(c)), buckets).alias(c) for c in ranks])).scalar()
+    placed = rows.withColumn("_sketch", sketch)  # a subquery is copied wherever it is written, so it is written once
+    placed = placed.withColumns({f"_below_{c}": _below(F.col("_sketch")[c], F.col(c), buckets) for c in ranks})
+
+    def own(c):
+        cuts, at = F.col("_sketch")[c], F.col(f"_below_{c}")
+        return F.coalesce((F.get(cuts, at) == F.col(c)) & (F.get(cuts, at + 1) == F.col(c)), F.lit(False))
+
+    placed = placed.select(*rows.columns, *[own(c).alias(f"_own_{c}") for c in ranks], *[
+        # the values between two cut points, or the upper cut point if that is a range of its own
+        (2 * F.col(f"_below_{c}") + own(c).cast("int")).alias(f"_range_{c}") for c in ranks])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"_range_{c}").alias("r")) for c in ranks]))
+    totals = placed.select(w.alias("w"), each.alias("k")).groupBy("k.c", "k.r").agg(F.sum("w").alias("n"))
+    before = F.coalesce(F.sum("n").over(  # at most 2 x buckets rows a column
+        Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = totals.select(F.concat("c", F.lit(":"), "r").alias("k"), F.struct("n", before.alias("before")).alias("v")).agg(
+        F.map_from_entries(F.collect_list(F.struct("k", "v")))).scalar()
+    out = placed.withColumn("_known", known).withColumns({f"_at_{c}": F.try_element_at(
+        "_known", F.concat(F.lit(f"{c}:"), F.col(f"_range_{c}"))) for c in ranks}).drop("_known")
+    for c, name in ranks.items():
+        at, mine = F.col(f"_at_{c}"), F.col(f"_own_{c}")
+        out = out.withColumn("_deal", F.when(mine, F.xxhash64(*rows.columns)).otherwise(F.lit(0)))
+        window = Window.partitionBy(f"_range_{c}", "_deal")
+        out = out.withColumn("_upto", F.sum(w).over(window.orderBy(c).rangeBetween(
+            Window.unboundedPreceding, Window.currentRow))).withColumn(
+            "_ties", F.sum(w).over(Window.partitionBy(f"_range_{c}", "_deal", c)))
+        out = out.withColumn(name, at["before"] + F.when(mine, (at["n"] + 1) / 2.0).otherwise(
+            F.col("_upto") - F.col("_ties") + (F.col("_ties") + 1) / 2.0))
+    return out.select(*rows.columns, *ranks.values())
 
 
 def average_ranks(df: DataFrame, col: str, out: str, buckets: int | None = None) -> DataFrame:
-    """Average rank of ``col`` over the whole frame (see ``with_average_rank``)."""
-    return with_average_rank(df.withColumn("_one", F.lit(1)), col, out, "_one", buckets).drop("_one")
+    """Average rank of ``col`` over the whole frame (see ``with_average_ranks``)."""
+    return with_average_ranks(df.withColumn("_one", F.lit(1)), {col: out}, "_one", buckets).drop("_one")
 
 
 def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], keys: tuple[str, ...] | list[str] = (),
@@ -293,22 +299,21 @@ def add_quantiles(grouped: DataFrame, rows: DataFrame, keys: list[str], spec: di
 def _rank_moments(pairs: DataFrame) -> DataFrame:
     """One row: n and rho over the complete pairs (x, y).
 
-    Distinct pairs with their counts get both ranks by ``with_average_rank``; rho is their correlation, weighted by the
-    counts. Ranks less their mean are halves of integers, so all sums are exact and do not depend on row order.
+    Distinct pairs with their counts get both ranks by ``with_average_ranks``; rho is their correlation, weighted by the
+    counts. Doubled ranks are integers with the mean n + 1, so all sums are exact and do not depend on row order.
     """
     distinct = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-    ranked = with_average_rank(with_average_rank(distinct, "x", "rx", "w"), "y", "ry", "w", base=distinct)
-    n = distinct.agg(F.sum("w")).scalar()
-    a, b = ((2 * F.col(r)).cast("long") - (n + 1) for r in ("rx", "ry"))  # twice the distance from the mean rank
+    ranked = with_average_ranks(distinct, {"x": "rx", "y": "ry"}, "w")
+    a, b, w = (2 * F.col("rx")).cast("decimal(13,0)"), (2 * F.col("ry")).cast("decimal(13,0)"), F.col("w").cast("decimal(12,0)")
+    m = ranked.agg(F.sum("w").alias("n"), *[F.sum(x * y * w).cast("decimal(38,0)").alias(name)
+                                            for name, x, y in (("ab", a, b), ("aa", a, a), ("bb", b, b))])
+    n = F.col("n").cast("decimal(12,0)")
 
-    def total(c):
-        return F.sum((c.cast("decimal(19,0)") * F.col("w")).cast("decimal(38,0)")).cast("double")
+    def centred(name):
+        return (F.col(name) - n * (n + 1).cast("decimal(13,0)") * (n + 1).cast("decimal(13,0)")).cast("double")
 
-    m = ranked.select("w", a.alias("a"), b.alias("b")).agg(
-        F.sum("w").alias("n"), total(F.col("a") * F.col("b")).alias("ab"), total(F.col("a") * F.col("a")).alias("aa"),
-        total(F.col("b") * F.col("b")).alias("bb"))
-    return m.select(F.coalesce("n", F.lit(0)).alias("n"),
-                    F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")).alias("rho"))
+    return m.select(F.coalesce("n", F.lit(0)).alias("n"), F.try_divide(
+        centred("ab"), F.sqrt(centred("aa")) * F.sqrt(centred("bb"))).alias("rho"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -350,7 +355,9 @@ def spend_vs_productivity(summary: DataFrame, with_p: bool = False) -> DataFrame
     first = RELATIONSHIPS[0][0]
     sp = _rank_moments(long.where(F.col("label") == first).select("x", "y"))
     sp = sp.select(F.struct("rho", "n")).scalar()  # of one relationship only
-    j = m.withColumn("_rho", F.when((F.col("label") == first) & (sp["n"] > 0), F.when(sp["n"] >= 3, sp["rho"]).otherwise(F.lit(0.0))))
+    sn = F.col("_sp")["n"]
+    j = m.withColumn("_sp", sp).withColumn("_rho", F.when((F.col("label") == first) & (sn > 0), F.when(
+        sn >= 3, F.col("_sp")["rho"]).otherwise(F.lit(0.0)))).drop("_sp")
     rho = F.col("_rho")
     cols = ["label", "n",
             round_dec("_r", 4).alias("pearson_r"),

@@ -1268,17 +1268,17 @@ select repo_name, count(*) filter (where repo_name <> (select min(repo_name) fro
   as "rows"
 from pull_requests group by repo_name"""))
 def q_replace_repo(spark, sf):
-    """Write all PRs laid out by repo, then replace one repository's
+    """Publish all PRs laid out by repo, then replace one repository's
     partition with its merged PRs only; the other partitions are unchanged."""
     from pyspark.sql import functions as F
     from ..sources.sinks import replace_repo
+    from ..sources.versions import read_table
     prs = _I(spark, sf).pull_requests().drop("user_id")
     path = _scratch(spark, "prs")
     replace_repo(spark, prs, path)
-    first = prs.agg(F.min("repo_name")).scalar()
-    # dynamic overwrite replaces exactly the partitions present in the new rows
-    replace_repo(spark, prs.where((F.col("repo_name") == first) & (F.col("pr_state") == "merged")), path)
-    return spark.read.parquet(path).groupBy("repo_name").agg(F.count(F.lit(1)).alias("rows"))
+    least = prs.agg(F.min("repo_name")).first()[0]  # the caller's choice of a repository
+    replace_repo(spark, prs.where(F.col("pr_state") == "merged"), path, least)
+    return read_table(spark, path).groupBy("repo_name").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register("read_cache", ORACLES["analytics_cache"])

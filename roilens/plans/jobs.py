@@ -1,6 +1,6 @@
-"""Batch jobs B1-B5: compositions of the operators, written as idempotent
-overwrites so a rerun -- or a retry after losing executors -- yields the same
-output. Intermediate results reused by several outputs (the user summary) are
+"""Batch jobs B1-B5: compositions of the operators, published by version
+(``sources/versions.py``): a rerun yields the same rows, and a job that dies
+half-way leaves the last version. Intermediate results reused by several outputs (the user summary) are
 written once to the job's shared output folder and read back, which also cuts
 the lineage.
 
@@ -14,17 +14,20 @@ import datetime as _dt
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import params as P
-from ..operators.governance import apply_risk_update, scan_logs
+from .. import schemas
+from ..operators.governance import apply_risk_update, redact_frame, scan_logs
 from ..operators.licences import classify_users, optimisation_summary
 from ..operators.pulls import department_fill, pr_delta, pr_performance, pr_sync_summary
 from ..operators.roi import analytics_cache, executive_kpis, user_summary
 from ..operators.tickets import dept_performance
 from ..operators.usage import enrich_usage
-from ..sources.ingest import ingest_pull_requests, read_raw_pull_requests
-from ..sources.sinks import export_bundle, replace_repo, write_csv, write_table
-from ..functions.pulls import period_backfill
+from ..sources.ingest import ingest_pull_requests, quarantine, read_landed
+from ..sources.sinks import export_bundle, privacy_projection, replace_repo, write_csv
+from ..sources.versions import VersionedTable, read_table
+from ..functions.pulls import ntz_literal, period_backfill
 from .inputs import Inputs
 
 
@@ -74,48 +77,58 @@ class Tables:
 
 
 def run_scan(t: Tables, out: str) -> str:
-    """B1: score every prompt (distinct texts once) and rewrite the log table
+    """B1: score every prompt (distinct texts once) and publish the log table, laid out by department,
     with updated risk columns."""
     logs = t.logs()
     upd = scan_logs(logs, dedupe=True).drop("pii_types")
     path = f"{out}/ai_usage_logs"
-    write_table(apply_risk_update(logs, upd), path)
+    VersionedTable(t.spark, path).replace(apply_risk_update(logs, upd), "department")
     return path
 
 
 def run_pr_sync(t: Tables, raw_path: str, out: str, since: _dt.datetime | None = None, repo: str | None = None,
                 cutoff: _dt.datetime = P.ADOPTION_CUTOFF) -> dict[str, DataFrame]:
-    """B2: landed PR JSON -> S7 -> P3/P4 -> partition replace (S10) -> A9/A7 reports."""
+    """B2: landed PR JSON -> S7 (unreadable lines to ``quarantine/``) -> P3/P4 -> replace (S10) -> A9/A7 reports and counts.
+    ``since`` limits the sync to PRs created from then on, ``repo`` to one repository; what lies outside stays."""
     spark = t.spark
-    raw = read_raw_pull_requests(spark, raw_path)
+    raw, rejects = read_landed(spark, raw_path, schemas.RAW_PR)
+    rejected = quarantine(spark, rejects, f"{out}/quarantine/pull_requests")
     prs = ingest_pull_requests(raw, t.users(), t.repo_department(), since, cutoff=cutoff)
     prs = department_fill(prs, t.repo_department()).withColumn(
         "period", period_backfill("period", "merged_at", cutoff))
     path = f"{out}/pull_requests"
-    if repo is None:  # a full sync is a full replace: repositories that left the feed leave the table
-        write_table(prs, path, partition_by=["repo_name"])
-    else:
-        replace_repo(spark, prs, path, repo)
-    stored = spark.read.parquet(path)
-    return {"sync_summary": pr_sync_summary(stored), "delta": pr_delta(pr_performance(stored))}
+    table = VersionedTable(spark, path)
+    if since is not None and table.exists():  # the feed says nothing about older rows: they stay
+        older = table.read() if repo is None else table.read([repo])
+        prs = prs.unionByName(older.where(F.col("created_at").isNull() | (F.col("created_at") < ntz_literal(since))).select(*prs.columns))
+    replace_repo(spark, prs, path, repo)  # a full sync replaces all: repositories that left the feed leave the table
+    stored = table.read()
+    counts = spark.createDataFrame([(stored.count(), rejected)], "stored long, rejected long")
+    return {"sync_summary": pr_sync_summary(stored), "delta": pr_delta(pr_performance(stored)), "ingest_counts": counts}
 
 
 def run_analytics(t: Tables, out: str, computed_at: str | None = None) -> dict[str, str]:
-    """Summary -> classification -> cache, KPIs, optimisation, department
-    performance. The summary is written once and reused."""
+    """Summary -> classification -> cache, KPIs, optimisation, department performance, and the processed bundle
+    (enriched logs with redacted texts, PRs without user ids), each published. The summary is written once and reused."""
     spark = t.spark
     users, logs, tickets, prs = t.users(), t.logs(), t.tickets(), t.pull_requests()
-    paths = {k: f"{out}/{k}" for k in ("user_summary", "classified", "analytics_cache", "kpis",
-                                       "optimisation", "dept_performance")}
-    write_table(user_summary(users, logs, tickets, prs), paths["user_summary"])
-    summary = spark.read.parquet(paths["user_summary"])
-    write_table(classify_users(summary), paths["classified"])
-    classified = spark.read.parquet(paths["classified"])
+    paths = {k: f"{out}/{k}" for k in ("user_summary", "classified", "analytics_cache", "kpis", "optimisation",
+                                       "dept_performance", "usage_logs_enriched", "github_pr_enriched")}
+
+    def publish(name: str, df: DataFrame) -> DataFrame:
+        table = VersionedTable(spark, paths[name])
+        table.replace(df)
+        return table.read()
+
+    summary = publish("user_summary", user_summary(users, logs, tickets, prs))
+    classified = publish("classified", classify_users(summary))
     enriched = enrich_usage(logs, users)
-    write_table(analytics_cache(summary, enriched, computed_at), paths["analytics_cache"])
-    write_table(executive_kpis(logs, tickets, users), paths["kpis"])
-    write_table(optimisation_summary(classified), paths["optimisation"])
-    write_table(dept_performance(tickets), paths["dept_performance"])
+    publish("analytics_cache", analytics_cache(summary, enriched, computed_at))
+    publish("kpis", executive_kpis(logs, tickets, users))
+    publish("optimisation", optimisation_summary(classified))
+    publish("dept_performance", dept_performance(tickets))
+    publish("usage_logs_enriched", redact_frame(enriched, "prompt_text"))  # the processed bundle: texts redacted,
+    publish("github_pr_enriched", privacy_projection(prs))  # no user ids
     return paths
 
 
@@ -125,8 +138,8 @@ def run_export(t: Tables, out: str, analytics: dict[str, str] | None = None) ->
     spark = t.spark
     users, logs, tickets = t.users(), t.logs(), t.tickets()
     if analytics:
-        dept = spark.read.parquet(analytics["dept_performance"])
-        classified = spark.read.parquet(analytics["classified"])
+        dept = read_table(spark, analytics["dept_performance"])
+        classified = read_table(spark, analytics["classified"])
     else:
         dept = dept_performance(tickets)
         classified = classify_users(user_summary(users, logs, tickets, t.pull_requests()))

@@ -2,7 +2,8 @@
 
 The live REST clients of the original are network tools; here the pages are
 assumed landed as JSON lines and are read with a declared nested schema (no
-inference), filtered, and shaped into the business tables in one plan.
+inference), filtered, and shaped into the business tables in one plan. Lines
+that do not parse go to a quarantine table.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import params as P
 from .. import schemas
 from ..functions.numeric import round_dec
 from ..functions.pulls import hours_between, ntz_literal, period_label, rework_ratio
 from ..functions.timecols import parse_utc_ntz
+from .versions import VersionedTable
 
 
 def utc_ntz(text_col) -> "F.Column":
@@ -25,8 +28,28 @@ def utc_ntz(text_col) -> "F.Column":
     return parse_utc_ntz(text_col)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_landed(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of landed JSON lines. A line that is no JSON object, or in which a declared field has another
+    type, is a reject -- with its file and text -- and no record; blank lines are neither."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    held = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = lines.withColumn("r", F.from_json("value", held, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull() | ~F.ltrim("value").startswith("{")
+    return parsed.where(~bad).select("r.*").drop(CORRUPT), parsed.where(bad).select("file", F.col("value").alias("line"))
+
+
+def quarantine(spark: SparkSession, rejects: DataFrame, path: str) -> int:
+    """Publishes the rejected lines (a rerun replaces them) and returns how many there are."""
+    table = VersionedTable(spark, path)
+    table.replace(rejects)
+    return table.read().count()
+
+
 def read_raw_pull_requests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RAW_PR).json(path)
+    return read_landed(spark, path, schemas.RAW_PR)[0]
 
 
 def ingest_pull_requests(raw: DataFrame, users: DataFrame | None, repo_department: DataFrame | None,
@@ -60,7 +83,7 @@ def ingest_pull_requests(raw: DataFrame, users: DataFrame | None, repo_departmen
         r = r.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_per_repo).drop("_rn")
     out = r.select(
         F.concat(F.col("repo_name"), F.lit("#"), F.col("number").cast("string")).alias("pr_id"),
-        F.coalesce(F.col("login"), F.lit("unknown")).alias("github_username"),
+        F.col("login").alias("github_username"),
         "repo_name", "repo_full_name",
         F.coalesce(F.col("title"), F.lit("")).alias("pr_title"),
         F.lit("merged").alias("pr_state"), "created_at", "merged_at",
@@ -72,7 +95,7 @@ def ingest_pull_requests(raw: DataFrame, users: DataFrame | None, repo_departmen
         rework_ratio("additions", "deletions").alias("rework_ratio"),
         period_label("merged_at", cutoff).alias("period"))
     if repo_department is not None:
-        lk = repo_department.select(F.col("repo_name").alias("_r"), F.col("department"))
+        lk = repo_department.groupBy(F.col("repo_name").alias("_r")).agg(F.min("department").alias("department"))
         out = out.join(lk, out["repo_name"] == F.col("_r"), "left").drop("_r")
     else:
         out = out.withColumn("department", F.lit(None).cast("string"))
@@ -81,11 +104,12 @@ def ingest_pull_requests(raw: DataFrame, users: DataFrame | None, repo_departmen
         out = map_contributors(out, users)
     else:
         out = out.withColumn("user_id", F.lit(None).cast("string"))
-    return out
+    # a missing login is labelled after the mapping: it is nobody's, and no join key
+    return out.withColumn("github_username", F.coalesce("github_username", F.lit("unknown")))
 
 
 def read_raw_ticket_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RAW_TICKET_PAGE).json(path)
+    return read_landed(spark, path, schemas.RAW_TICKET_PAGE)[0]
 
 
 TICKET_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSXX"

@@ -1,8 +1,8 @@
 """Sinks: S6 CSV, S9 full replace, S10 replace one repository, S14/S15
 privacy projection and the processed-bundle export.
 
-Every write is an idempotent overwrite: a rerun (or a retried job after an
-executor loss) produces the same files. Paths must be on shared storage.
+Tables that others read while they are rewritten are published by version (``versions.py``); exports are plain folders,
+overwritten as a whole. Paths must be on shared storage.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
-
+from .versions import VersionedTable
 
 #: One format for both ways: quotes are doubled, so texts with quotes, commas and line breaks read back as they were.
 CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -38,13 +38,13 @@ def read_csv(spark: SparkSession, path: str, table: str | StructType) -> DataFra
     return spark.read.schema(schemas.TABLES[table] if isinstance(table, str) else table).options(multiLine=True, **CSV).csv(path)
 
 
-def replace_repo(spark: SparkSession, prs: DataFrame, path: str, repo_name: str | None = None) -> None:
-    """Replace the partitions of the repositories present in ``prs``
-    (optionally only ``repo_name``) of a table laid out by ``repo_name``,
-    leaving the others untouched. Dynamic partition overwrite makes the
-    delete+append atomic per partition and idempotent on rerun."""
-    df = prs if repo_name is None else prs.where(F.col("repo_name") == repo_name)
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_name").parquet(path)
+def replace_repo(spark: SparkSession, prs: DataFrame, path: str, repo_name: str | None = None) -> int:
+    """A published table laid out by ``repo_name``: replaced as a whole, or (``repo_name``) the rows of one repository,
+    which is cleared if ``prs`` has none of it. Other repositories keep their files. Returns the version."""
+    table = VersionedTable(spark, path)
+    if repo_name is None or not table.exists():
+        return table.replace(prs if repo_name is None else prs.where(F.col("repo_name") == repo_name), "repo_name")
+    return table.replace_partitions(prs, [repo_name])
 
 
 def privacy_projection(prs: DataFrame) -> DataFrame:

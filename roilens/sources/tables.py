@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.timecols import parse_utc_ntz
+from .sinks import CSV, read_csv
+from .versions import read_table
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -35,12 +37,15 @@ def load(spark: SparkSession, path: str, table: str | None = None, fmt: str = "p
         if schema is None:
             raise ValueError("an empty result needs a declared table schema")
         return empty(spark, schema)
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    if schema is not None and fmt != "parquet":
-        reader = reader.schema(schema)
-    df = reader.load(path)
+    if fmt == "parquet":
+        df = read_table(spark, path)
+    elif fmt == "csv" and schema is not None:
+        df = read_csv(spark, path, schema)
+    else:
+        reader = spark.read.format(fmt)
+        if fmt == "csv":
+            reader = reader.options(multiLine=True, **CSV)
+        df = (reader if schema is None else reader.schema(schema)).load(path)
     if schema is not None and fmt == "parquet":
         df = align_schema(df, schema)
     return df

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from roilens import schemas
 from roilens.operators.quality import constraint_audit
 from roilens.sources.sinks import read_csv, replace_repo, write_csv
+from roilens.sources.versions import read_table
 from roilens.sources.tables import align_pull_requests, coerce_types, read_cache, scan_department
 
 
@@ -61,9 +62,10 @@ def test_replace_repo_idempotent(spark, scratch):
     replace_repo(spark, prs, path)
     replace_repo(spark, prs.where("pr_state = 'merged'"), path, "a")
     replace_repo(spark, prs.where("pr_state = 'merged'"), path, "a")
-    got = sorted(r["pr_id"] for r in spark.read.parquet(path).collect())
+    got = sorted(r["pr_id"] for r in read_table(spark, path).collect())
     assert got == ["a#1", "b#1"]
-    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+    replace_repo(spark, prs.limit(0), path, "a")
+    assert [r["pr_id"] for r in read_table(spark, path).collect()] == ["b#1"]
 
 
 def test_read_cache_missing_is_empty(spark, scratch):

@@ -6,7 +6,11 @@ frequent token sets together with a label; the rules ``tokens => block`` and
 ``tokens => allow`` that reach ``min_support`` (a share of the labelled rows, and
 ``MIN_ROWS`` of them at least) and ``min_confidence`` are kept,
 and a rule is pruned if a rule over fewer of its tokens is at least as
-confident for the same label. Rules match through an inverted index: each rule
+confident for the same label. Tokens that occur in exactly the same labelled rows
+(as those of a long URL that repeats do) would make rules of all their subsets,
+alike in support and confidence; they are mined as one item, named by the least
+of them, and a URL has the item if it has any of them, which is what those rules
+together say. Rules match through an inverted index: each rule
 is posted under its rarest token, a URL looks up its own tokens, and a posting
 holds if the URL has all of the rule's tokens. The most confident matching rule
 decides (ties: more tokens, then block before allow); without one the default
@@ -56,16 +60,34 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(parts)
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (tokens, verdict, confidence, support) from (url, blocked boolean)."""
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Rules (tokens, verdict, confidence, support) from (url, blocked boolean), their tokens being items, and the items
+    (item, alike) with the tokens that each stands for."""
     baskets = labelled.where("blocked is not null").select(F.array_union(
         tokens(F.col("url")), F.array(F.when(F.col("blocked"), BLOCK).otherwise(F.lit(ALLOW)))).alias("items"))
-    baskets = cut(baskets)
-    support = min(1.0, max(min_support, MIN_ROWS / max(1, baskets.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
+    baskets = cut(baskets.withColumn("row", F.monotonically_increasing_id()))  # written, so it stays the same
+    n = baskets.count()
+    support = min(1.0, max(min_support, MIN_ROWS / max(1, n)))
+    # tokens of the same rows: as many rows, and the same sums of the rows' hashes
+    row = F.xxhash64("items").cast("decimal(38,0)")
+    counted = baskets.select(F.explode("items").alias("token"), row.alias("h"), F.xxhash64("items", F.lit(1)).cast(
+        "decimal(38,0)").alias("h2")).groupBy("token").agg(F.count("*").alias("n"), F.sum("h").alias("h"), F.sum("h2").alias("h2"))
+    frequent = counted.where((F.col("n") >= support * n) & ~F.col("token").isin(BLOCK, ALLOW))
+    items = cut(frequent.groupBy("n", "h", "h2").agg(F.array_sort(F.collect_list("token")).alias("alike")).select(
+        F.element_at("alike", 1).alias("item"), "alike"))
+    # only an item's name is looked for: its other tokens stand in the same rows
+    words = baskets.select("row", "items", F.explode("items").alias("item"))
+    words = words.join(items.select("item"), "item", "left_semi").groupBy("row").agg(
+        F.collect_list("item").alias("names"), F.first("items").alias("items"))
+    merged = cut(words.select(F.array_union("names", F.array_intersect("items", F.array(F.lit(BLOCK), F.lit(ALLOW)))).alias("items")))
+    parts = int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows without a frequent token are not among the merged ones: the support is that of all rows all the same
+    m = merged.count()
+    share = min(1.0, support * n / max(1, m))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence, numPartitions=parts).fit(merged)
     rules = model.associationRules.where(F.array_contains(F.lit([BLOCK, ALLOW]), F.col("consequent")[0])).select(
         F.array_sort("antecedent").alias("tokens"), F.substring_index(F.col("consequent")[0], ":", -1).alias("verdict"),
-        "confidence", "support")
+        "confidence", (F.col("support") * (m / max(1, n))).alias("support"))
     rules = cut(rules)
     # a rule loses to one with fewer of its tokens, the same verdict and no less confidence
     small = rules.select(F.col("tokens").alias("s_tokens"), F.col("verdict").alias("s_verdict"),
@@ -75,12 +97,14 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     beaten = wide.join(small, (wide.token == small.token) & (wide.verdict == small.s_verdict) & (F.size("tokens") > F.size("s_tokens"))
                        & (F.col("s_confidence") >= F.col("confidence")) & (F.size(F.array_except("s_tokens", "tokens")) == 0),
                        "left_semi").select("tokens", "verdict")
-    return cut(rules.join(beaten, ["tokens", "verdict"], "left_anti"))
+    kept = cut(rules.join(beaten, ["tokens", "verdict"], "left_anti"))
+    return kept, items.join(kept.select(F.explode("tokens").alias("item")).distinct(), "item", "left_semi")
 
 
-def match(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def match(pages: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
     """(id, verdict, confidence, mined): the best mined rule of each id, for (id, url) with one row per id."""
-    words = pages.select("id", tokens(F.col("url")).alias("have"))
+    words = pages.select("id", F.explode(tokens(F.col("url"))).alias("token")).join(
+        items.select("item", F.explode("alike").alias("token")), "token").groupBy("id").agg(F.collect_set("item").alias("have"))
     frequency = rules.select(F.explode("tokens").alias("token")).distinct().join(
         words.select(F.explode("have").alias("token")), "token").groupBy("token").agg(F.count("*").alias("n"))
     posted = rules.withColumn("token", F.explode("tokens")).join(frequency, "token").groupBy("tokens", "verdict", "confidence").agg(
@@ -116,7 +140,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str
         {"rule": rule, "ruled": verdict})
     # equal URLs are judged once, and no id needs to be unique
     open_urls = judged.where("rule is null and url is not null").select(F.col("url").alias("id"), "url").distinct()
-    found = match(open_urls, mine(labelled, min_support, min_confidence)).select(
+    found = match(open_urls, *mine(labelled, min_support, min_confidence)).select(
         F.col("id").alias("url"), F.col("verdict").alias("mined_verdict"), "confidence", "mined")
     found = cut(found)  # a plain shuffle on either side lets adaptive execution split a hot URL
     out = judged.join(found, "url", "left")

@@ -196,7 +196,7 @@ def test_url_filters(spark):
 
 def test_mined_rules_reach_support_and_confidence(spark):
     urls = [(f"http://h{i % 7}.net/{'de' if i % 2 else 'en'}/{i}", bool(i % 2) and i % 10 != 1) for i in range(400)]
-    rules = url_filters.mine(spark.createDataFrame(urls, "url string, blocked boolean")).collect()
+    rules = url_filters.mine(spark.createDataFrame(urls, "url string, blocked boolean"))[0].collect()
     have = [(set(t), b) for t, b in zip([r[0] for r in spark.createDataFrame(urls, "url string, b boolean").select(url_filters.tokens(F.col("url"))).collect()],
                                         [b for _, b in urls], strict=True)]
     assert rules
@@ -211,13 +211,50 @@ def test_mined_rules_of_many_tokens(spark):
     names = ["a", "b", "c", "d"]
     sets = [names] * 150 + [[n for n in names if n != gone] for gone in names for _ in range(80)]
     urls = [(f"http://h{i}.net/?" + "&".join(f"{n}=1" for n in s), len(s) == 4) for i, s in enumerate(sets)]
-    rules = url_filters.mine(spark.createDataFrame(urls, "url string, blocked boolean")).collect()
+    rules = url_filters.mine(spark.createDataFrame(urls, "url string, blocked boolean"))[0].collect()
     assert ["arg:a", "arg:b", "arg:c", "arg:d"] in [list(r.tokens) for r in rules if r.verdict == "block"]
     pages = spark.createDataFrame([(1, "http://new.net/?a=1&b=2&c=3&d=4"), (2, "http://new.net/?a=1&b=2&c=3")], "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filters.filter_urls(pages, spark.createDataFrame(urls, "url string, blocked boolean"), []).collect()}
     assert got == {1: "block", 2: "allow"}
 
 
+def test_copies_of_a_long_url_end(spark):
+    long = "http://tracker.net/" + "/".join(f"step{i}" for i in range(60)) + "?"
+    urls = [(long + f"u={i}", True) for i in range(1000)] + [(f"http://fine.net/en/{i}", False) for i in range(1000)]
+    pages = spark.createDataFrame([(1, long), (2, "http://tracker.net/other"), (3, "http://fine.net/en/7"), (4, "http://new.org/")],
+                                  "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.mined) for r in url_filters.filter_urls(pages, spark.createDataFrame(urls, "url string, blocked boolean"), []).collect()}
+    assert [got[i][0] for i in (1, 2, 3, 4)] == ["block", "block", "allow", "allow"] and got[4][1] is None
+
+
+def test_verdicts_equal_a_brute_force_miner(spark):
+    from itertools import combinations
+    rng = np.random.default_rng(11)
+    urls = []
+    for _ in range(160):
+        host, words = rng.choice(["a.net", "b.net", "c.org"]), [w for w in ("x", "y", "z") if rng.random() < 0.5]
+        urls.append((f"http://{host}/{'/'.join(words)}", bool(rng.random() < (0.95 if "x" in words and host != "c.org" else 0.1))))
+    df = spark.createDataFrame(urls, "url string, blocked boolean")
+    have = [frozenset(r[0]) for r in df.select(url_filters.tokens(F.col("url"))).collect()]
+    support = max(url_filters.MIN_SUPPORT * len(urls), url_filters.MIN_ROWS)
+    rules = {}
+    for t in set(have):
+        for size in range(1, len(t) + 1):
+            for s in combinations(sorted(t), size):
+                hit = [b for h, (_, b) in zip(have, urls) if set(s) <= h]
+                for verdict, n in (("block", sum(hit)), ("allow", len(hit) - sum(hit))):
+                    if n >= support and n / len(hit) >= url_filters.MIN_CONFIDENCE:
+                        rules[frozenset(s), verdict] = n / len(hit)
+    kept = {(s, v): c for (s, v), c in rules.items() if not any(o < s and w == v and d >= c for (o, w), d in rules.items())}
+    want = {}
+    for t, (u, _) in zip(have, urls):
+        best = max(((c, len(s), v) for (s, v), c in kept.items() if s <= t), default=(0, 0, "allow"))
+        want[u] = best[2]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(want)], "page_id long, url string")
+    got = {u: r.verdict for r in url_filters.filter_urls(pages, df, []).collect() for u in [list(want)[r.page_id]]}
+    assert got == want and len(set(want.values())) == 2
+
+
 INSULTS = ("idiot", "moron", "scum")
 
 

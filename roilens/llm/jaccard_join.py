@@ -60,6 +60,8 @@ WORDS, NUM, DEN = 4, 85, 100
 HOT_SHARE, HOT_MOST = 1024, 1 << 19
 SKETCH_BITS = 1024
 BLOCK = 4096
+#: Keys of 8 bytes that may be broadcast at most (counted first).
+BROADCAST_KEYS = 1 << 20
 #: Bounds of one Python task's working memory: remembered words, shingles counted at once, pairs compared at once.
 CACHED_WORDS, COUNTED_AT_ONCE, PAIRS_AT_ONCE = 1 << 20, 1 << 21, 1 << 17
 
@@ -308,7 +310,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pd.DataFrame({"class": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                                 "shingles": [s.view(np.int64) for s in sets]})
 
-    texts = docs.join(wanted.select("text_xxh").distinct(), "text_xxh", "left_semi")
+    keys = stored(wanted.select("text_xxh").distinct(), "jaccard-wanted")
+    # few keys go to the texts; many would not fit, so then the texts go to the keys
+    texts = docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "text_xxh", "left_semi")
     one = texts.groupBy("text_xxh").agg(F.min("text").alias("text"))
     return one.mapInPandas(make, "class binary, shingles array<long>").dropDuplicates(["class"])
 

@@ -33,7 +33,7 @@ HEADLINE = (
 
 # The dashboard's initial load (every summary it shows from one load of the
 # tables) is the one published reference number (2-4 s on ~14k rows). sf0.01
-# is that scale (188 users, 10k prompts, 15k tickets, 46k PRs), so it is timed
+# is that scale (1,500 users, 10k prompts, 15k tickets, 46k PRs), so it is timed
 # there as a second metric (plans/dashboard.py).
 
 

@@ -98,20 +98,6 @@ def _score_and_types(regex: dict[str, Column], kws: dict[str, Column], empty: Co
     return {"risk_score": final, "pii_types": types}
 
 
-def risk_columns(text, unicode: bool = False, entity_score: Column | None = None,
-                 entity_labels: Column | None = None) -> dict[str, Column]:
-    """G4 + G5 as single expressions (composite score, type labels).
-
-    score = sum of detector weights + min(20 x keywords, 40) (+ entity weights
-    from the optional hook), rounded to 1 dp and capped at 100. A NULL or empty
-    text scores 0 with no labels. Prefer ``with_risk`` on DataFrames: it
-    evaluates every detector once per row.
-    """
-    t = _c(text)
-    return _score_and_types(pii_hits(t, unicode), keyword_hits(t), t.isNull() | (t == ""),
-                            entity_score, entity_labels)
-
-
 def with_risk(df: DataFrame, text_col: str = "prompt_text", unicode: bool = False,
               types: bool = True, entity_score: Column | None = None,
               entity_labels: Column | None = None) -> DataFrame:

@@ -43,7 +43,6 @@ def prompt_risk(df: DataFrame, text_col: str = "prompt_text", unicode: bool = Fa
     """Add risk_score, pii_types, risk_level, risk_flag."""
     from ..functions.risk import with_risk
 
-    df = df
     if entity_hook is None:
         return with_risk(df, text_col, unicode)
     df = df.withColumn("_ents", entity_hook.labels(F.col(text_col)))

@@ -64,7 +64,11 @@ def classify_users(summary: DataFrame, method: str = "distributed") -> DataFrame
     """Zombie -> At-Risk -> Champion -> Underutilized -> Healthy (first match),
     plus recommended tier, licence costs and potential saving; ``is_zombie``
     is replaced by category == Zombie. Thresholds are exact quantiles
-    (``method``, see ``quantile_row``) used as scalar subqueries."""
+    (``method``, see ``quantile_row``), one scalar subquery; measures that the summary lacks count as 0."""
+    from ..sources.tables import with_missing
+
+    summary = with_missing(summary, ["total_cost", "total_tokens", "prompt_count", "tickets_closed", "prs_merged",
+                                     "license_type", "pct_improvement", "net_roi"])
     q = quantile_row(summary, {
         "total_cost": [P.AT_RISK_COST_P, P.UNDERUTIL_COST_P],
         "tickets_closed": [P.AT_RISK_OUTPUT_P, P.UNDERUTIL_OUTPUT_P],

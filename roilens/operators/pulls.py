@@ -18,6 +18,7 @@ from .. import params as P
 from ..functions.numeric import clip0, exact_mean, round_dec, safe_div
 from ..functions.pulls import period_backfill, pr_cycle_hours, rework_ratio
 from ..functions.timecols import month_key
+from .filters import in_review_range, merged_only, not_blank
 from .stats import add_quantiles
 
 PERIODS = ("Before", "After")
@@ -31,7 +32,7 @@ def map_contributors(prs: DataFrame, users: DataFrame) -> DataFrame:
     """user_id of each PR author from users.github_username (NULL/'' skipped).
 
     The lookup has one row a login (of users that share one the smallest id), so a join never multiplies PRs."""
-    m = (users.where(F.col("github_username").isNotNull() & (F.col("github_username") != ""))
+    m = (not_blank(users, "github_username")
          .groupBy("github_username").agg(F.min("user_id").alias("_uid")))
     base = prs.drop("user_id") if "user_id" in prs.columns else prs
     return base.join(m, "github_username", "left").withColumnRenamed("_uid", "user_id")
@@ -158,7 +159,7 @@ def pr_delta(summary: DataFrame) -> DataFrame:
 def repo_stats(prs: DataFrame) -> DataFrame:
     """Merged PRs per repository x period (all dimensions grouped, NULLs kept)."""
     keys = ["repo_full_name", "repo_name", "department", "period"]
-    rows = prs.where(_merged())
+    rows = merged_only(prs)
     g = rows.groupBy(*keys).agg(
         F.count("pr_id").alias("pr_count"),
         round_dec(exact_mean("cycle_time_hours"), 2).alias("avg_cycle_hrs"),
@@ -269,15 +270,10 @@ def pr_monthly_total(velocity_monthly: DataFrame) -> DataFrame:
             .orderBy("month"))
 
 
-def _review_range(prs_enriched: DataFrame) -> DataFrame:
-    c = F.col("cycle_time_hours")
-    return prs_enriched.where((c > 0) & (c < 500) & (F.col("review_count") >= 0))
-
-
 def review_depth_ols(prs_enriched: DataFrame) -> DataFrame:
     """OLS of cycle time on review count per department over all rows in range."""
     x, y = F.col("review_count").cast("double"), F.col("cycle_time_hours")
-    return (_review_range(prs_enriched).where(F.col("department").isNotNull())
+    return (in_review_range(prs_enriched).where(F.col("department").isNotNull())
             .groupBy("department")
             .agg(F.regr_count(y, x).alias("n"),
                  round_dec(F.regr_slope(y, x), 4).alias("slope"),
@@ -290,7 +286,7 @@ def review_sample(prs_enriched: DataFrame, n: int, seed: int = 42) -> DataFrame:
     operator: the limit is the feature). Rows are ranked by a seeded hash of
     the key, so every rerun picks the same rows; TakeOrderedAndProject keeps
     only n rows per partition."""
-    return (_review_range(prs_enriched)
+    return (in_review_range(prs_enriched)
             .withColumn("_h", F.md5(F.concat(F.col("pr_id").cast("string"), F.lit(f":{seed}")).cast("binary")))
             .orderBy("_h", "pr_id").limit(n).drop("_h"))
 

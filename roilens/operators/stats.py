@@ -350,7 +350,9 @@ def spend_vs_productivity(summary: DataFrame, with_p: bool = False) -> DataFrame
     ``with_p=False`` gives the SQL-comparable measures; ``with_p=True`` adds
     p-values, significance and the wording.
     """
-    long = _long_pairs(summary)
+    from ..sources.tables import with_missing
+
+    long = _long_pairs(with_missing(summary, ["total_cost", *[c for _, c in RELATIONSHIPS]]))  # S4: missing measures are 0
     m = _finish(_moments(long, ["label"]), ["label"])
     first = RELATIONSHIPS[0][0]
     sp = _rank_moments(long.where(F.col("label") == first).select("x", "y"))

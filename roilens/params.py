@@ -52,7 +52,7 @@ KEYWORD_WEIGHT = 20
 KEYWORD_CAP = 40
 
 # 32 sensitive keywords, lower-case substring match. Kept sorted so the
-# "first three matches" label is deterministic.
+# label is deterministic.
 SENSITIVE_KEYWORDS: tuple[str, ...] = tuple(sorted((
     "password", "passwd", "secret", "api_key", "apikey",
     "token", "bearer", "private_key", "access_key", "secret_key",

@@ -537,7 +537,7 @@ def q_apply_risk_update(spark, sf):
     i = _I(spark, sf)
     stored = i.logs_raw().select("prompt_id", F.lit(0.0).alias("risk_score"), F.lit("Low").alias("risk_level"),
                                  F.lit(0).alias("risk_flag"))
-    upd = scan_logs(i.logs_raw()).drop("pii_types")
+    upd = scan_logs(i.logs_raw()).where("risk_score > 0").drop("pii_types")  # all others keep what is stored
     return apply_risk_update(stored, upd).select("prompt_id", "risk_score", "risk_level", "risk_flag")
 
 

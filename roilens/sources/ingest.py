@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .. import params as P
 from .. import schemas
 from ..functions.numeric import round_dec
-from ..functions.pulls import hours_between, ntz_literal, period_label, rework_ratio
+from ..functions.pulls import hours_between, ntz_literal, period_label, rework_ratio, ticket_cycle_hours
 from ..functions.timecols import parse_utc_ntz
 from .versions import VersionedTable
 
@@ -136,8 +136,7 @@ def ingest_tickets(pages: DataFrame, since: _dt.datetime | None = None) -> DataF
     t = t.where((F.col("status") == "Done") & F.col("resolved_at").isNotNull())
     if since is not None:
         t = t.where(F.col("resolved_at") >= ntz_literal(since))
-    c, r = F.col("created_at"), F.col("resolved_at")
-    cycle = F.when(c.isNotNull() & r.isNotNull() & (r > c), round_dec(hours_between(c, r), 2)).otherwise(F.lit(0.0))
+    cycle = ticket_cycle_hours("created_at", "resolved_at")
     sp = F.col("sp")
     return t.select(
         F.coalesce(F.col("jira_issue_id"), F.lit("")).alias("jira_issue_id"),

@@ -111,6 +111,11 @@ def align_schema(df: DataFrame, schema: T.StructType, defaults: dict | None = No
     return df.select(*cols, *extra)
 
 
+def with_missing(df: DataFrame, columns: list[str], value: float = 0.0) -> DataFrame:
+    """``df`` with those of ``columns`` that it lacks, each a constant."""
+    return df.withColumns({c: F.lit(value) for c in columns if c not in df.columns})
+
+
 def align_pull_requests(prs: DataFrame) -> DataFrame:
     """S4 for PRs: schema + ``repo_full_name`` backfilled from ``repo_name`` +
     NULL period -> 'Unknown'."""

@@ -28,13 +28,11 @@ def scored_stream(spark: SparkSession, source_dir: str) -> DataFrame:
     return with_risk(priced, types=True).withColumn("pii_types", F.array_join("pii_types", "|"))
 
 
-def start_scan(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str | None = None,
+def start_scan(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                available_now: bool = True) -> StreamingQuery:
-    """Start the scan; ``available_now`` processes what has landed and stops."""
-    from ..session import ensure_checkpoint_dir
-
-    ckpt = checkpoint_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-scan"
+    """Start the scan; ``available_now`` processes what has landed and stops. Each stream needs a checkpoint folder of
+    its own."""
     w = (scored_stream(spark, source_dir).writeStream.format("parquet")
-         .option("path", sink_dir).option("checkpointLocation", ckpt).outputMode("append"))
+         .option("path", sink_dir).option("checkpointLocation", checkpoint_dir).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

@@ -5,22 +5,31 @@ are marked, and a background model over all others. They match in everything but
 their counts: one vocabulary (all words of the corpus, however rare), one order,
 one smoothing. A word's probability after its predecessor is
 ``(c(h, w) + MU * p(w)) / (c(h) + MU)`` with ``p(w) = (c(w) + 1) / (n + v)``, where
-``v`` counts the corpus' words and one unseen word, ``VOCABULARY`` at least.
-A document's score is the mean over its words of target loss minus background
-loss (natural logarithms): the lower, the more it is like the target.
-
-Words and pairs are known by 64-bit hashes. Their counts are summed in each
-batch before the shuffle and written as one table. A pair is dealt by its word,
-or by its predecessor if the word is hot, so that it meets that word's count
-there; the counts of hot words (one in ``HOT`` of all words or more, so ``HOT`` of
-them at most) are broadcast, and so are the losses of hot pairs. A document's other
-pairs, each once with its number, are joined with the table. Nothing that grows
-with the corpus reaches the driver.
+``v`` counts the corpus' words and one unseen word. A document's score is the mean
+over its words of target loss minus background loss (natural logarithms): the
+lower, the more it is like the target.
+
+A loss falls into parts that are known apart: ``-ln p(w)`` by the word,
+``ln(c(h) + MU) - ln MU`` by its predecessor, and ``-ln(1 + c(h, w) / (MU * p(w)))``
+by the pair. Nearly all pairs of a large corpus occur once, and such a pair needs
+no table: the document that has it is its only one, so it counts 1 in the
+document's own model and 0 in the other. Only pairs met twice or more are stored.
+A document's pairs are looked up in a filter of ``filter_bits`` bits over the stored
+pairs; those that pass are joined with the table, and what the table lacks is a
+pair met once. No pair is left out; a filter that is too small for the corpus
+passes more pairs to the join and changes no result.
+
+Words and pairs are known by 63-bit hashes. Counts are summed in each batch
+before the shuffle. Words and pairs that are one in ``HOT`` of all or more (so about
+``HOT`` of each at most) are broadcast, the others are joined by shuffles, in which no
+key has more rows than that. Nothing else that grows with the corpus reaches the driver.
 
 Defined results: null and word-free texts have no words and score 0; without
 marked documents (or without others) that model is the uniform one; rows with a
 null mark are background; repeated rows are counted and scored each; an empty
-table gives an empty result; other columns are not read.
+table gives an empty result; very long texts are read whole; other columns are not
+read. Rows are numbered by partition and place: an input that may come in another
+order when it is computed again should be written first.
 """
 
 from __future__ import annotations
@@ -28,24 +37,27 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-VOCABULARY, MU, FLUSH_WORDS, TOKENS_AT_ONCE, HOT = 1024, 100.0, 400_000, 2_000_000, 1 << 20
+MU, FLUSH_WORDS, TOKENS_AT_ONCE, TOKENS_SCORED, HOT, FILTER = 100.0, 400_000, 2_000_000, 200_000, 1 << 20, 1 << 26
 WORDS = re.compile(r"[^\W_]+")
 START = " "  # no word: the beginning of a text
 
 
 class Words(dict):
-    """Word -> its number here, in the order of appearance."""
+    """Word -> its number here, in the order of appearance; START is number 0."""
+
+    def __init__(self):
+        super().__init__({START: 0})
+        self.held, self.n = np.zeros(0, dtype=np.int64), 0
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
@@ -54,46 +66,43 @@ class Words(dict):
     def numbers(self, text: str | None) -> np.ndarray:
         """Numbers of a text's words, after that of START."""
         words = WORDS.findall(text.lower()) if text else []
-        out = np.empty(len(words) + 1, dtype=np.int64)
-        out[0] = self[START]
+        out = np.zeros(len(words) + 1, dtype=np.int64)
         out[1:] = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         return out
 
-
-def word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-class Ids:
-    """Ids of words: the place of a hot word in ``hot`` (sorted hashes), else its hash."""
-
-    def __init__(self, hot: np.ndarray):
-        self.hot, self.held, self.n = hot, np.zeros(0, dtype=np.int64), 0
-
-    def of(self, words: Words) -> np.ndarray:
-        """By the words' numbers."""
-        if len(words) > self.n:
-            h = np.fromiter(map(word_hash, itertools.islice(words, self.n, None)), dtype=np.int64)
-            at = np.minimum(np.searchsorted(self.hot, h), max(0, len(self.hot) - 1))
-            met = self.hot[at] == h if len(self.hot) else np.zeros(len(h), bool)
-            if len(words) > len(self.held):
-                self.held = np.concatenate([self.held[:self.n], np.zeros(2 * len(words) - self.n, dtype=np.int64)])
-            # a hash that looks like a place is turned into one that does not
-            self.held[self.n:len(words)] = np.where(met, at, np.where((h >= 0) & (h < HOT), ~h, h))
-            self.n = len(words)
+    def keys(self) -> np.ndarray:
+        """Hashes of the words by number; they are odd."""
+        if len(self) > self.n:
+            if len(self) > len(self.held):
+                self.held = np.concatenate([self.held[:self.n], np.zeros(2 * len(self) - self.n, dtype=np.int64)])
+            self.held[self.n:len(self)] = np.fromiter(map(word_hash, itertools.islice(self, self.n, None)), dtype=np.int64)
+            self.n = len(self)
         return self.held[:self.n]
 
 
-def is_hot(word: Column) -> Column:
-    return word.between(0, HOT - 1)
+def word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) | 1
 
 
 def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hashes of pairs by those of their words; they are even."""
     with np.errstate(over="ignore"):
         out = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         out = (out ^ (out >> np.uint64(32))) + w.astype(np.uint64)
         out *= np.uint64(0xD6E8FEB86659FD93)
-        return out ^ (out >> np.uint64(32))
+        return ((out ^ (out >> np.uint64(32))) & ~np.uint64(1)).astype(np.int64)
+
+
+def is_word(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(1)) == 1
+
+
+def places(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Place of each key in ``held`` (sorted), -1 where it is not there."""
+    if not len(held):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+    return np.where(held[at] == keys, at, -1)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -105,54 +114,31 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(folder)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    return spark.read.parquet(folder)
-
-
-def hot_words(texts: DataFrame, hot: int) -> np.ndarray:
-    """Sorted hashes of the words that are one in ``hot`` of all words (and beginnings of texts) or more."""
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
-        for part in parts:
-            for text in part["text"]:
-                words = WORDS.findall(text.lower()) if text else ()
-                held.update(words)
-                held[START] += len(words) > 0
-                if len(held) > FLUSH_WORDS:
-                    yield pd.DataFrame({"word": list(map(word_hash, held)), "n": list(held.values())})
-                    held.clear()
-        if held:
-            yield pd.DataFrame({"word": list(map(word_hash, held)), "n": list(held.values())})
-
-    counts = written(texts.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return np.sort(counts.where((F.col("n") > 0) & (F.col("n") * hot >= total)).toPandas()["word"].to_numpy(dtype=np.int64))
+    return spark.read.schema(df.schema).parquet(folder)
 
 
-def count(known: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Counts over (text, target boolean) by ids of words. With null ``h`` those of the word w: t and b of target and
-    background as a word, ht and hb as a predecessor. Else t and b of the pair (h, w), and in q_t, q_b, q_ht and q_hb the
-    counts of one of its words, by which it was dealt: w if that is not hot, else h if that is not, else none (nulls)."""
-    shared = known.sparkSession.sparkContext.broadcast(hot)
+def count(known: DataFrame) -> DataFrame:
+    """(key, t, b, ht, hb) over (text, target boolean): counts in target and background of each word, as a word and as a
+    predecessor, and of each pair that occurs twice or more (ht and hb are 0)."""
 
-    def sums(held: list, words: Words, ids: np.ndarray) -> Iterator[pd.DataFrame]:
+    def sums(held: list, words: Words) -> Iterator[pd.DataFrame]:
         h, w, target = (np.concatenate(x) for x in zip(*held, strict=True))
-        code = np.sort(((h * len(words) + w) << 1) | target)
+        n_words, keys = len(words), words.keys()
+        code = np.sort(((h * n_words + w) << 1) | target)
         first = np.flatnonzero(np.concatenate([[True], code[1:] >> 1 != code[:-1] >> 1]))
         n = np.diff(np.append(first, len(code)))
         t = np.add.reduceat(code & 1, first)
         pair = code[first] >> 1
         for i in range(0, len(pair), 200_000):
             some = slice(i, i + 200_000)
-            yield pd.DataFrame({"h": pd.array(ids[pair[some] // len(words)], dtype="Int64"), "w": ids[pair[some] % len(words)],
-                                "t": t[some], "b": (n - t)[some], "ht": 0, "hb": 0})
-        counts = [np.bincount(x[target == side], minlength=len(words)) for x in (w, h) for side in (1, 0)]
-        met = np.flatnonzero(np.any(counts, axis=0))
-        yield pd.DataFrame({"h": pd.array([None] * len(met), dtype="Int64"), "w": ids[met]}
-                           | {c: x[met] for c, x in zip(("t", "b", "ht", "hb"), counts, strict=True)})
+            yield pd.DataFrame({"key": pair_hash(keys[pair[some] // n_words], keys[pair[some] % n_words]),
+                                "tb": (t[some] << 32) | (n - t)[some], "htb": 0})
+        t, b, ht, hb = (np.bincount(x[target == side], minlength=n_words) for x in (w, h) for side in (1, 0))
+        met = np.flatnonzero(t + b + ht + hb)
+        yield pd.DataFrame({"key": keys[met], "tb": ((t << 32) | b)[met], "htb": ((ht << 32) | hb)[met]})
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, ids, held, size = Words(), Ids(shared.value), [], 0
+        words, held, size = Words(), [], 0
         for part in parts:
             for text, target in zip(part["text"], part["target"], strict=True):
                 n = words.numbers(text)
@@ -160,20 +146,19 @@ def count(known: DataFrame, hot: np.ndarray) -> DataFrame:
                     held.append((n[:-1], n[1:], np.full(len(n) - 1, int(target))))
                     size += len(n)
                 if size > TOKENS_AT_ONCE:
-                    yield from sums(held, words, ids.of(words))
+                    yield from sums(held, words)
                     held, size = [], 0
                     if len(words) > FLUSH_WORDS:
-                        words, ids = Words(), Ids(shared.value)
+                        words = Words()
         if held:
-            yield from sums(held, words, ids.of(words))
+            yield from sums(held, words)
 
-    h, w = F.col("h"), F.col("w")
-    q = F.when(h.isNull() | ~is_hot(w), w).when(~is_hot(h), h).otherwise(F.xxhash64(h, w))
-    emitted = known.select("text", "target").mapInPandas(counted, "h long, w long, t long, b long, ht long, hb long")
-    summed = emitted.repartition(q).select(q.alias("q"), *emitted.columns).groupBy("q", "h", "w").agg(
-        *(F.sum(c).alias(c) for c in ("t", "b", "ht", "hb")))
-    own = Window.partitionBy("q")
-    return summed.withColumns({f"q_{c}": F.max(F.when(F.col("h").isNull(), F.col(c))).over(own) for c in ("t", "b", "ht", "hb")}).drop("q")
+    high, low = (lambda c: F.sum(F.shiftright(c, 32))), (lambda c: F.sum(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))))
+    emitted = known.select("text", "target").mapInPandas(counted, "key long, tb long, htb long")
+    # nearly all keys are of one batch, so they are dealt before they are summed
+    summed = emitted.repartition("key").groupBy("key").agg(high("tb").alias("t"), low("tb").alias("b"),
+                                                           high("htb").alias("ht"), low("htb").alias("hb"))
+    return summed.where(is_word(F.col("key")) | (F.col("t") + F.col("b") > 1))
 
 
 def losses(counts: np.ndarray) -> np.ndarray:
@@ -183,93 +168,145 @@ def losses(counts: np.ndarray) -> np.ndarray:
     return -np.log((counts + MU * p) / (counts.sum(axis=1, keepdims=True) + MU))
 
 
-def fit(known: DataFrame, hot: np.ndarray) -> tuple[DataFrame, int]:
-    """(h, w, n, target, background): count and losses of all pairs of ``known`` (text, target); and how many pairs
-    with repetitions there are."""
-    table = written(count(known, hot))
-    words = table.where("h is null").select(F.col("w").alias("word"), "t", "b", "ht", "hb")
-    n = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count_if(F.col("t") + F.col("b") > 0).alias("types")).first()
-    v = max(VOCABULARY, n["types"] + 1)
-    common = words.where(is_hot(F.col("word")))  # HOT at most
-    w, h = (F.broadcast(common.select(*(F.col(c).alias(f"{side}_{c}") for c in ("word", *cs))))
-            for side, cs in (("w", ("t", "b")), ("h", ("ht", "hb"))))
-    pairs = table.where("h is not null").join(w, F.col("w") == F.col("w_word"), "left").join(h, F.col("h") == F.col("h_word"), "left")
-    cold = F.col("w_word").isNull()
-    pairs = pairs.select(
-        "h", "w", "t", "b", (cold & F.col("h_word").isNull()).alias("open"),
-        *(F.when(cold, F.col(f"q_{c}")).otherwise(F.col(f"w_{c}")).alias(f"w_{c}") for c in ("t", "b")),
-        *(F.coalesce(f"h_{c}", F.when(~cold, F.col(f"q_{c}"))).alias(f"h_{c}") for c in ("ht", "hb")))
-    whole = pairs.where("not open").drop("open")
-    rest = pairs.where("open").drop("open", "h_ht", "h_hb").join(words.where(~is_hot(F.col("word"))).select(
-        F.col("word").alias("h"), F.col("ht").alias("h_ht"), F.col("hb").alias("h_hb")).hint("shuffle_hash"), "h")
-    loss = lambda c, total: -F.log((F.col(c) + MU * (F.col(f"w_{c}") + 1) / (total + v)) / (F.col(f"h_h{c}") + MU))
-    model = whole.unionByName(rest).select("h", "w", (F.col("t") + F.col("b")).alias("n"), loss("t", n["t"] or 0).alias("target"),
-                                           loss("b", n["b"] or 0).alias("background"))
-    return model, (n["t"] or 0) + (n["b"] or 0)
+def word_losses(words: DataFrame) -> tuple[DataFrame, int]:
+    """(key, n, wt, wb, ht, hb): occurrences of each word, -ln p(w) in target and background, and the loss that it adds as
+    a predecessor; and how many words with repetitions there are."""
+    all_ = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count_if(F.col("t") + F.col("b") > 0).alias("types")).first()
+    v, totals = all_["types"] + 1, {"t": all_["t"] or 0, "b": all_["b"] or 0}
+    out = words.select("key", F.greatest(F.col("t") + F.col("b"), F.col("ht") + F.col("hb")).alias("n"),
+                       *((-F.log((F.col(s) + 1) / F.lit(float(totals[s] + v)))).alias(f"w{s}") for s in totals),
+                       *(F.log((F.col(f"h{s}") + MU) / MU).alias(f"h{s}") for s in totals))
+    return out, sum(totals.values())
+
+
+def pair_filter(pairs: DataFrame, size: int) -> np.ndarray:
+    """``size`` bits (a power of two), in words of 64, that are set at the places of the pairs' hashes."""
+    place = F.shiftrightunsigned("key", 1).bitwiseAND(F.lit(size - 1)).alias("place")
+    bits = pairs.select(place).select(F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    found = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # size / 64 rows at most
+    out = np.zeros(size // 64, dtype=np.uint64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint64)
+    return out
+
+
+def passes(pair: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    place = (pair.astype(np.uint64) >> np.uint64(1)) & np.uint64(64 * len(bits) - 1)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def splitter(shared):
+    """Texts (row, id, text) to what is known of them here and what is to be joined. Kind 0, one row for each text: its id,
+    number of words n, losses t and b without the pairs met once, and what those take off, one_t and one_b. Kind 1: a word
+    that is not hot, n times a word and m times a predecessor, ``ones`` times in a pair met once. Kind 2: a pair that passes
+    the filter, n times, with its last word if that is not hot, else 1 / (MU * p) of that word as t and b."""
+    columns = ("row", "id", "kind", "key", "word", "n", "m", "ones", "t", "b", "one_t", "one_b")
+
+    def frame(**given) -> pd.DataFrame:
+        size = len(given["row"])
+        return pd.DataFrame({c: given.get(c, np.full(size, None, dtype=object) if c == "id" else np.zeros(size, dtype=np.int64)) for c in columns})
+
+    def scored(held: list, words: Words, slots: np.ndarray) -> Iterator[pd.DataFrame]:
+        _, (wt, wb, ht, hb), hot_pairs, pair_counts, bits = shared.value
+        rows, ids, numbers = zip(*held, strict=True)
+        size, rows = len(rows), np.array(rows, dtype=np.int64)
+        all_ = np.concatenate(numbers)
+        of = np.repeat(np.arange(size), [len(x) for x in numbers])
+        inner = np.flatnonzero(all_ != 0)  # every word follows a word or START
+        w, h, of = all_[inner], all_[inner - 1], of[inner]
+        ws, hs, keys = slots[w], slots[h], words.keys()
+        pair = pair_hash(keys[h], keys[w])
+        total = lambda x: np.bincount(of, x, minlength=size)
+        t, b = total(wt[ws] + ht[hs]), total(wb[ws] + hb[hs])  # the last place, -1, is 0
+        scale = [np.append(np.exp(x[:-1]) / MU, 0.0) for x in (wt, wb)]
+        at = places(pair, hot_pairs)
+        hot = at >= 0  # its last word is hot too
+        for loss, x, c in ((t, scale[0], pair_counts[0]), (b, scale[1], pair_counts[1])):
+            loss -= np.bincount(of[hot], np.log1p(c[at[hot]] * x[ws[hot]]), minlength=size)
+        some = ~hot & passes(pair, bits)
+        once = ~hot & ~some
+        one_t, one_b = (np.bincount(of[once], np.log1p(x[ws[once]]), minlength=size) for x in scale)
+        yield frame(row=rows, id=np.array(ids, dtype=object), n=np.array([len(x) - 1 for x in numbers]), t=t, b=b, one_t=one_t, one_b=one_b)
+        cold = [np.flatnonzero(ws < 0), np.flatnonzero(hs < 0), np.flatnonzero(once & (ws < 0))]
+        code = np.concatenate([of[i] * len(words) + x[i] for i, x in zip(cold, (w, h, w), strict=True)])
+        if len(code):
+            code, place = np.unique(code, return_inverse=True)
+            n, m, ones = (np.bincount(x, minlength=len(code)) for x in np.split(place, np.cumsum([len(i) for i in cold])[:-1]))
+            yield frame(row=rows[code // len(words)], kind=np.ones(len(code), dtype=np.int64), word=keys[code % len(words)], n=n, m=m, ones=ones)
+        i = np.flatnonzero(some)
+        if len(i):
+            i = i[np.lexsort((pair[i], of[i]))]
+            first = np.flatnonzero(np.concatenate([[True], (pair[i][1:] != pair[i][:-1]) | (of[i][1:] != of[i][:-1])]))
+            n, i = np.diff(np.append(first, len(i))), i[first]
+            yield frame(row=rows[of[i]], kind=np.full(len(i), 2), key=pair[i], word=np.where(ws[i] < 0, keys[w[i]], 0), n=n,
+                        t=scale[0][ws[i]], b=scale[1][ws[i]])
+
+    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot_words = shared.value[0]
+        words, slots, held, size = Words(), np.zeros(0, dtype=np.int64), [], 0
+        for part in parts:
+            for row, i, text in zip(part["row"], part["id"], part["text"], strict=True):
+                held.append((row, i, words.numbers(text)))
+                size += len(held[-1][2])
+                if size > TOKENS_SCORED:
+                    slots = np.append(slots, places(words.keys()[len(slots):], hot_words))
+                    yield from scored(held, words, slots)
+                    held, size = [], 0
+                    if len(words) > FLUSH_WORDS:
+                        words, slots = Words(), np.zeros(0, dtype=np.int64)
+        if held:
+            yield from scored(held, words, np.append(slots, places(words.keys()[len(slots):], hot_words)))
+
+    return split
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                             target_id_col: str = "doc_id", hot: int = HOT) -> DataFrame:
+                             target_id_col: str = "doc_id", hot: int = HOT, filter_bits: int = FILTER) -> DataFrame:
     """One row per input row: id, n_words, target_loss, background_loss, score. ``targets`` has the ids of the
-    marked documents; ``hot`` bounds what is broadcast and changes no result."""
+    marked documents; ``hot`` and ``filter_bits`` bound what is broadcast and change no result."""
     spark = docs.sparkSession
     marked = targets.select(F.col(target_id_col).alias("marked_id")).where("marked_id is not null").distinct().hint("shuffle_hash")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = texts.join(marked, F.col("id") == F.col("marked_id"), "left").select("text", F.col("marked_id").isNotNull().alias("target"))
     hot = min(hot, HOT)
-    some = hot_words(texts, hot)
-    model, total = fit(known, some)
-    common = model.where(F.col("n") * hot >= total).select("h", "w", "target", "background").toPandas()  # ``hot`` at most
-    key = pair_hash(common["h"].to_numpy(dtype=np.int64), common["w"].to_numpy(dtype=np.int64))
-    order = np.argsort(key)
-    shared = spark.sparkContext.broadcast((some, key[order], *(common[c].to_numpy(dtype=np.float64)[order] for c in ("target", "background"))))
-
-    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A text's pairs that are not hot. Its first pair is none (its row before its beginning), counted 0 times, and has
-        its id, number of words and losses of the hot pairs: no text is lost."""
-        hot_ids, hot_pairs, *hot_losses = shared.value
-        words, known, out, size = Words(), Ids(hot_ids), [], 0
-
-        def frame() -> pd.DataFrame:
-            rows, ids, n, sums, h, w, times = zip(*out, strict=True)
-            lengths = np.array([len(x) for x in h])
-            first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            one = {"id": np.full(lengths.sum(), None, dtype=object), "n": np.zeros(lengths.sum(), dtype=np.int64),
-                   **{c: np.zeros(lengths.sum()) for c in ("hot_target", "hot_background")}}
-            for c, values in (("id", ids), ("n", n), ("hot_target", [x[0] for x in sums]), ("hot_background", [x[1] for x in sums])):
-                one[c][first] = values
-            return pd.DataFrame({"row": np.repeat(rows, lengths), **one, "h": np.concatenate(h), "w": np.concatenate(w),
-                                 "times": np.concatenate(times)})
-
-        for part in parts:
-            for row, i, text in zip(part["row"], part["id"], part["text"], strict=True):
-                if len(words) > FLUSH_WORDS:
-                    words, known = Words(), Ids(hot_ids)
-                at = words.numbers(text)
-                ids = known.of(words)
-                code, times = np.unique((at[:-1] << 32) | at[1:], return_counts=True)
-                h, w = ids[code >> 32], ids[code & 0xFFFFFFFF]
-                pair = pair_hash(h, w)
-                at_pair = np.minimum(np.searchsorted(hot_pairs, pair), max(0, len(hot_pairs) - 1))
-                met = hot_pairs[at_pair] == pair if len(hot_pairs) else np.zeros(len(pair), bool)
-                out.append((row, i, len(at) - 1, [float((x[at_pair[met]] * times[met]).sum()) for x in hot_losses],
-                            np.append(row, h[~met]), np.append(ids[words[START]], w[~met]), np.append(0, times[~met])))
-                size += len(out[-1][4])
-                if size > 200_000:
-                    yield frame()
-                    out, size = [], 0
-        if out:
-            yield frame()
-
-    pair = F.xxhash64("h", "w").alias("pair")
+    counts = written(count(known))
+    words, total = word_losses(counts.where(is_word(F.col("key"))))
+    pairs = counts.where(~is_word(F.col("key"))).select("key", "t", "b")
+    is_hot = F.col("n") * hot >= total
+    common = words.where(is_hot).orderBy("key").toArrow()  # ``hot`` and START at most
+    often = pairs.withColumn("n", F.col("t") + F.col("b"))
+    top = often.where(is_hot).orderBy("key").toArrow()  # ``hot`` at most
+    rare = often.where(~is_hot).drop("n")
+    of_words = [np.append(common[c].to_numpy(), 0.0) for c in ("wt", "wb", "ht", "hb")]
+    shared = spark.sparkContext.broadcast((common["key"].to_numpy(), of_words, top["key"].to_numpy(),
+                                           [top[c].to_numpy() for c in ("t", "b")], pair_filter(rare, filter_bits)))
     rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("string").alias("id"), "text")
-    found = rows.mapInPandas(split, "row long, id string, n long, hot_target double, hot_background double, h long, w long, times long")
-    found = found.withColumn("pair", pair).drop("h", "w")
-    rare = model.where(F.col("n") * hot < total).select(pair, "target", "background").hint("shuffle_hash")
-    joined = found.join(rare, "pair", "left")
-    mean = lambda c: ((F.sum(f"hot_{c}") + F.sum(F.when(F.col("times") > 0, F.col("times") * F.col(c)).otherwise(0.0)))
-                      / F.greatest(F.sum("n"), F.lit(1)))
-    scored = joined.groupBy("row").agg(F.max("id").alias("id"), F.sum("n").alias("n_words"),
-                                       mean("target").alias("target_loss"), mean("background").alias("background_loss"))
-    return scored.select(F.col("id").cast(texts.schema["id"].dataType).alias(id_col), "n_words", "target_loss", "background_loss",
+    found = rows.mapInPandas(splitter(shared), "row long, id string, kind int, key long, word long, n long, m long, ones long, "
+                                               "t double, b double, one_t double, one_b double")
+    # rows that a join does not concern are dealt by their text
+    deal = F.xxhash64("row")
+    pair, word = F.col("kind") == 2, F.col("word") != 0
+    stored = rare.select(F.col("key").alias("pair_key"), F.col("t").alias("ct"), F.col("b").alias("cb")).hint("shuffle_hash")
+    joined = found.withColumn("by", F.when(pair, F.col("key")).otherwise(deal)).join(stored, (F.col("by") == F.col("pair_key")) & pair, "left")
+    cold = words.where(~is_hot).select(F.col("key").alias("word_key"), *(F.col(c).alias(f"x_{c}") for c in ("wt", "wb", "ht", "hb")))
+    joined = joined.withColumn("by", F.when(word, F.col("word")).otherwise(deal)).join(
+        cold.hint("shuffle_hash"), (F.col("by") == F.col("word_key")) & word, "left")
+
+    def parts(s: str) -> tuple[Column, Column]:
+        """Loss of a row without pairs met once, and what those take off in the document's own model."""
+        own = F.when(word, F.exp(f"x_w{s}") / MU).otherwise(F.col(s))  # 1 / (MU * p) of the word
+        once = pair & F.col("pair_key").isNull()
+        loss = (F.when(F.col("kind") == 0, F.col(s)).when(F.col("kind") == 1, F.col("n") * F.col(f"x_w{s}") + F.col("m") * F.col(f"x_h{s}"))
+                .when(once, F.lit(0.0)).otherwise(-F.col("n") * F.log1p(F.col(f"c{s}") * own)))
+        off = (F.when(F.col("kind") == 0, F.col(f"one_{s}")).when(F.col("kind") == 1, F.col("ones") * F.log1p(own))
+               .when(once, F.log1p(own)).otherwise(F.lit(0.0)))
+        return loss, off
+
+    scored = joined.groupBy("row").agg(
+        F.max("id").alias("id"), F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("n_words"),
+        *(F.sum(c).alias(f"{name}_{s}") for s in ("t", "b") for name, c in zip(("loss", "off"), parts(s), strict=True)))
+    scored = scored.withColumn("id", F.col("id").cast(texts.schema["id"].dataType)).join(marked, F.col("id") == F.col("marked_id"), "left")
+    target, mean = F.col("marked_id").isNotNull(), lambda c: c / F.greatest("n_words", F.lit(1))
+    scored = scored.select("id", "n_words", mean(F.col("loss_t") - F.when(target, F.col("off_t")).otherwise(0.0)).alias("target_loss"),
+                           mean(F.col("loss_b") - F.when(target, 0.0).otherwise(F.col("off_b"))).alias("background_loss"))
+    return scored.select(F.col("id").alias(id_col), "n_words", "target_loss", "background_loss",
                          (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -445,7 +445,7 @@ def test_lm_scores_equal_brute_force(spark, odd, none):
     good = spark.createDataFrame([(1,), (1,), (None,), (9,)], "doc_id long")
     rows = lm_scores.cross_entropy_difference(docs, good).collect()
     vocabulary = {w: i + 1 for i, w in enumerate("abcd")}
-    n = lm_scores.VOCABULARY
+    n = len(vocabulary) + 1  # and one unseen word, number 0
     counts = np.zeros((2, n + 1, n))
     for i, t in texts:
         ids = [n, *[vocabulary[w] for w in (t or "").split()]]
@@ -461,17 +461,17 @@ def test_lm_scores_equal_brute_force(spark, odd, none):
     assert lm_scores.cross_entropy_difference(none, good).count() == 0
 
 
-@pytest.mark.parametrize("hot", [4, 50, lm_scores.HOT])
-def test_lm_scores_know_every_word(spark, hot):
+@pytest.mark.parametrize(("hot", "bits"), [(4, 64), (50, 1 << 12), (lm_scores.HOT, lm_scores.FILTER)])
+def test_lm_scores_know_every_word(spark, hot, bits):
     rng = np.random.default_rng(5)
     texts = [(i, " ".join(["the", *(f"w{j}" for j in rng.zipf(1.2, 60) % 5000), f"only{i}", f"x{i}y", "the"])) for i in range(120)]
     texts += [(500, "the same text but for alpha"), (501, "the same text but for omega"), (1, "alpha alpha once"), (None, None), (None, "omega")]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    rows = lm_scores.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in range(0, 120, 3)] + [(1,)], "doc_id long"), hot=hot).collect()
+    rows = lm_scores.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in range(0, 120, 3)] + [(1,)], "doc_id long"), hot=hot,
+                                              filter_bits=bits).collect()
     marked = {1, *range(0, 120, 3)}
     words = {w for _, t in texts for w in (t or "").split()}
-    assert len(words) > lm_scores.VOCABULARY
-    v = max(lm_scores.VOCABULARY, len(words) + 1)
+    v = len(words) + 1
     pair, single, before = ([{}, {}] for _ in range(3))
     for i, t in texts:
         side, ws = int(i not in marked), ["", *(t or "").split()]

@@ -41,7 +41,7 @@ from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,26 +121,26 @@ def count(known: DataFrame) -> DataFrame:
     """(key, t, b, ht, hb) over (text, target boolean): counts in target and background of each word, as a word and as a
     predecessor, and of each pair that occurs twice or more (ht and hb are 0)."""
 
-    def sums(held: list, words: Words) -> Iterator[pd.DataFrame]:
+    def sums(held: list, words: Words) -> Iterator[pa.RecordBatch]:
         h, w, target = (np.concatenate(x) for x in zip(*held, strict=True))
-        n_words, keys = len(words), words.keys()
-        code = np.sort(((h * n_words + w) << 1) | target)
+        keys, none = words.keys(), np.zeros(200_000, dtype=np.int64)
+        code = np.sort((h << 32) | (w << 1) | target)
         first = np.flatnonzero(np.concatenate([[True], code[1:] >> 1 != code[:-1] >> 1]))
         n = np.diff(np.append(first, len(code)))
         t = np.add.reduceat(code & 1, first)
-        pair = code[first] >> 1
+        pair = code[first]
         for i in range(0, len(pair), 200_000):
             some = slice(i, i + 200_000)
-            yield pd.DataFrame({"key": pair_hash(keys[pair[some] // n_words], keys[pair[some] % n_words]),
-                                "tb": (t[some] << 32) | (n - t)[some], "htb": 0})
-        t, b, ht, hb = (np.bincount(x[target == side], minlength=n_words) for x in (w, h) for side in (1, 0))
+            key = pair_hash(keys[pair[some] >> 32], keys[(pair[some] & 0xFFFFFFFF) >> 1])
+            yield pa.RecordBatch.from_arrays([key, (t[some] << 32) | (n - t)[some], none[:len(key)]], names=["key", "tb", "htb"])
+        t, b, ht, hb = (np.bincount(x[target == side], minlength=len(words)) for x in (w, h) for side in (1, 0))
         met = np.flatnonzero(t + b + ht + hb)
-        yield pd.DataFrame({"key": keys[met], "tb": ((t << 32) | b)[met], "htb": ((ht << 32) | hb)[met]})
+        yield pa.RecordBatch.from_arrays([keys[met], ((t << 32) | b)[met], ((ht << 32) | hb)[met]], names=["key", "tb", "htb"])
 
-    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = Words(), [], 0
         for part in parts:
-            for text, target in zip(part["text"], part["target"], strict=True):
+            for text, target in zip(part["text"].to_pylist(), part["target"].to_pylist(), strict=True):
                 n = words.numbers(text)
                 if len(n) > 1:
                     held.append((n[:-1], n[1:], np.full(len(n) - 1, int(target))))
@@ -154,7 +154,7 @@ def count(known: DataFrame) -> DataFrame:
             yield from sums(held, words)
 
     high, low = (lambda c: F.sum(F.shiftright(c, 32))), (lambda c: F.sum(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))))
-    emitted = known.select("text", "target").mapInPandas(counted, "key long, tb long, htb long")
+    emitted = known.select("text", "target").mapInArrow(counted, "key long, tb long, htb long")
     # nearly all keys are of one batch, so they are dealt before they are summed
     summed = emitted.repartition("key").groupBy("key").agg(high("tb").alias("t"), low("tb").alias("b"),
                                                            high("htb").alias("ht"), low("htb").alias("hb"))
@@ -168,17 +168,6 @@ def losses(counts: np.ndarray) -> np.ndarray:
     return -np.log((counts + MU * p) / (counts.sum(axis=1, keepdims=True) + MU))
 
 
-def word_losses(words: DataFrame) -> tuple[DataFrame, int]:
-    """(key, n, wt, wb, ht, hb): occurrences of each word, -ln p(w) in target and background, and the loss that it adds as
-    a predecessor; and how many words with repetitions there are."""
-    all_ = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count_if(F.col("t") + F.col("b") > 0).alias("types")).first()
-    v, totals = all_["types"] + 1, {"t": all_["t"] or 0, "b": all_["b"] or 0}
-    out = words.select("key", F.greatest(F.col("t") + F.col("b"), F.col("ht") + F.col("hb")).alias("n"),
-                       *((-F.log((F.col(s) + 1) / F.lit(float(totals[s] + v)))).alias(f"w{s}") for s in totals),
-                       *(F.log((F.col(f"h{s}") + MU) / MU).alias(f"h{s}") for s in totals))
-    return out, sum(totals.values())
-
-
 def pair_filter(pairs: DataFrame, size: int) -> np.ndarray:
     """``size`` bits (a power of two), in words of 64, that are set at the places of the pairs' hashes."""
     place = F.shiftrightunsigned("key", 1).bitwiseAND(F.lit(size - 1)).alias("place")
@@ -194,67 +183,81 @@ def passes(pair: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
+def word_parts(counts: list[np.ndarray], sizes: tuple[float, float]) -> list[list[np.ndarray]]:
+    """By target and background: the losses of a word and of a predecessor without its pairs, 1 / (MU * p(w)), and what a
+    pair met once takes off; from the words' counts t, b, ht and hb, and n + v of both models. A last place is 0."""
+    out = []
+    for c, h, size in zip(counts[:2], counts[2:], sizes, strict=True):
+        p = (c + 1.0) / size
+        parts = [-np.log(p), np.log((h + MU) / MU), 1 / (MU * p), np.log1p(1 / (MU * p))]
+        out.append([np.append(x, 0.0) for x in parts])
+    return out
+
+
 def splitter(shared):
-    """Texts (row, id, text) to what is known of them here and what is to be joined. Kind 0, one row for each text: its id,
-    number of words n, losses t and b without the pairs met once, and what those take off, one_t and one_b. Kind 1: a word
-    that is not hot, n times a word and m times a predecessor, ``ones`` times in a pair met once. Kind 2: a pair that passes
-    the filter, n times, with its last word if that is not hot, else 1 / (MU * p) of that word as t and b."""
-    columns = ("row", "id", "kind", "key", "word", "n", "m", "ones", "t", "b", "one_t", "one_b")
-
-    def frame(**given) -> pd.DataFrame:
-        size = len(given["row"])
-        return pd.DataFrame({c: given.get(c, np.full(size, None, dtype=object) if c == "id" else np.zeros(size, dtype=np.int64)) for c in columns})
-
-    def scored(held: list, words: Words, slots: np.ndarray) -> Iterator[pd.DataFrame]:
-        _, (wt, wb, ht, hb), hot_pairs, pair_counts, bits = shared.value
+    """Texts (row, id, text) to what is known of them here and what is to be joined. One row for each text has ``base``: its id,
+    number of words n, losses t and b without the pairs met once, and what those take off, one_t and one_b. A row with a
+    ``key`` is a pair that passes the filter, n times, with its last ``word`` if that is not hot, else with that word's counts
+    in m and o. Any other row is a word that is not hot, n times a word, m times a predecessor, o times last in a pair met once."""
+    base_type = pa.struct([("id", pa.string()), ("n", pa.int64()), *((c, pa.float64()) for c in ("t", "b", "one_t", "one_b"))])
+
+    def batch(row: np.ndarray, base: pa.Array | None = None, **given: np.ndarray) -> pa.RecordBatch:
+        none = np.zeros(len(row), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), base_type) if base is None else base,
+                                           *(pa.array(given.get(c, none)) for c in ("key", "word", "n", "m", "o"))],
+                                          names=["row", "base", "key", "word", "n", "m", "o"])
+
+    def scored(held: list, words: Words, slots: np.ndarray, parts: list) -> Iterator[pa.RecordBatch]:
+        _, word_counts, _, hot_pairs, pair_counts, bits = shared.value
         rows, ids, numbers = zip(*held, strict=True)
         size, rows = len(rows), np.array(rows, dtype=np.int64)
-        all_ = np.concatenate(numbers)
-        of = np.repeat(np.arange(size), [len(x) for x in numbers])
+        lengths = np.array([len(x) for x in numbers])
+        all_, of = np.concatenate(numbers), np.repeat(np.arange(size), lengths)
         inner = np.flatnonzero(all_ != 0)  # every word follows a word or START
         w, h, of = all_[inner], all_[inner - 1], of[inner]
         ws, hs, keys = slots[w], slots[h], words.keys()
         pair = pair_hash(keys[h], keys[w])
-        total = lambda x: np.bincount(of, x, minlength=size)
-        t, b = total(wt[ws] + ht[hs]), total(wb[ws] + hb[hs])  # the last place, -1, is 0
-        scale = [np.append(np.exp(x[:-1]) / MU, 0.0) for x in (wt, wb)]
-        at = places(pair, hot_pairs)
-        hot = at >= 0  # its last word is hot too
-        for loss, x, c in ((t, scale[0], pair_counts[0]), (b, scale[1], pair_counts[1])):
-            loss -= np.bincount(of[hot], np.log1p(c[at[hot]] * x[ws[hot]]), minlength=size)
-        some = ~hot & passes(pair, bits)
-        once = ~hot & ~some
-        one_t, one_b = (np.bincount(of[once], np.log1p(x[ws[once]]), minlength=size) for x in scale)
-        yield frame(row=rows, id=np.array(ids, dtype=object), n=np.array([len(x) - 1 for x in numbers]), t=t, b=b, one_t=one_t, one_b=one_b)
+        more = np.flatnonzero(passes(pair, bits))  # met twice or more, and some of the others
+        at = places(pair[more], hot_pairs)
+        hot, some = more[at >= 0], more[at < 0]  # the last word of a hot pair is hot too
+        once = np.ones(len(w), dtype=bool)
+        once[more] = False
+        total = lambda of, x: np.bincount(of, x, minlength=size).astype(np.float64)
+        sums = [total(of, word[ws] + before[hs]) - total(of[hot], np.log1p(c[at[at >= 0]] * scale[ws[hot]]))
+                for (word, before, scale, _), c in zip(parts, pair_counts, strict=True)]  # the last place, -1, is 0
+        ones = [total(of[once], one[ws[once]]) for *_, one in parts]
+        yield batch(rows, pa.StructArray.from_arrays([pa.array(ids, pa.string()), pa.array(lengths - 1), *map(pa.array, sums + ones)],
+                                                     fields=list(base_type)))
         cold = [np.flatnonzero(ws < 0), np.flatnonzero(hs < 0), np.flatnonzero(once & (ws < 0))]
         code = np.concatenate([of[i] * len(words) + x[i] for i, x in zip(cold, (w, h, w), strict=True)])
         if len(code):
             code, place = np.unique(code, return_inverse=True)
-            n, m, ones = (np.bincount(x, minlength=len(code)) for x in np.split(place, np.cumsum([len(i) for i in cold])[:-1]))
-            yield frame(row=rows[code // len(words)], kind=np.ones(len(code), dtype=np.int64), word=keys[code % len(words)], n=n, m=m, ones=ones)
-        i = np.flatnonzero(some)
-        if len(i):
-            i = i[np.lexsort((pair[i], of[i]))]
+            n, m, o = (np.bincount(x, minlength=len(code)) for x in np.split(place, np.cumsum([len(i) for i in cold])[:-1]))
+            yield batch(rows[code // len(words)], word=keys[code % len(words)], n=n, m=m, o=o)
+        if len(some):
+            i = some[np.lexsort((pair[some], of[some]))]
             first = np.flatnonzero(np.concatenate([[True], (pair[i][1:] != pair[i][:-1]) | (of[i][1:] != of[i][:-1])]))
             n, i = np.diff(np.append(first, len(i))), i[first]
-            yield frame(row=rows[of[i]], kind=np.full(len(i), 2), key=pair[i], word=np.where(ws[i] < 0, keys[w[i]], 0), n=n,
-                        t=scale[0][ws[i]], b=scale[1][ws[i]])
+            is_cold = ws[i] < 0
+            yield batch(rows[of[i]], key=pair[i], word=np.where(is_cold, keys[w[i]], 0), n=n,
+                        m=word_counts[0][ws[i]], o=word_counts[1][ws[i]])
 
-    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot_words = shared.value[0]
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_words, word_counts, sizes = shared.value[:3]
+        parts = word_parts([x[:-1] for x in word_counts], sizes)
         words, slots, held, size = Words(), np.zeros(0, dtype=np.int64), [], 0
-        for part in parts:
-            for row, i, text in zip(part["row"], part["id"], part["text"], strict=True):
+        for some in batches:
+            for row, i, text in zip(*(some[c].to_pylist() for c in ("row", "id", "text")), strict=True):
                 held.append((row, i, words.numbers(text)))
                 size += len(held[-1][2])
                 if size > TOKENS_SCORED:
                     slots = np.append(slots, places(words.keys()[len(slots):], hot_words))
-                    yield from scored(held, words, slots)
+                    yield from scored(held, words, slots, parts)
                     held, size = [], 0
                     if len(words) > FLUSH_WORDS:
                         words, slots = Words(), np.zeros(0, dtype=np.int64)
         if held:
-            yield from scored(held, words, np.append(slots, places(words.keys()[len(slots):], hot_words)))
+            yield from scored(held, words, np.append(slots, places(words.keys()[len(slots):], hot_words)), parts)
 
     return split
 
@@ -269,44 +272,59 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     known = texts.join(marked, F.col("id") == F.col("marked_id"), "left").select("text", F.col("marked_id").isNotNull().alias("target"))
     hot = min(hot, HOT)
     counts = written(count(known))
-    words, total = word_losses(counts.where(is_word(F.col("key"))))
-    pairs = counts.where(~is_word(F.col("key"))).select("key", "t", "b")
-    is_hot = F.col("n") * hot >= total
+    words, pairs = counts.where(is_word(F.col("key"))), counts.where(~is_word(F.col("key")))
+    n = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count_if(F.col("t") + F.col("b") > 0).alias("types")).first()
+    v, total = n["types"] + 1, (n["t"] or 0) + (n["b"] or 0)
+    sizes = tuple(float((n[s] or 0) + v) for s in "tb")
+    is_hot = F.greatest(F.col("t") + F.col("b"), F.col("ht") + F.col("hb")) * hot >= total
     common = words.where(is_hot).orderBy("key").toArrow()  # ``hot`` and START at most
-    often = pairs.withColumn("n", F.col("t") + F.col("b"))
-    top = often.where(is_hot).orderBy("key").toArrow()  # ``hot`` at most
-    rare = often.where(~is_hot).drop("n")
-    of_words = [np.append(common[c].to_numpy(), 0.0) for c in ("wt", "wb", "ht", "hb")]
-    shared = spark.sparkContext.broadcast((common["key"].to_numpy(), of_words, top["key"].to_numpy(),
-                                           [top[c].to_numpy() for c in ("t", "b")], pair_filter(rare, filter_bits)))
+    often = pairs.where(is_hot).orderBy("key").toArrow()  # ``hot`` at most
+    rare = pairs.where(~is_hot)
+    shared = spark.sparkContext.broadcast((
+        common["key"].to_numpy(), [np.append(common[c].to_numpy(), 0) for c in ("t", "b", "ht", "hb")], sizes,
+        often["key"].to_numpy(), [often[c].to_numpy() for c in ("t", "b")], pair_filter(pairs, filter_bits)))
     rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("string").alias("id"), "text")
-    found = rows.mapInPandas(splitter(shared), "row long, id string, kind int, key long, word long, n long, m long, ones long, "
-                                               "t double, b double, one_t double, one_b double")
-    # rows that a join does not concern are dealt by their text
-    deal = F.xxhash64("row")
-    pair, word = F.col("kind") == 2, F.col("word") != 0
+    found = rows.mapInArrow(splitter(shared), "row long, base struct<id string, n long, t double, b double, one_t double, one_b double>, "
+                                              "key long, word long, n long, m long, o long")
+    deal = F.xxhash64("row")  # a row that a join does not concern is dealt by its text
+    is_pair, cold = F.col("key") != 0, F.col("word") != 0
     stored = rare.select(F.col("key").alias("pair_key"), F.col("t").alias("ct"), F.col("b").alias("cb")).hint("shuffle_hash")
-    joined = found.withColumn("by", F.when(pair, F.col("key")).otherwise(deal)).join(stored, (F.col("by") == F.col("pair_key")) & pair, "left")
-    cold = words.where(~is_hot).select(F.col("key").alias("word_key"), *(F.col(c).alias(f"x_{c}") for c in ("wt", "wb", "ht", "hb")))
-    joined = joined.withColumn("by", F.when(word, F.col("word")).otherwise(deal)).join(
-        cold.hint("shuffle_hash"), (F.col("by") == F.col("word_key")) & word, "left")
-
-    def parts(s: str) -> tuple[Column, Column]:
-        """Loss of a row without pairs met once, and what those take off in the document's own model."""
-        own = F.when(word, F.exp(f"x_w{s}") / MU).otherwise(F.col(s))  # 1 / (MU * p) of the word
-        once = pair & F.col("pair_key").isNull()
-        loss = (F.when(F.col("kind") == 0, F.col(s)).when(F.col("kind") == 1, F.col("n") * F.col(f"x_w{s}") + F.col("m") * F.col(f"x_h{s}"))
-                .when(once, F.lit(0.0)).otherwise(-F.col("n") * F.log1p(F.col(f"c{s}") * own)))
-        off = (F.when(F.col("kind") == 0, F.col(f"one_{s}")).when(F.col("kind") == 1, F.col("ones") * F.log1p(own))
-               .when(once, F.log1p(own)).otherwise(F.lit(0.0)))
-        return loss, off
-
-    scored = joined.groupBy("row").agg(
-        F.max("id").alias("id"), F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("n_words"),
-        *(F.sum(c).alias(f"{name}_{s}") for s in ("t", "b") for name, c in zip(("loss", "off"), parts(s), strict=True)))
+    joined = found.withColumn("by", F.when(is_pair, F.col("key")).otherwise(deal)).join(
+        stored, (F.col("by") == F.col("pair_key")) & is_pair, "left")
+
+    def off(s: str, scale: Column) -> tuple[Column, Column]:
+        """What a pair takes off the loss, and what it does in the document's own model if it is met once."""
+        once = F.coalesce(F.col("ct"), F.lit(0)) + F.coalesce(F.col("cb"), F.lit(0)) == 0
+        return F.when(once, 0.0).otherwise(F.col("n") * F.log1p(F.col(f"c{s}") * scale)), F.when(once, F.log1p(scale)).otherwise(0.0)
+
+    def scale(s: str, c: str) -> Column:
+        return F.lit(sizes["tb".index(s)] / MU) / (F.col(c) + 1)
+
+    sums = [f"{x}_{s}" for s in "tb" for x in ("loss", "one")]
+    known_here = {}
+    for s, c in (("t", "m"), ("b", "o")):
+        less, one = off(s, scale(s, c))
+        known_here |= {f"loss_{s}": F.when(cold, 0.0).when(is_pair, -less).otherwise(F.col(f"base.{s}")),
+                       f"one_{s}": F.when(cold, 0.0).when(is_pair, one).otherwise(F.col(f"base.one_{s}"))}
+    # a text's rows that are done are summed where they are; only those of words that are not hot go on to these words' counts
+    met = (F.when(cold & is_pair, F.coalesce(c, F.lit(0))).otherwise(0).alias(c) for c in ("ct", "cb"))
+    done = joined.select("row", "word", (cold & is_pair).alias("is_pair"), *met, F.col("base.id").alias("id"), F.col("base.n").alias("n_words"),
+                         *(F.when(cold, F.col(c)).otherwise(0).alias(c) for c in ("n", "m", "o")), *(known_here[c].alias(c) for c in sums))
+    done = done.groupBy("row", "word", "is_pair", "ct", "cb").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in ("n_words", "n", "m", "o", *sums)))
+    others = words.where(~is_hot).select(F.col("key").alias("word_key"), *(F.col(c).alias(f"w_{c}") for c in ("t", "b", "ht", "hb")))
+    done = done.withColumn("by", F.when(cold, F.col("word")).otherwise(deal)).join(
+        others.hint("shuffle_hash"), (F.col("by") == F.col("word_key")) & cold, "left")
+    last = {}
+    for s in "tb":
+        of_word = scale(s, f"w_{s}")
+        less, one = off(s, of_word)
+        plain = F.col("n") * F.log(of_word * MU) + F.col("m") * F.log((F.col(f"w_h{s}") + MU) / MU)
+        last |= {f"loss_{s}": F.when(~cold, F.col(f"loss_{s}")).when(F.col("is_pair"), -less).otherwise(plain),
+                 f"one_{s}": F.when(~cold, F.col(f"one_{s}")).when(F.col("is_pair"), F.col("n") * one).otherwise(F.col("o") * F.log1p(of_word))}
+    scored = done.groupBy("row").agg(F.max("id").alias("id"), F.sum("n_words").alias("n_words"), *(F.sum(last[c]).alias(c) for c in sums))
     scored = scored.withColumn("id", F.col("id").cast(texts.schema["id"].dataType)).join(marked, F.col("id") == F.col("marked_id"), "left")
     target, mean = F.col("marked_id").isNotNull(), lambda c: c / F.greatest("n_words", F.lit(1))
-    scored = scored.select("id", "n_words", mean(F.col("loss_t") - F.when(target, F.col("off_t")).otherwise(0.0)).alias("target_loss"),
-                           mean(F.col("loss_b") - F.when(target, 0.0).otherwise(F.col("off_b"))).alias("background_loss"))
+    scored = scored.select("id", "n_words", mean(F.col("loss_t") - F.when(target, F.col("one_t")).otherwise(0.0)).alias("target_loss"),
+                           mean(F.col("loss_b") - F.when(target, 0.0).otherwise(F.col("one_b"))).alias("background_loss"))
     return scored.select(F.col("id").alias(id_col), "n_words", "target_loss", "background_loss",
                          (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -20,9 +20,9 @@ pair met once. No pair is left out; a filter that is too small for the corpus
 passes more pairs to the join and changes no result.
 
 Words and pairs are known by 63-bit hashes. Counts are summed in each batch
-before the shuffle. Words and pairs that are one in ``HOT`` of all or more (so about
-``HOT`` of each at most) are broadcast, the others are joined by shuffles, in which no
-key has more rows than that. Nothing else that grows with the corpus reaches the driver.
+before the shuffle. The most frequent words and pairs, ``HOT`` of each at most, are
+broadcast; the others are joined by shuffles, in which no key has more than about one
+in ``HOT`` of all rows. Nothing else that grows with the corpus reaches the driver.
 
 Defined results: null and word-free texts have no words and score 0; without
 marked documents (or without others) that model is the uniform one; rows with a
@@ -183,32 +183,30 @@ def passes(pair: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def word_parts(counts: list[np.ndarray], sizes: tuple[float, float]) -> list[list[np.ndarray]]:
-    """By target and background: the losses of a word and of a predecessor without its pairs, 1 / (MU * p(w)), and what a
-    pair met once takes off; from the words' counts t, b, ht and hb, and n + v of both models. A last place is 0."""
-    out = []
-    for c, h, size in zip(counts[:2], counts[2:], sizes, strict=True):
-        p = (c + 1.0) / size
-        parts = [-np.log(p), np.log((h + MU) / MU), 1 / (MU * p), np.log1p(1 / (MU * p))]
-        out.append([np.append(x, 0.0) for x in parts])
-    return out
+def least_hot(counted: DataFrame, hot: int) -> int:
+    """The least count with which at most ``hot`` rows (count n) are counted so often; counts are told apart to 11 digits of two."""
+    found = counted.select(F.expr("n - n % shiftleft(1L, greatest(length(bin(n)) - 11, 0))").alias("n")).groupBy("n").agg(
+        F.count(F.lit(1)).alias("rows")).toPandas().sort_values("n", ascending=False)  # a thousand for each power of two at most
+    fits = found[found["rows"].cumsum() <= hot]["n"]
+    return int(fits.min()) if len(fits) else 1 + int(found["n"].max() if len(found) else 0) * 2
 
 
 def splitter(shared):
     """Texts (row, id, text) to what is known of them here and what is to be joined. One row for each text has ``base``: its id,
-    number of words n, losses t and b without the pairs met once, and what those take off, one_t and one_b. A row with a
-    ``key`` is a pair that passes the filter, n times, with its last ``word`` if that is not hot, else with that word's counts
+    number of words n, losses t and b without the pairs met once, and what those take off, one_t and one_b. A row with an
+    even ``key`` is a pair that passes the filter, n times, with its last ``word`` if that is not hot, else with that word's counts
     in m and o. Any other row is a word that is not hot, n times a word, m times a predecessor, o times last in a pair met once."""
     base_type = pa.struct([("id", pa.string()), ("n", pa.int64()), *((c, pa.float64()) for c in ("t", "b", "one_t", "one_b"))])
 
     def batch(row: np.ndarray, base: pa.Array | None = None, **given: np.ndarray) -> pa.RecordBatch:
         none = np.zeros(len(row), dtype=np.int64)
+        given.setdefault("key", row * 2 + 1)  # no pair: dealt by its text
         return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), base_type) if base is None else base,
                                            *(pa.array(given.get(c, none)) for c in ("key", "word", "n", "m", "o"))],
                                           names=["row", "base", "key", "word", "n", "m", "o"])
 
-    def scored(held: list, words: Words, slots: np.ndarray, parts: list) -> Iterator[pa.RecordBatch]:
-        _, word_counts, _, hot_pairs, pair_counts, bits = shared.value
+    def scored(held: list, words: Words, slots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, counts, sizes, hot_pairs, pair_counts, bits = shared.value
         rows, ids, numbers = zip(*held, strict=True)
         size, rows = len(rows), np.array(rows, dtype=np.int64)
         lengths = np.array([len(x) for x in numbers])
@@ -223,9 +221,13 @@ def splitter(shared):
         once = np.ones(len(w), dtype=bool)
         once[more] = False
         total = lambda of, x: np.bincount(of, x, minlength=size).astype(np.float64)
-        sums = [total(of, word[ws] + before[hs]) - total(of[hot], np.log1p(c[at[at >= 0]] * scale[ws[hot]]))
-                for (word, before, scale, _), c in zip(parts, pair_counts, strict=True)]  # the last place, -1, is 0
-        ones = [total(of[once], one[ws[once]]) for *_, one in parts]
+        sums, ones, known_w, known_h = [], [], ws >= 0, hs >= 0
+        for c, before, size_, met in zip(counts[:2], counts[2:], sizes, pair_counts, strict=True):
+            p = (c[ws] + 1.0) / size_
+            taken = np.log1p(1 / (MU * p)) * known_w
+            loss = np.log((before[hs] + MU) / MU) * known_h - np.log(p) * known_w
+            sums.append(total(of, loss) - total(of[hot], np.log1p(met[at[at >= 0]] / (MU * p[hot]))))
+            ones.append(total(of[once], taken[once]))
         yield batch(rows, pa.StructArray.from_arrays([pa.array(ids, pa.string()), pa.array(lengths - 1), *map(pa.array, sums + ones)],
                                                      fields=list(base_type)))
         cold = [np.flatnonzero(ws < 0), np.flatnonzero(hs < 0), np.flatnonzero(once & (ws < 0))]
@@ -240,11 +242,10 @@ def splitter(shared):
             n, i = np.diff(np.append(first, len(i))), i[first]
             is_cold = ws[i] < 0
             yield batch(rows[of[i]], key=pair[i], word=np.where(is_cold, keys[w[i]], 0), n=n,
-                        m=word_counts[0][ws[i]], o=word_counts[1][ws[i]])
+                        m=np.where(is_cold, 0, counts[0][ws[i]]), o=np.where(is_cold, 0, counts[1][ws[i]]))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_words, word_counts, sizes = shared.value[:3]
-        parts = word_parts([x[:-1] for x in word_counts], sizes)
+        hot_words = shared.value[0]
         words, slots, held, size = Words(), np.zeros(0, dtype=np.int64), [], 0
         for some in batches:
             for row, i, text in zip(*(some[c].to_pylist() for c in ("row", "id", "text")), strict=True):
@@ -252,12 +253,12 @@ def splitter(shared):
                 size += len(held[-1][2])
                 if size > TOKENS_SCORED:
                     slots = np.append(slots, places(words.keys()[len(slots):], hot_words))
-                    yield from scored(held, words, slots, parts)
+                    yield from scored(held, words, slots)
                     held, size = [], 0
                     if len(words) > FLUSH_WORDS:
                         words, slots = Words(), np.zeros(0, dtype=np.int64)
         if held:
-            yield from scored(held, words, np.append(slots, places(words.keys()[len(slots):], hot_words)), parts)
+            yield from scored(held, words, np.append(slots, places(words.keys()[len(slots):], hot_words)))
 
     return split
 
@@ -276,10 +277,12 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     n = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count_if(F.col("t") + F.col("b") > 0).alias("types")).first()
     v, total = n["types"] + 1, (n["t"] or 0) + (n["b"] or 0)
     sizes = tuple(float((n[s] or 0) + v) for s in "tb")
-    is_hot = F.greatest(F.col("t") + F.col("b"), F.col("ht") + F.col("hb")) * hot >= total
-    common = words.where(is_hot).orderBy("key").toArrow()  # ``hot`` and START at most
-    often = pairs.where(is_hot).orderBy("key").toArrow()  # ``hot`` at most
-    rare = pairs.where(~is_hot)
+    uses = F.greatest(F.col("t") + F.col("b"), F.col("ht") + F.col("hb")).alias("n")
+    least = least_hot(words.select(uses), hot)
+    # a hot pair is no rarer than hot words, so its words are hot
+    hot_word, hot_pair = uses >= F.lit(least), uses >= F.lit(max(least, least_hot(pairs.select(uses), hot)))
+    common, often = (x.where(y).orderBy("key").toArrow() for x, y in ((words, hot_word), (pairs, hot_pair)))  # ``hot`` each at most
+    rare = pairs.where(~hot_pair)
     shared = spark.sparkContext.broadcast((
         common["key"].to_numpy(), [np.append(common[c].to_numpy(), 0) for c in ("t", "b", "ht", "hb")], sizes,
         often["key"].to_numpy(), [often[c].to_numpy() for c in ("t", "b")], pair_filter(pairs, filter_bits)))
@@ -287,10 +290,9 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     found = rows.mapInArrow(splitter(shared), "row long, base struct<id string, n long, t double, b double, one_t double, one_b double>, "
                                               "key long, word long, n long, m long, o long")
     deal = F.xxhash64("row")  # a row that a join does not concern is dealt by its text
-    is_pair, cold = F.col("key") != 0, F.col("word") != 0
+    is_pair, cold = F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("word") != 0
     stored = rare.select(F.col("key").alias("pair_key"), F.col("t").alias("ct"), F.col("b").alias("cb")).hint("shuffle_hash")
-    joined = found.withColumn("by", F.when(is_pair, F.col("key")).otherwise(deal)).join(
-        stored, (F.col("by") == F.col("pair_key")) & is_pair, "left")
+    joined = found.join(stored, F.col("key") == F.col("pair_key"), "left")
 
     def off(s: str, scale: Column) -> tuple[Column, Column]:
         """What a pair takes off the loss, and what it does in the document's own model if it is met once."""
@@ -311,7 +313,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     done = joined.select("row", "word", (cold & is_pair).alias("is_pair"), *met, F.col("base.id").alias("id"), F.col("base.n").alias("n_words"),
                          *(F.when(cold, F.col(c)).otherwise(0).alias(c) for c in ("n", "m", "o")), *(known_here[c].alias(c) for c in sums))
     done = done.groupBy("row", "word", "is_pair", "ct", "cb").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in ("n_words", "n", "m", "o", *sums)))
-    others = words.where(~is_hot).select(F.col("key").alias("word_key"), *(F.col(c).alias(f"w_{c}") for c in ("t", "b", "ht", "hb")))
+    others = words.where(~hot_word).select(F.col("key").alias("word_key"), *(F.col(c).alias(f"w_{c}") for c in ("t", "b", "ht", "hb")))
     done = done.withColumn("by", F.when(cold, F.col("word")).otherwise(deal)).join(
         others.hint("shuffle_hash"), (F.col("by") == F.col("word_key")) & cold, "left")
     last = {}

@@ -117,8 +117,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """(id, size, body): UTF-8 bytes of the texts, compressed, for a shuffle."""
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            raw = [x.encode("utf-8") for x in part["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([part["id"], pa.array(map(len, raw), pa.int64()), pa.array(
+                [pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())], names=["id", "size", "body"])
+
+    return texts.where("text != ''").mapInArrow(pack, f"id {texts.schema['id'].dataType.simpleString()}, size long, body binary")
+
+
 def count(known: DataFrame) -> DataFrame:
-    """(key, t, b, ht, hb) over (text, target boolean): counts in target and background of each word, as a word and as a
+    """(key, t, b, ht, hb) over (size, body, target boolean): counts in target and background of each word, as a word and as a
     predecessor, and of each pair that occurs twice or more (ht and hb are 0)."""
 
     def sums(held: list, words: Words) -> Iterator[pa.RecordBatch]:
@@ -140,8 +152,8 @@ def count(known: DataFrame) -> DataFrame:
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = Words(), [], 0
         for part in parts:
-            for text, target in zip(part["text"].to_pylist(), part["target"].to_pylist(), strict=True):
-                n = words.numbers(text)
+            for size_, body, target in zip(*(part[c].to_pylist() for c in ("size", "body", "target")), strict=True):
+                n = words.numbers(pa.decompress(body, size_, "zstd", asbytes=True).decode("utf-8"))
                 if len(n) > 1:
                     held.append((n[:-1], n[1:], np.full(len(n) - 1, int(target))))
                     size += len(n)
@@ -154,7 +166,7 @@ def count(known: DataFrame) -> DataFrame:
             yield from sums(held, words)
 
     high, low = (lambda c: F.sum(F.shiftright(c, 32))), (lambda c: F.sum(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))))
-    emitted = known.select("text", "target").mapInArrow(counted, "key long, tb long, htb long")
+    emitted = known.select("size", "body", "target").mapInArrow(counted, "key long, tb long, htb long")
     # nearly all keys are of one batch, so they are dealt before they are summed
     summed = emitted.repartition("key").groupBy("key").agg(high("tb").alias("t"), low("tb").alias("b"),
                                                            high("htb").alias("ht"), low("htb").alias("hb"))
@@ -196,16 +208,17 @@ def splitter(shared):
     number of words n, losses t and b without the pairs met once, and what those take off, one_t and one_b. A row with an
     even ``key`` is a pair that passes the filter, n times, with its last ``word`` if that is not hot, else with that word's counts
     in m and o. Any other row is a word that is not hot, n times a word, m times a predecessor, o times last in a pair met once."""
-    base_type = pa.struct([("id", pa.string()), ("n", pa.int64()), *((c, pa.float64()) for c in ("t", "b", "one_t", "one_b"))])
+    def base_type(of_id: pa.DataType) -> pa.StructType:
+        return pa.struct([("id", of_id), ("n", pa.int64()), *((c, pa.float64()) for c in ("t", "b", "one_t", "one_b"))])
 
-    def batch(row: np.ndarray, base: pa.Array | None = None, **given: np.ndarray) -> pa.RecordBatch:
+    def batch(row: np.ndarray, base: pa.Array, **given: np.ndarray) -> pa.RecordBatch:
         none = np.zeros(len(row), dtype=np.int64)
         given.setdefault("key", row * 2 + 1)  # no pair: dealt by its text
-        return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), base_type) if base is None else base,
+        return pa.RecordBatch.from_arrays([pa.array(row), base,
                                            *(pa.array(given.get(c, none)) for c in ("key", "word", "n", "m", "o"))],
                                           names=["row", "base", "key", "word", "n", "m", "o"])
 
-    def scored(held: list, words: Words, slots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def scored(held: list, words: Words, slots: np.ndarray, of_id: pa.DataType) -> Iterator[pa.RecordBatch]:
         _, counts, sizes, hot_pairs, pair_counts, bits = shared.value
         rows, ids, numbers = zip(*held, strict=True)
         size, rows = len(rows), np.array(rows, dtype=np.int64)
@@ -228,37 +241,39 @@ def splitter(shared):
             loss = np.log((before[hs] + MU) / MU) * known_h - np.log(p) * known_w
             sums.append(total(of, loss) - total(of[hot], np.log1p(met[at[at >= 0]] / (MU * p[hot]))))
             ones.append(total(of[once], taken[once]))
-        yield batch(rows, pa.StructArray.from_arrays([pa.array(ids, pa.string()), pa.array(lengths - 1), *map(pa.array, sums + ones)],
-                                                     fields=list(base_type)))
+        yield batch(rows, pa.StructArray.from_arrays([pa.array(ids, of_id), pa.array(lengths - 1), *map(pa.array, sums + ones)],
+                                                     fields=list(base_type(of_id))))
+        no_base = lambda n: pa.nulls(n, base_type(of_id))
         cold = [np.flatnonzero(ws < 0), np.flatnonzero(hs < 0), np.flatnonzero(once & (ws < 0))]
         code = np.concatenate([of[i] * len(words) + x[i] for i, x in zip(cold, (w, h, w), strict=True)])
         if len(code):
             code, place = np.unique(code, return_inverse=True)
             n, m, o = (np.bincount(x, minlength=len(code)) for x in np.split(place, np.cumsum([len(i) for i in cold])[:-1]))
-            yield batch(rows[code // len(words)], word=keys[code % len(words)], n=n, m=m, o=o)
+            yield batch(rows[code // len(words)], no_base(len(code)), word=keys[code % len(words)], n=n, m=m, o=o)
         if len(some):
             i = some[np.lexsort((pair[some], of[some]))]
             first = np.flatnonzero(np.concatenate([[True], (pair[i][1:] != pair[i][:-1]) | (of[i][1:] != of[i][:-1])]))
             n, i = np.diff(np.append(first, len(i))), i[first]
             is_cold = ws[i] < 0
-            yield batch(rows[of[i]], key=pair[i], word=np.where(is_cold, keys[w[i]], 0), n=n,
+            yield batch(rows[of[i]], no_base(len(i)), key=pair[i], word=np.where(is_cold, keys[w[i]], 0), n=n,
                         m=np.where(is_cold, 0, counts[0][ws[i]]), o=np.where(is_cold, 0, counts[1][ws[i]]))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_words = shared.value[0]
-        words, slots, held, size = Words(), np.zeros(0, dtype=np.int64), [], 0
+        words, slots, held, size, of_id = Words(), np.zeros(0, dtype=np.int64), [], 0, None
         for some in batches:
+            of_id = some.schema.field("id").type
             for row, i, text in zip(*(some[c].to_pylist() for c in ("row", "id", "text")), strict=True):
                 held.append((row, i, words.numbers(text)))
                 size += len(held[-1][2])
                 if size > TOKENS_SCORED:
                     slots = np.append(slots, places(words.keys()[len(slots):], hot_words))
-                    yield from scored(held, words, slots)
+                    yield from scored(held, words, slots, of_id)
                     held, size = [], 0
                     if len(words) > FLUSH_WORDS:
                         words, slots = Words(), np.zeros(0, dtype=np.int64)
         if held:
-            yield from scored(held, words, np.append(slots, places(words.keys()[len(slots):], hot_words)))
+            yield from scored(held, words, np.append(slots, places(words.keys()[len(slots):], hot_words)), of_id)
 
     return split
 
@@ -270,7 +285,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     spark = docs.sparkSession
     marked = targets.select(F.col(target_id_col).alias("marked_id")).where("marked_id is not null").distinct().hint("shuffle_hash")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = texts.join(marked, F.col("id") == F.col("marked_id"), "left").select("text", F.col("marked_id").isNotNull().alias("target"))
+    known = packed(texts).join(marked, F.col("id") == F.col("marked_id"), "left").select("size", "body", F.col("marked_id").isNotNull().alias("target"))
     hot = min(hot, HOT)
     counts = written(count(known))
     words, pairs = counts.where(is_word(F.col("key"))), counts.where(~is_word(F.col("key")))
@@ -286,9 +301,9 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     shared = spark.sparkContext.broadcast((
         common["key"].to_numpy(), [np.append(common[c].to_numpy(), 0) for c in ("t", "b", "ht", "hb")], sizes,
         often["key"].to_numpy(), [often[c].to_numpy() for c in ("t", "b")], pair_filter(pairs, filter_bits)))
-    rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("string").alias("id"), "text")
-    found = rows.mapInArrow(splitter(shared), "row long, base struct<id string, n long, t double, b double, one_t double, one_b double>, "
-                                              "key long, word long, n long, m long, o long")
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    found = rows.mapInArrow(splitter(shared), f"row long, base struct<id: {texts.schema['id'].dataType.simpleString()}, n: long, t: double, b: double, "
+                                              "one_t: double, one_b: double>, key long, word long, n long, m long, o long")
     deal = F.xxhash64("row")  # a row that a join does not concern is dealt by its text
     is_pair, cold = F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("word") != 0
     stored = rare.select(F.col("key").alias("pair_key"), F.col("t").alias("ct"), F.col("b").alias("cb")).hint("shuffle_hash")
@@ -324,7 +339,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
         last |= {f"loss_{s}": F.when(~cold, F.col(f"loss_{s}")).when(F.col("is_pair"), -less).otherwise(plain),
                  f"one_{s}": F.when(~cold, F.col(f"one_{s}")).when(F.col("is_pair"), F.col("n") * one).otherwise(F.col("o") * F.log1p(of_word))}
     scored = done.groupBy("row").agg(F.max("id").alias("id"), F.sum("n_words").alias("n_words"), *(F.sum(last[c]).alias(c) for c in sums))
-    scored = scored.withColumn("id", F.col("id").cast(texts.schema["id"].dataType)).join(marked, F.col("id") == F.col("marked_id"), "left")
+    scored = scored.join(marked, F.col("id") == F.col("marked_id"), "left")
     target, mean = F.col("marked_id").isNotNull(), lambda c: c / F.greatest("n_words", F.lit(1))
     scored = scored.select("id", "n_words", mean(F.col("loss_t") - F.when(target, F.col("one_t")).otherwise(0.0)).alias("target_loss"),
                            mean(F.col("loss_b") - F.when(target, 0.0).otherwise(F.col("one_b"))).alias("background_loss"))

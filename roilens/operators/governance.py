@@ -77,15 +77,16 @@ def with_risk_deduped(df: DataFrame, text_col: str = "prompt_text", types: bool
     """
     from ..functions.risk import with_risk
 
-    keyed = df.withColumn("_k", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    distinct = keyed.groupBy("_k").agg(F.first(text_col, ignorenulls=True).alias("_t"),
-                                       F.count(F.lit(1)).alias("_n"))
-    scored = with_risk(distinct, "_t", unicode, types=types).drop("_t")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = df.withColumn("_k", F.sha2(text, 256))
+    distinct = df.groupBy(text.alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    scored = with_risk(distinct, "_t", unicode, types=types).withColumn("_k", F.sha2("_t", 256)).drop("_t")
     risk_cols = [c for c in scored.columns if c not in ("_k", "_n")]
     hot = (scored.where(F.col("_n") >= hot_min_rows)
            .orderBy(F.col("_n").desc(), "_k").limit(max_hot)
            .select("_k", *[F.col(c).alias("_h_" + c) for c in risk_cols]))
-    cold = scored.select(F.col("_k").alias("_jk"), *[F.col(c).alias("_c_" + c) for c in risk_cols])
+    # the count stays in use, so that both sides share one aggregation (and its exchange)
+    cold = scored.where(F.col("_n") > 0).select(F.col("_k").alias("_jk"), *[F.col(c).alias("_c_" + c) for c in risk_cols])
     first = keyed.join(F.broadcast(hot), "_k", "left")
     salt = F.pmod(F.xxhash64("_k", *[F.col(c) for c in df.columns if c != text_col]), F.lit(salt_buckets))
     jk = F.when(F.col("_h_risk_score").isNotNull(),

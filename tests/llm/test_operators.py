@@ -439,6 +439,23 @@ def test_licences(spark, docs, odd, none):
     assert licences.scan(none).count() == 0
 
 
+def test_licences_wrapped_identified_and_by_row(spark, docs):
+    plain = [r.text for r in docs.collect() if not any(w in r.text.lower() for w in ("licen", "rights", "released"))]
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the\nfollowing conditions are met."
+    gpl = "You can redistribute it and modify it under the terms of the GNU General\nPublic License, either version 3 of the License,\nor any later version."
+    long = (plain[0] + "\n") * 40
+    texts = [(1, bsd), (2, plain[1] + "\n" + gpl + "\n" + plain[2]), (3, "SPDX-License-Identifier: MIT\n\nint main() { return 0; }"),
+             (4, "SPDX-License-Identifier: Apache-2.0"), (None, "Released under the MIT License."), (None, plain[3]), (5, plain[4]),
+             (5, "Licensed under the Apache License, Version 2.0."), (5, plain[4]), (6, long + gpl + "\n" + long), (7, None), (8, "")]
+    base = docs.select("doc_id", "text").where(~F.col("text").rlike("(?i)licen|rights|released"))
+    mine = spark.createDataFrame([(None if i is None else i + 10**9, t) for i, t in texts], "doc_id long, text string")
+    got = licences.scan(base.unionByName(mine)).where("doc_id is null or doc_id > 1000000000").collect()
+    at = lambda i: sorted((r.families or "") for r in got if r.doc_id == (None if i is None else i + 10**9))
+    assert at(1) == ["bsd-3-clause"] and at(2) == ["gpl-3.0"] and at(3) == ["mit"] and at(4) == ["apache-2.0"]
+    assert at(None) == ["", "mit"] and at(5) == ["", "", "apache-2.0"] and at(6) == ["gpl-3.0"] and at(7) == [""] and at(8) == [""]
+    assert len(got) == len(texts)
+
+
 def test_lm_scores_equal_brute_force(spark, odd, none):
     texts = [(1, "a b a b c"), (2, "a b"), (3, "c c d"), (4, None), (5, ""), (5, "b a"), (None, "a a")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")

@@ -1,7 +1,11 @@
 """A text shared by a third of the prompts: scored once, resolved map-side
 through the bounded hot-text broadcast, never shuffled as one giant key."""
 
-from roilens.operators.governance import with_risk_deduped
+import re
+
+from pyspark.sql import functions as F
+
+from roilens.operators.governance import by_distinct_text, redact_frame, with_risk_deduped
 
 
 def test_hot_text_split_from_the_shuffle(spark):
@@ -24,3 +28,32 @@ def test_hot_text_split_from_the_shuffle(spark):
 def test_no_hot_text(spark):
     df = spark.createDataFrame([(f"p{i}", f"t{i}") for i in range(50)], "prompt_id string, prompt_text string")
     assert with_risk_deduped(df).count() == 50
+
+
+def test_rows_shuffle_without_their_text(spark):
+    texts = ["mail a@b.com", None, "", *[f"text {i}" for i in range(20)]]
+    rows = [(f"p{i}", f"u{i % 7}", texts[i % len(texts)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "prompt_id string, user_id string, prompt_text string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = redact_frame(df)
+        plan = out._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = [i for i in re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]", plan) if "prompt_id#" in i]
+        assert moved and not any("prompt_text#" in i or "_t#" in i for i in moved)
+        assert out.columns == df.columns
+        got = {r["prompt_id"]: (r["user_id"], r["prompt_text"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == {p: (u, "mail [EMAIL_REDACTED]" if t == "mail a@b.com" else t) for p, u, t in rows}
+
+
+def test_hot_text_is_dealt_under_several_keys(spark):
+    df = spark.createDataFrame([(i, "hot" if i % 2 else f"t{i}") for i in range(1000)], "id long, prompt_text string")
+    out = by_distinct_text(df, "prompt_text", lambda d: d.withColumn("size", F.length("_t")), hot_min_rows=50, max_hot=5,
+                           id_col="id", meanwhile=lambda rows: rows.withColumn("seven", F.col("id") % 7))
+    assert out.columns == ["id", "prompt_text", "size", "seven"]
+    assert {tuple(r) for r in out.collect()} == {(i, t, len(t), i % 7) for i, t in
+                                                 ((i, "hot" if i % 2 else f"t{i}") for i in range(1000))}
+    assert out.count() == 1000

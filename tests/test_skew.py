@@ -57,3 +57,23 @@ def test_hot_text_is_dealt_under_several_keys(spark):
     assert {tuple(r) for r in out.collect()} == {(i, t, len(t), i % 7) for i, t in
                                                  ((i, "hot" if i % 2 else f"t{i}") for i in range(1000))}
     assert out.count() == 1000
+
+
+def test_enriched_logs_meet_their_users_without_text(spark):
+    from conftest import SF0001
+    from roilens.operators.usage import enrich_usage
+    from roilens.plans.inputs import Inputs
+    i = Inputs(spark, SF0001)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = i.logs_enriched()
+        plan = out._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = [x for x in re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]", plan) if "user_id#" in x]
+        assert moved and not any("prompt_text#" in x or " text#" in x for x in moved)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    stepwise = enrich_usage(i.logs(), i.users())
+    assert out.columns == stepwise.columns
+    assert out.exceptAll(stepwise).count() == 0 and out.count() == stepwise.count()

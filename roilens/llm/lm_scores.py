@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, shuffles_dropped
 
 MU, FLUSH_WORDS, TOKENS_AT_ONCE, TOKENS_SCORED, HOT, FILTER = 100.0, 400_000, 2_000_000, 200_000, 1 << 20, 1 << 26
 WORDS = re.compile(r"[^\W_]+")
@@ -107,13 +107,10 @@ def places(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and reread; the shuffles behind it go at once."""
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    folder, before = f"{ensure_checkpoint_dir(spark)}/lm-{uuid4().hex}", spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/lm-{uuid4().hex}"
+    with shuffles_dropped(spark):
         df.write.parquet(folder)
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -77,3 +77,26 @@ def test_enriched_logs_meet_their_users_without_text(spark):
     stepwise = enrich_usage(i.logs(), i.users())
     assert out.columns == stepwise.columns
     assert out.exceptAll(stepwise).count() == 0 and out.count() == stepwise.count()
+
+
+def test_export_handles_texts_in_one_pass_and_keeps_no_shuffles(spark, monkeypatch):
+    import os
+    from conftest import SF0001
+    from roilens.operators import governance
+    from roilens.plans import catalog
+    from roilens.plans.inputs import Inputs
+    passes, folders, whole, scratch = [], [], governance.by_distinct_text, catalog._scratch
+    monkeypatch.setattr(governance, "by_distinct_text", lambda *a, **k: passes.append(1) or whole(*a, **k))
+    monkeypatch.setattr(catalog, "_scratch", lambda *a: folders.append(scratch(*a)) or folders[0])
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {f for d in local for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_")}
+    before = shuffles()
+    report = catalog.QUERIES["export_bundle"](spark, SF0001)
+    left = shuffles() - before
+    assert len(passes) == 1 and not left
+    assert report.count() == 4
+    logs = f"{folders[0]}/usage_logs_enriched.parquet"
+    out, stepwise = spark.read.parquet(logs), redact_frame(Inputs(spark, SF0001).logs_enriched())
+    assert out.columns == stepwise.columns
+    assert out.exceptAll(stepwise).count() == 0 and out.count() == stepwise.count()
+    assert any(f.endswith(".zstd.parquet") or ".zstd." in f for f in os.listdir(logs))

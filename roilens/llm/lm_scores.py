@@ -9,27 +9,21 @@ one smoothing. A word's probability after its predecessor is
 over its words of target loss minus background loss (natural logarithms): the
 lower, the more it is like the target.
 
-A loss falls into parts that are known apart: ``-ln p(w)`` by the word,
-``ln(c(h) + MU) - ln MU`` by its predecessor, and ``-ln(1 + c(h, w) / (MU * p(w)))``
-by the pair. Nearly all pairs of a large corpus occur once, and such a pair needs
-no table: the document that has it is its only one, so it counts 1 in the
-document's own model and 0 in the other. Only pairs met twice or more are stored.
-A document's pairs are looked up in a filter of ``filter_bits`` bits over the stored
-pairs; those that pass are joined with the table, and what the table lacks is a
-pair met once. No pair is left out; a filter that is too small for the corpus
-passes more pairs to the join and changes no result.
-
-Words and pairs are known by 63-bit hashes. Counts are summed in each batch
-before the shuffle. The most frequent words and pairs, ``HOT`` of each at most, are
-broadcast; the others are joined by shuffles, in which no key has more than about one
-in ``HOT`` of all rows. Nothing else that grows with the corpus reaches the driver.
+Texts are packed into batches of about ``batch`` bytes, which are written once. Each
+batch asks for its distinct words and pairs, by 63-bit hashes with its own counts: the
+hashes, sorted, are cut into buckets by their highest bits, and a bucket of a batch is
+one row, whose hashes are stored as differences (about 6 bytes each). A bucket sums what
+all batches ask in it and answers every batch with the totals in the order of its
+question. A batch that has its answers scores its texts. So a word or pair crosses the
+shuffle once a batch however often it occurs there, and no key gathers more than one
+entry a batch. No word or pair is left out, and nothing that grows with the corpus
+reaches the driver or is broadcast; buckets grow in number with the corpus, not in size.
 
 Defined results: null and word-free texts have no words and score 0; without
 marked documents (or without others) that model is the uniform one; rows with a
 null mark are background; repeated rows are counted and scored each; an empty
-table gives an empty result; very long texts are read whole; other columns are not
-read. Rows are numbered by partition and place: an input that may come in another
-order when it is computed again should be written first.
+table gives an empty result; very long texts are read whole (one is a batch of its
+own); other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,12 +36,14 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shuffles_dropped
 
-MU, FLUSH_WORDS, TOKENS_AT_ONCE, TOKENS_SCORED, HOT, FILTER = 100.0, 400_000, 2_000_000, 200_000, 1 << 20, 1 << 26
+MU, FLUSH_WORDS, BATCH, BUCKET, LEAST_BITS = 100.0, 400_000, 12 << 20, 24 << 20, 5
+HOT, FILTER = 1 << 20, 1 << 26  # bounds of earlier broadcasts; nothing is broadcast any more
 WORDS = re.compile(r"[^\W_]+")
 START = " "  # no word: the beginning of a text
 
@@ -90,19 +86,7 @@ def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
         out = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         out = (out ^ (out >> np.uint64(32))) + w.astype(np.uint64)
         out *= np.uint64(0xD6E8FEB86659FD93)
-        return ((out ^ (out >> np.uint64(32))) & ~np.uint64(1)).astype(np.int64)
-
-
-def is_word(key: Column) -> Column:
-    return key.bitwiseAND(F.lit(1)) == 1
-
-
-def places(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Place of each key in ``held`` (sorted), -1 where it is not there."""
-    if not len(held):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-    return np.where(held[at] == keys, at, -1)
+        return (out ^ (out >> np.uint64(32))) & ~np.uint64(1)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -126,48 +110,144 @@ def packed(texts: DataFrame) -> DataFrame:
     return texts.where("text != ''").mapInArrow(pack, f"id {texts.schema['id'].dataType.simpleString()}, size long, body binary")
 
 
-def count(known: DataFrame) -> DataFrame:
-    """(key, t, b, ht, hb) over (size, body, target boolean): counts in target and background of each word, as a word and as a
-    predecessor, and of each pair that occurs twice or more (ht and hb are 0)."""
-
-    def sums(held: list, words: Words) -> Iterator[pa.RecordBatch]:
-        h, w, target = (np.concatenate(x) for x in zip(*held, strict=True))
-        keys, none = words.keys(), np.zeros(200_000, dtype=np.int64)
-        code = np.sort((h << 32) | (w << 1) | target)
-        first = np.flatnonzero(np.concatenate([[True], code[1:] >> 1 != code[:-1] >> 1]))
-        n = np.diff(np.append(first, len(code)))
-        t = np.add.reduceat(code & 1, first)
-        pair = code[first]
-        for i in range(0, len(pair), 200_000):
-            some = slice(i, i + 200_000)
-            key = pair_hash(keys[pair[some] >> 32], keys[(pair[some] & 0xFFFFFFFF) >> 1])
-            yield pa.RecordBatch.from_arrays([key, (t[some] << 32) | (n - t)[some], none[:len(key)]], names=["key", "tb", "htb"])
-        t, b, ht, hb = (np.bincount(x[target == side], minlength=len(words)) for x in (w, h) for side in (1, 0))
-        met = np.flatnonzero(t + b + ht + hb)
-        yield pa.RecordBatch.from_arrays([keys[met], ((t << 32) | b)[met], ((ht << 32) | hb)[met]], names=["key", "tb", "htb"])
-
-    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = Words(), [], 0
+def batched(known: DataFrame, batch: int) -> DataFrame:
+    """(batch, bytes, ids, sizes, targets, body) over (id, size, body, target): the texts of ``batch`` bytes or little more, or one
+    that is longer, compressed together."""
+    of_id = known.schema["id"].dataType.simpleString()
+
+    def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size, id_type = TaskContext.get().partitionId() << 32, [], 0, None
+
+        def row() -> pa.RecordBatch:
+            ids, raw, targets = zip(*held, strict=True)
+            body = pa.compress(b"".join(raw), "zstd", asbytes=True)
+            return pa.RecordBatch.from_arrays([
+                pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(id_type)),
+                pa.array([[len(x) for x in raw]], pa.list_(pa.int64())), pa.array([targets], pa.list_(pa.bool_())), pa.array([body], pa.binary())],
+                names=["batch", "bytes", "ids", "sizes", "targets", "body"])
+
         for part in parts:
-            for size_, body, target in zip(*(part[c].to_pylist() for c in ("size", "body", "target")), strict=True):
-                n = words.numbers(pa.decompress(body, size_, "zstd", asbytes=True).decode("utf-8"))
-                if len(n) > 1:
-                    held.append((n[:-1], n[1:], np.full(len(n) - 1, int(target))))
-                    size += len(n)
-                if size > TOKENS_AT_ONCE:
-                    yield from sums(held, words)
-                    held, size = [], 0
-                    if len(words) > FLUSH_WORDS:
-                        words = Words()
+            id_type = part.schema.field("id").type
+            for i, n, body, target in zip(*(part[c].to_pylist() for c in ("id", "size", "body", "target")), strict=True):
+                if held and size + n > batch:
+                    yield row()
+                    number, held, size = number + 1, [], 0
+                held.append((i, pa.decompress(body, n, "zstd", asbytes=True), target))
+                size += n
         if held:
-            yield from sums(held, words)
+            yield row()
+
+    return known.select("id", "size", "body", "target").mapInArrow(
+        gather, f"batch long, bytes long, ids array<{of_id}>, sizes array<long>, targets array<boolean>, body binary")
+
+
+class Batch:
+    """A batch's words and pairs: ``w`` after ``h`` (numbers), in text ``of``; the words that are met, by hash, and pairs' hashes."""
+
+    def __init__(self, words: Words, size: int, sizes: list[int], body: bytes):
+        raw, at, numbers = pa.decompress(body, size, "zstd", asbytes=True), 0, []
+        for n in sizes:
+            numbers.append(words.numbers(raw[at:at + n].decode("utf-8")))
+            at += n
+        self.lengths = np.array([len(x) - 1 for x in numbers])
+        all_ = np.concatenate(numbers)
+        inner = np.flatnonzero(all_ != 0)  # every word follows a word or START
+        self.w, self.h = all_[inner], all_[inner - 1]
+        self.of = np.repeat(np.arange(len(sizes)), self.lengths)
+        keys = words.keys().view(np.uint64)
+        self.size = len(keys)
+        met = np.flatnonzero(np.bincount(self.w, minlength=self.size) + np.bincount(self.h, minlength=self.size))
+        self.met = met[np.argsort(keys[met], kind="stable")]
+        self.keys = keys[self.met]
+        self.pairs = pair_hash(keys[self.h], keys[self.w])
+
+    def counts(self, side: np.ndarray) -> list[np.ndarray]:
+        """Of the words that are met, as words and as predecessors, where ``side`` (of each text) is set."""
+        here = side[self.of]
+        return [np.bincount(x[here], minlength=self.size)[self.met] for x in (self.w, self.h)]
+
+
+def pack_numbers(*held: np.ndarray) -> bytes:
+    """Unsigned numbers, byte by byte: the higher bytes of small ones compress to nearly nothing."""
+    return pa.compress(b"".join(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in held), "zstd", asbytes=True)
+
 
-    high, low = (lambda c: F.sum(F.shiftright(c, 32))), (lambda c: F.sum(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))))
-    emitted = known.select("size", "body", "target").mapInArrow(counted, "key long, tb long, htb long")
-    # nearly all keys are of one batch, so they are dealt before they are summed
-    summed = emitted.repartition("key").groupBy("key").agg(high("tb").alias("t"), low("tb").alias("b"),
-                                                           high("htb").alias("ht"), low("htb").alias("hb"))
-    return summed.where(is_word(F.col("key")) | (F.col("t") + F.col("b") > 1))
+def unpack_numbers(body: bytes, *lengths: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(body, 8 * sum(lengths), "zstd"), dtype=np.uint8)
+    ends = 8 * np.cumsum(lengths)
+    return [np.ascontiguousarray(raw[end - 8 * n:end].reshape(8, n).T).view("<u8").ravel() for n, end in zip(lengths, ends, strict=True)]
+
+
+def differences(keys: np.ndarray) -> np.ndarray:
+    """Of sorted keys, for a sum that gives them again."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+MESSAGE = "bucket int, batch long, n_words int, n_pairs int, body binary"
+
+
+def questions(batches: DataFrame, bits: int) -> DataFrame:
+    """(bucket, batch, n_words, n_pairs, body): a batch's words (hash, t, b, ht, hb) and pairs (hash, t, b) in one of 2^bits buckets."""
+    lower = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+    def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for part in parts:
+            for number, size, sizes, targets, body in zip(*(part[c].to_pylist() for c in ("batch", "bytes", "sizes", "targets", "body")), strict=True):
+                if len(words) > FLUSH_WORDS:
+                    words = Words()
+                own, target = Batch(words, size, sizes, body), np.array(targets)
+                (t, ht), (b, hb) = own.counts(target), own.counts(~target)
+                code = np.sort(own.pairs | target[own.of].astype(np.uint64))  # pairs are even
+                first = np.flatnonzero(np.concatenate([[True], code[1:] >> np.uint64(1) != code[:-1] >> np.uint64(1)])) if len(code) else np.zeros(0, int)
+                pt = np.add.reduceat(code & np.uint64(1), first) if len(code) else code
+                pb = np.diff(np.append(first, len(code))).astype(np.uint64) - pt
+                pairs = code[first] & ~np.uint64(1)
+                at, pair_at = (np.append(np.searchsorted(k, lower), len(k)) for k in (own.keys, pairs))
+                out = []
+                for i in range(1 << bits):
+                    x, y = slice(at[i], at[i + 1]), slice(pair_at[i], pair_at[i + 1])
+                    n_words, n_pairs = int(at[i + 1] - at[i]), int(pair_at[i + 1] - pair_at[i])
+                    if n_words or n_pairs:
+                        out.append((i, number, n_words, n_pairs, pack_numbers(differences(own.keys[x]), t[x], b[x], ht[x], hb[x],
+                                                                              differences(pairs[y]) >> np.uint64(1), pt[y], pb[y])))
+                if out:
+                    yield message(out)
+
+    return batches.select("batch", "bytes", "sizes", "targets", "body").mapInArrow(ask, MESSAGE)
+
+
+def message(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                                      names=["bucket", "batch", "n_words", "n_pairs", "body"])
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """The questions with the totals of all batches (words: t, b, ht, hb; pairs: t, b) as their body; in one row of a bucket its
+    words' sums and number (all_t, all_b, types), else 0."""
+
+    def total(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        known, at = np.unique(keys, return_inverse=True)
+        return known, at, [np.bincount(at, c, minlength=len(known)).astype(np.uint64) for c in counts]  # exact below 2^53
+
+    def answer(bucket: pa.Table) -> pa.Table:
+        sizes = [bucket["n_words"].to_pylist(), bucket["n_pairs"].to_pylist()]
+        read = [unpack_numbers(body.as_py(), *[n] * 5, *[m] * 3) for n, m, body in zip(*sizes, bucket["body"], strict=True)]
+        for x in read:
+            x[0], x[5] = np.cumsum(x[0], dtype=np.uint64), np.cumsum(x[5], dtype=np.uint64)
+        read = list(map(np.concatenate, zip(*read, strict=True)))
+        _, at, of_words = total(*read[:5])
+        _, pair_at, of_pairs = total(*read[5:])
+        at, pair_at = (np.split(a, np.cumsum(n)[:-1]) for a, n in zip((at, pair_at), sizes, strict=True))
+        bodies = [pack_numbers(*(c[x] for c in of_words), *(c[y] for c in of_pairs)) for x, y in zip(at, pair_at, strict=True)]
+        out = bucket.select(["bucket", "batch", "n_words", "n_pairs"]).append_column("body", pa.array(bodies, pa.binary()))
+        none = [0] * (len(bodies) - 1)
+        for name, n in (("all_t", of_words[0].sum()), ("all_b", of_words[1].sum()), ("types", np.count_nonzero(of_words[0] + of_words[1]))):
+            out = out.append_column(name, pa.array([int(n), *none], pa.int64()))
+        return out
+
+    return asked.groupBy("bucket").applyInArrow(answer, MESSAGE + ", all_t long, all_b long, types long")
 
 
 def losses(counts: np.ndarray) -> np.ndarray:
@@ -177,168 +257,44 @@ def losses(counts: np.ndarray) -> np.ndarray:
     return -np.log((counts + MU * p) / (counts.sum(axis=1, keepdims=True) + MU))
 
 
-def pair_filter(pairs: DataFrame, size: int) -> np.ndarray:
-    """``size`` bits (a power of two), in words of 64, that are set at the places of the pairs' hashes."""
-    place = F.shiftrightunsigned("key", 1).bitwiseAND(F.lit(size - 1)).alias("place")
-    bits = pairs.select(place).select(F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
-    found = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # size / 64 rows at most
-    out = np.zeros(size // 64, dtype=np.uint64)
-    out[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint64)
-    return out
-
-
-def passes(pair: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    place = (pair.astype(np.uint64) >> np.uint64(1)) & np.uint64(64 * len(bits) - 1)
-    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-
-
-def least_hot(counted: DataFrame, hot: int) -> int:
-    """The least count with which at most ``hot`` rows (count n) are counted so often; counts are told apart to 11 digits of two."""
-    found = counted.select(F.expr("n - n % shiftleft(1L, greatest(length(bin(n)) - 11, 0))").alias("n")).groupBy("n").agg(
-        F.count(F.lit(1)).alias("rows")).toPandas().sort_values("n", ascending=False)  # a thousand for each power of two at most
-    fits = found[found["rows"].cumsum() <= hot]["n"]
-    return int(fits.min()) if len(fits) else 1 + int(found["n"].max() if len(found) else 0) * 2
-
-
-def splitter(shared):
-    """Texts (row, id, text) to what is known of them here and what is to be joined. One row for each text has ``base``: its id,
-    number of words n, losses t and b without the pairs met once, and what those take off, one_t and one_b. A row with an
-    even ``key`` is a pair that passes the filter, n times, with its last ``word`` if that is not hot, else with that word's counts
-    in m and o. Any other row is a word that is not hot, n times a word, m times a predecessor, o times last in a pair met once."""
-    def base_type(of_id: pa.DataType) -> pa.StructType:
-        return pa.struct([("id", of_id), ("n", pa.int64()), *((c, pa.float64()) for c in ("t", "b", "one_t", "one_b"))])
-
-    def batch(row: np.ndarray, base: pa.Array, **given: np.ndarray) -> pa.RecordBatch:
-        none = np.zeros(len(row), dtype=np.int64)
-        given.setdefault("key", row * 2 + 1)  # no pair: dealt by its text
-        return pa.RecordBatch.from_arrays([pa.array(row), base,
-                                           *(pa.array(given.get(c, none)) for c in ("key", "word", "n", "m", "o"))],
-                                          names=["row", "base", "key", "word", "n", "m", "o"])
-
-    def scored(held: list, words: Words, slots: np.ndarray, of_id: pa.DataType) -> Iterator[pa.RecordBatch]:
-        _, counts, sizes, hot_pairs, pair_counts, bits = shared.value
-        rows, ids, numbers = zip(*held, strict=True)
-        size, rows = len(rows), np.array(rows, dtype=np.int64)
-        lengths = np.array([len(x) for x in numbers])
-        all_, of = np.concatenate(numbers), np.repeat(np.arange(size), lengths)
-        inner = np.flatnonzero(all_ != 0)  # every word follows a word or START
-        w, h, of = all_[inner], all_[inner - 1], of[inner]
-        ws, hs, keys = slots[w], slots[h], words.keys()
-        pair = pair_hash(keys[h], keys[w])
-        more = np.flatnonzero(passes(pair, bits))  # met twice or more, and some of the others
-        at = places(pair[more], hot_pairs)
-        hot, some = more[at >= 0], more[at < 0]  # the last word of a hot pair is hot too
-        once = np.ones(len(w), dtype=bool)
-        once[more] = False
-        total = lambda of, x: np.bincount(of, x, minlength=size).astype(np.float64)
-        sums, ones, known_w, known_h = [], [], ws >= 0, hs >= 0
-        for c, before, size_, met in zip(counts[:2], counts[2:], sizes, pair_counts, strict=True):
-            p = (c[ws] + 1.0) / size_
-            taken = np.log1p(1 / (MU * p)) * known_w
-            loss = np.log((before[hs] + MU) / MU) * known_h - np.log(p) * known_w
-            sums.append(total(of, loss) - total(of[hot], np.log1p(met[at[at >= 0]] / (MU * p[hot]))))
-            ones.append(total(of[once], taken[once]))
-        yield batch(rows, pa.StructArray.from_arrays([pa.array(ids, of_id), pa.array(lengths - 1), *map(pa.array, sums + ones)],
-                                                     fields=list(base_type(of_id))))
-        no_base = lambda n: pa.nulls(n, base_type(of_id))
-        cold = [np.flatnonzero(ws < 0), np.flatnonzero(hs < 0), np.flatnonzero(once & (ws < 0))]
-        code = np.concatenate([of[i] * len(words) + x[i] for i, x in zip(cold, (w, h, w), strict=True)])
-        if len(code):
-            code, place = np.unique(code, return_inverse=True)
-            n, m, o = (np.bincount(x, minlength=len(code)) for x in np.split(place, np.cumsum([len(i) for i in cold])[:-1]))
-            yield batch(rows[code // len(words)], no_base(len(code)), word=keys[code % len(words)], n=n, m=m, o=o)
-        if len(some):
-            i = some[np.lexsort((pair[some], of[some]))]
-            first = np.flatnonzero(np.concatenate([[True], (pair[i][1:] != pair[i][:-1]) | (of[i][1:] != of[i][:-1])]))
-            n, i = np.diff(np.append(first, len(i))), i[first]
-            is_cold = ws[i] < 0
-            yield batch(rows[of[i]], no_base(len(i)), key=pair[i], word=np.where(is_cold, keys[w[i]], 0), n=n,
-                        m=np.where(is_cold, 0, counts[0][ws[i]]), o=np.where(is_cold, 0, counts[1][ws[i]]))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_words = shared.value[0]
-        words, slots, held, size, of_id = Words(), np.zeros(0, dtype=np.int64), [], 0, None
-        for some in batches:
-            of_id = some.schema.field("id").type
-            for row, i, text in zip(*(some[c].to_pylist() for c in ("row", "id", "text")), strict=True):
-                held.append((row, i, words.numbers(text)))
-                size += len(held[-1][2])
-                if size > TOKENS_SCORED:
-                    slots = np.append(slots, places(words.keys()[len(slots):], hot_words))
-                    yield from scored(held, words, slots, of_id)
-                    held, size = [], 0
-                    if len(words) > FLUSH_WORDS:
-                        words, slots = Words(), np.zeros(0, dtype=np.int64)
-        if held:
-            yield from scored(held, words, np.append(slots, places(words.keys()[len(slots):], hot_words)), of_id)
-
-    return split
-
-
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                             target_id_col: str = "doc_id", hot: int = HOT, filter_bits: int = FILTER) -> DataFrame:
+                             target_id_col: str = "doc_id", hot: int = HOT, filter_bits: int = FILTER, batch: int = BATCH,
+                             bucket: int = BUCKET) -> DataFrame:
     """One row per input row: id, n_words, target_loss, background_loss, score. ``targets`` has the ids of the
-    marked documents; ``hot`` and ``filter_bits`` bound what is broadcast and change no result."""
-    spark = docs.sparkSession
+    marked documents. ``batch`` is the bytes of text in a batch, ``bucket`` the bytes of text for which there is one bucket
+    (2^LEAST_BITS buckets at least); ``hot`` and ``filter_bits`` bounded broadcasts that are gone. None changes a result."""
     marked = targets.select(F.col(target_id_col).alias("marked_id")).where("marked_id is not null").distinct().hint("shuffle_hash")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = packed(texts).join(marked, F.col("id") == F.col("marked_id"), "left").select("size", "body", F.col("marked_id").isNotNull().alias("target"))
-    hot = min(hot, HOT)
-    counts = written(count(known))
-    words, pairs = counts.where(is_word(F.col("key"))), counts.where(~is_word(F.col("key")))
-    n = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count_if(F.col("t") + F.col("b") > 0).alias("types")).first()
-    v, total = n["types"] + 1, (n["t"] or 0) + (n["b"] or 0)
-    sizes = tuple(float((n[s] or 0) + v) for s in "tb")
-    uses = F.greatest(F.col("t") + F.col("b"), F.col("ht") + F.col("hb")).alias("n")
-    least = least_hot(words.select(uses), hot)
-    # a hot pair is no rarer than hot words, so its words are hot
-    hot_word, hot_pair = uses >= F.lit(least), uses >= F.lit(max(least, least_hot(pairs.select(uses), hot)))
-    common, often = (x.where(y).orderBy("key").toArrow() for x, y in ((words, hot_word), (pairs, hot_pair)))  # ``hot`` each at most
-    rare = pairs.where(~hot_pair)
-    shared = spark.sparkContext.broadcast((
-        common["key"].to_numpy(), [np.append(common[c].to_numpy(), 0) for c in ("t", "b", "ht", "hb")], sizes,
-        often["key"].to_numpy(), [often[c].to_numpy() for c in ("t", "b")], pair_filter(pairs, filter_bits)))
-    rows = texts.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    found = rows.mapInArrow(splitter(shared), f"row long, base struct<id: {texts.schema['id'].dataType.simpleString()}, n: long, t: double, b: double, "
-                                              "one_t: double, one_b: double>, key long, word long, n long, m long, o long")
-    deal = F.xxhash64("row")  # a row that a join does not concern is dealt by its text
-    is_pair, cold = F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("word") != 0
-    stored = rare.select(F.col("key").alias("pair_key"), F.col("t").alias("ct"), F.col("b").alias("cb")).hint("shuffle_hash")
-    joined = found.join(stored, F.col("key") == F.col("pair_key"), "left")
-
-    def off(s: str, scale: Column) -> tuple[Column, Column]:
-        """What a pair takes off the loss, and what it does in the document's own model if it is met once."""
-        once = F.coalesce(F.col("ct"), F.lit(0)) + F.coalesce(F.col("cb"), F.lit(0)) == 0
-        return F.when(once, 0.0).otherwise(F.col("n") * F.log1p(F.col(f"c{s}") * scale)), F.when(once, F.log1p(scale)).otherwise(0.0)
-
-    def scale(s: str, c: str) -> Column:
-        return F.lit(sizes["tb".index(s)] / MU) / (F.col(c) + 1)
-
-    sums = [f"{x}_{s}" for s in "tb" for x in ("loss", "one")]
-    known_here = {}
-    for s, c in (("t", "m"), ("b", "o")):
-        less, one = off(s, scale(s, c))
-        known_here |= {f"loss_{s}": F.when(cold, 0.0).when(is_pair, -less).otherwise(F.col(f"base.{s}")),
-                       f"one_{s}": F.when(cold, 0.0).when(is_pair, one).otherwise(F.col(f"base.one_{s}"))}
-    # a text's rows that are done are summed where they are; only those of words that are not hot go on to these words' counts
-    met = (F.when(cold & is_pair, F.coalesce(c, F.lit(0))).otherwise(0).alias(c) for c in ("ct", "cb"))
-    done = joined.select("row", "word", (cold & is_pair).alias("is_pair"), *met, F.col("base.id").alias("id"), F.col("base.n").alias("n_words"),
-                         *(F.when(cold, F.col(c)).otherwise(0).alias(c) for c in ("n", "m", "o")), *(known_here[c].alias(c) for c in sums))
-    done = done.groupBy("row", "word", "is_pair", "ct", "cb").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in ("n_words", "n", "m", "o", *sums)))
-    others = words.where(~hot_word).select(F.col("key").alias("word_key"), *(F.col(c).alias(f"w_{c}") for c in ("t", "b", "ht", "hb")))
-    done = done.withColumn("by", F.when(cold, F.col("word")).otherwise(deal)).join(
-        others.hint("shuffle_hash"), (F.col("by") == F.col("word_key")) & cold, "left")
-    last = {}
-    for s in "tb":
-        of_word = scale(s, f"w_{s}")
-        less, one = off(s, of_word)
-        plain = F.col("n") * F.log(of_word * MU) + F.col("m") * F.log((F.col(f"w_h{s}") + MU) / MU)
-        last |= {f"loss_{s}": F.when(~cold, F.col(f"loss_{s}")).when(F.col("is_pair"), -less).otherwise(plain),
-                 f"one_{s}": F.when(~cold, F.col(f"one_{s}")).when(F.col("is_pair"), F.col("n") * one).otherwise(F.col("o") * F.log1p(of_word))}
-    scored = done.groupBy("row").agg(F.max("id").alias("id"), F.sum("n_words").alias("n_words"), *(F.sum(last[c]).alias(c) for c in sums))
-    scored = scored.join(marked, F.col("id") == F.col("marked_id"), "left")
-    target, mean = F.col("marked_id").isNotNull(), lambda c: c / F.greatest("n_words", F.lit(1))
-    scored = scored.select("id", "n_words", mean(F.col("loss_t") - F.when(target, F.col("one_t")).otherwise(0.0)).alias("target_loss"),
-                           mean(F.col("loss_b") - F.when(target, 0.0).otherwise(F.col("one_b"))).alias("background_loss"))
-    return scored.select(F.col("id").alias(id_col), "n_words", "target_loss", "background_loss",
-                         (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    id_type = texts.schema["id"].dataType.simpleString()
+    known = packed(texts).join(marked, F.col("id") == F.col("marked_id"), "left").select("id", "size", "body", F.col("marked_id").isNotNull().alias("target"))
+    batches = written(batched(known, batch))
+    size = batches.agg(F.sum("bytes")).first()[0] or 0
+    replies = written(answers(questions(batches, max(LEAST_BITS, (size // bucket).bit_length()))))
+    n = replies.agg(F.sum("all_t").alias("t"), F.sum("all_b").alias("b"), F.sum("types").alias("types")).first()
+    v = (n["types"] or 0) + 1
+    totals = [(n["t"] or 0) + v, (n["b"] or 0) + v]
+
+    def score(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        row = {c: texts[c][0] for c in ("bytes", "ids", "sizes", "body")}
+        own = Batch(Words(), row["bytes"].as_py(), row["sizes"].as_py(), row["body"].as_py())
+        read = [unpack_numbers(body, *[n] * 4, *[m] * 2) for _, n, m, body in sorted(
+            zip(*(replies[c].to_pylist() for c in ("bucket", "n_words", "n_pairs", "body")), strict=True))]
+        mean, (pairs, at) = [], np.unique(own.pairs, return_inverse=True)
+        for side, total in enumerate(totals):
+            word, before = np.zeros((2, own.size))
+            loss = np.zeros(0)
+            if read:
+                word[own.met], before[own.met], of_pair = (np.concatenate([x[i] for x in read]) for i in (side, 2 + side, 4 + side))
+                assert len(of_pair) == len(pairs)
+                p = (word[own.w] + 1) / total
+                loss = -np.log((of_pair[at] + MU * p) / (before[own.h] + MU))
+            mean.append(np.bincount(own.of, loss, minlength=len(own.lengths)) / np.maximum(own.lengths, 1))
+        return pa.table([row["ids"].values, pa.array(own.lengths), *map(pa.array, mean)], names=["id", "n_words", "target_loss", "background_loss"])
+
+    scored = batches.drop("targets").groupBy("batch").cogroup(
+        replies.select("bucket", "batch", "n_words", "n_pairs", "body").groupBy("batch")).applyInArrow(
+        score, f"id {id_type}, n_words long, target_loss double, background_loss double")
+    wordless = texts.where("text is null or text = ''").select("id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("target_loss"),
+                                                              F.lit(0.0).alias("background_loss"))
+    return scored.unionByName(wordless).select(F.col("id").alias(id_col), "n_words", "target_loss", "background_loss",
+                                               (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -511,6 +511,23 @@ def test_lm_scores_know_every_word(spark, hot, bits):
     assert by[500] < by[501]  # a rare word of the target tells two texts apart
 
 
+def test_lm_scores_by_small_batches_and_short_questions(spark):
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join(f"w{j}" for j in rng.integers(0, 3000, 400))) for i in range(60)] + [(60, "w1 " * 3000), (61, "..."), (62, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    good = spark.createDataFrame([(i,) for i in range(0, 63, 2)], "doc_id long")
+    got, want = (sorted(map(tuple, lm_scores.cross_entropy_difference(docs, good, **how).collect()))
+                 for how in ({"batch": 5000, "bucket": 500}, {}))
+    assert len(got) == len(texts) and [g[:2] for g in got] == [w[:2] for w in want] and np.allclose(got, want, atol=1e-12)
+    known = lm_scores.packed(docs.select(F.col("doc_id").alias("id"), "text")).withColumn("target", F.col("id") % 2 == 0)
+    batches = lm_scores.batched(known, 1 << 20)
+    asked = lm_scores.questions(batches, 1).agg(F.sum("n_pairs"), F.sum("n_words"), F.sum(F.length("body"))).first()
+    assert asked[0] > 20_000 and asked[2] < 9 * (asked[0] + asked[1])  # a row of a pair took 14 bytes compressed
+    totals = lm_scores.answers(lm_scores.questions(batches, 3)).agg(F.sum("all_t"), F.sum("all_b"), F.sum("types")).first()
+    words = [w for i, t in texts for w in [(i % 2 == 0, w) for w in (t or "").replace(".", "").split()]]
+    assert tuple(totals) == (sum(k for k, _ in words), sum(not k for k, _ in words), len({w for _, w in words}))
+
+
 def test_sharding_query_equals_its_sql(spark):
     import duckdb
     from roilens.llm.queries import ORACLES, QUERIES

@@ -3,13 +3,18 @@
 Texts are cut into paragraphs at blank lines, so a notice wrapped at line ends
 stays whole, and paragraphs of more than ``PIECE`` words into overlapping
 pieces; a notice of at most ``OVERLAP`` words lies whole in one of them. A
-piece's neighbouring word pairs are hashed to sparse counts, and a multinomial
-logistic regression gives the probability of each licence family and of
-``none``. It is trained on the families' notices (``TEMPLATES``), each alone and
-set between words of ordinary pieces, against pieces of a bounded sample of the
-corpus' own rows. The other half of that sample calibrates the unknown class: a
-piece is licence-like only if ``1 - P(none)`` exceeds all but ``FALSE_SHARE`` of
-the calibration pieces (and one half). A licence-like piece gets the family of
+piece's neighbouring word pairs that occur in a notice are counted, and a
+multinomial logistic regression gives the probability of each licence family and
+of ``none``. Nothing is drawn from a sample: every piece of the corpus that holds
+no half notice is ordinary. By a hash, half of these train the model and the other
+half calibrate the unknown class: a piece is licence-like only if ``1 - P(none)``
+exceeds all but ``FALSE_SHARE`` of the calibration pieces (and one half). Pieces
+with the same pairs are one example, weighted by their number, so that the
+regression's work follows the distinct ones. It is trained on the families'
+notices (``TEMPLATES``), each alone and set into every ordinary training piece,
+against these pieces; weights make a notice set into pieces count ``MIXED``, a
+notice alone a quarter of that, and all ordinary pieces ``ORDINARY`` at most. The
+threshold is told to six decimals. A licence-like piece gets the family of
 highest probability if a notice of that family has ``CONTAINED`` of its word
 pairs in the piece, and any other family of probability ``ALSO`` or more that
 has a whole notice there (texts under several licences); with neither, the
@@ -27,14 +32,14 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
-FEATURES, SAMPLE, FALSE_SHARE, CONTAINED, ALSO, MIXED = 1 << 15, 2000, 0.002, 0.6, 0.05, 24
+ORDINARY, FALSE_SHARE, CONTAINED, ALSO, MIXED = 1000, 0.002, 0.6, 0.05, 24
 PIECE, OVERLAP = 128, 32
 BLANK_LINE = r"(?:\r?\n|\r)[ \t]*(?:\r?\n|\r)"
 NONE, UNKNOWN = "none", "unknown"
@@ -73,6 +78,15 @@ NOTICES = {family: [*texts, *[f"Identifier: {IDENTIFIERS[family]}" for _ in text
            for family, texts in TEMPLATES.items()}
 
 
+def _pairs(text: str) -> list[str]:
+    ws = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    return [f"{a} {b}" for a, b in zip(ws, ws[1:])]
+
+
+#: The features: word pairs of the notices.
+VOCABULARY = sorted({p for texts in NOTICES.values() for t in texts for p in _pairs(t)})
+
+
 def words(text: Column) -> Column:
     """Lower-cased words of letters and digits."""
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
@@ -96,46 +110,39 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return pieces.select("id", "key", (F.col("paragraph") * F.lit(1 << 32) + F.col("piece")).alias("at"), "words")
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """(family, words): the fixed notices."""
-    rows = [F.struct(F.lit(f).alias("family"), F.lit(t).alias("text")) for f, ts in NOTICES.items() for t in ts]
-    return spark.range(1).select(F.inline(F.array(*rows))).select("family", words(F.col("text")).alias("words"))
+def notices() -> list[tuple[str, Column]]:
+    """Each family with the word pairs of each of its notices: few and fixed, so literals of the plan."""
+    return [(family, F.array(*[F.lit(p) for p in _pairs(t)])) for family, texts in NOTICES.items() for t in texts]
 
 
-def contained(ws: Column, notice: Column) -> Column:
-    """Share of the notice's word pairs (its words, if it has one word) that the paragraph has."""
-    own = F.array_distinct(F.filter(pairs(notice), lambda p: p.isNotNull()))
-    return F.size(F.array_intersect(own, pairs(ws))) / F.greatest(F.size(own), F.lit(1))
+def contained(grams: Column, notice: Column) -> Column:
+    """Share of the notice's word pairs that the piece has."""
+    own = F.array_distinct(notice)
+    return F.size(F.array_intersect(own, grams)) / F.greatest(F.size(own), F.lit(1))
 
 
 def features(df: DataFrame) -> DataFrame:
-    return HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES).transform(df.withColumn("grams", F.filter(pairs(F.col("words")), lambda p: p.isNotNull())))
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        sample: int = SAMPLE) -> tuple[LogisticRegressionModel, list[str], float]:
-    """The classifier, its classes by number, and the least licence-likeness, from at most ``sample`` pieces of the
-    ``sample`` rows with the smallest hashes of id and text."""
-    spark = docs.sparkSession
-    row = F.xxhash64(F.col(id_col), F.xxhash64(text_col))
-    smallest = docs.select(row.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    some = paragraphs(docs.where(row <= F.lit(smallest if smallest is not None else 0)), id_col, text_col)
-    drawn = cut(some.select("words", F.xxhash64("id", "key", "at").alias("h")).orderBy("h").limit(sample))
-    notices = templates(spark)
-    # a notice of the corpus is no example of an ordinary paragraph: the notices are few and fixed, so they stand in an array
-    fixed = [F.array(*[F.lit(w) for w in r["words"]]) for r in notices.collect()]
-    plain = drawn.where(F.greatest(*[contained(F.col("words"), t) for t in fixed]) < 0.5)
-    ordinary = plain.withColumn("half", F.pmod(F.col("h"), F.lit(2)))
+    return CountVectorizerModel.from_vocabulary(VOCABULARY, inputCol="grams", outputCol="features").transform(df)
+
+
+def fit(pieces: DataFrame) -> tuple[LogisticRegressionModel, list[str], float]:
+    """The classifier, its classes by number, and the least licence-likeness, from all ``pieces`` (id, key, at, grams)."""
+    half = F.pmod(F.xxhash64("id", "key", "at"), F.lit(2)).alias("half")
+    distinct = pieces.groupBy(F.array_sort("grams").alias("grams"), half).agg(F.count(F.lit(1)).alias("n"))
+    # a notice of the corpus is no example of an ordinary piece
+    ordinary = cut(distinct.where(F.greatest(*[contained(F.col("grams"), t) for _, t in notices()]) < 0.5))
     names = sorted([*TEMPLATES, NONE])
     number = lambda family: F.array_position(F.lit(names), family).cast("double") - 1
-    negatives = ordinary.where("half = 0").select(F.lit(NONE).alias("family"), "words")
-    setting = ordinary.where("half = 0").orderBy("h").limit(MIXED).select(F.col("words").alias("around"))
-    mixed = setting.select("around", F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.array(*[F.lit(w) for w in r]).alias("notice"))
-                                                         for f, r in [(x["family"], x["words"]) for x in notices.collect()]])).alias("t"))
-    mixed = mixed.select("t.family", F.concat(F.slice("around", 1, PIECE // 2), "t.notice", F.slice("around", PIECE // 2 + 1, PIECE // 2)).alias("words"))
-    alone = notices.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(MIXED // 4)))).select("family", "words")
-    examples = features(negatives.unionByName(mixed).unionByName(alone)).select(number(F.col("family")).alias("label"), "features")
-    model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=40).fit(cut(examples))
+    train = ordinary.where("half = 0")
+    total = train.agg(F.sum("n")).first()[0] or 0
+    share = F.col("n") / F.lit(float(max(total, 1)))
+    negatives = train.select(F.lit(NONE).alias("family"), "grams", (share * min(total, ORDINARY)).alias("weight"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), t.alias("notice")) for f, t in notices()])).alias("t")
+    mixed = train.select(share.alias("share"), "grams", each).select(
+        "t.family", F.concat("grams", "t.notice").alias("grams"), (F.col("share") * min(total, MIXED)).alias("weight"))
+    alone = pieces.sparkSession.range(1).select(each).select("t.family", F.col("t.notice").alias("grams"), F.lit(MIXED / 4).alias("weight"))
+    examples = features(negatives.unionByName(mixed).unionByName(alone)).select(number(F.col("family")).alias("label"), "features", "weight")
+    model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=40, weightCol="weight").fit(examples)
     return model, names, _least(model, names, ordinary.where("half = 1"))
 
 
@@ -146,20 +153,22 @@ def likelihoods(model: LogisticRegressionModel, lines: DataFrame) -> DataFrame:
 
 
 def _least(model: LogisticRegressionModel, names: list[str], calibration: DataFrame) -> float:
-    like = likelihoods(model, calibration.select("words")).select((1 - F.col("p")[names.index(NONE)]).alias("like"))
-    top = like.agg(F.percentile("like", F.lit(1 - FALSE_SHARE))).first()[0]  # over at most SAMPLE rows
+    like = F.round(1 - F.col("p")[names.index(NONE)], 6).alias("like")  # 10^6 values at most
+    top = likelihoods(model, calibration.select("grams", "n")).select(like, "n").agg(F.percentile("like", F.lit(1 - FALSE_SHARE), F.col("n"))).first()[0]
     return max(0.5, top or 0.0)
 
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, at, families, probability, containment) of licence-like pieces; no families: the family unknown."""
-    model, names, least = fit(docs, id_col, text_col)
-    like = likelihoods(model, paragraphs(docs, id_col, text_col)).where(1 - F.col("p")[names.index(NONE)] > least)
-    like = like.groupBy("id", "key", "at").agg(F.first("words").alias("words"), F.first("p").alias("p"))  # equal rows once
+    held = F.filter(pairs(F.col("words")), lambda p: p.isin(VOCABULARY)).alias("grams")
+    pieces = stored(paragraphs(docs, id_col, text_col).select("id", "key", "at", held), "licence-pieces")
+    model, names, least = fit(pieces)
+    like = likelihoods(model, pieces).where(1 - F.col("p")[names.index(NONE)] > least)
+    like = like.groupBy("id", "key", "at").agg(F.first("grams").alias("grams"), F.first("p").alias("p"))  # equal rows once
     shares = []
     for i, family in enumerate(names):  # the notices are fixed, so they are literals of the plan
         if family != NONE:
-            one = [contained(F.col("words"), F.array(*[F.lit(w) for w in _words(t)])) for t in NOTICES[family]]
+            one = [contained(F.col("grams"), t) for f, t in notices() if f == family]
             shares.append(F.struct(F.col("p")[i].alias("probability"), F.lit(-i).alias("order"), F.lit(family).alias("family"),
                                    (F.greatest(*one) if len(one) > 1 else one[0]).alias("containment")))
     judged = like.select("id", "key", "at", F.array(*shares).alias("known")).withColumn("best", F.array_max("known"))
@@ -169,10 +178,6 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                          F.col("best.probability").alias("probability"), F.col("best.containment").alias("containment"))
 
 
-def _words(text: str) -> list[str]:
-    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, families (sorted, comma-joined, null if none), n_known, n_unknown, probability (the highest)."""
     # a row's pieces in order: equal rows are one here, so a window holds the findings of a single text

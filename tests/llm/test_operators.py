@@ -456,6 +456,23 @@ def test_licences_wrapped_identified_and_by_row(spark, docs):
     assert len(got) == len(texts)
 
 
+def test_licence_model_is_fit_on_every_piece(spark, docs, monkeypatch):
+    seen, fit = [], licences.LogisticRegression.fit
+    monkeypatch.setattr(licences.LogisticRegression, "fit", lambda self, df: seen.append(df.select("label", "weight").toPandas()) or fit(self, df))
+    many = docs.select("doc_id", "text").crossJoin(spark.range(4)).select(F.col("doc_id") + F.col("id") * 10**6, "text").toDF("doc_id", "text")
+    held = F.filter(licences.pairs(F.col("words")), lambda p: p.isin(licences.VOCABULARY)).alias("grams")
+    pieces = licences.paragraphs(many, "doc_id", "text").select("id", "key", "at", held).localCheckpoint()
+    assert pieces.count() > 4000  # at most 2,000 were drawn before
+    model, names, least = licences.fit(pieces)
+    plain = pieces.where(F.greatest(*[licences.contained(F.col("grams"), t) for _, t in licences.notices()]) < 0.5)
+    mine = licences.likelihoods(model, plain.where(F.pmod(F.xxhash64("id", "key", "at"), F.lit(2)) == 1))
+    like = [round(1 - r.p[names.index("none")], 6) for r in mine.collect()]
+    assert least == pytest.approx(max(0.5, np.percentile(like, 100 - 100 * licences.FALSE_SHARE)), abs=1e-6)
+    weight = seen[0].groupby("label")["weight"].sum()
+    assert weight[names.index("none")] == pytest.approx(licences.ORDINARY)
+    assert weight[names.index("mit")] == pytest.approx(len(licences.NOTICES["mit"]) * licences.MIXED * 1.25)
+
+
 def test_lm_scores_equal_brute_force(spark, odd, none):
     texts = [(1, "a b a b c"), (2, "a b"), (3, "c c d"), (4, None), (5, ""), (5, "b a"), (None, "a a")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")

@@ -107,6 +107,16 @@ def test_building_a_query_runs_nothing(spark, name):
     assert len(jobs) <= 9  # one to read the schema of each driver table, at each load
 
 
+def test_read_cache_derives_the_logs_once(spark, monkeypatch):
+    # events are read for the rows and for the distinct texts, not again for each use of the logs
+    from roilens.sources import sinks
+    plans, write = [], sinks.write_table
+    monkeypatch.setattr(sinks, "write_table", lambda df, *a, **k: (
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, *a, **k)) and None)
+    assert QUERIES["read_cache"](spark, SF001).count() == 7705
+    assert sum(p.count("Relation [event_id") for p in plans) <= 3
+
+
 def test_no_driver_fetch_in_operators():
     from pathlib import Path
     import roilens.operators

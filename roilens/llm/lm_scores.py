@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, shuffles_dropped
 
 MU, FLUSH_WORDS, BATCH, BUCKET, LEAST_BITS = 100.0, 400_000, 12 << 20, 24 << 20, 5
+SLICE = 1 << 18
 HOT, FILTER = 1 << 20, 1 << 26  # bounds of earlier broadcasts; nothing is broadcast any more
 WORDS = re.compile(r"[^\W_]+")
 START = " "  # no word: the beginning of a text
@@ -62,8 +63,8 @@ class Words(dict):
     def numbers(self, text: str | None) -> np.ndarray:
         """Numbers of a text's words, after that of START."""
         words = WORDS.findall(text.lower()) if text else []
-        out = np.zeros(len(words) + 1, dtype=np.int64)
-        out[1:] = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        out = np.zeros(len(words) + 1, dtype=np.int32)
+        out[1:] = np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
         return out
 
     def keys(self) -> np.ndarray:
@@ -83,10 +84,14 @@ def word_hash(word: str) -> int:
 def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Hashes of pairs by those of their words; they are even."""
     with np.errstate(over="ignore"):
-        out = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        out = (out ^ (out >> np.uint64(32))) + w.astype(np.uint64)
+        out = h.astype(np.uint64)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+        out += w.astype(np.uint64, copy=False)
         out *= np.uint64(0xD6E8FEB86659FD93)
-        return (out ^ (out >> np.uint64(32))) & ~np.uint64(1)
+        out ^= out >> np.uint64(32)
+        out &= ~np.uint64(1)
+        return out
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -149,11 +154,14 @@ class Batch:
         for n in sizes:
             numbers.append(words.numbers(raw[at:at + n].decode("utf-8")))
             at += n
+        del raw
         self.lengths = np.array([len(x) - 1 for x in numbers])
         all_ = np.concatenate(numbers)
-        inner = np.flatnonzero(all_ != 0)  # every word follows a word or START
-        self.w, self.h = all_[inner], all_[inner - 1]
-        self.of = np.repeat(np.arange(len(sizes)), self.lengths)
+        del numbers
+        inner = all_ != 0  # every word follows a word or START
+        self.w, self.h = all_[inner], all_[:-1][inner[1:]]
+        del all_, inner
+        self.of = np.repeat(np.arange(len(sizes), dtype=np.int32), self.lengths)
         keys = words.keys().view(np.uint64)
         self.size = len(keys)
         met = np.flatnonzero(np.bincount(self.w, minlength=self.size) + np.bincount(self.h, minlength=self.size))
@@ -166,6 +174,27 @@ class Batch:
         here = side[self.of]
         return [np.bincount(x[here], minlength=self.size)[self.met] for x in (self.w, self.h)]
 
+    def pair_numbers(self) -> tuple[int, np.ndarray]:
+        """How many pairs differ; each pair's number in the order of hashes. The hashes go."""
+        order = np.argsort(self.pairs)
+        pairs = self.pairs[order]
+        del self.pairs
+        rank = np.zeros(len(order), dtype=np.int32)
+        np.cumsum(pairs[1:] != pairs[:-1], dtype=np.int32, out=rank[1:])
+        del pairs
+        at = np.empty_like(rank)
+        at[order] = rank
+        return int(rank[-1]) + 1 if len(rank) else 0, at
+
+    def losses(self, word: np.ndarray, before: np.ndarray, of_pair: np.ndarray, at: np.ndarray, total: int) -> np.ndarray:
+        """Each word's loss, from the counts of words, predecessors and pairs; a slice at a time, for memory."""
+        out = np.empty(len(at))
+        for i in range(0, len(at), SLICE):
+            x = slice(i, i + SLICE)
+            p = (word[self.w[x]] + 1) / total
+            out[x] = -np.log((of_pair[at[x]] + MU * p) / (before[self.h[x]] + MU))
+        return out
+
 
 def pack_numbers(*held: np.ndarray) -> bytes:
     """Unsigned numbers, byte by byte: the higher bytes of small ones compress to nearly nothing."""
@@ -198,7 +227,9 @@ def questions(batches: DataFrame, bits: int) -> DataFrame:
                     words = Words()
                 own, target = Batch(words, size, sizes, body), np.array(targets)
                 (t, ht), (b, hb) = own.counts(target), own.counts(~target)
-                code = np.sort(own.pairs | target[own.of].astype(np.uint64))  # pairs are even
+                code = own.pairs
+                code |= target[own.of]  # pairs are even
+                code.sort()
                 first = np.flatnonzero(np.concatenate([[True], code[1:] >> np.uint64(1) != code[:-1] >> np.uint64(1)])) if len(code) else np.zeros(0, int)
                 pt = np.add.reduceat(code & np.uint64(1), first) if len(code) else code
                 pb = np.diff(np.append(first, len(code))).astype(np.uint64) - pt
@@ -279,15 +310,14 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
         own = Batch(Words(), row["bytes"].as_py(), row["sizes"].as_py(), row["body"].as_py())
         read = [unpack_numbers(body, *[n] * 4, *[m] * 2) for _, n, m, body in sorted(
             zip(*(replies[c].to_pylist() for c in ("bucket", "n_words", "n_pairs", "body")), strict=True))]
-        mean, (pairs, at) = [], np.unique(own.pairs, return_inverse=True)
+        mean, (n_pairs, at) = [], own.pair_numbers()
         for side, total in enumerate(totals):
             word, before = np.zeros((2, own.size))
             loss = np.zeros(0)
             if read:
                 word[own.met], before[own.met], of_pair = (np.concatenate([x[i] for x in read]) for i in (side, 2 + side, 4 + side))
-                assert len(of_pair) == len(pairs)
-                p = (word[own.w] + 1) / total
-                loss = -np.log((of_pair[at] + MU * p) / (before[own.h] + MU))
+                assert len(of_pair) == n_pairs
+                loss = own.losses(word, before, of_pair, at, total)
             mean.append(np.bincount(own.of, loss, minlength=len(own.lengths)) / np.maximum(own.lengths, 1))
         return pa.table([row["ids"].values, pa.array(own.lengths), *map(pa.array, mean)], names=["id", "n_words", "target_loss", "background_loss"])
 

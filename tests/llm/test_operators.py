@@ -545,6 +545,26 @@ def test_lm_scores_by_small_batches_and_short_questions(spark):
     assert tuple(totals) == (sum(k for k, _ in words), sum(not k for k, _ in words), len({w for _, w in words}))
 
 
+def test_lm_scores_batch_takes_little_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+    texts = [" ".join(f"w{(i * 7919 + j * j) % 3001}" for j in range(20_000)).encode() for i in range(20)] + [b"%%%"]
+    args = sum(map(len, texts)), list(map(len, texts)), pa.compress(b"".join(texts), "zstd", asbytes=True)
+    tracemalloc.start()
+    own = lm_scores.Batch(lm_scores.Words(), *args)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * len(own.w)  # 95 bytes a word before, 45 after
+    want, at = np.unique(own.pairs, return_inverse=True)
+    n_pairs, numbers = own.pair_numbers()
+    assert n_pairs == len(want) and numbers.tolist() == at.tolist()
+    word, before, pairs = np.arange(own.size) + 1.0, np.arange(own.size) + 9.0, np.arange(n_pairs) % 9
+    whole = own.losses(word, before, pairs, numbers, 10**6)
+    monkeypatch.setattr(lm_scores, "SLICE", 1000)
+    assert own.losses(word, before, pairs, numbers, 10**6).tolist() == whole.tolist()
+
+
 def test_sharding_query_equals_its_sql(spark):
     import duckdb
     from roilens.llm.queries import ORACLES, QUERIES

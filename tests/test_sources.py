@@ -55,6 +55,32 @@ def test_csv_round_trip(spark, scratch):
     assert back.collect() == t.collect()
 
 
+def test_csv_of_texts_is_read_back_from_zstd(spark, scratch):
+    import random
+
+    chars = random.Random(3)
+    texts = [(1, 'a "b", c\nd\r\ne'), (2, " led and trailed "), (3, "back\\slash\\"), (4, None), (5, "\u00e9\u4e2d\U0001f600"),
+             (6, "".join(chars.choices("abc \n\",", k=3_000_000)))]  # longer than the window in which zstd finds repeats
+    df = spark.createDataFrame(texts, "id int, text string")
+    write_csv(df, scratch + "/t", "zstd")
+    back = read_csv(spark, scratch + "/t", df.schema)
+    assert all(f.endswith(".csv.zstd") for f in back.inputFiles())
+    assert sorted((r.id, r.text) for r in back.collect()) == texts
+
+
+def test_csv_round_trip_text_takes_less_disk_than_its_texts(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from conftest import SF001
+    from roilens.plans.catalog import QUERIES
+
+    back = QUERIES["csv_round_trip_text"](spark, SF001)
+    rows, text = back.agg(F.count(F.lit(1)), F.sum(F.octet_length("prompt_text"))).first()
+    stored = sum(os.path.getsize(urlparse(f).path) for f in back.inputFiles())
+    assert rows == 9994 and stored < text / 2  # each text is there with each of its rows
+
+
 def test_replace_repo_idempotent(spark, scratch):
     prs = spark.createDataFrame([("a#1", "a", "merged"), ("a#2", "a", "closed"), ("b#1", "b", "merged")],
                                 "pr_id string, repo_name string, pr_state string")
